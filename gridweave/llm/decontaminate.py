@@ -49,6 +49,7 @@ def suffix_array(rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     place = np.empty(n, np.int64)
     place[order] = np.repeat(first, np.diff(first, append=n))
+    stops = np.flatnonzero(rank == 0)
     h = 3
     while h < depth:
         size = np.diff(first, append=n)
@@ -59,8 +60,8 @@ def suffix_array(rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         pos = order[at]
         ahead = pos + h
         # positions beyond a document's end are equal there: copies end together
-        nxt = np.where(ahead < n, place[np.minimum(ahead, n - 1)], -1)
-        nxt = np.where(_same_document(rank, pos, h), nxt, -1)
+        end = np.append(stops, n)[np.searchsorted(stops, pos)]
+        nxt = np.where(ahead < end, place[np.minimum(ahead, n - 1)], -1)
         group = place[pos]
         by = np.lexsort((nxt, group))
         order[at] = pos[by]
@@ -80,18 +81,6 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - sizes, sizes)
 
 
-_END: dict[int, np.ndarray] = {}
-
-
-def _same_document(rank: np.ndarray, pos: np.ndarray, h: int) -> np.ndarray:
-    key = id(rank)
-    if key not in _END:
-        _END.clear()
-        ends = np.flatnonzero(rank == 0)
-        _END[key] = np.append(ends, len(rank))[np.searchsorted(ends, np.arange(len(rank)))]
-    return pos + h < _END[key][pos]
-
-
 class Probe:
     """Test items as words: every suffix, and how many words of it make a window."""
 
