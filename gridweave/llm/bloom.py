@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import as_array, digests, joined, mix
 
@@ -76,6 +77,19 @@ class BlockedBloom:
             out &= (words[block * (BITS // 64) + (b >> 6)] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out
 
+    def flagged(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """The rows with a boolean column that says whether the key may be in."""
+        sent, blocks = self.sent, self.blocks
+
+        def add(batches):
+            mine = object.__new__(BlockedBloom)
+            mine.sent, mine.blocks = sent, blocks
+            for batch in batches:
+                flags = pa.array(mine.flags(batch.column(batch.schema.names.index(column))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, name])
+
+        return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+
     def possible(self, df: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in: all that are, and a small share of the others."""
         sent, blocks = self.sent, self.blocks

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, prefix_tree_join
+from . import decontaminate, licences, merkle, prefix_tree_join, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_licence_scan": licences.op1_licence_scan,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality_cotraining": quality.op3_quality_cotraining,
+    "op4_warc": warc.op4_warc,
     "op5_ngram_jaccard_join": prefix_tree_join.op5_ngram_jaccard_join,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
 }
 
+#: Learned scores (op2, op3) have no SQL: tests hold them against held-out labels.
 ORACLES = {
+    "op1_licence_scan": licences.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_ngram_jaccard_join": prefix_tree_join.OP5_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op9_merkle_fingerprint": merkle.OP9_SQL,
 }
