@@ -339,6 +339,20 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, common: f
     return out.select("doc_id", F.col("n").cast("long").alias("n_ngrams"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The documents without near-duplicates of a smaller doc_id, with their own columns.
+
+    Rows without an id stay; rows that repeat an id stay or go together.  Only rows whose id
+    may be among the dropped ones are joined with those; the others don't move.
+    """
+    gone = near_duplicates(docs, n=n, percent=percent, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(gone, "gone")
+    bloom = BlockedBloom.of(gone.select(F.col("_gone").cast("string").alias("k")), "k")
+    marked = bloom.flagged(docs.withColumn("_key", F.col("doc_id").cast("string")), "_key", "_maybe")
+    apart = marked.filter("not _maybe").select(*docs.columns)
+    return apart.unionByName(marked.filter("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n=4, percent=85).withColumnRenamed("n_ngrams", "n_shingles")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, merkle, prefix_tree_join, quality, toxicity, url_filter, warc
+from . import context_tree, decontaminate, licences, merkle, mixing, prefix_tree_join, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -12,15 +12,18 @@ QUERIES = {
     "op5_ngram_jaccard_join": prefix_tree_join.op5_ngram_jaccard_join,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
+    "op10_context_tree": context_tree.op10_context_tree,
 }
 
-#: Learned scores (op2, op3) have no SQL: tests hold them against held-out labels.
+#: Learned scores (op2, op3, op10) have no SQL: tests hold them against held-out labels or a brute-force version.
 ORACLES = {
     "op1_licence_scan": licences.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_ngram_jaccard_join": prefix_tree_join.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
     "op9_merkle_fingerprint": merkle.OP9_SQL,
 }
