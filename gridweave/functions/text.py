@@ -72,19 +72,20 @@ def cell_category(text: Column, header: Column) -> Column:
     )
 
 
+def _hit(prio: int, p: P.Pattern):
+    def make(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(prio).alias("prio"), i.alias("at"), _named(p, F.trim(x)).alias("component_id"), F.lit(p.kind).alias("component_type"))
+
+    return make
+
+
 def found_components(text: Column, source: str = "p") -> Column:
     """Array of (prio, at, component_id, component_type) of every catalogue hit in a text unit."""
     hits = []
     for prio, p in enumerate(P.CATALOGUE, 1):
         if source not in p.sources:
             continue
-        before, after = p.name.split("{}")
-
-        def make(x, i, prio=prio, p=p, before=before, after=after):
-            name = F.concat(F.lit(before), F.trim(x), F.lit(after)) if before or after else F.trim(x)
-            return F.struct(F.lit(prio).alias("prio"), i.alias("at"), name.alias("component_id"), F.lit(p.kind).alias("component_type"))
-
-        hits.append(F.transform(all_of(text, p.regex), make))
+        hits.append(F.transform(all_of(text, p.regex), _hit(prio, p)))
     every = F.flatten(F.array(*hits))
     return F.when(text.rlike(_any(p.regex for p in P.CATALOGUE if source in p.sources)), every).otherwise(F.filter(every, lambda x: F.lit(False)))
 

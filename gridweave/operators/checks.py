@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import severity_of, stable_id
 from ..functions.patterns import DC_SUPPLIED, PROTECTIVE
-from .authority import authority_basis, pick_authority
+from .authority import pick_authority
 
 MISMATCH = ("mismatch_id", "severity", "component_id", "parameter", "drawings_involved", "values_found", "message", "recommendation", "resolution_options")
 _OPTION = "array<struct<drawing_id:string,value:string,drawing_type:string,is_authoritative:boolean>>"

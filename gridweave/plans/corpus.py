@@ -6,6 +6,8 @@ connections.  Every table below grows with orders and lineitem.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ def _number(k: str) -> str:
 
 
 _INST = f"'NRE-' || {_number('l_orderkey')}"
-_PART = f"{_pick('l_partkey % 8', _CODES)} || '-L' || CAST(CAST(floor(l_partkey / 8) AS BIGINT) AS STRING)"
+#: One line item in fifty has a component of its own, which no other drawing has.
+_PART = f"{_pick('l_partkey % 8', _CODES)} || CASE WHEN l_quantity >= 50 THEN '-X' || CAST(l_orderkey AS STRING) ELSE '-L' || CAST(CAST(floor(l_partkey / 8) AS BIGINT) AS STRING) END"
 #: Common table expressions by name, in order.
 TABLES = {
     "drawing": f"""SELECT o_orderkey AS k, 'NRE-' || {_number("o_orderkey")} AS drawing_id, {_pick("(o_orderkey * 7) % 11", _TYPES)} AS drawing_type,
@@ -54,7 +57,7 @@ TABLES = {
     "entity": """SELECT drawing_id, pk % 2 AS layout, pos AS seq, CASE pos % 7 WHEN 1 THEN 'DEVICE' WHEN 2 THEN 'FUSE_NUM' WHEN 3 THEN 'OUTPUT-#' WHEN 4 THEN 'INPUT-#1' WHEN 5 THEN 'PWR_SUP' WHEN 6 THEN 'TAG' ELSE 'NONE' END AS tag,
   CASE pos % 7 WHEN 2 THEN 'FU' || CAST(qty AS STRING) WHEN 3 THEN 'OUT1' || CAST(qty AS STRING) WHEN 4 THEN 'IN1' || CAST(qty AS STRING) WHEN 5 THEN '125V DC' ELSE component_id END AS tag_value,
   CASE pos % 7 WHEN 0 THEN CASE qty % 4 WHEN 0 THEN 'GROUND BAR' WHEN 1 THEN 'ETHERNET PORT' WHEN 2 THEN 'PLAIN' ELSE 'TITLEBLOCK' END ELSE 'SYMBOL' END AS block_name, CAST(qty AS STRING) AS loc, x, y FROM line""",
-    "decision": """SELECT 'd' || CAST(ok AS STRING) || '-' || CAST(pos % 4 AS STRING) AS decision_id, CASE pos % 2 WHEN 0 THEN 'CLASSIFICATION' ELSE 'PROPAGATION' END AS decision_type, component_id, drawing_id, CAST(sk % 4 AS DOUBLE) / 4 AS confidence, ok * 10 + pos AS at, 'o' || CAST(qty AS STRING) AS outcome FROM line""",
+    "decision": """SELECT 'd' || CAST(ok AS STRING) || '-' || CAST(pos % 4 AS STRING) AS decision_id, CASE pos % 2 WHEN 0 THEN 'CLASSIFICATION' ELSE 'PROPAGATION' END AS decision_type, component_id, drawing_id, CAST(sk % 4 AS DOUBLE) / 4 AS confidence, ok * 10 + pos AS stamp, 'o' || CAST(qty AS STRING) AS outcome FROM line""",
     "event": """SELECT event_id, 'f' || CAST(user_id AS STRING) || CASE event_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.dxf' WHEN 2 THEN '.xlsx' ELSE '.tmp' END AS path, event_type AS event, ts FROM events""",
 }
 
@@ -89,11 +92,14 @@ class Registry:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self._made:
+            self._made[name] = table(self.spark, self.sf_dir, name)
+        return self._made[name]
 
-    @property
+    @cached_property
     def drawings(self) -> DataFrame:
         refs = self.raw("reference").groupBy("drawing_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda r: r["ref"]).alias("cross_references"))
         blocks = self.raw("terminal").select("drawing_id", F.create_map("block", F.transform(F.sequence(F.lit(1), F.col("terminals").cast("int")), lambda t: t.cast("string"))).alias("terminal_blocks"))
@@ -102,7 +108,7 @@ class Registry:
         empty = F.array().cast("array<string>")
         return out.withColumns({"cross_references": F.coalesce("cross_references", empty), "cable_schedule": F.coalesce("cable_schedule", empty)})
 
-    @property
+    @cached_property
     def components(self) -> DataFrame:
         value = F.struct("pos", F.struct("parameter", "value", "unit", F.lit(None).cast("double").alias("numeric_value")).alias("v"))
         rows = self.raw("line").groupBy("drawing_id", "component_id").agg(
