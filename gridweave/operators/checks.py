@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import severity_of, stable_id
 from ..functions.patterns import DC_SUPPLIED, PROTECTIVE
-from .authority import pick_authority
+from .authority import basis_text, rules_for
 
 MISMATCH = ("mismatch_id", "severity", "component_id", "parameter", "drawings_involved", "values_found", "message", "recommendation", "resolution_options")
 _OPTION = "array<struct<drawing_id:string,value:string,drawing_type:string,is_authoritative:boolean>>"
@@ -43,25 +43,38 @@ def values_long(components: DataFrame) -> DataFrame:
 
 
 def last_values(components: DataFrame) -> DataFrame:
-    """The last value of each parameter in a component's drawing; blank ones don't count."""
-    rows = values_long(components).filter("coalesce(parameter, '') <> '' and coalesce(value, '') <> ''")
-    return rows.groupBy("component_id", "drawing_id", "parameter").agg(F.max_by("value", "pos").alias("value"))
+    """The last value of each parameter in a component's drawing; blank ones don't count.
 
+    A component has one row for each drawing, so the choice is made within the row.
+    """
+    return _last(components, F.filter("values", lambda v: (F.coalesce(v["parameter"], F.lit("")) != "") & (F.coalesce(v["value"], F.lit("")) != "")))
 
-def _with_authority(groups: DataFrame, last: DataFrame, components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds the authoritative drawing, its type, the basis and the options of conflict groups."""
-    kinds = components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
-    held = last.join(groups.select("component_id", "parameter"), ["component_id", "parameter"], "left_semi")
-    held = held.join(drawings.select("drawing_id", F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN")).alias("drawing_type")), "drawing_id", "left").join(kinds, "component_id")
-    best = pick_authority(held, rules, ["component_id", "parameter"]).withColumnRenamed("drawing_id", "auth").withColumnRenamed("drawing_type", "auth_type")
-    held = held.join(best.select("component_id", "parameter", "auth", "auth_type", "basis"), ["component_id", "parameter"], "left")
-    option = F.struct("drawing_id", "value", F.coalesce("drawing_type", F.lit("UNKNOWN")).alias("drawing_type"), F.coalesce(F.col("drawing_id") == F.col("auth"), F.lit(False)).alias("is_authoritative"))
-    return held.groupBy("component_id", "parameter").agg(F.array_sort(F.collect_list(option)).alias("options"), F.first("auth").alias("auth"), F.first("auth_type").alias("auth_type"), F.first("basis").alias("basis"))
+
+def _last(components: DataFrame, values: Column) -> DataFrame:
+    rows = components.select("component_id", "drawing_id", values.alias("vs")).filter(F.size("vs") > 0)
+    back = F.reverse(F.transform("vs", lambda v: v["parameter"]))
+    kept = F.filter("vs", lambda v, i: F.array_position(back, v["parameter"]) == F.size("vs") - i)
+    return rows.select("component_id", "drawing_id", F.explode(kept).alias("v")).select("component_id", "drawing_id", "v.parameter", "v.value")
 
 
 def _conflicts(last: DataFrame, components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
-    groups = _by_drawing(last, ["component_id", "parameter"], "value")
-    return groups.join(_with_authority(groups, last, components, drawings, rules), ["component_id", "parameter"])
+    """Parameters of components with two values or more: by (drawing to value), options, auth, auth_type, basis.
+
+    One grouping gathers what the mismatch row must show; the authoritative drawing is chosen
+    within the row, from the rule's order of drawing types.
+    """
+    c = F.col
+    kinds = components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
+    typed = last.join(drawings.select("drawing_id", F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN")).alias("drawing_type")), "drawing_id", "left")
+    entry = F.struct("drawing_id", "value", F.coalesce("drawing_type", F.lit("UNKNOWN")).alias("drawing_type"))
+    groups = typed.groupBy("component_id", "parameter").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.collect_list(entry).alias("held")).filter("a <> b")
+    groups = groups.select("component_id", "parameter", F.array_sort("held").alias("held")).join(kinds, "component_id")
+    ordered = groups.join(rules_for(groups.select("parameter", "component_type").distinct(), rules), ["parameter", "component_type"], "left")
+    ranked = F.filter(F.transform("held", lambda h: F.struct(F.array_position("authority_order", h["drawing_type"]).alias("rank"), h["drawing_id"].alias("drawing_id"), h["drawing_type"].alias("drawing_type"))), lambda h: h["rank"] > 0)
+    best = ordered.withColumn("best", F.array_min(F.when(c("authority_order").isNotNull(), ranked)))
+    option = F.transform("held", lambda h: F.struct(h["drawing_id"].alias("drawing_id"), h["value"].alias("value"), h["drawing_type"].alias("drawing_type"), F.coalesce(h["drawing_id"] == c("best.drawing_id"), F.lit(False)).alias("is_authoritative")))
+    by = F.map_from_entries(F.transform("held", lambda h: F.struct(h["drawing_id"].alias("drawing_id"), h["value"].alias("value"))))
+    return best.select("component_id", "parameter", by.alias("by"), option.alias("options"), c("best.drawing_id").alias("auth"), c("best.drawing_type").alias("auth_type"), basis_text(c("parameter"), c("authority_order"), c("best.drawing_type")).alias("basis"))
 
 
 def _advice(plain: Column) -> Column:
@@ -113,8 +126,7 @@ def tb_conflict(drawings: DataFrame) -> DataFrame:
 def voltage_mismatch(components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
     """M6: different voltage ratings, under an id of their own. Blank values count here."""
     c = F.col
-    rows = values_long(components).filter("parameter = 'voltage_rating' and value is not null")
-    last = rows.groupBy("component_id", "drawing_id", "parameter").agg(F.max_by("value", "pos").alias("value"))
+    last = _last(components, F.filter("values", lambda v: (v["parameter"] == "voltage_rating") & v["value"].isNotNull()))
     df = _conflicts(last, components, drawings, rules)
     plain = F.concat(F.lit("Check the voltage rating of "), c("component_id"), F.lit(" at once."))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "voltage", "voltage_mismatch"), severity=F.lit("CRITICAL"), component_id=c("component_id"), parameter=F.lit("voltage_rating"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(c("component_id"), F.lit(": voltage ratings differ: "), _map_text(c("by"))), recommendation=_advice(plain), resolution_options=c("options"))
