@@ -1,0 +1,42 @@
+"""The registered queries against their SQL, and the pipeline against what its stages promise."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from gridweave.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    df = QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(ORACLES[name])
+    cols = [d[0] for d in cur.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(repr(tuple(r)) for r in df.select(cols).collect()) == sorted(map(repr, cur.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_learned_query_covers_the_table(spark, name):
+    df = QUERIES[name](spark, SF)
+    ids = sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sorted(r[0] for r in df.select("doc_id").collect()) == ids
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cols, kept = docs.columns, docs.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = corpus_pipeline.written(stage(spark, docs, SF), f"test{k}")
+        assert docs.columns == cols and 0 < docs.count() <= kept
+        kept = docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in last.collect()} <= {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, SF).count() == last.count()
