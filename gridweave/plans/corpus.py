@@ -58,6 +58,14 @@ TABLES = {
   CASE pos % 7 WHEN 2 THEN 'FU' || CAST(qty AS STRING) WHEN 3 THEN 'OUT1' || CAST(qty AS STRING) WHEN 4 THEN 'IN1' || CAST(qty AS STRING) WHEN 5 THEN '125V DC' ELSE component_id END AS tag_value,
   CASE pos % 7 WHEN 0 THEN CASE qty % 4 WHEN 0 THEN 'GROUND BAR' WHEN 1 THEN 'ETHERNET PORT' WHEN 2 THEN 'PLAIN' ELSE 'TITLEBLOCK' END ELSE 'SYMBOL' END AS block_name, CAST(qty AS STRING) AS loc, x, y FROM line""",
     "decision": """SELECT 'd' || CAST(ok AS STRING) || '-' || CAST(pos % 4 AS STRING) AS decision_id, CASE pos % 2 WHEN 0 THEN 'CLASSIFICATION' ELSE 'PROPAGATION' END AS decision_type, component_id, drawing_id, CAST(sk % 4 AS DOUBLE) / 4 AS confidence, ok * 10 + pos AS stamp, 'o' || CAST(qty AS STRING) AS outcome FROM line""",
+    "cell": """SELECT drawing_id, 1 AS rw, 0 AS cl, 'ITEM#' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 1 AS cl, 'QTY' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 2 AS cl, 'CATALOG#' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 3 AS cl, 'MATERIAL' AS value FROM drawing
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 0 AS cl, CAST(pos AS STRING) AS value FROM line
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 1 AS cl, CASE WHEN qty % 9 = 0 THEN 'LOT' ELSE CAST(qty AS STRING) END AS value FROM line
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 2 AS cl, 'C-' || CAST(pk % 5 AS STRING) AS value FROM line WHERE pk % 7 <> 0
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 3 AS cl, CASE qty % 6 WHEN 0 THEN 'FUSE 30A' WHEN 1 THEN 'ENCLOSURE 125V DC' WHEN 2 THEN 'WIRE NO 10' WHEN 3 THEN 'TERMINAL BLOCK' WHEN 4 THEN 'POWER SUPPLY 5%Z' ELSE 'DIN RAIL' END AS value FROM line""",
+    "index_cell": """SELECT sheet, sheet_pos, CAST(2 AS BIGINT) AS rw, cl, value FROM (SELECT 'Set 30%' AS sheet, 0 AS sheet_pos UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos) s, (SELECT 0 AS cl, 'DWG NO' AS value UNION ALL SELECT 1 AS cl, 'TYPE' AS value UNION ALL SELECT 2 AS cl, 'REV A' AS value UNION ALL SELECT 3 AS cl, 'DATE' AS value UNION ALL SELECT 4 AS cl, 'REV B' AS value) h
+  UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 0 AS cl, replace(drawing_id, 'NRE-', '') AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Cable' AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 2 AS cl, 'r1' AS value FROM drawing
+  UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 0 AS cl, drawing_id AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Layout' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 3 AS cl, 'd9' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 4 AS cl, 'r2' AS value FROM drawing WHERE k % 6 = 0""",
     "event": """SELECT event_id, 'f' || CAST(user_id AS STRING) || CASE event_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.dxf' WHEN 2 THEN '.xlsx' ELSE '.tmp' END AS path, event_type AS event, ts FROM events""",
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import audit, authority, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
+from ..operators import audit, authority, bom, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
 from ..sources import decoded, files
 from ..streaming import watch
 from .corpus import Registry, with_tables
@@ -747,6 +747,87 @@ def b12(r: Registry) -> DataFrame:
     return cad.attribute_labels(_entities(r)).select("drawing_id", "seq", "text")
 
 
+# Sheets
+
+
+def _cells(r: Registry) -> DataFrame:
+    return r.raw("cell").select(F.lit("list BOM.xlsx").alias("file_name"), "drawing_id", F.lit("mat").alias("sheet"), F.lit(0).alias("sheet_pos"), c("rw").alias("row"), c("cl").alias("col"), "value")
+
+
+@query("e1_header_rows", "drawing", "SELECT drawing_id, 1 AS header_row, 'material' AS kind FROM drawing")
+def e1(r: Registry) -> DataFrame:
+    heads = bom.header_rows(bom.bom_cells(_cells(r)))
+    return heads.select("drawing_id", "header_row", bom.sheet_kind(c("header"), c("sheet")).alias("kind"))
+
+
+@query(
+    "e4_line_items",
+    "line",
+    """b AS (SELECT drawing_id, pos, pos + 1 AS rw, CASE WHEN pk % 7 <> 0 THEN 'C-' || (pk % 5) ELSE 'BOM-ITEM-' || pos END AS base, qty, pk % 7 <> 0 AS cat FROM line),
+n AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, base ORDER BY rw) AS n FROM b)
+SELECT drawing_id, rw AS row, CASE WHEN n = 1 OR NOT cat THEN base ELSE base || ':' || pos END AS component_id, CASE WHEN qty % 9 = 0 THEN 'CONSUMABLE' ELSE CASE qty % 6 WHEN 0 THEN 'FU' WHEN 1 THEN 'JB' WHEN 2 THEN 'CONSUMABLE' WHEN 3 THEN 'TB' WHEN 4 THEN 'PS' ELSE 'BOM' END END AS component_type,
+  CASE qty % 6 WHEN 0 THEN 'current_rating=30A' WHEN 1 THEN 'voltage_rating=125V DC' WHEN 4 THEN 'impedance=5%Z' ELSE '' END AS vals FROM n""",
+)
+def e4(r: Registry) -> DataFrame:
+    vals = F.array_join(F.transform("values", lambda v: F.concat_ws("=", v["parameter"], v["value"])), ";")
+    return bom.line_items(_cells(r)).select("drawing_id", "row", "component_id", "component_type", vals.alias("vals"))
+
+
+@query("e5_material_type", "line", "SELECT drawing_id, pos, CASE WHEN qty % 9 = 0 THEN 'CONSUMABLE' WHEN component_type = 'CT' THEN 'FU' ELSE 'BOM' END AS kind FROM line")
+def e5(r: Registry) -> DataFrame:
+    lot = F.when(c("qty") % 9 == 0, "1 lot").otherwise("2")
+    catalog = F.when(c("component_type") == "CT", "baf-3").otherwise("")
+    return r.raw("line").select("drawing_id", "pos", bom.material_type(c("component_id"), lot, catalog).alias("kind"))
+
+
+@query("s9_cell_labels", "cell", f"SELECT drawing_id, rw AS row, cl AS col, value AS text, CASE WHEN {_has('value', X.CELL_COMPONENT)} THEN 'component' WHEN {_has('value', X.CELL_VALUE)} THEN 'value' WHEN cl = 1 THEN 'quantity' WHEN cl = 2 THEN 'reference' WHEN cl = 3 THEN 'description' ELSE 'text' END AS category FROM cell")
+def s9(r: Registry) -> DataFrame:
+    cells = _cells(r)
+    return decoded.cell_labels(cells, bom.header_rows(bom.bom_cells(cells))).select("drawing_id", "row", "col", "text", "category")
+
+
+@query(
+    "s10_index_entries",
+    "drawing",
+    """e AS (SELECT replace(drawing_id, 'NRE-', '') AS id, CASE WHEN k % 3 = 0 THEN 'Layout' ELSE 'Cable' END AS drawing_type, CASE WHEN k % 3 = 0 THEN '90%' ELSE '30%' END AS design_phase, CASE WHEN k % 6 = 0 THEN 'r2' WHEN k % 3 = 0 THEN '' ELSE 'r1' END AS current_revision, CASE WHEN k % 6 = 0 THEN 'd9' ELSE '' END AS current_revision_date FROM drawing)
+SELECT id AS drawing_number, drawing_type, design_phase, current_revision, current_revision_date FROM e UNION ALL SELECT 'NRE-' || id, drawing_type, design_phase, current_revision, current_revision_date FROM e""",
+)
+def s10(r: Registry) -> DataFrame:
+    cells = r.raw("index_cell").select(F.lit("index.xlsx").alias("file_name"), "sheet", "sheet_pos", c("rw").alias("row"), c("cl").alias("col"), "value")
+    return classify.index_entries(cells).select("drawing_number", "drawing_type", "design_phase", "current_revision", "current_revision_date")
+
+
+@query("p3_cross_refs_of", "reference", "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, ref FROM reference WHERE drawing_id = 'NRE-EC-205.0'")
+def p3(r: Registry) -> DataFrame:
+    return registry.cross_refs_of(r.drawings, "NRE-EC-205.0")
+
+
+@query("p10_involving", "reference drawing", "SELECT drawing_id, ref FROM (SELECT DISTINCT drawing_id, ref, CASE WHEN starts_with(ref, 'NRE-') THEN ref ELSE 'NRE-' || ref END AS f FROM reference) WHERE f NOT IN (SELECT drawing_id FROM drawing) AND drawing_id = 'NRE-EC-140.23'")
+def p10(r: Registry) -> DataFrame:
+    found = registry.involving(checks.broken_ref(r.drawings), "NRE-EC-140.23")
+    return found.select(c("component_id").alias("drawing_id"), F.explode("values_found").alias("k", "ref")).select("drawing_id", "ref")
+
+
+@query(
+    "y2_authoritative_drawing",
+    "line drawing component",
+    f"""{_FIRST}, {_RULES}, kind AS (SELECT component_id, arg_min(component_type, drawing_id) AS ct FROM component GROUP BY component_id),
+q AS (SELECT f.component_id, f.parameter, f.drawing_id, d.drawing_type, rank, n, row_number() OVER (PARTITION BY f.component_id, f.parameter ORDER BY rank, f.drawing_id) AS k FROM first f JOIN drawing d USING (drawing_id) JOIN kind USING (component_id) JOIN rule r ON r.parameter = f.parameter AND r.dtype = d.drawing_type AND (r.ctype = '*' OR r.ctype = ct))
+SELECT component_id, parameter, drawing_id, drawing_type, drawing_type || ' is authoritative for ' || parameter || ' (priority ' || rank || ' of ' || n || ')' AS basis FROM q WHERE k = 1""",
+)
+def y2(r: Registry) -> DataFrame:
+    kinds = r.components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
+    rows = propagation.first_values(r.components).join(kinds, "component_id").join(r.drawings.select("drawing_id", "drawing_type"), "drawing_id")
+    return authority.pick_authority(rows, authority.default_rules(r.spark), ["component_id", "parameter"])
+
+
+@query("k1_replaced", "component", "SELECT drawing_id, component_id FROM component WHERE drawing_id NOT LIKE 'NRE-EC-1%' UNION ALL SELECT DISTINCT drawing_id, 'new' FROM component WHERE drawing_id LIKE 'NRE-EC-1%'")
+def k1(r: Registry) -> DataFrame:
+    rows = r.components.select("drawing_id", "component_id")
+    new = rows.filter(c("drawing_id").like("NRE-EC-1%")).select("drawing_id", F.lit("new").alias("component_id")).distinct()
+    return changes.replaced(rows, new)
+
+
 # Files and streams
 
 
