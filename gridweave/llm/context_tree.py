@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, written
+from .shared import crc_mod, small_batches, written
 from .textbytes import NOT_SPACE, Words, as_array, mix, slices
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 END = np.uint64(1)
 HALF = math.log(0.5)
@@ -36,11 +36,11 @@ LISTS = "kind int, shard bigint, bucket bigint, keys binary, counts binary"
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of x >= 0.5, by Stirling's series of x + 8."""
+    """Of x >= 0.5, by Stirling's series of x + 12."""
     down = np.zeros_like(x)
-    for k in range(8):
+    for k in range(12):
         down += np.log(x + k)
-    y = x + 8
+    y = x + 12
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - down
 
 
@@ -251,6 +251,7 @@ def scores(docs: DataFrame, *, depth: int = 5, held_mod: int = 10, held_rest: in
     Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = F.coalesce(crc_mod(id_col, held_mod) == held_rest, F.lit(True))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held).alias("train"))
     n_bytes = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import ALNUM, Words, slices
+from .shared import small_batches
+from .textbytes import ALNUM, Words, release, slices
 
 #: Bytes of text in a shard; its arrays take about 60 bytes a word.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_CHARS = 64_000_000
 _BITS = 21
 
@@ -211,6 +212,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_c
     of their own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_words", "hit_spans", "n_hit", "items", "n_items", "contaminated")
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     for items in _blocks(bench, bench_id, bench_text, block_chars):
@@ -219,6 +221,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_c
         def search(batches, sent=sent):
             probe = Probe(sent.value, window)
             for batch in batches:
+                release()
                 for begin, end in slices(batch.column(text_col), SHARD_BYTES):
                     part = batch.slice(begin, end - begin)
                     counts, doc, start, size, item = _search(part.column(text_col), probe)
@@ -246,6 +249,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, *, least: int = 10, id_co
     and empty tables: no rows, as in ``contamination``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for items in _blocks(bench, bench_id, bench_text, block_chars):
@@ -254,6 +258,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, *, least: int = 10, id_co
         def search(batches, sent=sent):
             probe = Probe(sent.value, least)
             for batch in batches:
+                release()
                 for begin, end in slices(batch.column(1), SHARD_BYTES):
                     part = batch.slice(begin, end - begin)
                     _, rank, names, first = _shard(part.column(1))

@@ -2,7 +2,7 @@
 
 1. Each document becomes the set of its distinct word n-grams, as 64-bit keys in one global
    order: rare n-grams first (by digest), frequent ones last (by frequency).  An n-gram is
-   frequent if one Arrow batch has it in more than a share ``common`` of its documents; by
+   frequent if a slice of a task has it in more than a share ``common`` of its documents; by
    the pigeonhole principle that covers every n-gram above that share overall, and at most
    average-set-size / ``common`` n-grams can be above it, which bounds what is broadcast.
 2. Documents with equal sets are one class; only classes go on.
@@ -32,10 +32,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .shared import components, dropped, written
-from .textbytes import NOT_SPACE, Words, group_rows, runs, slices
+from .shared import components, small_batches, written
+from .textbytes import NOT_SPACE, Words, group_rows, release, runs, slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 TOP = np.uint64(1 << 63)
 
 
@@ -58,17 +58,16 @@ def frequent_ngrams(docs: DataFrame, text_col: str, n: int, common: float) -> np
 
     def count(batches):
         for batch in batches:
-            sets = list(ngram_sets(batch.column(0), n))
-            grams, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
-            least = max(3, int(common * batch.num_rows))
-            many = times > least
-            yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["gram", "n"])
+            for begin, end in slices(batch.column(0), 8 * SLICE_BYTES):
+                grams, times = np.unique(np.concatenate(list(ngram_sets(batch.column(0).slice(begin, end - begin), n))), return_counts=True)
+                many = times > max(3, int(common * (end - begin)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["gram", "n"])
 
     seen = docs.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     least = max(3, int(common * docs.count()))
     # above that share: at most the average set size over common
-    rows = seen.filter(F.col("n") > least).orderBy("n", "gram").collect()
-    return np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = seen.filter(F.col("n") > least).orderBy("n", "gram").select("gram").toArrow()
+    return rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
 
 
 class Order:
@@ -284,11 +283,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, common: f
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, "text", n, common))
 
     def sets(batches, full: bool = False):
         order = Order(frequent.value)
         for batch in batches:
+            release()
             size, name, prefix, bits = [], [], [], []
             for grams in ngram_sets(batch.column(1), n):
                 keys = order.keys(grams)

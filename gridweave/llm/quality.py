@@ -12,6 +12,7 @@ text where it lies: scoring shuffles nothing.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import logistic, margins, sample_ids, sigmoid, with_texts
-from .shared import crc_mod
-from .textbytes import NOT_SPACE, Words, as_array, joined, slices
+from .shared import crc_mod, small_batches
+from .textbytes import NOT_SPACE, Words, as_array, joined, release, slices
 
 HASHED = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LANGS, SOURCES = 16, 32
 
 _UPPER, _LOWER, _DIGIT, _PUNCT = (np.zeros(256, bool) for _ in range(4))
@@ -146,8 +147,18 @@ def cotrain(text_x, meta_x, y, text_u, meta_u, *, rounds: int = 3, share: float
     return Model(w, scale, logistic(np.clip(z, -12, 12), y[fold], l2=1e-3, rounds=500))
 
 
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Rows of equal size, without a copy of each."""
+    if not n:
+        return np.zeros((0, 1), np.float32)
+    whole = as_array(column.cast(pa.large_binary()))
+    at = np.frombuffer(whole.buffers()[1], np.int64, n + 1, whole.offset * 8)
+    return np.frombuffer(whole.buffers()[2], np.float32, int(at[-1] - at[0]) // 4, int(at[0])).reshape(n, -1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12000, most_unlabelled: int = 6000, held_mod: int = 4, held_rest: int = 2, **options) -> Model:
     """Fit on rows whose crc32(doc_id) mod ``held_mod`` isn't ``held_rest``; null labels are not read."""
+    small_batches(docs.sparkSession)
     fold = crc_mod("doc_id", held_mod) != held_rest
     known = labels.filter(fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     named = known.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()
@@ -159,11 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12000, most_
             t, m = text_view(batch.column(1)), metadata_view(*batch.columns[1:4])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m))], names=["doc_id", "t", "m"])
 
-    rows = with_texts(docs, sorted([*y, *mixed]), ["text", "lang", "source"]).select("doc_id", "text", "lang", "source").mapInArrow(make, "doc_id bigint, t binary, m binary").toArrow().sort_by("doc_id")
-    ids = rows.column(0).to_pylist()
-    t, m = (np.frombuffer(b"".join(x.as_py() for x in rows.column(k)), np.float32).reshape(len(ids), -1) if ids else np.zeros((0, 1), np.float32) for k in (1, 2))
-    has = np.array([i in y for i in ids], bool)
-    return cotrain(t[has], m[has], np.array([y[i] for i in ids if i in y]), t[~has], m[~has], **options)
+    def train(table):
+        rows = table.sort_by("doc_id")
+        ids = rows.column("doc_id").to_pylist()
+        t, m = (_matrix(rows.column(k), len(ids)) for k in ("t", "m"))
+        has = np.array([i in y for i in ids], bool)
+        model = cotrain(t[has], m[has], np.array([y[i] for i in ids if i in y]), t[~has], m[~has], **options)
+        return pa.table({"model": pa.array([pickle.dumps((model.weights, model.scale, model.both))], pa.binary())})
+
+    rows = with_texts(docs, sorted([*y, *mixed]), ["text", "lang", "source"]).select("doc_id", "text", "lang", "source").mapInArrow(make, "doc_id bigint, t binary, m binary")
+    # the samples are bounded: one task fits the model
+    made = rows.groupBy(F.lit(1).alias("all")).applyInArrow(train, "model binary").first()
+    return Model(*pickle.loads(bytes(made[0]))) if made else Model([], [], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,11 +191,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     the added names are replaced; all others pass through.
     """
     added = ["text_score", "metadata_score", "quality_score"]
+    small_batches(docs.sparkSession)
     docs = docs.drop(*added)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
+            release()
             of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             three = sent.value.scores(of["text"], of["lang"], of["source"])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in three)], names=[*batch.schema.names, *added])

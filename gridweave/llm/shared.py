@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,6 +38,15 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
+    """Arrow batches of ``most_mb`` at most, so that a task holds little text at a time; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key, "64m").strip().lower())
+    size = int(have[1]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(have[2], 1) if have else 0
+    if size > most_mb << 20 or size <= 0:
+        spark.conf.set(key, f"{most_mb}m")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n. Null: null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

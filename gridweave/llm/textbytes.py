@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_SPAN = 1 << 20
+_SPAN = 1 << 17
 
 #: Bytes of words split at ASCII white space: all but 0x20 and 0x09-0x0D.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -46,6 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back to the system: workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def as_array(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

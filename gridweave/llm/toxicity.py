@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Adam, sample_ids, sigmoid, with_texts
-from .shared import crc_mod
-from .textbytes import ALNUM, Words, mix, slices
+from .shared import crc_mod, small_batches
+from .textbytes import ALNUM, Words, mix, release, slices
 
 BITS = 20
 BEGINNINGS = (4, 5, 6)
 #: Buckets, then one more for each that says it comes twice or more often in a text.
 FEATURES = 2 << BITS
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def hashed(texts) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
@@ -85,12 +85,19 @@ class Model:
         return out
 
 
+def _document_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many texts have each feature; a text at a time, so that nothing large is made."""
+    out = np.zeros(FEATURES, np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
 def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, most_features: int = 4000, least_df: int = 3, least_lift: float = 4.0, rounds: int = 400, rate: float = 0.05, l2: float = 3e-3) -> Model:
     """A linear model with logistic loss, from the buckets of positive and of unlabelled texts."""
     if not pos or not unl:
         return Model(np.zeros(0, np.int64), np.zeros(0))
-    p = np.bincount(np.concatenate(pos), minlength=FEATURES)
-    u = np.bincount(np.concatenate(unl), minlength=FEATURES)
+    p, u = _document_counts(pos), _document_counts(unl)
     share_p, share_u = p / len(pos), (u + 1) / (len(unl) + 2)
     z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / len(pos) + 1 / len(unl)))
     good = np.flatnonzero((p >= min(least_df, max(1, len(pos) // 10))) & (z > 4) & (share_p >= least_lift * share_u))
@@ -99,9 +106,8 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, most_fea
     place[chosen] = np.arange(len(chosen))
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        col = place[np.concatenate(rows)]
-        return row[col >= 0], col[col >= 0]
+        cols = [c[c >= 0] for c in (place[r] for r in rows)]
+        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
 
     (rp, cp), (ru, cu) = sparse(pos), sparse(unl)
     w = np.zeros(len(chosen) + 1)
@@ -125,16 +131,25 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, most_fea
             g = -g_neg
         g[:-1] += l2 * w[:-1]
         w = adam.step(w, g)
+    # with few positives the intercept overshoots: a mean probability far above the prior is set to it
+    z = forward(ru, cu, len(unl)) - w[-1]
+    low, high = -20.0, float(w[-1])
+    if sigmoid(z + high).mean() > 1.5 * prior:
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sigmoid(z + mid).mean() < prior else (low, mid)
+        w[-1] = low
     return Model(chosen, w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, most_positives: int = 4000, most_unlabelled: int = 12000, held_mod: int = 4, held_rest: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, most_positives: int = 3000, most_unlabelled: int = 8000, held_mod: int = 4, held_rest: int = 2) -> Model:
     """Fit on rows whose crc32(doc_id) mod ``held_mod`` isn't ``held_rest``.
 
     ``prior``: the share of toxic documents; by default the share among those labels.  The
     labels of unlabelled documents are not read.  Ids with the smallest hashes make the
     samples, so a run can be repeated.
     """
+    small_batches(docs.sparkSession)
     fold = crc_mod("doc_id", held_mod) != held_rest
     known = labels.filter(fold & F.col("toxic").isNotNull())
     if prior is None:
@@ -148,9 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, most_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in buckets(batch.column(1))], pa.binary())], names=["doc_id", "b"])
 
-    rows = with_texts(docs, sorted(positive | set(mixed)), ["text"]).select("doc_id", "text").mapInArrow(make, "doc_id bigint, b binary").toArrow()
-    got = dict(zip(rows.column(0).to_pylist(), (np.frombuffer(b.as_buffer(), np.int32) if len(b.as_buffer()) else np.zeros(0, np.int32) for b in rows.column(1)), strict=True))
-    return nnpu([got[i] for i in first if i in got], [got[i] for i in mixed if i in got], prior)
+    def train(table):
+        rows = table.sort_by("doc_id")
+        got = dict(zip(rows.column("doc_id").to_pylist(), (np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("b")), strict=True))
+        model = nnpu([got[i] for i in first if i in got], [got[i] for i in mixed if i in got], prior)
+        return pa.table({"chosen": pa.array([model.chosen.astype(np.int64).tobytes()], pa.binary()), "w": pa.array([model.w.tobytes()], pa.binary())})
+
+    rows = with_texts(docs, sorted(positive | set(mixed)), ["text"]).select("doc_id", "text").mapInArrow(make, "doc_id bigint, b binary")
+    # the samples are bounded: one task fits the model
+    made = rows.groupBy(F.lit(1).alias("all")).applyInArrow(train, "chosen binary, w binary").first()
+    return Model(np.frombuffer(bytes(made[0]), np.int64), np.frombuffer(bytes(made[1]))) if made else Model(np.zeros(0, np.int64), np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -158,11 +180,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
     A column of ``docs`` named as ``name`` is replaced; all others pass through.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
+            release()
             col = batch.column(batch.schema.names.index(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(col))], names=[*batch.schema.names, name])
 

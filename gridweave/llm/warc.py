@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import new_path, small_batches, written
 
 PIECE = 1 << 18
 ARCHIVE_BYTES = 64 << 20
@@ -208,6 +208,7 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             html = batch.column(2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sha1_base32((t or "").encode()) for t in html.to_pylist()], pa.string())], names=[*batch.schema.names, "payload_digest"])
 
+    small_batches(pages.sparkSession)
     schema = "page_id bigint, url string, html string, payload_digest string"
     made = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digest, schema)
     low = made.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
