@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of the slot: 4,096 slots a leaf.
 SLOT_DIGITS = 3
@@ -89,11 +91,13 @@ def mixed(docs: DataFrame, *, weights: dict[str, dict[str, int]] = WEIGHTS, shar
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), source_domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     rows = rows.cache()  # the words are counted once; lost parts are counted again
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    # leaves are few and small: written, so that each step's plan stays small on the driver
+    leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = int(leaves.agg(F.sum("tokens")).first()[0] or 0)
     leaves = leaf_budgets(leaves, total * min(share[0], epochs * share[1]) // share[1], weights, epochs)
     leaves = leaves.withColumn("epoch", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0)).cast("int"))
     leaves = leaves.withColumn("rest", F.col("alloc") - F.col("epoch") * F.col("tokens")).select(*LEVELS, "epoch", "rest")
+    leaves = written(leaves, "budgets")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)"))))
     rows = rows.join(leaves, list(LEVELS)).withColumn("key", key).withColumn("slot", F.substring("key", 1, SLOT_DIGITS))
     slots = rows.groupBy(*LEVELS, "slot").agg(F.sum("n_tokens").alias("in_slot"))
