@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences; each is normalised (lower case, runs of other characters
-than letters and digits become one space) and looked up among known licence sentences; the
+A text is cut into sentences and lines and normalised (lower case, runs of other characters
+than letters and digits become one space); runs of lines of one sentence are looked up among
+known licence sentences, so that they are found however their text is wrapped; the
 identifiers found, in the order of the text, are matched against ordered rules.  A rule
 takes the identifiers it matches, so that a shorter rule further down doesn't see them.
 All of it is one projection: nothing is shuffled.
@@ -86,7 +87,7 @@ RULES = (
     ("Public-Domain", ("PUBLIC_DOMAIN",)),
     ("All-Rights-Reserved", ("RESERVED",)),
 )
-#: A sentence ends at a line end, or at . ! ? and white space.
+#: A known sentence is cut at line ends, and at . ! ? and white space.
 ENDS = r"([.!?])[ \t]+"
 
 
@@ -105,24 +106,46 @@ def lookup(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return {max(_pieces(text), key=len): name for name, text in sentences.items()}
 
 
-def sentence_column(text: Column) -> Column:
-    """Normalised sentences of a text, in order; null text: none."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), ENDS, "$1\n")
-    low = F.translate(cut, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.split(F.regexp_replace(low, "[^a-z0-9\n]+", " "), "\n", -1), lambda s: F.btrim(s))
+#: A capital stands for what can't be in the lower text: S for the end of a sentence, M around a match.
+_BREAKS = r"([.!?])(?:[ \t]+|\r?\n)"
+
+
+def _pattern(known) -> str:
+    """Known sentences from the start of a line or sentence to the end of one, the longest first.
+
+    Between two words is a space or one line end; before an address also empty lines, as
+    licences set it apart.  Comment marks at the start of a line are spaces by then.
+    """
+    gap = lambda word: "[ \n]+" if word.startswith("http") else "(?: ?\n ?| )"
+    body = lambda s: "".join(w if k == 0 else gap(w) + w for k, w in enumerate(s.split(" ")))
+    return f"(?<![a-z0-9 ]) ?({'|'.join(body(s) for s in sorted(known, key=len, reverse=True))}) ?(?![a-z0-9 ])"
+
+
+def found_column(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+    """(number of the first line or sentence, identifier) of each known sentence, in order; null text: none."""
+    known = lookup(sentences)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.regexp_replace(F.regexp_replace(low, _BREAKS, "$1S"), "[^a-z0-9S\n]+", " ")
+    # the odd parts are the matches
+    parts = F.split(F.regexp_replace(plain, _pattern(known), "M$1M"), "M", -1)
+    ends = lambda s: F.length(s) - F.length(F.translate(s, "S\n", ""))
+    before = lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, s: n + ends(s))
+    at = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
+    one = lambda k: F.struct(before(k).alias("at"), F.element_at(names, F.regexp_replace(F.get(parts, k), "[ \n]+", " ")).alias("id"))
+    return F.when(F.size(parts) > 1, F.transform(at, one)).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
 
 
 def licence_scan(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules=RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with found (sentence number from 0, identifier), sentence_ids and licences.
+    """``docs`` with found (number of the sentence or line from 0, identifier), sentence_ids and licences.
 
+    A known sentence that covers others is found in their place.
     licences holds each licence once, in the order of the rules that matched.  Null or empty
     text, or one without known sentences: empty arrays.  Every row comes out once, repeated
     rows too; columns with the added names are replaced, all others pass through.
     """
     docs = docs.drop("found", "sentence_ids", "licences")
-    known = F.create_map(*[F.lit(x) for pair in lookup(sentences).items() for x in pair])
-    numbered = F.transform(sentence_column(F.col(text_col)), lambda s, i: F.struct(i.alias("at"), F.element_at(known, s).alias("id")))
-    out = docs.withColumn("found", F.filter(numbered, lambda x: x["id"].isNotNull()))
+    out = docs.withColumn("found", found_column(F.col(text_col), sentences))
     out = out.withColumn("sentence_ids", F.col("found.id"))
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     steps = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in rules])

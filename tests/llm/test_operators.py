@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -95,6 +96,34 @@ def test_licence_scan(spark):
     assert licences.licence_scan(df).count() == 7 and licences.licence_scan(df.limit(0)).count() == 0
 
 
+def wrapped(keys, width, mark):
+    lines = []
+    for k in keys:
+        lines += [""] if lines else []
+        lines += textwrap.wrap(licences.SENTENCES[k], width, break_long_words=False, break_on_hyphens=False)
+    return "\n".join(mark + line for line in lines)
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_licences(spark, mark):
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", "", "Unless required by applicable law or agreed to in writing, software", "distributed under the License is distributed on an \"AS IS\" BASIS,", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and", "limitations under the License."]
+    rules = [("MIT", ("MIT_TITLE_SHORT", "MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS")), ("BSD-3-Clause", ("BSD_REDISTRIBUTION", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME")), ("BSD-2-Clause", ("BSD_REDISTRIBUTION", "BSD_SOURCE", "BSD_BINARY")), ("GPL-3.0-or-later", ("GPL_FREE", "GPL_HOPE", "GPL_SEE"))]
+    rows, want = [(0, "\r\n".join(mark + x for x in apache))], {0: (["Apache-2.0"], ["APACHE2_HEADER", "APACHE2_OBTAIN", "APACHE2_AS_IS", "APACHE2_SEE"])}
+    for name, keys in rules:
+        for width in (38, 60, 76):
+            want[len(rows)] = ([name], list(keys))
+            rows.append((len(rows), wrapped(keys, width, mark)))
+    got = {r.doc_id: r for r in licences.licence_scan(docs_of(spark, rows)).collect()}
+    for k, (names, ids) in want.items():
+        assert [x for x in got[k].licences if names != ["MIT"] or x == "MIT"] == names and got[k].sentence_ids == ids, (k, got[k].sentence_ids)
+
+
+def test_wrapped_sentences_keep_to_their_bounds(spark):
+    texts = ["one\ntwo. MIT\nLicense\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n* Redistributions of source code must retain the above copyright notice,\n  this list of conditions and the following disclaimer.\nx", "Under MIT. License.", "MIT\n\nLicense", "the MIT\nLicense", "MIT\nLicense too"]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in licences.licence_scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [(2, "MIT_TITLE_SHORT"), (4, "BSD_REDISTRIBUTION"), (7, "BSD_SOURCE")], 1: [], 2: [], 3: [], 4: []}
+
+
 # 2: toxicity
 
 
