@@ -445,8 +445,8 @@ def r11(r: Registry) -> DataFrame:
 
 @query("r3_sync_report")
 def r3(r: Registry) -> DataFrame:
-    found = checks.type_mismatch(r.components).unionByName(checks.broken_ref(r.drawings)).withColumn("resolved", F.lit(False))
-    return reports.sync_report(r.components, found)
+    found = checks.all_checks(r.drawings, r.components, r.connections, authority.default_rules(r.spark))
+    return reports.sync_report(r.components, found.withColumn("resolved", F.lit(False)))
 
 
 # Audit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 
@@ -33,3 +35,18 @@ def test_query_equals_sql(spark, name):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sync_report_has_all_checks(spark):
+    """Its mismatch and recommendation rows are those of the SQL of the twelve checks, one for each drawing."""
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    checks = [n for n in ORACLES if re.match(r"m\d+_", n) and n != "m1_resolution_options"]
+    assert len(checks) == 12
+    want = sorted({(d, r[0], r[1]) for n in checks for r in con.execute(f"SELECT mismatch_id, severity, drawings FROM ({ORACLES[n]})").fetchall() for d in r[2].split(",")})
+    rows = QUERIES["r3_sync_report"](spark, SF).filter("section <> 'component'").collect()
+    assert sorted((r.drawing_id, r.name, r.detail) for r in rows if r.section == "mismatch") == want
+    tags = {"CRITICAL": "[RED FLAG]", "WARNING": "[WARNING]"}
+    advice = sorted((r.drawing_id, r.name, r.detail.split("]")[0] + "]") for r in rows if r.section == "recommendation" and r.detail.startswith("["))
+    assert advice == [(d, k, tags[s]) for d, k, s in want if s in tags] and any(t == "[RED FLAG]" for _, _, t in advice)
