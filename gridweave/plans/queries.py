@@ -270,7 +270,7 @@ def y6_log(r: Registry) -> DataFrame:
 
 @query("y8_impact", "line", f"{_LAST}, i AS (SELECT component_id, parameter, source_drawing_id, count(*) AS n FROM (SELECT a.component_id, a.parameter, a.drawing_id AS source_drawing_id FROM last a JOIN last b ON a.component_id = b.component_id AND a.parameter = b.parameter AND a.drawing_id <> b.drawing_id AND a.value <> b.value) GROUP BY ALL) SELECT * FROM i")
 def y8(r: Registry) -> DataFrame:
-    return propagation.impact(r.components).groupBy("component_id", "parameter", "source_drawing_id").agg(F.count("*").alias("n"))
+    return propagation.impact_counts(r.components)
 
 
 _NEXT = "nl AS (SELECT * FROM line WHERE pk % 17 <> 3)"

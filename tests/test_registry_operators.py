@@ -219,3 +219,11 @@ def test_decision_trees(spark, make):
     got = {(r.section, r.decision_id) for r in audit.decision_tree(log, make([comp("a", "A")], COMPONENTS), "a").collect()}
     assert got == {("propagation_actions", "1"), ("classifications", "2")}
     assert {r.decision_type: r.total for r in audit.statistics(log).collect()} == {None: 3, "PROPAGATION": 1, "CLASSIFICATION": 1, "AUTHORITY": 1}
+
+
+def test_impact_counts_make_no_pairs(spark, make):
+    rows = [comp("52-1", f"D{k}", values=[value("ratio", str(k % 3)), value("power_rating", "1")]) for k in range(30)] + [comp("52-2", "D0", values=[value("ratio", None), value("ratio", "1")]), comp("52-2", "D1", values=[value("ratio", None)])]
+    df = make(rows, COMPONENTS)
+    got = propagation.impact_counts(df)
+    want = propagation.impact(df).groupBy("component_id", "parameter", "source_drawing_id").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(("52-1", "ratio", f"D{k}", 20) for k in range(30))
