@@ -239,11 +239,16 @@ def dc_supply(components: DataFrame, connections: DataFrame) -> DataFrame:
     return _rows(df, mismatch_id=stable_id(c("component_id"), "dc_supply"), severity=F.lit("INFO"), component_id=c("component_id"), parameter=F.lit("dc_supply"), drawings_involved=c("drawings"), values_found=F.create_map("component_id", F.lit("no DC supply connection found")), message=F.concat(c("component_id"), F.lit(" ("), c("component_type"), F.lit(") has no DC supply.")), recommendation=F.concat(F.lit("Check the DC supply of "), c("component_id"), F.lit(".")))
 
 
-def all_checks(drawings: DataFrame, components: DataFrame, connections: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rows of all twelve checks with their order; an id that comes twice stays once, the later one."""
-    made = [value_mismatch(components, drawings, rules), type_mismatch(components), broken_ref(drawings), cable_mismatch(connections), tb_conflict(drawings), voltage_mismatch(components, drawings, rules), relay_mismatch(components), orphan(components, drawings), trip_path(components, connections), lockout(components, connections), ct_relay(components, connections), dc_supply(components, connections)]
+def all_checks(drawings: DataFrame, components: DataFrame, connections: DataFrame | None, rules: DataFrame) -> DataFrame:
+    """The rows of all twelve checks with their order; an id that comes twice stays once, the later one.
+
+    Without a table of connections, the checks that read it (4, 9 to 12) make no rows.
+    """
+    made = {1: value_mismatch(components, drawings, rules), 2: type_mismatch(components), 3: broken_ref(drawings), 5: tb_conflict(drawings), 6: voltage_mismatch(components, drawings, rules), 7: relay_mismatch(components), 8: orphan(components, drawings)}
+    if connections is not None:
+        made |= {4: cable_mismatch(connections), 9: trip_path(components, connections), 10: lockout(components, connections), 11: ct_relay(components, connections), 12: dc_supply(components, connections)}
     out = None
-    for k, df in enumerate(made, 1):
+    for k, df in sorted(made.items(), key=lambda e: e[0]):
         df = df.withColumn("check_no", F.lit(k))
         out = df if out is None else out.unionByName(df)
     # ids hold the check's name, so only one check can repeat one

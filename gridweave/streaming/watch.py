@@ -85,14 +85,22 @@ def event_rows(events: DataFrame, components: DataFrame, mismatches: DataFrame,
     return rows.fillna(0, ["n_components", "n_mismatches", "n_affected"])
 
 
-def change_stream(spark: SparkSession, decoded: str, root: str, drawings: DataFrame, connections: DataFrame, rules: DataFrame):
+def _with_columns(drawings: DataFrame) -> DataFrame:
+    """Drawings with the columns that the checks read; missing ones are empty."""
+    kinds = {"cross_references": "array<string>", "terminal_blocks": "map<string,array<string>>"}
+    return drawings.withColumns({n: F.lit(None).cast(t) for n, t in kinds.items() if n not in drawings.columns})
+
+
+def change_stream(spark: SparkSession, decoded: str, root: str, drawings: DataFrame, connections: DataFrame | None, rules: DataFrame):
     """A query over decoded components that arrive as Parquet in ``decoded``.
 
-    Each batch replaces its drawings' rows in the registry under ``root``, runs the value
-    checks, keeps what involves those drawings, and appends event rows.
+    Each batch replaces its drawings' rows in the registry under ``root``, runs all checks on
+    the registry, keeps what involves those drawings, and appends event rows.  Without
+    ``connections`` the checks that read them make no rows.
     """
     schema = "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>, attributes map<string,string>, signals array<string>"
     table = Table(spark, f"{root}/components", schema)
+    full = _with_columns(drawings)
 
     def each(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
@@ -102,7 +110,8 @@ def change_stream(spark: SparkSession, decoded: str, root: str, drawings: DataFr
         changed = batch.select("drawing_id").distinct()
         ids = batch.select("component_id").distinct()
         near = everything.join(ids, "component_id", "left_semi")
-        found = checks.value_mismatch(near, drawings, rules).unionByName(checks.type_mismatch(near))
+        # event rows count by changed drawing, so that mismatches of others drop out there
+        found = checks.all_checks(full, everything, connections, rules)
         hit = propagation.impact(near).join(changed.withColumnRenamed("drawing_id", "source_drawing_id"), "source_drawing_id", "left_semi")
         events = changed.select("drawing_id", F.lit("modified").alias("event"), F.lit(number).cast("long").alias("batch"))
         append(event_rows(events, batch, found, hit), f"{root}/events")

@@ -237,3 +237,19 @@ def test_change_stream(spark, tmp_path):
     assert q.exception() is None
     got = {r.drawing_id: (r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{tmp_path}/reg/events").collect()}
     assert got == {"A": (1, 2, 1), "B": (1, 2, 1)}
+
+
+def test_change_stream_runs_all_checks(spark, tmp_path):
+    from gridweave.operators.authority import default_rules
+
+    schema = "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>, attributes map<string,string>, signals array<string>"
+    rows = [(d, "FU-1", "FU", [("voltage_rating", v, "", None)], {}, []) for d, v in (("A", "1"), ("B", "2"))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    drawings = spark.createDataFrame([("A", "", ["NRE-X"]), ("B", "", [])], "drawing_id string, drawing_type string, cross_references array<string>")
+    connections = spark.createDataFrame([("A", "FU-1", "FU-2", "2C#10", "", "", 1), ("B", "FU-1", "FU-2", "4C#10", "", "", 2)], "drawing_id string, from_component string, to_component string, cable_spec string, wire_label string, signal_type string, seq long")
+    q = watch.change_stream(spark, f"{tmp_path}/in", f"file://{tmp_path}/reg", drawings, connections, default_rules(spark))
+    q.awaitTermination(400)
+    assert q.exception() is None
+    got = {r.drawing_id: (r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{tmp_path}/reg/events").collect()}
+    # values, voltages and cables differ; A also refers to an unknown drawing
+    assert got == {"A": (1, 4, 1), "B": (1, 3, 1)}
