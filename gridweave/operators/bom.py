@@ -15,7 +15,7 @@ from ..functions.text import electrical_values
 
 c = F.col
 SHEET = ["drawing_id", "sheet", "sheet_pos"]
-HEADER_WORDS = ("ITEM", "QTY", "QUANTITY", "CATALOG", "MATERIAL", "DEVICE", "DESCRIPTION", "SIZE", "LINE")
+HEADER_WORDS = ("ITEM", "QTY", "QUANTITY", "MATERIAL", "CATALOG", "DESCRIPTION", "DEVICE", "SIZE", "DRAWING", "DWG")
 
 
 def bom_cells(cells: DataFrame) -> DataFrame:

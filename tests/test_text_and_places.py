@@ -156,6 +156,11 @@ def test_material_lines(spark):
     assert bom.line_items(bom_cells(spark, [("dev", devices)], "other.xlsx")).count() == 0
 
 
+def test_header_below_a_title(spark):
+    table = [["Substation bill"], ["DWG NO", "DESCRIPTION"], ["E-1", "FUSE"]]
+    assert [r.header_row for r in bom.header_rows(bom_cells(spark, [("s", table)])).collect()] == [2]
+
+
 def test_nameplates(spark):
     table = [["ITEM", "1ST LINE", "2ND LINE", "SIZE"], ["1", "TB1", "", "S"], ["2", "NORTH X", "FUSE BOX", ""], ["3", "LONGNAME", "", ""], ["4", "CT-A", "", ""]]
     got = {r.component_id: r.component_type for r in bom.nameplates(bom_cells(spark, [("LT1 NAMEPLATE", table)])).collect()}
