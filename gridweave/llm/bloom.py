@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
 from .textbytes import as_array, digests, joined, mix
 
 BITS = 512
+WORDS = BITS // 64
 PROBES = 6
-#: Bits at most, 32 MB. With more keys the filter lets more through; the exact join that follows stays right.
+#: Bits at most, 32 MB: what is sent to all tasks doesn't grow further. With more keys the filter
+#: lets more through; the exact join that follows stays right.
 MOST_BITS = 1 << 28
 
 
@@ -30,42 +33,36 @@ class BlockedBloom:
     """A filter in the driver's memory, of at most ``MOST_BITS``; sent to tasks as a broadcast."""
 
     def __init__(self, spark, words: np.ndarray):
-        self.blocks = len(words) * 64 // BITS
+        self.blocks = len(words) // WORDS
         self.sent = spark.sparkContext.broadcast(words.tobytes())
 
     @classmethod
     def of(cls, keys: DataFrame, column: str, bits_per_key: int = 12, most_bits: int = MOST_BITS) -> BlockedBloom:
-        """The filter of a table's keys. Nulls are left out. Tasks make part filters by range of blocks, which are or-ed by range."""
-        keys = keys.select(F.col(column).alias("k")).filter("k is not null")
-        n = keys.count()
-        blocks = int(min(most_bits, max(BITS, n * bits_per_key)) // BITS) + 1
-        per = 4096
+        """The filter of a table's keys. Nulls are left out.
+
+        The keys are written first, so that they are computed once.  Tasks make the blocks
+        of their own keys; equal blocks are or-ed by Spark, before and after the shuffle.
+        """
+        keys = written(keys.select(F.col(column).alias("k")).filter("k is not null"), "keys")
+        blocks = int(min(most_bits, max(BITS, keys.count() * bits_per_key)) // BITS) + 1
 
         def part(batches):
-            set_ = np.zeros(blocks * BITS // 64, np.uint64)
             for batch in batches:
                 block, bits = _spots(batch.column(0), blocks)
+                names, at = np.unique(block, return_inverse=True)
+                set_ = np.zeros((len(names), WORDS), np.uint64)
                 for b in bits:
-                    np.bitwise_or.at(set_, block * (BITS // 64) + (b >> 6), np.uint64(1) << (b & 63).astype(np.uint64))
-            step = per * BITS // 64
-            for i in range(0, len(set_), step):
-                if set_[i : i + step].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i // step]), pa.array([set_[i : i + step].tobytes()], pa.binary())], names=["at", "bits"])
-
-        def merge(key, table):
-            total = None
-            for x in as_array(table.column("bits")):
-                words = np.frombuffer(x.as_buffer(), np.uint64)
-                total = words.copy() if total is None else total | words
-            return pa.table({"at": [key[0].as_py()], "bits": pa.array([total.tobytes()], pa.binary())})
-
-        # 12 bits a key: about 700,000 keys a MB; few tasks, so that few part filters meet
-        few = keys.coalesce(max(1, min(keys.rdd.getNumPartitions(), 1 + n // 2_000_000)))
-        words = np.zeros(blocks * BITS // 64, np.uint64)
-        for at, bits in few.mapInArrow(part, "at bigint, bits binary").groupBy("at").applyInArrow(merge, "at bigint, bits binary").collect():
-            x = np.frombuffer(bytes(bits), np.uint64)
-            words[at * per * BITS // 64 :][: len(x)] |= x
-        return cls(keys.sparkSession, words)
+                    np.bitwise_or.at(set_, (at, b >> 6), np.uint64(1) << (b & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(set_[:, i].view(np.int64)) for i in range(WORDS))], names=["block", *columns])
+
+        columns = [f"w{i}" for i in range(WORDS)]
+        made = keys.mapInArrow(part, "block bigint, " + ", ".join(f"{c} bigint" for c in columns))
+        rows = made.groupBy("block").agg(*[F.bit_or(c).alias(c) for c in columns]).toArrow()
+        words = np.zeros((blocks, WORDS), np.uint64)
+        at = rows.column("block").to_numpy()
+        for i, c in enumerate(columns):
+            words[at, i] = rows.column(c).to_numpy().view(np.uint64)
+        return cls(keys.sparkSession, words.ravel())
 
     def flags(self, keys) -> np.ndarray:
         """Which keys may be in; null: not."""
@@ -74,7 +71,7 @@ class BlockedBloom:
         block, bits = _spots(keys, self.blocks)
         out = keys.is_valid().to_numpy(zero_copy_only=False).copy()
         for b in bits:
-            out &= (words[block * (BITS // 64) + (b >> 6)] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out &= (words[block * WORDS + (b >> 6)] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out
 
     def flagged(self, df: DataFrame, column: str, name: str) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Unset: one of our own in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,7 +41,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, most_mb: int = 8) -> None:
-    """Arrow batches of ``most_mb`` at most, so that a task holds little text at a time; a smaller setting stays."""
+    """Arrow batches of ``most_mb`` at most, so that a task holds little text at a time; a smaller setting stays.
+
+    The setting is the session's, because rows are only computed later; README says so.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     have = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key, "64m").strip().lower())
     size = int(have[1]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(have[2], 1) if have else 0
@@ -52,14 +57,26 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def held_out(column: str, n: int, rest: int):
+    """Whether the id belongs to the held-out rows; a null id does."""
+    return F.coalesce(crc_mod(column, n) == rest, F.lit(True))
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A narrow table that goes to all tasks if a count shows that it is small; otherwise it is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) links of longs to (node, root): each node's smallest reachable node.
 
     Large-star and small-star rounds: every round hangs neighbours on the smallest node
     near them, so chains shorten by halves.  Each round is one grouping per star and is
     written to the shared folder; links never reach the driver, only their count and a
-    checksum do.  Nodes without links don't appear.  Hot nodes: the stars use min() and a
-    join, so no neighbour list is gathered.
+    checksum do.  Nodes without links don't appear.  Hot nodes: min() is summed up before the
+    shuffle; in the joins one side has a row for each node, so that adaptive execution cuts a
+    hub's links into several tasks.  Chains shorten by halves, so ``most_rounds`` is beyond any
+    number of links that could be stored.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
