@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 
 def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The ``most`` ids, at most, with the smallest hashes: the same ones in every run."""
+    """The ``most`` ids, at most, with the smallest hashes: the same ones in every run.
+
+    An id's repeated rows are one after the map-side part of distinct().
+    """
     ids = rows.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
     return ids.orderBy(F.xxhash64("id"), "id").limit(most)
 
@@ -43,7 +46,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
     weight = np.ones(len(x)) if weight is None else weight
     w, adam, total = np.zeros(x1.shape[1]), Adam(x1.shape[1], rate), max(weight.sum(), 1e-9)
     for _ in range(rounds):
-        g = x1.T @ ((sigmoid(x1 @ w) - y) * weight) / total
+        # products in the matrix's own precision: no wider copy of it is made
+        slope = (sigmoid(x1 @ w.astype(x1.dtype)) - y) * weight / total
+        g = (slope.astype(x1.dtype) @ x1).astype(float)
         g[:-1] += l2 * w[:-1]
         w = adam.step(w, g)
     return w

@@ -1,13 +1,15 @@
 """Quality scores by co-training two views of a document.
 
-The text view sees characters and words; the metadata view sees language, source, length
-and page layout (lines).  Each view fits a logistic model on the labelled documents; in each
-round it hands its most confident unlabelled documents, with its labels, to the other view.
-Both are then calibrated on a fold of labels that neither has seen, and one logistic model
-over the two calibrated views gives the score; a view that tells little gets little weight.
-
-Fitted on bounded samples (``most_labelled``, ``most_unlabelled``), applied to every whole
-text where it lies: scoring shuffles nothing.
+The text view sees characters and words; the metadata view sees language, source and length
+as the table states them, and nothing of the text.  Each view fits a logistic model on the
+labelled documents; in each round both judge all unlabelled documents of the fold, and each
+hands some of those of which it is sure, with its labels, to the other view.  Both are
+calibrated on a fold of labels that neither has seen, and one logistic model over the two
+calibrated views gives the score; a view that tells little gets little weight.
+
+Labelled and pseudo-labelled rows to fit on are bounded (``most_labelled``,
+``most_exchanged``); a round reads every unlabelled text where it lies, and so does scoring,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import logistic, margins, sample_ids, sigmoid, with_texts
-from .shared import crc_mod, small_batches
+from .linear import logistic, margins, sigmoid, with_texts
+from .shared import dropped, held_out, small_batches, written
 from .textbytes import NOT_SPACE, Words, as_array, joined, release, slices
 
-HASHED = 256
+HASHED = 512
 SLICE_BYTES = 1 << 20
-LANGS, SOURCES = 16, 32
+LANGS, SOURCES, LENGTHS = 16, 128, 40
 
 _UPPER, _LOWER, _DIGIT, _PUNCT = (np.zeros(256, bool) for _ in range(4))
 _UPPER[0x41:0x5B] = _LOWER[0x61:0x7B] = _DIGIT[0x30:0x3A] = True
@@ -65,86 +67,52 @@ def text_view(texts) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 13 + HASHED), np.float32)
 
 
-def metadata_view(texts, lang, source) -> np.ndarray:
-    """Language, source, length and the layout of lines, by document. Nulls have a slot of their own."""
-    out = []
-    for begin, end in slices(texts, SLICE_BYTES):
-        part = texts.slice(begin, end - begin)
-        raw, at = joined(part, "\n")
-        n_chars = np.diff(at) - 1
-        breaks = np.flatnonzero(raw == 0x0A)
-        first = np.searchsorted(breaks, at)
-        lines = np.diff(first)
-        starts = np.concatenate([[0], breaks[:-1] + 1]) if len(breaks) else breaks
-        size = breaks - starts
-        doc = np.repeat(np.arange(end - begin), lines)
-        longest = np.maximum.reduceat(size, first[:-1])
-        empty = np.bincount(doc, size == 0, end - begin) / lines
-        short = np.bincount(doc, size < 30, end - begin) / lines
-        stops = np.bincount(doc, (size > 0) & (raw[np.maximum(breaks - 1, 0)] == 0x2E), end - begin) / lines
-        dense = np.stack([np.log1p(n_chars) / 5, np.log1p(lines) / 3, np.log1p(longest) / 5, np.log1p(n_chars / lines) / 5, empty, short, stops], axis=1)
-        out.append(dense * 2)
-    dense = np.concatenate(out) if out else np.zeros((0, 7))
-    hot = np.zeros((len(texts), LANGS + SOURCES))
+def metadata_view(lang, source, n_chars) -> np.ndarray:
+    """Language, source and length as the page's metadata give them, by document. Nulls have a slot of their own."""
+    n = len(lang)
+    hot = np.zeros((n, LANGS + SOURCES + LENGTHS), np.float32)
     for column, at, width in ((lang, 0, LANGS), (source, LANGS, SOURCES)):
         for i, x in enumerate(column.to_pylist()):
             hot[i, at + (0 if x is None else 1 + zlib.crc32(x.encode()) % (width - 1))] = 1
-    return np.hstack([dense, hot]).astype(np.float32)
-
-
-def view_weights(views: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray], rounds: int, share: float, least: float) -> list[np.ndarray]:
-    """Weights of each view after the exchange of pseudo-labels."""
-    extra: list[dict[int, int]] = [{} for _ in views]
-    w: list[np.ndarray] = []
-    for r in range(rounds + 1):
-        w = []
-        for v, x in enumerate(views):
-            ids = np.fromiter(extra[v], int)
-            xs = np.concatenate([x, unlabelled[v][ids]]) if len(ids) else x
-            ys = np.concatenate([y, [extra[v][i] for i in ids]]) if len(ids) else y
-            # classes weigh the same
-            weight = np.where(ys == 1, 0.5 / max((ys == 1).mean(), 1e-9), 0.5 / max((ys == 0).mean(), 1e-9))
-            weight[len(y) :] *= 0.5
-            w.append(logistic(xs, ys, weight))
-        if r == rounds:
-            break
-        for v, x in enumerate(unlabelled):
-            other = 1 - v
-            p = sigmoid(margins(x, w[v]))
-            most = max(1, int(share * len(p)))
-            for label, q in ((1, p), (0, 1 - p)):
-                best = np.argsort(-q, kind="stable")[:most]
-                for i in best[q[best] >= least].tolist():
-                    extra[other].setdefault(i, label)
-    return w
+    for i, x in enumerate(n_chars.to_pylist()):
+        hot[i, LANGS + SOURCES + (0 if x is None else min(LENGTHS - 1, 1 + max(int(x), 0).bit_length()))] = 1
+    return hot
+
+
+def view_weights(x: np.ndarray, y: np.ndarray, pseudo: np.ndarray) -> np.ndarray:
+    """Weights of one view from labels (1 good, 0 bad); both classes weigh the same, pseudo-labels half."""
+    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
+    return logistic(x, y, np.where(pseudo, weight / 2, weight), rounds=150, rate=0.1)
 
 
 class Model:
     def __init__(self, weights: list[np.ndarray], scale: list[np.ndarray], both: np.ndarray):
         self.weights, self.scale, self.both = weights, scale, both
 
-    def scores(self, texts, lang, source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, texts, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of the text view, of the metadata view, and of both."""
         if not self.weights:
             return tuple(np.ones(len(texts)) for _ in range(3))
         texts, parts = as_array(texts), []
         for begin, end in slices(texts, SLICE_BYTES):
             n = end - begin
-            views = [text_view(texts.slice(begin, n)), metadata_view(texts.slice(begin, n), lang.slice(begin, n), source.slice(begin, n))]
+            views = [text_view(texts.slice(begin, n)), metadata_view(lang.slice(begin, n), source.slice(begin, n), n_chars.slice(begin, n))]
             z = [margins(margins(x, w)[:, None], s) for x, w, s in zip(views, self.weights, self.scale, strict=True)]
             parts.append([sigmoid(z[0]), sigmoid(z[1]), sigmoid(margins(np.clip(np.stack(z, 1), -12, 12), self.both))])
         return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
 
 
-def cotrain(text_x, meta_x, y, text_u, meta_u, *, rounds: int = 3, share: float = 0.05, least: float = 0.9) -> Model:
-    """y: 1 for good documents. A fifth of the labelled rows calibrates; without both labels there is no model: every score is 1."""
-    fold = np.arange(len(y)) % 5 == 0
-    if min((y[~fold] == 1).sum(), (y[~fold] == 0).sum(), (y[fold] == 1).sum(), (y[fold] == 0).sum()) == 0:
-        return Model([], [], np.zeros(0))
-    w = view_weights([text_x[~fold], meta_x[~fold]], y[~fold], [text_u, meta_u], rounds, share, least)
-    scale = [logistic(margins(x[fold], k)[:, None], y[fold], l2=1e-2, rounds=500) for x, k in zip((text_x, meta_x), w, strict=True)]
-    z = np.stack([margins(margins(x[fold], k)[:, None], s) for x, k, s in zip((text_x, meta_x), w, scale, strict=True)], 1)
-    return Model(w, scale, logistic(np.clip(z, -12, 12), y[fold], l2=1e-3, rounds=500))
+def pseudo_labels(p: np.ndarray, least: float) -> np.ndarray:
+    """1 or 0 where a view is at least ``least`` sure, else -1."""
+    return np.where(p >= least, 1, np.where(1 - p >= least, 0, -1)).astype(np.int8)
+
+
+def calibrated(t: np.ndarray, m: np.ndarray, y: np.ndarray, w: list[np.ndarray]) -> Model:
+    """Both views calibrated, and combined, on labelled rows that neither was fitted on."""
+    z = [margins(x, k)[:, None] for x, k in zip((t, m), w, strict=True)]
+    scale = [logistic(x, y, l2=1e-2, rounds=500) for x in z]
+    both = np.stack([margins(x, s) for x, s in zip(z, scale, strict=True)], 1)
+    return Model(w, scale, logistic(np.clip(both, -12, 12), y, l2=1e-3, rounds=500))
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -156,38 +124,109 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.frombuffer(whole.buffers()[2], np.float32, int(at[-1] - at[0]) // 4, int(at[0])).reshape(n, -1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12000, most_unlabelled: int = 6000, held_mod: int = 4, held_rest: int = 2, **options) -> Model:
-    """Fit on rows whose crc32(doc_id) mod ``held_mod`` isn't ``held_rest``; null labels are not read."""
-    small_batches(docs.sparkSession)
-    fold = crc_mod("doc_id", held_mod) != held_rest
-    known = labels.filter(fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    named = known.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()
-    y = {r[0]: int(r[1] == 1) for r in named}
-    mixed = [r[0] for r in sample_ids(docs.filter(fold), most_unlabelled).collect() if r[0] not in y]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A row to learn from: both views, and for each of them the label it learns, or -1.
+ROWS = "doc_id {}, t binary, m binary"
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """The views of each row as packed floats."""
 
-    def make(batches):
+    def run(batches):
         for batch in batches:
-            t, m = text_view(batch.column(1)), metadata_view(*batch.columns[1:4])
+            release()
+            t, m = text_view(batch.column(1)), metadata_view(*batch.columns[2:5])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m))], names=["doc_id", "t", "m"])
 
+    return docs.select(*COLUMNS).mapInArrow(run, ROWS.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def _trained(rows: DataFrame) -> tuple[list[np.ndarray], Model]:
+    """Weights of both views from rows (doc_id, t, m, y_text, y_meta, pseudo), and the calibrated model. The rows are bounded: one task fits."""
+
     def train(table):
-        rows = table.sort_by("doc_id")
-        ids = rows.column("doc_id").to_pylist()
-        t, m = (_matrix(rows.column(k), len(ids)) for k in ("t", "m"))
-        has = np.array([i in y for i in ids], bool)
-        model = cotrain(t[has], m[has], np.array([y[i] for i in ids if i in y]), t[~has], m[~has], **options)
+        rows = table.sort_by([("pseudo", "ascending"), ("doc_id", "ascending")])
+        n = rows.num_rows
+        t, m = (_matrix(rows.column(k), n) for k in ("t", "m"))
+        y_t, y_m, pseudo = (rows.column(k).to_numpy() for k in ("y_text", "y_meta", "pseudo"))
+        # a fifth of the labelled rows calibrates
+        fold = ~pseudo & (np.arange(n) % 5 == 0)
+        fits = [~fold & (y >= 0) for y in (y_t, y_m)]
+        if any(len(np.unique(y[k])) < 2 for y, k in ((y_t, fits[0]), (y_m, fits[1]), (y_t, fold))):
+            return pa.table({"model": pa.array([pickle.dumps(([], [], np.zeros(0)))], pa.binary())})
+        w = [view_weights(x[k], y[k], pseudo[k]) for x, y, k in zip((t, m), (y_t, y_m), fits, strict=True)]
+        model = calibrated(t[fold], m[fold], y_t[fold], w)
         return pa.table({"model": pa.array([pickle.dumps((model.weights, model.scale, model.both))], pa.binary())})
 
-    rows = with_texts(docs, sorted([*y, *mixed]), ["text", "lang", "source"]).select("doc_id", "text", "lang", "source").mapInArrow(make, "doc_id bigint, t binary, m binary")
-    # the samples are bounded: one task fits the model
     made = rows.groupBy(F.lit(1).alias("all")).applyInArrow(train, "model binary").first()
-    return Model(*pickle.loads(bytes(made[0]))) if made else Model([], [], np.zeros(0))
+    model = Model(*pickle.loads(bytes(made[0]))) if made else Model([], [], np.zeros(0))
+    return model.weights, model
+
+
+def exchanged(docs: DataFrame, model: Model, *, least: float, most: int, seed: int) -> DataFrame:
+    """(doc_id, y_text, y_meta): pseudo-labels that each view hands to the other.
+
+    Every row of ``docs`` is judged by both views.  Of the documents of which a view is sure,
+    the ``most`` with the smallest hashes are handed on, for each view and label; a document
+    of which both views are sure, but of different labels, is handed to neither.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            release()
+            p = sent.value.scores(*batch.columns[1:5])[:2]
+            by_text, by_meta = (pseudo_labels(x, least) for x in p)
+            keep = ((by_text >= 0) | (by_meta >= 0)) & ~((by_text >= 0) & (by_meta >= 0) & (by_text != by_meta))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(by_meta, pa.int32()), pa.array(by_text, pa.int32())], names=["doc_id", "y_text", "y_meta"]).filter(pa.array(keep))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sure = written(docs.select(*COLUMNS).mapInArrow(run, f"doc_id {kind}, y_text int, y_meta int"), "sure")
+    parts = [sure.filter(F.col(c) == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id", *[F.when(F.lit(c == k), F.col(k)).otherwise(F.lit(-1)).alias(k) for k in ("y_text", "y_meta")]) for c in ("y_text", "y_meta") for label in (0, 1)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    # rows that repeat an id may differ: the label of most of them would not be defined, the greater one is
+    return out.groupBy("doc_id").agg(F.max("y_text").alias("y_text"), F.max("y_meta").alias("y_meta"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12000, most_exchanged: int = 1000, rounds: int = 3, least: float = 0.9, held_mod: int = 4, held_rest: int = 2) -> Model:
+    """Fit on rows whose crc32(doc_id) mod ``held_mod`` isn't ``held_rest``.
+
+    Labels: the ``most_labelled`` labelled ids with the smallest hashes; null labels are not
+    read, of an id's labels the smallest counts, of rows that repeat an id the smallest.
+    Unlabelled: all other rows of the fold, in each of the ``rounds``, of which at most
+    ``most_exchanged`` documents for each view and label change hands.  Null ids are held out.
+    Without both labels there is no model: every score is 1.
+    """
+    small_batches(docs.sparkSession)
+    mine = ~held_out("doc_id", held_mod, held_rest)
+    known = labels.filter(mine & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    named = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # bounded: at most most_labelled ids
+    y = docs.sparkSession.createDataFrame([(r[0], int(r[1] == 1)) for r in named], f"doc_id {kind}, y int")
+    texts = with_texts(docs, sorted(r[0] for r in named), COLUMNS[1:])
+    rows = _featured(texts).join(F.broadcast(y), "doc_id").select("doc_id", "t", "m", F.col("y").alias("y_text"), F.col("y").alias("y_meta"), F.lit(False).alias("pseudo"))
+    table = written(rows, "views")
+    tables = [table]
+    pool = docs.filter(mine).join(F.broadcast(y.select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    weights, model = _trained(table)
+    for r in range(rounds if weights else 0):
+        given = exchanged(pool, model, least=least, most=most_exchanged, seed=r).collect()
+        labels_ = docs.sparkSession.createDataFrame(given, f"doc_id {kind}, y_text int, y_meta int")
+        texts = with_texts(docs, sorted(g[0] for g in given), COLUMNS[1:])
+        more = _featured(texts).join(F.broadcast(labels_), "doc_id").select("doc_id", "t", "m", "y_text", "y_meta", F.lit(True).alias("pseudo"))
+        tables.append(written(more, "views"))
+        table = table.unionByName(tables[-1])
+        weights, model = _trained(table)
+    for t in tables:
+        dropped(t)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with text_score, metadata_score and quality_score, the probability of a good document.
 
-    Null text counts as empty; null lang and source as a value of their own.  Columns with
+    Null text counts as empty; null lang, source and n_chars as values of their own.  Columns with
     the added names are replaced; all others pass through.
     """
     added = ["text_score", "metadata_score", "quality_score"]
@@ -199,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             release()
             of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            three = sent.value.scores(of["text"], of["lang"], of["source"])
+            three = sent.value.scores(of["text"], of["lang"], of["source"], of["n_chars"])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in three)], names=[*batch.schema.names, *added])
 
     return docs.mapInArrow(run, docs.withColumns({a: F.lit(0.0) for a in added}).schema)
@@ -211,7 +250,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
 
 
 def op3_quality_cotraining(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text_score", "metadata_score", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text_score", "metadata_score", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
