@@ -7,54 +7,66 @@ row leaves its task, so nothing is shuffled and a document with thousands of cop
 what any other document costs.
 
 The test set is the only thing sent to all tasks.  Its size is checked: beyond
-``block_chars`` it is cut into blocks by a hash of the item, and the documents pass through
-one search a block, each adding to the columns that the previous one filled.
+``block_chars`` it is cut into blocks by a hash of the item.  One block at a time is
+collected and sent; the documents with what it added to their columns are written before
+the next, so that neither the driver nor a task holds more than one block.
+
+Words are compared by 64-bit digests.  A wrong hit needs ten equal digests in a row of words
+that aren't all equal: with d different words in a shard and the block, the chance that any
+two of them share a digest is at most d * d / 2**65.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 from .textbytes import ALNUM, Words, release, slices
 
 #: Bytes of text in a shard; its arrays take about 60 bytes a word.
 SHARD_BYTES = 2 << 20
 BLOCK_CHARS = 64_000_000
-_BITS = 21
+#: Bits of a rank where three words make a sort key, and where a very rich text leaves room for two.
+THREE, TWO = 21, 31
 
 MATCHES = "doc_id bigint, word_at bigint, n_words bigint, item_id string, item_word_at bigint"
 
 
-def suffix_array(rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their next ``depth`` words, and the sorted keys of the first three words.
+def packing(most: int) -> tuple[int, int]:
+    """(words in a sort key, bits of a word) for ranks up to ``most``."""
+    return (3, THREE) if most < 1 << THREE else (2, TWO)
+
+
+def suffix_array(rank: np.ndarray, depth: int, take: int = 3, bits: int = THREE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their next ``depth`` words, and the sorted keys of the first ``take`` words.
 
-    ``rank`` has a dense rank from 1 for each word, below 2**21, and 0 between documents.
-    The first sort takes three words at once; later ones double the depth, and only for
+    ``rank`` has a dense rank from 1 for each word, below 2**bits, and 0 between documents.
+    The first sort takes ``take`` words at once; later ones double the depth, and only for
     stretches that are still equal.
     """
     n = len(rank)
-    wide = np.concatenate([rank, np.zeros(2, np.int64)])
-    # a document's end hides what follows it
-    second = np.where(wide[:n] > 0, wide[1 : n + 1], 0)
-    third = np.where(second > 0, wide[2 : n + 2], 0)
-    key = (wide[:n] << (2 * _BITS)) | (second << _BITS) | third
+    wide = np.concatenate([rank, np.zeros(take - 1, np.int64)])
+    key = word = wide[:n]
+    for k in range(1, take):
+        # a document's end hides what follows it
+        word = np.where(word > 0, wide[k : n + k], 0)
+        key = (key << bits) | word
     order = np.argsort(key)
     keys = key[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     place = np.empty(n, np.int64)
     place[order] = np.repeat(first, np.diff(first, append=n))
     stops = np.flatnonzero(rank == 0)
-    h = 3
+    h = take
     while h < depth:
         size = np.diff(first, append=n)
-        open_ = (size > 1) & (keys[first] & ((1 << _BITS) - 1) > 0) if h == 3 else size > 1
+        open_ = (size > 1) & (keys[first] & ((1 << bits) - 1) > 0) if h == take else size > 1
         if not open_.any():
             break
         at = np.repeat(first[open_], size[open_]) + _within(size[open_])
@@ -103,7 +115,8 @@ class Probe:
 
 def _find(probe: Probe, rank: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each test suffix: the range of its window in the suffix array, the longest match and that range."""
-    order, keys = suffix_array(rank, max(3, probe.depth))
+    take, bits = packing(len(names))
+    order, keys = suffix_array(rank, max(take, probe.depth), take, bits)
     q = len(probe.digest)
     at = np.searchsorted(names, probe.digest)
     at[at == len(names)] = 0
@@ -118,10 +131,10 @@ def _find(probe: Probe, rank: np.ndarray, names: np.ndarray) -> tuple[np.ndarray
         live = live[(probe.room[live] > d) & (test[live + np.minimum(d, probe.room[live])] > 0)]
         if not len(live):
             break
-        if d < 3:
-            prefix[live] |= test[live + d] << ((2 - d) * _BITS)
+        if d < take:
+            prefix[live] |= test[live + d] << ((take - 1 - d) * bits)
             lo = np.searchsorted(keys, prefix[live], "left")
-            hi = np.searchsorted(keys, prefix[live] + (1 << ((2 - d) * _BITS)), "left")
+            hi = np.searchsorted(keys, prefix[live] + (1 << ((take - 1 - d) * bits)), "left")
         else:
             lo, hi = _narrow(order, rank, low[live], high[live], d, test[live + d])
         some = lo < hi
@@ -155,8 +168,6 @@ def _shard(texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, dense ranks with a 0 after each document, the ranks' digests, and each document's first place."""
     words = Words(texts, ALNUM)
     names, inverse = np.unique(words.digest, return_inverse=True)
-    if len(names) >= 1 << _BITS:
-        raise ValueError("a shard holds more than 2**21 - 1 distinct words")
     counts = words.counts()
     begin = words.at[:-1] + np.arange(len(counts))
     rank = np.zeros(len(words.digest) + len(counts), np.int64)
@@ -188,13 +199,13 @@ def _merged(starts: np.ndarray, sizes: np.ndarray) -> list[int]:
     return out
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[str, str]]]:
+def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The test items, at least one block of them, each of about ``block_chars`` at most; collected when asked for."""
     items = bench.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).filter("k is not null and t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    if chars <= block_chars:
-        return [[tuple(r) for r in items.collect()]]
-    n = 2 * math.ceil(chars / block_chars)
-    return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).collect()] for b in range(n)]
+    n = 1 if chars <= block_chars else 2 * math.ceil(chars / block_chars)
+    for b in range(n):
+        yield [tuple(r) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)).collect()]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -215,7 +226,12 @@ def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_c
     small_batches(spark)
     docs = docs.drop("n_words", "hit_spans", "n_hit", "items", "n_items", "contaminated")
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
+    sent = None
     for items in _blocks(bench, bench_id, bench_text, block_chars):
+        if sent is not None:
+            # what the last block added is written before this one is sent
+            out = written(out, "marked")
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches, sent=sent):
@@ -251,8 +267,11 @@ def longest_matches(docs: DataFrame, bench: DataFrame, *, least: int = 10, id_co
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
+    found = sent = None
     for items in _blocks(bench, bench_id, bench_text, block_chars):
+        if sent is not None:
+            found = written(found, "matches")
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches, sent=sent):

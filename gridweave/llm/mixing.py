@@ -6,8 +6,9 @@ tokens than its share (times the epochs allowed) passes the shortage to its sibl
 only what a whole family can't take is shared out one level up.  Each leaf then takes whole
 epochs, and of one more epoch, in seeded order, the longest prefix of documents that fits.
 
-The order of a leaf is never held in one task: documents fall into slots by the beginning
-of their seeded hash, slots are summed, and only the slot in which the budget ends is ordered.
+The order of a leaf is never held in one task: documents fall into 256 slots by the beginning
+of their seeded hash, and slots are summed; the slot in which the budget ends is cut into 256
+again, and only the one of those in which it ends is ordered.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small, written
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the slot: 4,096 slots a leaf.
-SLOT_DIGITS = 3
+#: Hexadecimal digits of a slot, and how often the slot with the end is cut.
+SLOT_DIGITS, CUTS = 2, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Weights by level and name; a node without one has weight 1.
@@ -90,27 +91,41 @@ def mixed(docs: DataFrame, *, weights: dict[str, dict[str, int]] = WEIGHTS, shar
     Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), source_domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    rows = rows.cache()  # the words are counted once; lost parts are counted again
+    rows = written(rows, "tokens")  # the words are counted once
     # leaves are few and small: written, so that each step's plan stays small on the driver
     leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = int(leaves.agg(F.sum("tokens")).first()[0] or 0)
     leaves = leaf_budgets(leaves, total * min(share[0], epochs * share[1]) // share[1], weights, epochs)
     leaves = leaves.withColumn("epoch", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0)).cast("int"))
-    leaves = leaves.withColumn("rest", F.col("alloc") - F.col("epoch") * F.col("tokens")).select(*LEVELS, "epoch", "rest")
+    leaves = leaves.withColumn("rest", F.col("alloc") - F.col("epoch") * F.col("tokens")).select(*LEVELS, "epoch", "rest", F.lit(0).cast("long").alias("from"))
     leaves = written(leaves, "budgets")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)"))))
-    rows = rows.join(leaves, list(LEVELS)).withColumn("key", key).withColumn("slot", F.substring("key", 1, SLOT_DIGITS))
-    slots = rows.groupBy(*LEVELS, "slot").agg(F.sum("n_tokens").alias("in_slot"))
-    order = W.partitionBy(*LEVELS).orderBy("slot")
-    slots = slots.withColumn("until", F.sum("in_slot").over(order)).select(*LEVELS, "slot", "until", (F.col("until") - F.col("in_slot")).alias("from"))
-    rows = rows.join(slots, [*LEVELS, "slot"])
-    # a slot lies within the prefix, beyond it, or across its end
-    clear = rows.filter("until <= rest or from > rest").withColumn("in_prefix", F.col("until") <= F.col("rest"))
-    across = rows.filter("not (until <= rest or from > rest)")
-    inside = W.partitionBy(*LEVELS, "slot").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    across = across.withColumn("in_prefix", F.col("from") + F.sum("n_tokens").over(inside) <= F.col("rest"))
-    out = clear.unionByName(across).withColumn("copies", F.col("epoch") + F.col("in_prefix").cast("int"))
-    return out.filter("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies", "in_prefix")
+    open_ = rows.join(small(leaves), list(LEVELS)).withColumn("key", key)
+    parts = []
+    for k in range(CUTS):
+        slot = F.substring("key", 1 + k * SLOT_DIGITS, SLOT_DIGITS)
+        open_ = open_.withColumn("slot", slot)
+        ends = _ends(open_)
+        # before the slot with the end, or with none: in the prefix; behind it: not
+        cut = open_.drop("from").join(small(ends), list(LEVELS), "left")
+        parts.append(cut.filter("end is null or slot <> end").withColumn("in_prefix", F.coalesce(F.col("slot") < F.col("end"), F.lit(True))))
+        open_ = cut.filter("slot = end").drop("end")
+    inside = W.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    parts.append(open_.withColumn("in_prefix", F.col("from") + F.sum("n_tokens").over(inside) <= F.col("rest")))
+    out = None
+    for p in parts:
+        p = p.withColumn("copies", F.col("epoch") + F.col("in_prefix").cast("int")).select("doc_id", *LEVELS, "n_tokens", "copies", "in_prefix")
+        out = p if out is None else out.unionByName(p)
+    return out.filter("copies > 0")
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """By leaf, the first slot that the rest of its budget doesn't cover, and the tokens before it; leaves without one are left out."""
+    slots = rows.groupBy(*LEVELS, "rest", "from", "slot").agg(F.sum("n_tokens").alias("n"))
+    # at most 256 rows a leaf
+    slots = slots.withColumn("until", F.col("from") + F.sum("n").over(W.partitionBy(*LEVELS).orderBy("slot")))
+    ends = slots.filter("until > rest").groupBy(*LEVELS).agg(F.min(F.struct("slot", (F.col("until") - F.col("n")).alias("from"))).alias("e"))
+    return written(ends.select(*LEVELS, F.col("e.slot").alias("end"), F.col("e.from").alias("from")), "ends")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from .bloom import BlockedBloom
 
 #: (verdict, host, path); of the rules that fit, the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Sites whose pages make the list of the registered query.
-LISTED_SITES = ("spam-farm.example.org", "adult-x.example.com", "adult-x.example.net")
+#: The list of the registered query: canonical URLs whose digest begins with this digit, and as many that no page has.
+LISTED, ABSENT = "7", "/taken-down"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,9 +31,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without www. or m., and the path without .html and closing slashes; queries and fragments don't count."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
+def canonical(url: Column, host: Column, path: Column) -> Column:
+    """Host without www. or m., the path without .html and closing slashes, and the query without utm_ parameters. Fragments don't count."""
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*[?]([^#]*)", 1), F.lit(""))
+    query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), "^&", "")
+    bare = F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
+    return F.when(query == "", bare).otherwise(F.concat(bare, F.lit("?"), query))
 
 
 def rule_column(rules, host: Column, path: Column) -> tuple[Column, Column]:
@@ -59,7 +62,7 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url
     url = F.col(url_col)
     out = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     rule, verdict = rule_column(rules, F.col("host"), F.col("path"))
-    out = out.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("_url", canonical(F.col("host"), F.col("path")))
+    out = out.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("_url", canonical(url, F.col("host"), F.col("path")))
     bloom = BlockedBloom.of(listed, "_url")
     maybe = bloom.flagged(out, "_url", "_maybe")
     clear = maybe.filter("verdict is not null or not _maybe").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
@@ -71,9 +74,9 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    host = host_of(F.col("url"))
-    site = F.regexp_replace(host, r"^(www|m|blog)\.", "")
-    listed = pages.filter(site.isin(*LISTED_SITES)).select(canonical(host, path_of(F.col("url"))))
+    mine = canonical(F.col("url"), host_of(F.col("url")), path_of(F.col("url")))
+    sample = pages.select(mine.alias("u")).filter(F.md5("u").startswith(LISTED)).distinct()
+    listed = sample.union(sample.select(F.concat("u", F.lit(ABSENT))))
     return judged(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -84,8 +87,8 @@ def _sql_rules() -> tuple[str, str]:
 
 
 OP6_SQL = f"""
-WITH h AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT *, {_sql_rules()[0]} AS rule, {_sql_rules()[1]} AS ruled, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html)?/*$', '') AS c FROM h),
-l AS (SELECT DISTINCT c FROM r WHERE regexp_replace(host, '^(www|m|blog)\\.', '') IN ({", ".join(f"'{x}'" for x in LISTED_SITES)}))
-SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN c IN (SELECT c FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM r
+WITH h AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(coalesce(regexp_extract(url, '^(?s:.*?)://[^?#]*[?]([^#]*)', 1), ''), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS query FROM h),
+r AS (SELECT *, {_sql_rules()[0]} AS rule, {_sql_rules()[1]} AS ruled, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html)?/*$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS c FROM q)
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN starts_with(md5(c), '{LISTED}') OR c IN (SELECT c || '{ABSENT}' FROM r WHERE starts_with(md5(c), '{LISTED}')) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """

@@ -1,8 +1,9 @@
 """WARC archives: one gzip member per record, written and read sequentially.
 
 Writing: each task puts its records into archives of about ``archive_bytes`` in a folder of
-the shared store, under names made of its partition number, so a task that is run again
-writes the same files.  A table of the archives is the commit: only what it lists is read.
+the shared store, under names made of its partition and of its attempt, so that no attempt
+touches another's files.  A table of the archives is the commit: only what it lists is read,
+and it lists one attempt of each partition; files of failed attempts stay unread.
 Reading: a task takes one archive at a time and decompresses it piece by piece; each gzip
 member is one record, its length is checked against Content-Length and its digests against
 the bytes.  Memory holds one piece and one record.
@@ -117,7 +118,7 @@ def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives of rows (page_id, url, html, payload_digest, refers_to); refers_to null: a response.
+    """Archives of rows (page_id, url, html, refers_to); refers_to null: a response.
 
     Returns the written table (archive, records, bytes) of the archives.
     """
@@ -132,29 +133,27 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"{base}/part-{task.partitionId():06d}-{made:05d}.warc.gz"
-                    # another attempt may be writing too: a name of its own until it is whole
-                    mine = f"{name}.{task.taskAttemptId()}"
-                    out, count, size, made = store.open_output_stream(mine, compression=None), 0, 0, made + 1
+                    # another attempt may write too, and cut its rows differently
+                    name = f"{base}/part-{task.partitionId():06d}-{made:05d}-{task.taskAttemptId()}.warc.gz"
+                    out, count, size, made = store.open_output_stream(name, compression=None), 0, 0, made + 1
                 payload = (row["html"] or "").encode()
                 rid = f"{_ID}{'' if row['page_id'] is None else row['page_id']}"
-                data = response_record(rid, row["url"], payload, row["payload_digest"]) if row["refers_to"] is None else revisit_record(rid, row["url"], len(payload), row["payload_digest"], f"{_ID}{row['refers_to']}")
+                digest = sha1_base32(payload)
+                data = response_record(rid, row["url"], payload, digest) if row["refers_to"] is None else revisit_record(rid, row["url"], len(payload), digest, f"{_ID}{row['refers_to']}")
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= archive_bytes:
                     out.close()
-                    store.move(mine, name)
                     done.append((name, count, size))
                     out = None
         if out is not None:
             out.close()
-            store.move(mine, name)
             done.append((name, count, size))
         scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
         prefix = scheme + urlsplit(folder).netloc if scheme not in ("", "file://") else scheme
         yield pa.RecordBatch.from_arrays([pa.array([prefix + d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "records", "bytes"])
 
-    return written(records.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "archive string, records bigint, bytes bigint"), "archives")
+    return written(records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records bigint, bytes bigint"), "archives")
 
 
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -195,28 +194,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
-def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` with payload_digest and refers_to: of equal payloads of ``least_bytes`` or more, the largest page_id is kept whole.
+def planned(pages: DataFrame, least_bytes: int = 0, popular: int = 1000) -> DataFrame:
+    """page_id, url, html and refers_to: of equal payloads of ``least_bytes`` or more, the largest page_id is kept whole.
 
     Null html: an empty payload.  Null page_id: its record has no number; it revisits
     others' payloads and is never referred to.  Rows that repeat the kept page_id are
-    responses as well: nothing could tell which one a revisit means.
-    """
-
-    def digest(batches):
-        for batch in batches:
-            html = batch.column(2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sha1_base32((t or "").encode()) for t in html.to_pylist()], pa.string())], names=[*batch.schema.names, "payload_digest"])
+    responses as well: nothing could tell which one a revisit means.  Other columns are not read.
 
+    Digests are compared without the payloads.  Of payloads that more than one page in
+    ``popular`` has (so fewer than ``popular`` of them) the decision goes to all tasks; all
+    others are decided by a join of narrow rows.  Payloads travel once, by page.
+    """
     small_batches(pages.sparkSession)
-    schema = "page_id bigint, url string, html string, payload_digest string"
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digest, schema)
-    low = made.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
-    # single payloads need no partner: only those of two pages or more are joined
-    shared = low.filter("copies > 1").drop("copies")
-    out = made.join(shared, "payload_digest", "left")
-    again = (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return out.withColumn("refers_to", F.when(again, F.col("kept"))).drop("kept")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    large = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
+    ids = written(rows.filter(large).select("page_id", "digest"), "digests")
+    groups = ids.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).filter("copies > 1 and kept is not null")
+    groups = written(groups, "groups")
+    many = ids.count() // popular
+    hot = groups.filter(F.col("copies") > many).select("digest", F.col("kept").alias("hot"))
+    rare = groups.filter(F.col("copies") <= many).select("digest", "kept")
+    again = lambda kept: F.when(~F.col("page_id").eqNullSafe(F.col(kept)), F.col(kept))
+    decided = ids.join(F.broadcast(hot), "digest", "left_anti").join(rare, "digest").select("page_id", "digest", again("kept").alias("refers")).filter("refers is not null").distinct()
+    out = rows.join(F.broadcast(hot), "digest", "left").withColumn("hot", F.when(large, F.col("hot")))
+    # pages of popular payloads need no partner: a key that none has
+    own = F.when(F.col("hot").isNull() & large, F.struct(F.coalesce("page_id", F.lit(-1)).alias("p"), F.col("page_id").isNull().alias("z"), F.col("digest").alias("d"))).otherwise(F.struct(F.xxhash64("url", "page_id").alias("p"), F.lit(False).alias("z"), F.lit("").alias("d")))
+    theirs = F.struct(F.coalesce("page_id", F.lit(-1)).alias("p"), F.col("page_id").isNull().alias("z"), F.col("digest").alias("d"))
+    out = out.withColumn("_k", own).join(decided.select(theirs.alias("_k"), "refers"), "_k", "left")
+    return out.select("page_id", "url", "html", F.coalesce(again("hot"), F.col("refers")).alias("refers_to"))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

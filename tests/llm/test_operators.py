@@ -273,11 +273,12 @@ def test_bitmaps_bound_the_difference():
 
 
 def test_urls(spark):
-    rows = [(1, "https://WWW.Spam.example.net/a/1.html?x#y"), (2, "http://spam.example.net/a/1/"), (3, "http://a.example.org/es/x"), (4, "http://b.example.org/en/17"), (5, "http://c.org"), (6, "http://xexample.org/es/"), (7, None), (8, "nothing"), (9, "ftp://ok.example.net?://u"), (9, "ftp://ok.example.net?://u"), (10, "x://d.com/de/1")]
+    rows = [(1, "https://WWW.Spam.example.net/a/1.html?utm_source=x#y"), (2, "http://spam.example.net/a/1/"), (3, "http://a.example.org/es/x"), (4, "http://b.example.org/en/17"), (5, "http://c.org"), (6, "http://xexample.org/es/"), (7, None), (8, "nothing"), (9, "ftp://ok.example.net?://u"), (9, "ftp://ok.example.net?://u"), (10, "x://d.com/de/1"), (11, "http://spam.example.net/a/1?id=1"), (12, "http://m.spam.example.net/a?utm_a=1&id=2&utm_b=3")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("old"))
-    listed = spark.createDataFrame([("spam.example.net/a/1",), (None,), ("spam.example.net/a/1",)], "u string")
+    listed = spark.createDataFrame([("spam.example.net/a/1",), (None,), ("spam.example.net/a/1",), ("spam.example.net/a?id=2",)], "u string")
     got = {r.page_id: r for r in url_filter.judged(pages, listed).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.spam.example.net", "/a/1.html", None, "block")
+    assert got[11].verdict == "allow" and got[12].verdict == "block"
     assert got[2].verdict == "block" and (got[3].rule, got[3].verdict) == ("example.org/es/", "block")
     assert (got[4].rule, got[4].verdict) == ("example.org/en/1", "block")
     assert (got[5].rule, got[5].host, got[5].path) == (None, "c.org", "") and got[6].rule == "org/"
