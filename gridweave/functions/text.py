@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,14 +81,35 @@ def _hit(prio: int, p: P.Pattern):
 
 
 def found_components(text: Column, source: str = "p") -> Column:
-    """Array of (prio, at, component_id, component_type) of every catalogue hit in a text unit."""
+    """Array of (prio, at, component_id, component_type) of every catalogue hit in a text unit.
+
+    One test with all patterns at once spares most texts the catalogue, and in the others
+    each pattern is tried only behind a plain test for a part that all its hits have.
+    """
+    own = [(prio, p) for prio, p in enumerate(P.CATALOGUE, 1) if source in p.sources]
+    none = F.array().cast("array<struct<prio:int,at:int,component_id:string,component_type:string>>")
     hits = []
-    for prio, p in enumerate(P.CATALOGUE, 1):
-        if source not in p.sources:
-            continue
-        hits.append(F.transform(all_of(text, p.regex), _hit(prio, p)))
-    every = F.flatten(F.array(*hits))
-    return F.when(text.rlike(_any(p.regex for p in P.CATALOGUE if source in p.sources)), every).otherwise(F.filter(every, lambda x: F.lit(False)))
+    for prio, p in own:
+        hit = F.transform(all_of(text, p.regex), _hit(prio, p))
+        part = literal_part(p.regex)
+        hits.append(F.when(F.contains(text, F.lit(part)), hit).otherwise(none) if part else hit)
+    return F.when(text.rlike(_any(p.regex for _, p in own)), F.flatten(F.array(*hits))).otherwise(none)
+
+
+def literal_part(regex: str) -> str:
+    """Characters that every hit of a pattern begins with, if they can be read off its text; else empty."""
+    body = re.sub(r"^(?:\\b|\(\?:|\()*", "", regex)
+    plain = re.match(r"[A-Z0-9-]*", body)[0]
+    rest = body[len(plain) :]
+    # a character that may be left out, or one branch of several, isn't in every hit
+    if re.match(r"[?*{]", rest):
+        plain = plain[:-1]
+    depth = 0
+    for ch in re.sub(r"\[[^\]]*\]|\\.", "", body):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth <= 0:
+            return ""
+    return "" if regex.startswith(r"\b((?:") or "(?i)" in regex else plain
 
 
 def extract_components(units: DataFrame, source: str = "p", text_col: str = "text", order_col: str = "page") -> DataFrame:
@@ -102,6 +124,16 @@ def extract_components(units: DataFrame, source: str = "p", text_col: str = "tex
     return hits.groupBy("drawing_id", F.col("h.component_id").alias("component_id")).agg(F.min_by("h.component_type", order).alias("component_type"), F.min(order).alias("first_seen"))
 
 
+def in_table(components: DataFrame, table_rows: DataFrame) -> DataFrame:
+    """X11: ``components`` with in_table: whether a row of a table of the drawing names the component.
+
+    table_rows: drawing_id, page, table_no, row_no, row_text.  Ids in tables that are no
+    components of the drawing make none.
+    """
+    named = extract_components(table_rows, text_col="row_text").select("drawing_id", "component_id", F.lit(True).alias("in_table"))
+    return components.drop("in_table").join(named, ["drawing_id", "component_id"], "left").fillna(False, ["in_table"])
+
+
 def drop_noise(components: DataFrame) -> DataFrame:
     """Without ids that are blank, only digits, or shorter than two characters."""
     return components.filter((F.length(F.trim("component_id")) >= 2) & ~F.col("component_id").rlike("^[0-9]+$"))

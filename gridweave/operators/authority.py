@@ -11,17 +11,27 @@ RULES = "rule_pos int, parameter string, component_types array<string>, authorit
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, p, list(c), list(o), "") for k, (p, c, o) in enumerate(AUTHORITY_RULES)], RULES)
+    """The fixed rules. Made by an expression, so that the optimiser knows how small they are."""
+    text = lambda xs: F.array(*[F.lit(x) for x in xs])
+    rows = [F.struct(F.lit(k).alias("rule_pos"), F.lit(p).alias("parameter"), text(ts).alias("component_types"), text(o).alias("authority_order"), F.lit("").alias("description")) for k, (p, ts, o) in enumerate(AUTHORITY_RULES)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def rules_for(keys: DataFrame, rules: DataFrame) -> DataFrame:
-    """``keys`` (parameter, component_type) with authority_order: the first rule for the type, else the first for all.
+def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (with parameter, component_type) with authority_order: the first rule for the type, else the first for all, else null.
 
-    Keys without a rule don't come out.
+    Rules are cut down to one row a parameter and type, and joined straight; their keys are not looked for first.
     """
-    r = rules.select(F.col("parameter"), "rule_pos", "component_types", "authority_order", F.array_contains("component_types", "*").alias("wild"))
-    hit = keys.join(r, "parameter").filter(F.col("wild") | F.array_contains(F.col("component_types"), F.col("component_type")))
-    return hit.groupBy("parameter", "component_type").agg(F.min_by("authority_order", F.struct("wild", "rule_pos")).alias("authority_order"))
+    r = rules.withColumn("wild", F.array_contains("component_types", "*"))
+    own = r.filter("not wild").withColumn("component_type", F.explode("component_types")).groupBy("parameter", "component_type").agg(F.min_by("authority_order", "rule_pos").alias("_own"))
+    every = r.filter("wild").groupBy("parameter").agg(F.min_by("authority_order", "rule_pos").alias("_every"))
+    out = rows.join(own, ["parameter", "component_type"], "left").join(every, "parameter", "left")
+    return out.withColumn("authority_order", F.coalesce("_own", "_every")).drop("_own", "_every")
+
+
+def rules_for(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """``keys`` (parameter, component_type) with authority_order; keys without a rule don't come out."""
+    return ruled(keys, rules).filter("authority_order is not null").select("parameter", "component_type", "authority_order")
 
 
 def basis_text(parameter: Column, order: Column, drawing_type: Column) -> Column:
@@ -32,8 +42,7 @@ def basis_text(parameter: Column, order: Column, drawing_type: Column) -> Column
 
 def authority_basis(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` (parameter, component_type, drawing_type) with basis."""
-    keys = rows.select("parameter", "component_type").distinct()
-    ranked = rows.join(rules_for(keys, rules), ["parameter", "component_type"], "left")
+    ranked = ruled(rows, rules)
     return ranked.withColumn("basis", basis_text(F.col("parameter"), F.col("authority_order"), F.col("drawing_type"))).drop("authority_order")
 
 
@@ -43,7 +52,6 @@ def pick_authority(rows: DataFrame, rules: DataFrame, keys: list[str]) -> DataFr
     ``rows`` has ``keys``, parameter, component_type, drawing_id, drawing_type.  Groups
     without a ranked drawing don't come out.  Adds basis.
     """
-    kinds = rows.select("parameter", "component_type").distinct()
-    ranked = rows.join(rules_for(kinds, rules), ["parameter", "component_type"]).withColumn("rank", F.array_position("authority_order", F.col("drawing_type"))).filter("rank > 0")
+    ranked = ruled(rows, rules).withColumn("rank", F.array_position("authority_order", F.col("drawing_type"))).filter("rank > 0")
     best = ranked.groupBy(*keys).agg(F.min_by(F.struct("drawing_id", "drawing_type", "authority_order", F.col("parameter").alias("p")), F.struct("rank", "drawing_id")).alias("b"))
     return best.select(*keys, "b.drawing_id", "b.drawing_type", basis_text(F.col("b.p"), F.col("b.authority_order"), F.col("b.drawing_type")).alias("basis"))

@@ -92,11 +92,11 @@ def strategy() -> Column:
     )
 
 
-def _keyword(k: int) -> Column:
-    upper, out = F.upper("block_name"), F.lit(None).cast("string")
-    for row in reversed(P.BLOCK_WORDS):
-        out = F.when(F.contains(upper, F.lit(row[0])), row[k]).otherwise(out)
-    return out
+def _keyword() -> Column:
+    """The first block word that the name holds, with its type."""
+    upper = F.upper("block_name")
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("kind")) for w, t, *_ in P.BLOCK_WORDS])
+    return F.get(F.filter(words, lambda w: F.contains(upper, w["word"])), F.lit(0))
 
 
 def block_components(entities: DataFrame) -> DataFrame:
@@ -106,9 +106,10 @@ def block_components(entities: DataFrame) -> DataFrame:
     value of an attribute wins, a fuse's values are kept once, a device's as often as they come.
     """
     df = with_context(entities).withColumn("how", strategy())
+    df = df.withColumn("keyword", F.when(c("how") == "keyword", _keyword()))
     how = c("how")
     behind = lambda base: F.concat_ws("-", base, c("device"))
-    ground = _keyword(0).isin("GROUND", "GND")
+    ground = c("keyword.word").isin("GROUND", "GND")
     strip, term = attribute("TAGSTRIP"), F.coalesce(attribute("TERM#"), attribute("TERM"))
     terminal = F.when((F.coalesce(strip, F.lit("")) != "") & (F.coalesce(term, F.lit("")) != ""), F.concat(strip, F.lit("-"), term)).when(F.coalesce(attribute("TERM_DESC"), F.lit("")) != "", F.concat(F.lit("TERM-"), attribute("TERM_DESC"))).otherwise(F.concat(F.lit("TERM-"), c("block_name")))
     tag = F.coalesce(F.nullif(F.coalesce(attribute("TAG"), attribute("NAME"), F.lit("")), F.lit("")), id_from_name(c("block_name")))
@@ -124,20 +125,21 @@ def block_components(entities: DataFrame) -> DataFrame:
     )
     df = df.filter(how.isin("device", "fuse", "output", "input", "power", "keyword", "terminal", "tag")).withColumn("component_id", F.explode(ids))
     own = type_from_id(c("component_id"))
-    kind = F.when(how == "device", F.when(own == "UNKNOWN", "RELAY").otherwise(own)).when(how == "fuse", "FU").when(how.isin("output", "input"), "RELAY").when(how == "power", "BAT").when(how == "keyword", _keyword(1)).when(how == "terminal", "TB").otherwise(own)
+    kind = F.when(how == "device", F.when(own == "UNKNOWN", "RELAY").otherwise(own)).when(how == "fuse", "FU").when(how.isin("output", "input"), "RELAY").when(how == "power", "BAT").when(how == "keyword", c("keyword.kind")).when(how == "terminal", "TB").otherwise(own)
     given = lambda name, tag: F.when(attribute(tag).isNotNull(), F.struct(F.lit(name).alias("parameter"), attribute(tag).alias("value")))
     values = F.when(how == "device", F.array_compact(F.array(given("relay_assignment", "RELAY"), given("location", "LOC"), given("mount_type", "MOUNT")))).when(how == "fuse", F.array_compact(F.array(given("fuse_rating", "FUSE_SIZE"), given("location", "LOC")))).otherwise(F.array().cast(_VALUE))
     terms = F.map_filter(filled(), lambda k, v: F.contains(k, F.lit("TERM")))
     attributes = F.when(how == "device", F.map_filter(filled(), lambda k, v: ~k.isin(*P.DEVICE_TAGS))).when(how == "fuse", F.map_filter(filled(), lambda k, v: k.isin("LEFT_TERM", "RIGHT_TERM", "TOP_TERM", "BOTTOM_TERM"))).when(how == "output", F.map_filter(filled(), lambda k, v: F.contains(k, F.lit("TERM")) | (k == "POLARITY"))).when(how == "input", F.map_filter(terms, lambda k, v: v != "##")).when(how == "power", terms).otherwise(filled())
     df = df.withColumns({"component_type": kind, "values": values, "attributes": attributes, "at": F.struct("layout", "seq")})
-    # keyword, terminal and tag blocks give attributes only where they come first
-    first = df.groupBy("drawing_id", "component_id").agg(F.min("at").alias("first"), F.min_by("component_type", "at").alias("component_type"))
-    rows = df.drop("component_type").join(first, ["drawing_id", "component_id"]).withColumn("attributes", F.when(how.isin("keyword", "terminal", "tag") & (c("at") != c("first")), F.create_map().cast("map<string,string>")).otherwise(c("attributes")))
-    listed = rows.select("drawing_id", "component_id", "at", "how", F.posexplode("values").alias("pos", "v")).groupBy("drawing_id", "component_id").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "how", "v"))).alias("vs"))
-    named = rows.select("drawing_id", "component_id", "at", F.explode("attributes").alias("k", "x")).groupBy("drawing_id", "component_id", "k").agg(F.max_by("x", "at").alias("x")).groupBy("drawing_id", "component_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("attributes"))
-    once = F.concat(F.transform(F.filter("vs", lambda r: r["how"] == "device"), lambda r: r["v"]), F.array_distinct(F.transform(F.filter("vs", lambda r: r["how"] != "device"), lambda r: r["v"])))
-    out = first.drop("first").join(listed, ["drawing_id", "component_id"], "left").join(named, ["drawing_id", "component_id"], "left")
-    return out.select("drawing_id", "component_id", "component_type", F.coalesce(once, F.array().cast(_VALUE)).alias("values"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"))
+    # one grouping; keyword, terminal and tag blocks give attributes only where they come first
+    rows = df.groupBy("drawing_id", "component_id").agg(F.min_by("component_type", "at").alias("component_type"), F.array_sort(F.collect_list(F.struct("at", "how", "values", F.map_entries("attributes").alias("entries")))).alias("rs"))
+    tell = F.filter("rs", lambda r, i: ~r["how"].isin("keyword", "terminal", "tag") | (i == 0))
+    none = F.create_map().cast("map<string,string>")
+    # the last value of an attribute stays
+    over = lambda m, n: F.map_concat(F.map_filter(m, lambda k, v: ~F.map_contains_key(n, k)), n)
+    attributes = F.aggregate(F.transform(tell, lambda r: F.map_from_entries(r["entries"])), none, lambda m, n: F.when(F.size(n) == 0, m).otherwise(over(m, n)))
+    of = lambda device: F.flatten(F.transform(F.filter("rs", lambda r: (r["how"] == "device") == F.lit(device)), lambda r: r["values"]))
+    return rows.select("drawing_id", "component_id", "component_type", F.concat(of(True), F.array_distinct(of(False))).alias("values"), attributes.alias("attributes"))
 
 
 def block_notes(entities: DataFrame) -> DataFrame:

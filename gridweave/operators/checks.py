@@ -8,11 +8,12 @@ sides where a key can be hot, and the choice of broadcast is left to the optimis
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import severity_of, stable_id
 from ..functions.patterns import DC_SUPPLIED, PROTECTIVE
-from .authority import basis_text, rules_for
+from .authority import basis_text, ruled
 
 MISMATCH = ("mismatch_id", "severity", "component_id", "parameter", "drawings_involved", "values_found", "message", "recommendation", "resolution_options")
 _OPTION = "array<struct<drawing_id:string,value:string,drawing_type:string,is_authoritative:boolean>>"
@@ -60,16 +61,18 @@ def _last(components: DataFrame, values: Column) -> DataFrame:
 def _conflicts(last: DataFrame, components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
     """Parameters of components with two values or more: by (drawing to value), options, auth, auth_type, basis.
 
-    One grouping gathers what the mismatch row must show; the authoritative drawing is chosen
-    within the row, from the rule's order of drawing types.
+    Conflicting parameters are found first, so that only they gather what the mismatch row
+    must show; the authoritative drawing is chosen within the row, from the rule's order.
     """
     c = F.col
-    kinds = components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
-    typed = last.join(drawings.select("drawing_id", F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN")).alias("drawing_type")), "drawing_id", "left")
+    keys = ["component_id", "parameter"]
+    bad = last.groupBy(*keys).agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a <> b").select(*keys)
+    some = last.join(bad, keys, "left_semi")
+    typed = some.join(drawings.select("drawing_id", F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN")).alias("drawing_type")), "drawing_id", "left")
     entry = F.struct("drawing_id", "value", F.coalesce("drawing_type", F.lit("UNKNOWN")).alias("drawing_type"))
-    groups = typed.groupBy("component_id", "parameter").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.collect_list(entry).alias("held")).filter("a <> b")
-    groups = groups.select("component_id", "parameter", F.array_sort("held").alias("held")).join(kinds, "component_id")
-    ordered = groups.join(rules_for(groups.select("parameter", "component_type").distinct(), rules), ["parameter", "component_type"], "left")
+    groups = typed.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("held"))
+    kinds = components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
+    ordered = ruled(groups.join(kinds, "component_id"), rules)
     ranked = F.filter(F.transform("held", lambda h: F.struct(F.array_position("authority_order", h["drawing_type"]).alias("rank"), h["drawing_id"].alias("drawing_id"), h["drawing_type"].alias("drawing_type"))), lambda h: h["rank"] > 0)
     best = ordered.withColumn("best", F.array_min(F.when(c("authority_order").isNotNull(), ranked)))
     option = F.transform("held", lambda h: F.struct(h["drawing_id"].alias("drawing_id"), h["value"].alias("value"), h["drawing_type"].alias("drawing_type"), F.coalesce(h["drawing_id"] == c("best.drawing_id"), F.lit(False)).alias("is_authoritative")))
@@ -176,9 +179,11 @@ def trip_path(components: DataFrame, connections: DataFrame) -> DataFrame:
     open_ = relays.join(breakers, "suffix")
     open_ = open_.join(edges, (c("component_id") == c("a")) & (c("breaker") == c("b")), "left_anti")
     lockouts = kinds.filter("component_type = '86'").select(c("component_id").alias("lockout")).distinct()
-    first = edges.join(lockouts, c("b") == c("lockout")).select(c("a").alias("r"), "lockout")
-    over = first.join(edges.select(c("a").alias("lockout"), c("b").alias("brk")), "lockout").select("r", "brk").distinct()
-    open_ = open_.join(over, (c("component_id") == c("r")) & (c("breaker") == c("brk")), "left_anti")
+    # a row for each lockout of an open relay, never for each way through a lockout
+    first = edges.join(lockouts, c("b") == c("lockout"), "left_semi").select(c("a").alias("component_id"), c("b").alias("lockout"))
+    second = edges.join(lockouts, c("a") == c("lockout"), "left_semi").select(c("a").alias("lockout"), c("b").alias("breaker"))
+    over = open_.select("component_id", "breaker").join(first, "component_id").join(second, ["lockout", "breaker"], "left_semi").select("component_id", "breaker").distinct()
+    open_ = open_.join(over, ["component_id", "breaker"], "left_anti")
     ends = edges.filter("endswith(a, ' RELAY')").withColumn("r", F.expr("left(a, length(a) - 6)"))
     trips = ends.filter("b ilike '86%' or a ilike '86%'").select("r").distinct()
     open_ = open_.join(ends.select("r", c("b").alias("brk")), (c("component_id") == c("r")) & (c("breaker") == c("brk")), "left_anti").join(trips, c("component_id") == c("r"), "left_anti")
@@ -209,7 +214,9 @@ def ct_relay(components: DataFrame, connections: DataFrame) -> DataFrame:
     edges = connections.select(c("from_component").alias("a"), c("to_component").alias("b"), "drawing_id", "seq").union(connections.select("to_component", "from_component", "drawing_id", "seq").filter("from_component <> to_component"))
     fed = edges.join(relays, "b", "left_semi").select(c("a").alias("component_id")).distinct()
     df = cts.join(fed, "component_id", "left_anti")
-    near = edges.join(df.select(c("component_id").alias("a")), "a", "left_semi").groupBy(c("a").alias("component_id")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("drawing_id", "seq", "b"))), 1, 5), lambda x: x["b"]).alias("near"))
+    first = F.row_number().over(W.partitionBy("a").orderBy("drawing_id", "seq", "b"))
+    some = edges.join(df.select(c("component_id").alias("a")), "a", "left_semi").withColumn("n", first).filter("n <= 5")
+    near = some.groupBy(c("a").alias("component_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]).alias("near"))
     df = df.join(near, "component_id", "left").join(_listed(components, df), "component_id")
     found = F.create_map(c("component_id"), F.concat(F.lit("connections: "), F.coalesce(F.array_join("near", ", "), F.lit("none"))), F.lit("relay_connection"), F.lit("none found"))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "ct_relay_assoc"), severity=F.lit("INFO"), component_id=c("component_id"), parameter=F.lit("relay_association"), drawings_involved=c("drawings"), values_found=found, message=F.concat(c("component_id"), F.lit(" is connected to no protective relay.")), recommendation=F.concat(F.lit("Check the wiring of "), c("component_id"), F.lit(".")))
@@ -251,5 +258,5 @@ def all_checks(drawings: DataFrame, components: DataFrame, connections: DataFram
     for k, df in sorted(made.items(), key=lambda e: e[0]):
         df = df.withColumn("check_no", F.lit(k))
         out = df if out is None else out.unionByName(df)
-    # ids hold the check's name, so only one check can repeat one
-    return out.dropDuplicates(["mismatch_id"])
+    cols = [x for x in out.columns if x != "mismatch_id"]
+    return out.groupBy("mismatch_id").agg(F.max_by(F.struct(*cols), F.struct("check_no", "component_id", "parameter")).alias("r")).select("mismatch_id", "r.*").select(*out.columns)

@@ -1,16 +1,21 @@
 """A registry derived from the given tables, by SQL that Spark and DuckDB both run.
 
 Orders are drawings, parts are components, line items are their instances, values and
-connections.  Every table below grows with orders and lineitem.
+connections.  Every table below grows with orders and lineitem.  As a registry is filled once
+and then asked, the tables that most queries read are written to the shared folder at their
+first use and read from there after.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 _TYPES = ("ONE_LINE", "AC_SCHEMATIC", "DC_SCHEMATIC", "PANEL_WIRING", "CABLE_WIRING", "PANEL_LAYOUT", "SYSTEM_DIAGRAM", "RELAY_FUNCTIONAL", "LEGEND", "COMMUNICATION")
 _CODES = ("52", "50", "51", "87", "21", "CT", "86", "RTAC")
 
@@ -70,31 +75,27 @@ TABLES = {
 }
 
 
-def _needs(name: str, seen: list[str]) -> list[str]:
-    import re
+#: Written at their first use.
+STORED = ("line", "component", "connection")
+
 
+def _needs(name: str, seen: list[str], known: tuple[str, ...] = ()) -> list[str]:
     for other in TABLES:
-        if other != name and other not in seen and re.search(rf"\b(?:FROM|JOIN) {other}\b", TABLES[name]):
-            _needs(other, seen)
+        if other != name and other not in seen and other not in known and re.search(rf"\b(?:FROM|JOIN) {other}\b", TABLES[name]):
+            _needs(other, seen, known)
     if name not in seen:
         seen.append(name)
     return seen
 
 
-def with_tables(*names: str) -> str:
-    """WITH and the common table expressions that the named ones need, for DuckDB."""
+def with_tables(*names: str, known: tuple[str, ...] = ()) -> str:
+    """WITH and the common table expressions that the named ones need; ``known`` ones are there as views."""
     seen: list[str] = []
     for n in names:
-        _needs(n, seen)
+        _needs(n, seen, known)
     return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in seen)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in ("orders", "lineitem", "events"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"{with_tables(name)}\nSELECT * FROM {name}")
-
-
 class Registry:
     """The registry's tables, with nested columns, over one folder of given tables."""
 
@@ -102,13 +103,25 @@ class Registry:
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
+    def _derived(self, name: str) -> DataFrame:
+        for t in ("orders", "lineitem", "events"):
+            self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        known = tuple(n for n in STORED if n != name)
+        uses = [n for n in known if any(re.search(rf"\b(?:FROM|JOIN) {n}\b", TABLES[t]) for t in _needs(name, [], known))]
+        for n in uses:
+            self.raw(n).createOrReplaceTempView(n)
+        return self.spark.sql(f"{with_tables(name, known=known)}\nSELECT * FROM {name}")
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = table(self.spark, self.sf_dir, name)
+            self._made[name] = stored(lambda: self._derived(name), self.spark, self.sf_dir, name) if name in STORED else self._derived(name)
         return self._made[name]
 
     @cached_property
     def drawings(self) -> DataFrame:
+        return stored(self._drawings, self.spark, self.sf_dir, "drawings")
+
+    def _drawings(self) -> DataFrame:
         refs = self.raw("reference").groupBy("drawing_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda r: r["ref"]).alias("cross_references"))
         blocks = self.raw("terminal").select("drawing_id", F.create_map("block", F.transform(F.sequence(F.lit(1), F.col("terminals").cast("int")), lambda t: t.cast("string"))).alias("terminal_blocks"))
         specs = self.raw("schedule").select("drawing_id", F.array("spec").alias("cable_schedule"))
@@ -118,6 +131,9 @@ class Registry:
 
     @cached_property
     def components(self) -> DataFrame:
+        return stored(self._components, self.spark, self.sf_dir, "components")
+
+    def _components(self) -> DataFrame:
         value = F.struct("pos", F.struct("parameter", "value", "unit", F.lit(None).cast("double").alias("numeric_value")).alias("v"))
         rows = self.raw("line").groupBy("drawing_id", "component_id").agg(
             F.min_by("component_type", "pos").alias("component_type"),

@@ -1,12 +1,13 @@
-"""Registry tables as Parquet: versioned replacement, append-only logs, exports.
+"""Registry tables as Parquet: partitions replaced by key, append-only logs, exports.
 
-A table is a folder of versions.  A new version is written beside the old ones and counts
-once Spark has marked it whole, so readers never see half a table and a failed job leaves
-the old one in force.
+A table's rows lie in ``buckets`` partitions by a hash of their key.  An upsert reads and
+overwrites the partitions that its keys fall into (dynamic partition overwrite), so that a
+batch costs what it touches.  A run that is repeated writes the same rows again.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,40 +17,54 @@ from ..operators.changes import latest, replaced, snapshot, stored_mismatches
 c = F.col
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(at)]
-    done = [n for n in names if n.startswith("v=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done)
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a folder; None if nothing was written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 class Table:
-    """One versioned table."""
+    """One table with a key."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None, key: str = "drawing_id", buckets: int = 32):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+
+    def _stored(self) -> DataFrame | None:
+        return read_or_none(self.spark, self.path)
 
     def exists(self) -> bool:
-        return bool(_versions(self.spark, self.path))
+        return self._stored() is not None
 
     def read(self) -> DataFrame:
-        versions = _versions(self.spark, self.path)
-        if not versions:
-            if self.schema is None:
-                raise FileNotFoundError(self.path)
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
+        rows = self._stored()
+        if rows is not None:
+            return rows.drop("bucket")
+        if self.schema is None:
+            raise FileNotFoundError(self.path)
+        return self.spark.createDataFrame([], self.schema)
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def write(self, df: DataFrame) -> None:
-        versions = _versions(self.spark, self.path)
-        df.write.mode("overwrite").parquet(f"{self.path}/v={versions[-1] + 1 if versions else 1}")
+        """The rows of ``df`` replace those of all partitions that they fall into."""
+        rows = df.withColumn("bucket", self._bucket())
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
-    def replace(self, new: DataFrame, key: str = "drawing_id") -> None:
-        """K1: the rows of ``new``'s drawings are replaced, all others stay."""
-        self.write(replaced(self.read(), new, key) if self.exists() else new)
+    def touched(self, new: DataFrame) -> DataFrame:
+        """The stored rows in the partitions that the keys of ``new`` fall into."""
+        rows = self._stored()
+        # at most ``buckets`` numbers
+        hit = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]
+        return rows.filter(c("bucket").isin(hit)).drop("bucket")
+
+    def replace(self, new: DataFrame) -> None:
+        """K1: the rows with the keys of ``new`` are replaced, all others stay."""
+        self.write(replaced(self.touched(new), new, self.key) if self.exists() else new)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -57,8 +72,18 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Rows of a log that belong to a numbered batch: a batch that is run again replaces its own rows."""
+    df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def batch_rows(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    rows = read_or_none(spark, path)
+    return None if rows is None else rows.filter(c("batch") == batch).drop("batch")
+
+
 def store_mismatches(table: Table, found: DataFrame) -> None:
-    """K3."""
+    """K3. Every open mismatch may change its state, so all partitions are written; ``table`` has the key mismatch_id."""
     old = table.read() if table.exists() else stored_mismatches_empty(found)
     table.write(stored_mismatches(old, found))
 
@@ -69,8 +94,8 @@ def stored_mismatches_empty(found: DataFrame) -> DataFrame:
 
 
 def upsert_decisions(table: Table, new: DataFrame) -> None:
-    """K6: the latest row of each decision stays."""
-    rows = table.read().unionByName(new, allowMissingColumns=True) if table.exists() else new
+    """K6: the latest row of each decision stays; ``table`` has the key decision_id."""
+    rows = table.touched(new).unionByName(new, allowMissingColumns=True) if table.exists() else new
     table.write(latest(rows, "decision_id", "timestamp"))
 
 

@@ -182,7 +182,7 @@ def test_stored_tables(spark, make, lockout_case, rules, tmp_path):
     table.replace(components)
     table.replace(make([comp("n", "NRE-EC-301.1")], COMPONENTS))
     assert sorted(r.component_id for r in table.read().collect()) == ["86MS", "86MS", "n"]
-    stored = Table(spark, f"file://{tmp_path}/mismatches")
+    stored = Table(spark, f"file://{tmp_path}/mismatches", key="mismatch_id")
     store_mismatches(stored, checks.value_mismatch(components, drawings, rules))
     store_mismatches(stored, checks.voltage_mismatch(components, drawings, rules))
     assert {r.mismatch_id: r.resolved for r in stored.read().collect()} == {sha("86MS", "voltage_rating", "value_mismatch"): True, sha("86MS", "voltage", "voltage_mismatch"): False}
@@ -191,7 +191,7 @@ def test_stored_tables(spark, make, lockout_case, rules, tmp_path):
     append(components.select("component_id"), log)
     append(components.select("component_id"), log)
     assert spark.read.parquet(log).count() == 6
-    decisions = Table(spark, f"file://{tmp_path}/decisions")
+    decisions = Table(spark, f"file://{tmp_path}/decisions", key="decision_id")
     upsert_decisions(decisions, spark.createDataFrame([("d", 1, "a"), ("e", 1, "x")], "decision_id string, timestamp long, outcome string"))
     upsert_decisions(decisions, spark.createDataFrame([("d", 2, "b")], "decision_id string, timestamp long, outcome string"))
     assert sorted((r.decision_id, r.outcome) for r in decisions.read().collect()) == [("d", "b"), ("e", "x")]

@@ -258,3 +258,47 @@ def test_change_stream_runs_all_checks(spark, tmp_path):
     got = {r.drawing_id: (r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{tmp_path}/reg/events").collect()}
     # values, voltages and cables differ; A also refers to an unknown drawing
     assert got == {"A": (1, 4, 1), "B": (1, 3, 1)}
+
+
+def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
+    from gridweave.operators.authority import default_rules
+
+    root = f"file://{tmp_path}/reg"
+    drawings = spark.createDataFrame([("A", "", "h1"), ("B", "", "h2")], "drawing_id string, drawing_type string, file_hash string")
+    batch = lambda rows: spark.createDataFrame([(d, i, "52", [("ratio", v, "", None)], {}, []) for d, i, v in rows], watch.COMPONENTS)
+    watch.apply_batch(batch([("A", "52-1", "1"), ("A", "52-9", "1"), ("B", "52-1", "2")]), 0, root, drawings, None, default_rules(spark))
+    second = batch([("A", "52-1", "2"), ("A", "52-2", "7")])
+
+    def state():
+        log = sorted((r.batch, r.component_id, r.change_type) for r in spark.read.parquet(f"{root}/change_log").collect())
+        events = sorted((r.batch, r.drawing_id, r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{root}/events").collect())
+        kept = sorted((r.drawing_id, r.component_id) for r in spark.read.parquet(f"{root}/components").collect())
+        return log, events, kept, sorted((r.batch, r.drawing_id, sorted(r.components)) for r in spark.read.parquet(f"{root}/snapshots").collect())
+
+    for _ in range(2):
+        watch.apply_batch(second, 1, root, drawings, None, default_rules(spark))
+        log, seen, kept, snapshots = state()
+        assert log == [(1, "52-1", "VALUE_CHANGED"), (1, "52-2", "COMPONENT_ADDED"), (1, "52-9", "COMPONENT_REMOVED")]
+        assert seen == [(0, "A", 2, 1, 1), (0, "B", 1, 1, 1), (1, "A", 2, 0, 0)]
+        assert kept == [("A", "52-1"), ("A", "52-2"), ("B", "52-1")] and snapshots == [(1, "A", ["52-1", "52-9"])]
+
+
+def test_components_in_tables(spark):
+    from gridweave.functions.text import in_table
+
+    parts = spark.createDataFrame([("A", "52-L1"), ("A", "FU7"), ("B", "52-L1")], "drawing_id string, component_id string")
+    rows = spark.createDataFrame([("A", 1, 0, 0, "QTY 2 52-L1"), ("A", 1, 0, 1, "CT-9 spare"), ("B", 1, 0, 0, None)], "drawing_id string, page int, table_no int, row_no int, row_text string")
+    assert {(r.drawing_id, r.component_id): r.in_table for r in in_table(parts, rows).collect()} == {("A", "52-L1"): True, ("A", "FU7"): False, ("B", "52-L1"): False}
+    assert not any(r.in_table for r in in_table(parts, rows.limit(0)).collect())
+
+
+def test_plain_parts_are_in_every_hit():
+    import re
+
+    from gridweave.functions import patterns as P
+    from gridweave.functions.text import literal_part
+
+    seen = "52-A 50-L1 51-A 86MP 87-B SEL-451 GE L90 GE-D60 ABB-X BECKWITH M-2001 TESLA-3 CT-A.1 FU12A DC PANEL A1 PANEL 3 BREAKER 12 DPAC1 SEL-C662 OUT101 IN101 CIRCUIT 9 DFR2 52A PS12 AC PANEL AC1 PM68 C100 TB1 TS2 CISCO IE-4010 POWER STRIP EMS-RTAC BATTERY BANK #1 UPS-1 MCC SA-3 GEN-1"
+    for p in P.CATALOGUE:
+        for m in re.finditer(p.regex, seen, re.ASCII):
+            assert literal_part(p.regex) in m[0], p.regex
