@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join: ordered n-gram sets in prefix trees.
 
 1. Each document becomes the set of its distinct word n-grams, as 64-bit keys in one global
-   order: rare n-grams first (by digest), frequent ones last (by frequency).  An n-gram is
-   frequent if a slice of a task has it in more than a share ``common`` of its documents; by
-   the pigeonhole principle that covers every n-gram above that share overall, and at most
-   average-set-size / ``common`` n-grams can be above it, which bounds what is broadcast.
+   order: rare n-grams first (by digest), frequent ones last (by frequency).  Tasks count in
+   chunks of at least 10 / ``common`` documents (or ``CHUNK_BYTES`` of text) and report
+   n-grams in more than half that share of a chunk: one that is above the share ``common``
+   overall can't have more than half of it outside such chunks, so it is found; and at most
+   2 * average set size / ``common`` n-grams can be above half, which bounds what is
+   broadcast.  (Where chunks end by bytes, the share that is found is 2 documents of a chunk.)
 2. Documents with equal sets are one class; only classes go on.
 3. Two sets at the threshold share a key among the first n - ceil(t * n) + 1 of each.  Classes
    are grouped by such keys; keys with the same classes are one group.
@@ -17,13 +19,21 @@
    component are not compared again.
 6. Links of classes give components; every document takes its class's.
 
-Groups and clusters above ``block`` classes are split into blocks, and each pair of blocks
-is a task of its own, so that no task holds an unbounded group.
+A group or cluster above ``block`` classes first meets one of them, its hub: a row's work
+each, in any number of tasks.  Those that link with the hub are one component by that, so
+only the others are compared with all, in tasks of two blocks each.  A family of near copies
+costs what its members cost; what no hub ties together is the only part that grows with the
+product of the two.
+
+Keys and class names are 64-bit digests.  A wrong overlap needs a collision within the two
+sets that are compared (about n * m / 2**63 for sets of n and m); a wrong merge of classes a
+collision of names (about classes**2 / 2**65).
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +42,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
-from .shared import components, small_batches, written
+from .shared import components, small, small_batches, written
 from .textbytes import NOT_SPACE, Words, group_rows, release, runs, slices
 
 SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 32 << 20
 TOP = np.uint64(1 << 63)
 
 
@@ -55,21 +66,44 @@ def ngram_sets(texts, n: int):
 
 def frequent_ngrams(docs: DataFrame, text_col: str, n: int, common: float) -> np.ndarray:
     """Digests of the frequent n-grams, from the least to the most frequent."""
+    least = int(10 / common)
 
     def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = size = 0
+
+        def report():
+            grams, times = _added(held)
+            many = times > max(1 if rows * common < 4 else 0, common * rows / 2)
+            return pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many])], names=["gram", "n"])
+
         for batch in batches:
-            for begin, end in slices(batch.column(0), 8 * SLICE_BYTES):
-                grams, times = np.unique(np.concatenate(list(ngram_sets(batch.column(0).slice(begin, end - begin), n))), return_counts=True)
-                many = times > max(3, int(common * (end - begin)))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["gram", "n"])
-
-    seen = docs.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    least = max(3, int(common * docs.count()))
-    # above that share: at most the average set size over common
-    rows = seen.filter(F.col("n") > least).orderBy("n", "gram").select("gram").toArrow()
+            for begin, end in slices(batch.column(0), SLICE_BYTES):
+                part = batch.column(0).slice(begin, end - begin)
+                held.append(np.unique(np.concatenate(list(ngram_sets(part, n))), return_counts=True))
+                if len(held) >= 8:
+                    held = [_added(held)]
+                rows, size = rows + end - begin, size + part.nbytes
+                if rows >= least or size >= CHUNK_BYTES:
+                    yield report()
+                    held, rows, size = [], 0, 0
+        if rows:
+            yield report()
+
+    total = docs.count()
+    # chunks end with their task: few enough tasks, so that they are large enough
+    tasks = max(1, total // least)
+    seen = docs.select(text_col).coalesce(tasks).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = seen.filter(F.col("n") > max(3, int(common * total / 2))).orderBy("n", "gram").select("gram").toArrow()
     return rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
 
 
+def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    names, at = np.unique(keys, return_inverse=True)
+    return names, np.bincount(at, counts, len(names)).astype(np.int64)
+
+
 class Order:
     """Global order of n-grams: rare ones by digest, then frequent ones by frequency."""
 
@@ -203,69 +237,115 @@ class PrefixTree:
             stack.extend((child, overlap, at) for child in node.children.values())
 
 
-def _block_pairs(members: DataFrame, group: list[str], name: str, n_col: str, block: int) -> DataFrame:
-    """Adds i, j and side: every pair of a group's blocks is a task (i, j); one pair where the group is small.
+def _tasks(rows: DataFrame, block: int, similar) -> tuple[DataFrame, DataFrame]:
+    """Tasks (g, i, j) of rows (g, size, cls, n, data), and the links that hubs of large groups make.
+
+    A small group is one task.  Of a large one, all rows meet the hub; then blocks of those
+    that it doesn't tie (side 0) meet blocks of all rows (side 1).
+    """
+    few = rows.filter(F.col("size") <= block).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(False).alias("tied"), "cls", "n", "data")
+    large = rows.filter(F.col("size") > block)
+    hubs = large.groupBy("g").agg(F.min(F.struct("cls", "n", "data")).alias("h")).select("g", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.data").alias("hub_data"))
+
+    def star(batches):
+        for batch in batches:
+            of = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            tied = [a == h or similar(n, d.as_buffer(), m, e.as_buffer()) for a, n, d, h, m, e in zip(of["cls"].to_pylist(), of["n"].to_pylist(), of["data"], of["hub"].to_pylist(), of["hub_n"].to_pylist(), of["hub_data"], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(of[c] for c in ("g", "size", "cls", "n", "data", "hub")), pa.array(tied, pa.bool_())], names=["g", "size", "cls", "n", "data", "hub", "tied"])
+
+    met = large.join(small(hubs, 20_000), "g").select("g", "size", "cls", "n", "data", "hub", "hub_n", "hub_data")
+    met = written(met.mapInArrow(star, "g bigint, size bigint, cls bigint, n int, data binary, hub bigint, tied boolean"), "hubs")
+    links = met.filter("tied and cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    loose = met.filter("not tied").groupBy("g").agg(F.count("*").alias("u"))
+    open_ = met.join(small(loose), "g").withColumn("k", F.ceil(F.col("size") / block).cast("int")).withColumn("o", F.ceil(F.col("u") / block).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = open_.withColumn("i", upto("o")).withColumn("j", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("side", F.lit(1))
+    others = open_.filter("not tied").withColumn("j", upto("k")).withColumn("i", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("o")).cast("int")).withColumn("side", F.lit(0))
+    out = few
+    for part in (every, others):
+        out = out.unionByName(part.select("g", "i", "j", "side", "tied", "cls", "n", "data"))
+    return out.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"), links
+
+
+class Group:
+    """The rows of one task in the order of their sizes, and what is known to be one component."""
+
+    def __init__(self, table: pa.Table, make):
+        cols = (table.column(c).to_pylist() for c in ("n", "cls", "side", "tied"))
+        self.rows = sorted(((n, a, side, tied, make(d.as_buffer())) for n, a, side, tied, d in zip(*cols, table.column("data"), strict=True)), key=lambda r: r[:3])
+        self.union = Union()
+        self.paired = any(r[2] for r in self.rows)
+        tied = [r[1] for r in self.rows if r[3]]
+        for name in tied[1:]:
+            self.union.join(tied[0], name)
+        self.a: list[int] = []
+        self.b: list[int] = []
 
-    ``n_col``: the size of the group."""
-    k = F.ceil(F.col(n_col) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(name), F.col("k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    return members.withColumn("k", k).withColumn("own", own).withColumn("p", F.explode(pairs)).select(*members.columns, "own", "p.i", "p.j")
+    def found(self, a: int, b: int) -> None:
+        if self.union.join(a, b):
+            self.a.append(a)
+            self.b.append(b)
 
+    def links(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.a, pa.int64()), pa.array(self.b, pa.int64())], names=["a", "b"])
 
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+def _close(n: int, m: int, percent: int) -> bool:
+    return 100 * min(n, m) >= percent * max(n, m)
+
+
+def maps_allow(percent: int):
+    """Whether bitmaps leave two sets a chance to be similar."""
+
+    def similar(n: int, data, m: int, other) -> bool:
+        return _close(n, m, percent) and difference_at_least(int.from_bytes(data, "little"), 8 * len(data), int.from_bytes(other, "little"), 8 * len(other)) <= n + m - 2 * required(n, m, percent)
+
+    return similar
+
+
+def sets_similar(percent: int):
+    def similar(n: int, data, m: int, other) -> bool:
+        if not _close(n, m, percent):
+            return False
+        both = len(np.intersect1d(np.frombuffer(data, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True))
+        return 100 * both >= percent * (n + m - both)
+
+    return similar
 
 
 def _candidate_links(batches, percent: int):
     """Spanning links of the pairs of each group that their bitmaps don't rule out."""
-    a_out: list[int] = []
-    b_out: list[int] = []
     for table in group_rows(batches, ["g", "i", "j"]):
-        n = table.column("n").to_pylist()
-        names, bits, own = table.column("cls").to_pylist(), table.column("bits").to_pylist(), table.column("own").to_pylist()
-        rows = sorted(zip(n, names, (int.from_bytes(b, "little") for b in bits), (8 * len(b) for b in bits), own, strict=True), key=lambda r: r[:2])
-        split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        union = Union()
-        for x, (n_x, name_x, map_x, size_x, own_x) in enumerate(rows):
+        group = Group(table, lambda d: (int.from_bytes(d, "little"), 8 * len(d)))
+        left = [r for r in group.rows if not r[2]]
+        right = [r for r in group.rows if r[2]] if group.paired else left
+        sizes = [r[0] for r in right]
+        for x, (n_x, name_x, _, _, (map_x, size_x)) in enumerate(left):
             most = n_x * 100 // percent
-            for n_y, name_y, map_y, size_y, own_y in rows[x + 1 :]:
+            begin = bisect_left(sizes, -(-percent * n_x // 100)) if group.paired else x + 1
+            for n_y, name_y, _, _, (map_y, size_y) in right[begin:]:
                 if n_y > most:
                     break
-                if split and own_x == own_y or union.find(name_x) == union.find(name_y):
-                    continue
-                if difference_at_least(map_x, size_x, map_y, size_y) <= n_x + n_y - 2 * required(n_x, n_y, percent):
-                    union.join(name_x, name_y)
-                    a_out.append(name_x)
-                    b_out.append(name_y)
-        if len(a_out) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-            a_out, b_out = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                if group.union.find(name_x) != group.union.find(name_y) and difference_at_least(map_x, size_x, map_y, size_y) <= n_x + n_y - 2 * required(n_x, n_y, percent):
+                    group.found(name_x, name_y)
+        yield group.links()
 
 
 def _tree_links(batches, percent: int):
     """Spanning links of the similar pairs of each cluster."""
     for table in group_rows(batches, ["g", "i", "j"]):
-        a_out: list[int] = []
-        b_out: list[int] = []
-        rows = sorted(zip(table.column("cls").to_pylist(), table.column("own").to_pylist(), (np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")), strict=True), key=lambda r: (len(r[2]), r[0]))
-        split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        union = Union()
-
-        def found(a: int, b: int, union=union, a_out=a_out, b_out=b_out) -> None:
-            if union.join(a, b):
-                a_out.append(a)
-                b_out.append(b)
-
-        trees = {o: PrefixTree(percent) for _, o, _ in rows}
-        for name, own, keys in rows:
-            for o, tree in trees.items():
-                if o != own or not split:
-                    tree.search(name, keys, union, found)
-            trees[own].add(name, keys)
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        group = Group(table, lambda d: np.frombuffer(d, np.uint64))
+        tree = PrefixTree(percent)
+        if group.paired:
+            for _, name, side, _, keys in group.rows:
+                if side:
+                    tree.add(name, keys)
+        for _, name, side, _, keys in group.rows:
+            if not side:
+                tree.search(name, keys, group.union, group.found)
+                if not group.paired:
+                    tree.add(name, keys)
+        yield group.links()
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, common: float = 0.002, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,9 +361,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, common: f
     component has no other, its component_id is null.  Repeated rows come out as often as
     they go in.  Empty table: no rows.  Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent, common, block)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_ngrams"), F.when(F.col("keeper").isNotNull(), F.col("keeper.id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, n: int, percent: int, common: float, block: int) -> DataFrame:
+    """doc_id, h (a hash of the text), n, and keeper: the first (none, id, h) of the component; null for empty sets."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.withColumn("h", F.xxhash64("text"))
     frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, "text", n, common))
 
     def sets(batches, full: bool = False):
@@ -300,58 +386,81 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 85, common: f
                 else:
                     prefix.append(keys[: prefix_size(len(keys), percent)].view(np.int64) if len(keys) else None)
                     bits.append(bitmap(keys) if len(keys) else None)
-            cols = [batch.column(0), pa.array(size, pa.int32()), pa.array(name, pa.int64())]
+            cols = [batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(name, pa.int64())]
             if full:
-                yield pa.RecordBatch.from_arrays([*cols[2:], pa.array(prefix, pa.large_binary()).cast(pa.binary())], names=["cls", "keys"])
+                yield pa.RecordBatch.from_arrays([cols[3], pa.array(prefix, pa.large_binary()).cast(pa.binary())], names=["cls", "keys"])
             else:
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "h", "n", "cls", "prefix", "bits"])
 
-    made = written(docs.mapInArrow(sets, "doc_id bigint, n int, cls bigint, prefix array<bigint>, bits binary"), "sets")
-    members = made.select("doc_id", "n", "cls")
-    some = made.filter("n > 0")
-    # the class's row: that of its smallest id
-    first = some.groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    made = written(docs.select("doc_id", "text", "h").mapInArrow(sets, "doc_id bigint, h bigint, n int, cls bigint, prefix array<bigint>, bits binary"), "sets")
+    members = made.select("doc_id", "h", "n", "cls")
+    # the class's row: its first document, ids before nulls
+    low = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    first = made.filter("n > 0").groupBy("cls").agg(F.min(low).alias("low"), F.count("*").alias("docs"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = written(first, "classes")
 
     # one window finds keys of two classes or more, and names a key by the classes that have it
     posted = classes.select("cls", "n", F.explode("prefix").alias("key"))
     by_key = W.partitionBy("key")
-    shared = posted.withColumn("many", F.count("*").over(by_key)).filter("many > 1").withColumn("g", F.sum(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))).over(by_key))
+    shared = posted.withColumn("many", F.count("*").over(by_key)).filter("many > 1").withColumn("g", F.bit_xor(F.xxhash64("cls")).over(by_key))
     groups = shared.groupBy("g", "many", "cls").agg(F.min("n").alias("n"))
-    groups = written(groups, "groups").join(classes.select("cls", "bits"), "cls")
-    tasks = _spread(_block_pairs(groups, ["g"], "cls", "many", block), ["g", "i", "j"])
-    near = tasks.select("g", "i", "j", "own", "cls", "n", "bits").mapInArrow(lambda b: _candidate_links(b, percent), "a bigint, b bigint")
+    groups = written(groups, "groups").join(classes.select("cls", F.col("bits").alias("data")), "cls").withColumnRenamed("many", "size")
+    tasks, near = _tasks(groups, block, maps_allow(percent))
+    near = near.union(tasks.mapInArrow(lambda b: _candidate_links(b, percent), "a bigint, b bigint"))
     cluster = components(near)
 
     ids = cluster.join(classes.select(F.col("cls").alias("node"), "low"), "node")
-    bloom = BlockedBloom.of(ids.select(F.coalesce("low", F.lit(-1)).cast("string").alias("k")), "k")
-    inside = docs.filter("text is not null").withColumn("low", F.coalesce("doc_id", F.lit(-1)))
-    inside = bloom.possible(inside.withColumn("k", F.col("low").cast("string")), "k").select("doc_id", "text")
-    full = inside.mapInArrow(lambda b: sets(b, True), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("keys"))
+    key = lambda c: F.coalesce(c, F.lit(-1)).cast("string")
+    bloom = BlockedBloom.of(ids.select(key(F.col("low.id")).alias("k")), "k")
+    inside = bloom.possible(docs.filter("text is not null").withColumn("k", key(F.col("doc_id"))), "k").select("doc_id", "text", "h")
+    full = inside.mapInArrow(lambda b: sets(b, True), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("data"))
     size = cluster.groupBy("root").agg(F.count("*").alias("size"))
-    held = cluster.join(size, "root").select(F.col("node").alias("cls"), F.col("root").alias("g"), "size").join(full, "cls")
-    tasks = _spread(_block_pairs(held, ["g"], "cls", "size", block), ["g", "i", "j"])
-    links = tasks.select("g", "i", "j", "own", "cls", "keys").mapInArrow(lambda b: _tree_links(b, percent), "a bigint, b bigint")
+    held = cluster.join(size, "root").select(F.col("node").alias("cls"), F.col("root").alias("g"), "size").join(full, "cls").withColumn("n", (F.octet_length("data") / 8).cast("int"))
+    tasks, links = _tasks(held, block, sets_similar(percent))
+    links = links.union(tasks.mapInArrow(lambda b: _tree_links(b, percent), "a bigint, b bigint"))
     joined = components(links)
-    low = joined.join(classes.select(F.col("cls").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("low"))
-    reach = joined.join(low, "root").select(F.col("node").alias("cls"), F.col("low").alias("reached"))
-    known = classes.select("cls", "low").join(reach, "cls", "left").select("cls", F.coalesce("reached", "low").alias("component_id"), F.lit(True).alias("linked"))
-    out = members.withColumn("c", F.when(F.col("n") > 0, F.col("cls"))).join(known.withColumnRenamed("cls", "c"), "c", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_ngrams"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = joined.join(classes.select(F.col("cls").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("first"))
+    reach = joined.join(first, "root").select(F.col("node").alias("cls"), "first")
+    known = written(classes.select("cls", "low", "docs").join(reach, "cls", "left").select("cls", "docs", F.coalesce("first", "low").alias("keeper")), "known")
+    return _told(members, known, made.count())
 
 
-def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id, with their own columns.
+def _told(members: DataFrame, known: DataFrame, total: int, hot: int = 1000) -> DataFrame:
+    """``members`` with their class's keeper.
 
-    Rows without an id stay; rows that repeat an id stay or go together.  Only rows whose id
-    may be among the dropped ones are joined with those; the others don't move.
+    Classes that hold more than a ``hot``-th of all documents, fewer than ``hot`` of them, go
+    to all tasks; the others' documents are dealt out by class, and rows that need no class by themselves.
+    """
+    much = total // hot
+    top = known.filter(F.col("docs") > much).select(F.col("cls").alias("_c"), F.col("keeper").alias("_top"))
+    rest = known.filter(F.col("docs") <= much).select(F.col("cls").alias("_d"), F.col("keeper").alias("_rest"), F.lit(False).alias("_alone"))
+    rows = members.join(F.broadcast(top), (F.col("cls") == F.col("_c")) & (F.col("n") > 0), "left")
+    alone = F.col("_top").isNotNull() | (F.col("n") == 0)
+    rows = rows.withColumn("_alone", alone).withColumn("_d", F.when(alone, F.xxhash64("doc_id", "h")).otherwise(F.col("cls")))
+    return rows.join(rest, ["_d", "_alone"], "left").select("doc_id", "h", "n", F.coalesce("_top", "_rest").alias("keeper"))
+
+
+def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80, common: float = 0.002, block: int = 2048) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id, and all other rows, with their own columns.
+
+    Rows are told apart by id and text: of rows that repeat both one stays, a text that only
+    shares its id with a dropped one stays, and a group of null ids leaves one of them.
+    Documents without words stay.  Only rows that may be among the dropped or the repeated
+    ones are joined with those; the others don't move.
     """
-    gone = near_duplicates(docs, n=n, percent=percent, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "gone")
-    bloom = BlockedBloom.of(gone.select(F.col("_gone").cast("string").alias("k")), "k")
-    marked = bloom.flagged(docs.withColumn("_key", F.col("doc_id").cast("string")), "_key", "_maybe")
+    rows = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, common, block).filter("keeper is not null")
+    same = F.col("doc_id").eqNullSafe(F.col("keeper.id")) & (F.col("h") == F.col("keeper.h"))
+    # distinct ids and texts of dropped rows, and of kept ones that come more than once
+    marks = rows.groupBy("doc_id", "h").agg(F.max(~same).alias("gone"), F.count("*").alias("times")).filter("gone or times > 1")
+    key = lambda: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_h").cast("string"))
+    marks = written(marks.withColumnRenamed("h", "_h").select(key().alias("_k"), "gone"), "marks")
+    marked = docs.withColumn("_h", F.xxhash64("text")).withColumn("_key", key())
+    marked = BlockedBloom.of(marks, "_k").flagged(marked, "_key", "_maybe")
     apart = marked.filter("not _maybe").select(*docs.columns)
-    return apart.unionByName(marked.filter("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns))
+    some = marked.filter("_maybe").join(marks, F.col("_key") == F.col("_k"), "left")
+    clear = some.filter("gone is null").select(*docs.columns)
+    again = some.filter("not gone").dropDuplicates(["_key"]).select(*docs.columns)
+    return apart.unionByName(clear).unionByName(again)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
