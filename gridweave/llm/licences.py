@@ -5,16 +5,22 @@ than letters and digits become one space); runs of lines of one sentence are loo
 known licence sentences, so that they are found however their text is wrapped; the
 identifiers found, in the order of the text, are matched against ordered rules.  A rule
 takes the identifiers it matches, so that a shorter rule further down doesn't see them.
-All of it is one projection: nothing is shuffled.
+Sentences and rules come from whole licence texts (``from_texts``; a DataFrame of texts does
+as well) and from a table of single sentences.  All known sentences are one pattern, a tree
+of words, so that a place in a text is tried once, however many sentences there are.  All of
+it is one projection: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEXTS
+
 # Licence sentences as their licences word them, and their identifiers.
 SENTENCES = {
     "APACHE2_LICENSED": "Licensed under the Apache License, Version 2.0.",
@@ -101,11 +107,44 @@ def _pieces(text: str) -> list[str]:
     return [n for s in re.sub(ENDS, r"\1\n", text).split("\n") if (n := normalised(s))]
 
 
-def lookup(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
+def lookup(sentences: dict[str, str]) -> dict[str, str]:
     """Normalised sentence to identifier; of a text of several sentences, the longest stands for it."""
     return {max(_pieces(text), key=len): name for name, text in sentences.items()}
 
 
+#: A sentence of a licence text with fewer words is no sign of it.
+LEAST_WORDS = 5
+
+
+def from_texts(texts: dict[str, str], sentences: dict[str, str], rules) -> tuple[dict[str, str], tuple]:
+    """Normalised sentences by identifier, and rules, of whole licence texts, and of single sentences behind them.
+
+    A licence's rule is the order of its sentences; longer rules come first.  A sentence
+    that has a name in ``sentences`` keeps it; any other is named by its digest, so that
+    licences with a sentence in common share it.
+    """
+    known = lookup(sentences)
+    made = []
+    for name, text in texts.items():
+        pieces = [p for p in _pieces(text) if len(p.split()) >= LEAST_WORDS]
+        for p in pieces:
+            known.setdefault(p, "L" + hashlib.sha256(p.encode()).hexdigest()[:12])
+        made.append((name, tuple(known[p] for p in pieces)))
+    made.sort(key=lambda r: (-len(r[1]), r[0]))
+    return known, (*made, *rules)
+
+
+def texts_of(table: DataFrame, licence: str = "licence", text: str = "text", most: int = 5000) -> dict[str, str]:
+    """Licence texts from a table of at most ``most`` rows; a larger one isn't a table of licences."""
+    rows = table.select(licence, text).filter(F.col(licence).isNotNull() & F.col(text).isNotNull()).orderBy(licence, text).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} licence texts")
+    return {f"{r[0]}": r[1] for r in rows}
+
+
+KNOWN, ALL_RULES = from_texts(TEXTS, SENTENCES, RULES)
+
+
 #: A capital stands for what can't be in the lower text: S for the end of a sentence, M around a match.
 _BREAKS = r"([.!?])(?:[ \t]+|\r?\n)"
 
@@ -115,15 +154,33 @@ def _pattern(known) -> str:
 
     Between two words is a space or one line end; before an address also empty lines, as
     licences set it apart.  Comment marks at the start of a line are spaces by then.
+    Sentences that begin alike share that part of the pattern.
     """
+    tree: dict = {}
+    for sentence in sorted(known):
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def body(node: dict) -> str:
+        out = ""
+        while len(node) == 1 and "" not in node:
+            (word, node), = node.items()
+            out += gap(word) + word
+        rest = [gap(w) + w + body(n) for w, n in node.items() if w]
+        if not rest:
+            return out
+        # a longer sentence goes before one that it covers
+        return f"{out}(?:{'|'.join([*rest, *([''] if '' in node else [])])})"
+
     gap = lambda word: "[ \n]+" if word.startswith("http") else "(?: ?\n ?| )"
-    body = lambda s: "".join(w if k == 0 else gap(w) + w for k, w in enumerate(s.split(" ")))
-    return f"(?<![a-z0-9 ]) ?({'|'.join(body(s) for s in sorted(known, key=len, reverse=True))}) ?(?![a-z0-9 ])"
+    first = "|".join(word + body(node) for word, node in tree.items())
+    return f"(?<![a-z0-9 ]) ?({first}) ?(?![a-z0-9 ])"
 
 
-def found_column(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def found_column(text: Column, known: dict[str, str] = KNOWN) -> Column:
     """(number of the first line or sentence, identifier) of each known sentence, in order; null text: none."""
-    known = lookup(sentences)
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     plain = F.regexp_replace(F.regexp_replace(low, _BREAKS, "$1S"), "[^a-z0-9S\n]+", " ")
@@ -136,7 +193,7 @@ def found_column(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     return F.when(F.size(parts) > 1, F.transform(at, one)).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
 
 
-def licence_scan(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules=RULES, text_col: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, *, known: dict[str, str] = KNOWN, rules=ALL_RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with found (number of the sentence or line from 0, identifier), sentence_ids and licences.
 
     A known sentence that covers others is found in their place.
@@ -145,7 +202,7 @@ def licence_scan(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rule
     rows too; columns with the added names are replaced, all others pass through.
     """
     docs = docs.drop("found", "sentence_ids", "licences")
-    out = docs.withColumn("found", found_column(F.col(text_col), sentences))
+    out = docs.withColumn("found", found_column(F.col(text_col), known))
     out = out.withColumn("sentence_ids", F.col("found.id"))
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     steps = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in rules])
@@ -163,15 +220,15 @@ def op1_licence_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"'{s}': '{i}'" for s, i in lookup().items())
+    known = ", ".join(f"'{s}': '{i}'" for s, i in KNOWN.items())
     rest = "array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '')"
     chain, names = [f"r0 AS (SELECT *, {rest} AS s0 FROM f)"], []
-    for k, (_, ids) in enumerate(RULES):
+    for k, (_, ids) in enumerate(ALL_RULES):
         key = "".join(f"<{i}>" for i in ids)
         chain.append(f"r{k + 1} AS (SELECT *, replace(s{k}, '{key}', '|') AS s{k + 1} FROM r{k})")
         names.append(f"CASE WHEN contains(s{k}, '{key}') THEN {k} END")
     shown: dict[str, list[int]] = {}
-    for k, (name, _) in enumerate(RULES):
+    for k, (name, _) in enumerate(ALL_RULES):
         shown.setdefault(name, []).append(k)
     firsts = ", ".join("{'k': least(" + ", ".join(names[k] for k in ks) + "), 'n': '" + name + "'}" for name, ks in shown.items())
     return f"""
@@ -181,7 +238,7 @@ g AS (SELECT doc_id, list_filter(list_transform(s, lambda x, i: {{'at': i - 1, '
 f AS (SELECT *, list_transform(found, lambda x: x.id) AS ids FROM g),
 {", ".join(chain)}
 SELECT doc_id, len(found) AS n_found, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_transform(found, lambda x: x.at::VARCHAR), ',') AS sentence_numbers,
-  coalesce(array_to_string(list_transform(list_sort(list_filter([{firsts}], lambda x: x.k IS NOT NULL)), lambda x: x.n), ','), '') AS licences FROM r{len(RULES)}
+  coalesce(array_to_string(list_transform(list_sort(list_filter([{firsts}], lambda x: x.k IS NOT NULL)), lambda x: x.n), ','), '') AS licences FROM r{len(ALL_RULES)}
 """
 
 

@@ -118,6 +118,28 @@ def test_wrapped_licences(spark, mark):
         assert [x for x in got[k].licences if names != ["MIT"] or x == "MIT"] == names and got[k].sentence_ids == ids, (k, got[k].sentence_ids)
 
 
+@pytest.mark.parametrize("mark", ["# ", " * ", ""])
+def test_whole_licence_texts(spark, mark):
+    """Texts of more than 20 licences, wrapped at 72 columns with a copyright line before: each is found, and nothing else."""
+    rows = []
+    for k, text in enumerate(licences.TEXTS.values()):
+        lines = ["Copyright (c) 2020 A. Holder", ""]
+        for part in text.split("\n"):
+            lines += [*textwrap.wrap(part, 72 - len(mark), break_long_words=False, break_on_hyphens=False), ""]
+        rows.append((k, "\n".join((mark + line).rstrip() for line in lines)))
+    got = {r.doc_id: r.licences for r in licences.licence_scan(docs_of(spark, rows)).collect()}
+    assert len(rows) > 20 and {n: got[k] for k, n in enumerate(licences.TEXTS)} == {n: [n] for n in licences.TEXTS}
+
+
+def test_licences_from_a_table(spark):
+    table = spark.createDataFrame([("Own-1.0", "You may do with this text as you like. It comes to you without any promise at all."), (None, "x"), ("Y", None)], "licence string, text string")
+    known, rules = licences.from_texts(licences.texts_of(table), {}, ())
+    df = docs_of(spark, [(1, "# You may do with this text\n# as you like. It comes to you\n# without any promise at all."), (2, "You may do with this text as you like.")])
+    assert {r.doc_id: (r.licences, len(r.found)) for r in licences.licence_scan(df, known=known, rules=rules).collect()} == {1: (["Own-1.0"], 2), 2: ([], 1)}
+    with pytest.raises(ValueError, match="more than 0"):
+        licences.texts_of(table, most=0)
+
+
 def test_wrapped_sentences_keep_to_their_bounds(spark):
     texts = ["one\ntwo. MIT\nLicense\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n* Redistributions of source code must retain the above copyright notice,\n  this list of conditions and the following disclaimer.\nx", "Under MIT. License.", "MIT\n\nLicense", "the MIT\nLicense", "MIT\nLicense too"]
     got = {r.doc_id: [tuple(x) for x in r.found] for r in licences.licence_scan(docs_of(spark, list(enumerate(texts)))).collect()}
