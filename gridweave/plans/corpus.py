@@ -71,6 +71,19 @@ TABLES = {
     "index_cell": """SELECT sheet, sheet_pos, CAST(2 AS BIGINT) AS rw, cl, value FROM (SELECT 'Set 30%' AS sheet, 0 AS sheet_pos UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos) s, (SELECT 0 AS cl, 'DWG NO' AS value UNION ALL SELECT 1 AS cl, 'TYPE' AS value UNION ALL SELECT 2 AS cl, 'REV A' AS value UNION ALL SELECT 3 AS cl, 'DATE' AS value UNION ALL SELECT 4 AS cl, 'REV B' AS value) h
   UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 0 AS cl, replace(drawing_id, 'NRE-', '') AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Cable' AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 2 AS cl, 'r1' AS value FROM drawing
   UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 0 AS cl, drawing_id AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Layout' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 3 AS cl, 'd9' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 4 AS cl, 'r2' AS value FROM drawing WHERE k % 6 = 0""",
+    "page": """SELECT drawing_id, k, 'PROJECT: old' || chr(10) || 'PROJECT: Station ' || CAST(k % 9 AS STRING) || chr(10) || CASE WHEN k % 3 = 0 THEN 'DRAWN BY: D' || CAST(k % 7 AS STRING) || chr(10) ELSE '' END || CASE WHEN k % 5 = 0 THEN 'Designed by E' || CAST(k % 4 AS STRING) || chr(10) ELSE '' END
+  || 'NOTES:' || chr(10) || 'CHECK THE LINE OF BAY ' || CAST(k % 11 AS STRING) || chr(10) || 'abc' || chr(10) || CASE WHEN k % 4 = 0 THEN 'WARNING: live parts' || chr(10) ELSE '' END || chr(10) || CASE WHEN k % 2 = 0 THEN '1. WIRE SIZE IS #10 UNLESS' || chr(10) || '   MARKED' || chr(10) ELSE '' END
+  || CASE WHEN k % 6 = 0 THEN '34.5kV' ELSE '13.8 KV' END || ' AND 125V DC' AS text FROM drawing""",
+    "table_row": """SELECT drawing_id, 1 AS page, 0 AS table_no, pos AS row_no, CASE WHEN pk % 3 = 0 THEN 'ITEM ' || CAST(qty AS STRING) || ' ' || component_id || ' EA' ELSE 'SPARE' END AS row_text FROM line""",
+    "mismatch": """SELECT 'mm' || CAST(ok AS STRING) || '-' || CAST(pos AS STRING) AS mismatch_id, CASE pos % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS severity, component_id, parameter, drawing_id, component_id || ' differs' AS message, 'Check ' || component_id || '.' AS recommendation, ok * 10 + pos AS detected_at, pk % 4 = 0 AS resolved FROM line""",
+    "change": """SELECT ok * 10 + pos AS stamp, drawing_id, component_id, CASE WHEN pk % 2 = 0 THEN 'VALUE_CHANGED' ELSE 'COMPONENT_ADDED' END AS change_type, 'c' || CAST(qty AS STRING) AS description FROM line""",
+    "action": """SELECT 'a' || CAST(ok AS STRING) || '-' || CAST(pos AS STRING) AS action_id, ok * 10 + pos AS stamp, component_id, drawing_id AS target_drawing_id, CASE WHEN pk % 3 = 0 THEN 'APPLIED' ELSE 'FAILED' END AS status, 'u' || CAST(sk % 5 AS STRING) AS approved_by FROM line""",
+    "mark": """SELECT drawing_id, pos AS seq, CASE pos % 4 WHEN 0 THEN 'TEXT' WHEN 1 THEN 'MTEXT' WHEN 2 THEN 'DIMENSION' ELSE 'ATTDEF' END AS etype, CASE WHEN qty % 5 = 0 THEN '*U' || CAST(qty AS STRING) ELSE 'SYM' || CAST(qty AS STRING) END AS block_name, 'T' || CAST(sk % 3 AS STRING) AS tag,
+  CASE pos % 4 WHEN 0 THEN ' ' || component_id WHEN 1 THEN component_id || chr(10) || ' ' || chr(10) || '125V' WHEN 2 THEN CASE WHEN qty % 3 = 0 THEN ' ' ELSE CAST(qty AS STRING) || ' mm' END ELSE CASE WHEN qty % 3 = 0 THEN NULL ELSE 'v' || CAST(qty AS STRING) END END AS text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM line""",
+    "plate": """SELECT drawing_id, 1 AS rw, 0 AS cl, '1ST LINE' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 1 AS cl, '2ND LINE' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 2 AS cl, 'ITEM' AS value FROM drawing UNION ALL SELECT drawing_id, 1 AS rw, 3 AS cl, 'QTY' AS value FROM drawing
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 0 AS cl, CASE sk % 6 WHEN 0 THEN 'TB' || CAST(sk % 4 AS STRING) WHEN 1 THEN 'FU' || CAST(qty AS STRING) WHEN 2 THEN 'SW-' || CAST(qty AS STRING) WHEN 3 THEN 'NORTH BAY' WHEN 4 THEN '138kV LINE' ELSE 'CT-LONG NAME' END AS value FROM line
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 1 AS cl, CASE qty % 3 WHEN 0 THEN 'MAIN FUSE' WHEN 1 THEN 'JUNCTION BOX' ELSE 'OTHER' END AS value FROM line WHERE qty % 4 <> 0
+  UNION ALL SELECT drawing_id, pos + 1 AS rw, 2 AS cl, CAST(pos AS STRING) AS value FROM line""",
     "event": """SELECT event_id, 'f' || CAST(user_id AS STRING) || CASE event_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.dxf' WHEN 2 THEN '.xlsx' ELSE '.tmp' END AS path, event_type AS event, ts FROM events""",
 }
 

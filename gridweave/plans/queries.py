@@ -204,6 +204,14 @@ def m12(r: Registry) -> DataFrame:
     return flat(checks.dc_supply(r.components, r.connections))
 
 
+def _every_check() -> str:
+    return " UNION ALL ".join(f"SELECT mismatch_id, severity, component_id, parameter, drawings, found FROM ({ORACLES[n]})" for n in CHECKS)
+
+
+#: The twelve checks.
+CHECKS = tuple(n for n in QUERIES if n[0] == "m" and n != "m1_resolution_options")
+
+
 @query("u1_all_checks")
 def u1(r: Registry) -> DataFrame:
     return flat(checks.all_checks(r.drawings, r.components, r.connections, authority.default_rules(r.spark)))
@@ -215,6 +223,10 @@ def a7(r: Registry) -> DataFrame:
     return registry.mismatch_summary(found.withColumn("resolved", F.lit(False)))
 
 
+ORACLES["u1_all_checks"] = _every_check()
+ORACLES["a7_mismatch_summary"] = f"SELECT count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info FROM ({_every_check()})"
+
+
 # Authority, propagation, changes
 
 
@@ -334,12 +346,11 @@ def a2(r: Registry) -> DataFrame:
 
 @query(
     "a3_statistics",
-    "drawing component connection label",
-    "SELECT (SELECT count(*) FROM drawing) AS drawings, (SELECT count(*) FROM component) AS component_instances, (SELECT count(DISTINCT component_id) FROM component) AS unique_components, (SELECT count(*) FROM (SELECT 1 FROM component GROUP BY component_id HAVING count(*) >= 2)) AS shared_components, (SELECT count(*) FROM connection) AS connections, (SELECT count(*) FROM label) AS labels, 0::BIGINT AS active_mismatches",
+    "drawing component connection label mismatch",
+    "SELECT (SELECT count(*) FROM drawing) AS drawings, (SELECT count(*) FROM component) AS component_instances, (SELECT count(DISTINCT component_id) FROM component) AS unique_components, (SELECT count(*) FROM (SELECT 1 FROM component GROUP BY component_id HAVING count(*) >= 2)) AS shared_components, (SELECT count(*) FROM connection) AS connections, (SELECT count(*) FROM label) AS labels, (SELECT count(*) FROM mismatch WHERE NOT resolved) AS active_mismatches",
 )
 def a3(r: Registry) -> DataFrame:
-    none = r.drawings.filter("false").select(F.lit(False).alias("resolved"))
-    return registry.statistics(r.drawings, r.components, r.connections, r.labels, none)
+    return registry.statistics(r.drawings, r.components, r.connections, r.labels, r.raw("mismatch"))
 
 
 @query("a4_conflict_groups", "line", f"{_LAST} SELECT component_id, parameter, count(DISTINCT value) AS n_values, count(*) AS n_drawings FROM last GROUP BY ALL HAVING count(DISTINCT value) > 1")
@@ -855,7 +866,263 @@ def t4(r: Registry) -> DataFrame:
     return r.raw("event").filter(files.wanted(c("path"))).select("event_id", "path")
 
 
-@query("t2_debounce")
+@query(
+    "t2_debounce",
+    "event",
+    """RECURSIVE_ a(path, ts) AS (SELECT path, min(ts) FROM event GROUP BY path UNION ALL SELECT a.path, min(e.ts) FROM a JOIN event e ON e.path = a.path AND e.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.path)
+SELECT path, CAST(ts AS VARCHAR) AS ts FROM a""",
+)
 def t2(r: Registry) -> DataFrame:
-    """Accepted events, with an hour's gap: the given events of a path are far apart."""
-    return watch.debounce(r.raw("event"), seconds=3600.0)
+    """Accepted times, with an hour's gap: the given events of a path are far apart."""
+    return watch.debounce(r.raw("event"), seconds=3600.0).select("path", c("ts").cast("string").alias("ts")).distinct()
+
+
+ORACLES["t2_debounce"] = ORACLES["t2_debounce"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_ ", "")
+
+
+# Page texts and tables
+
+
+@query("x8_title_fields", "page", "SELECT drawing_id, 'Station ' || (k % 9) AS project, CASE WHEN k % 3 = 0 THEN 'D' || (k % 7) ELSE '' END AS drawn_by, CASE WHEN k % 5 = 0 THEN 'E' || (k % 4) ELSE '' END AS designed_by FROM page")
+def x8(r: Registry) -> DataFrame:
+    return r.raw("page").select("drawing_id", X.title_fields(c("text")).alias("t")).select("drawing_id", "t.*")
+
+
+def _notes(r: Registry) -> DataFrame:
+    return r.raw("page").select("drawing_id", F.explode(X.notes(c("text"))).alias("note"))
+
+
+@query(
+    "x9_notes",
+    "page",
+    "SELECT drawing_id, CASE WHEN k % 2 = 0 THEN '1. WIRE SIZE IS #10 UNLESS' || chr(10) || '   MARKED | ' ELSE '' END || 'CHECK THE LINE OF BAY ' || (k % 11) || CASE WHEN k % 4 = 0 THEN ' | WARNING: live parts' ELSE '' END AS notes FROM page",
+)
+def x9(r: Registry) -> DataFrame:
+    return r.raw("page").select("drawing_id", F.array_join(X.notes(c("text")), " | ").alias("notes"))
+
+
+@query("r5_warnings", "page", "SELECT drawing_id, 'WARNING: live parts' AS warning FROM page WHERE k % 4 = 0")
+def r5_warnings(r: Registry) -> DataFrame:
+    return reports.warnings(_notes(r))
+
+
+@query("r5_voltages", "page", "SELECT drawing_id, CASE WHEN k % 6 = 0 THEN '34.5kV' ELSE '13.8kV' END AS level FROM page UNION ALL SELECT drawing_id, '125V DC' FROM page")
+def r5_voltages(r: Registry) -> DataFrame:
+    return reports.voltages(r.raw("page"))
+
+
+@query(
+    "r5_inventory",
+    "line component",
+    """v AS (SELECT drawing_id, component_id, string_agg(CASE WHEN k <= 3 THEN parameter || '=' || value END, ', ' ORDER BY k) || CASE WHEN max(k) > 3 THEN ' +' || (max(k) - 3) || ' more' ELSE '' END AS shown, arg_max(device, pos) FILTER (device <> '') AS dev FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, component_id ORDER BY pos) AS k FROM line) GROUP BY ALL)
+SELECT drawing_id, component_id, component_type, shown, CASE WHEN dev IS NULL THEN '' ELSE 'associated_device=' || dev END AS attributes FROM v JOIN component USING (drawing_id, component_id)""",
+)
+def r5_inventory(r: Registry) -> DataFrame:
+    return reports.inventory(r.components)
+
+
+@query("x11_in_table", "table_row component line", "SELECT drawing_id, component_id, bool_or(pk % 3 = 0 AND component_id NOT LIKE '86%' AND component_id NOT LIKE 'RTAC%') AS in_table FROM line GROUP BY ALL")
+def x11(r: Registry) -> DataFrame:
+    return X.in_table(r.components.select("drawing_id", "component_id"), r.raw("table_row"))
+
+
+@query("x14_block_names", "component", "SELECT DISTINCT component_id AS name, CASE WHEN component_id LIKE '86%' THEN '' WHEN component_id LIKE 'RTAC%' THEN 'RTAC' ELSE component_id END AS component_id FROM component")
+def x14_names(r: Registry) -> DataFrame:
+    """X14 on the names of symbols that show one component each."""
+    return r.components.select(c("component_id").alias("name")).distinct().select("name", X.id_from_name(F.concat(F.lit("SYMBOL "), c("name"))).alias("component_id"))
+
+
+# Entities of every kind
+
+
+_MARK_KIND = "CASE WHEN text = '125V' THEN 'value' WHEN text LIKE '86%' THEN 'text' ELSE 'component' END"
+
+
+@query("s5_entity_labels", "mark", f"t AS (SELECT drawing_id, seq, x, y, 0 AS line, trim(text) AS text FROM mark WHERE etype = 'TEXT' UNION ALL SELECT drawing_id, seq, x, y, 0, string_split(text, chr(10))[1] FROM mark WHERE etype = 'MTEXT' UNION ALL SELECT drawing_id, seq, x, y, 2, '125V' FROM mark WHERE etype = 'MTEXT') SELECT *, {_MARK_KIND} AS category FROM t")
+def s5(r: Registry) -> DataFrame:
+    return decoded.entity_labels(r.raw("mark"))
+
+
+@query("s6_dimension_labels", "mark", "SELECT drawing_id, seq, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0 AS line, trim(text) AS text, 'dimension' AS category FROM mark WHERE etype = 'DIMENSION' AND trim(text) <> ''")
+def s6(r: Registry) -> DataFrame:
+    return decoded.dimension_labels(r.raw("mark"))
+
+
+@query("s7_attribute_notes", "mark", "SELECT drawing_id, seq, 'Block ' || block_name || ': ' || tag || ' = ' || coalesce(text, '') AS note FROM mark WHERE etype = 'ATTDEF' AND block_name NOT LIKE '*%'")
+def s7(r: Registry) -> DataFrame:
+    return decoded.attribute_notes(r.raw("mark"))
+
+
+@query(
+    "b1_title_blocks",
+    "drawing",
+    "SELECT drawing_id, 'drawing_number' AS field, drawing_id AS value FROM drawing UNION ALL SELECT drawing_id, 'drawing_type', 'Cable' FROM drawing UNION ALL SELECT drawing_id, 'drawing_name', title FROM drawing UNION ALL SELECT drawing_id, 'revision', CASE WHEN k % 3 = 0 THEN 'Z' ELSE revision END FROM drawing UNION ALL SELECT drawing_id, 'drawn_by', 'second' FROM drawing WHERE k % 3 = 0",
+)
+def b1(r: Registry) -> DataFrame:
+    """A second block replaces the revision, and its title is a second part."""
+    texts = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    first = r.raw("drawing").select("drawing_id", F.lit(1).alias("seq"), F.lit("A TITLE").alias("block_name"), texts(DWGNO=c("drawing_id"), DWGTYPE=F.lit("Cable"), CURRREV=c("revision"), DWGTITLE1=c("title")).alias("attribs"))
+    second = r.raw("drawing").filter("k % 3 = 0").select("drawing_id", F.lit(2).alias("seq"), F.lit("TITLE 2").alias("block_name"), texts(CURRREV=F.lit("Z"), DRWNBY=F.lit("second"), DWGTITLE2=F.lit("part two")).alias("attribs"))
+    return cad.title_blocks(first.union(second))
+
+
+@query("b9_terminals", "line", "SELECT DISTINCT drawing_id, CASE pk % 3 WHEN 0 THEN 'TB' || (sk % 9) || '-' || qty WHEN 1 THEN 'TERM-D' || qty ELSE 'TERM-PNL_TERM' END AS component_id, 'TB' AS component_type FROM line")
+def b9(r: Registry) -> DataFrame:
+    attribs = F.when(c("pk") % 3 == 0, F.create_map(F.lit("TAGSTRIP"), F.concat(F.lit("TB"), (c("sk") % 9).cast("string")), F.lit("TERM#"), c("qty").cast("string"))).when(c("pk") % 3 == 1, F.create_map(F.lit("TERM_DESC"), F.concat(F.lit("D"), c("qty").cast("string")))).otherwise(F.create_map(F.lit("X"), F.lit("1")))
+    blocks = r.raw("line").select("drawing_id", F.lit(0).alias("layout"), c("pos").alias("seq"), F.lit("PNL_TERM").alias("block_name"), attribs.alias("attribs"), "x", "y")
+    return cad.block_components(blocks).select("drawing_id", "component_id", "component_type")
+
+
+# Nameplates and sheet rows
+
+
+def _plates(r: Registry) -> DataFrame:
+    return r.raw("plate").select(F.lit("plates BOM.xlsx").alias("file_name"), "drawing_id", F.lit("P1 NAMEPLATE").alias("sheet"), F.lit(0).alias("sheet_pos"), c("rw").alias("row"), c("cl").alias("col"), "value")
+
+
+_PLATE = """p AS (SELECT drawing_id, pos, CASE sk % 6 WHEN 0 THEN 'P1-TB' || (sk % 4) WHEN 1 THEN 'P1-FU' || qty WHEN 2 THEN 'P1-SW-' || qty WHEN 3 THEN 'NORTH BAY' WHEN 4 THEN '138kV LINE' ELSE 'CT-LONG NAME' END AS component_id, CASE WHEN qty % 4 = 0 THEN '' ELSE CASE qty % 3 WHEN 0 THEN 'MAIN FUSE' WHEN 1 THEN 'JUNCTION BOX' ELSE 'OTHER' END END AS d FROM line),
+q AS (SELECT *, CASE WHEN contains(d, 'FUSE') THEN 'FU' WHEN d = 'JUNCTION BOX' THEN 'JB' WHEN starts_with(component_id, 'CT-') THEN 'CT' ELSE 'BOM' END AS kind FROM p)"""
+
+
+@query("e7_nameplates", "line", f"{_PLATE} SELECT drawing_id, component_id, arg_min(kind, pos) AS component_type, CAST(max(pos) AS VARCHAR) AS item FROM q GROUP BY ALL")
+def e7(r: Registry) -> DataFrame:
+    return bom.nameplates(_plates(r)).select("drawing_id", "component_id", "component_type", "item")
+
+
+_DESIGNATION = "CASE WHEN t IN ('TB', 'TS') THEN 'TB' WHEN t = 'FU' OR qty % 4 = 0 THEN 'FU' WHEN t = 'SW' THEN 'SW' WHEN qty % 4 = 1 THEN 'JB' WHEN t IN ('CT', 'VT', 'PT', 'CCVT') THEN t ELSE 'BOM' END"
+
+
+@query("e8_designation_type", "line", f"d AS (SELECT drawing_id, pos, qty, CASE sk % 9 WHEN 0 THEN 'TB' WHEN 1 THEN 'TS' WHEN 2 THEN 'FU' WHEN 3 THEN 'SW' WHEN 4 THEN 'CT' WHEN 5 THEN 'VT' WHEN 6 THEN 'PT' WHEN 7 THEN 'CCVT' ELSE 'ZZ' END AS t FROM line) SELECT drawing_id, pos, {_DESIGNATION} AS kind FROM d")
+def e8(r: Registry) -> DataFrame:
+    k = c("sk") % 9
+    number = c("qty").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("LT1-TB"), number)).when(k == 1, "TS").when(k == 2, F.concat(F.lit("FU"), number)).when(k == 3, F.concat(F.lit("SW-"), number)).when(k == 4, "CT-1").when(k == 5, "VT-A").when(k == 6, "PT-2").when(k == 7, "CCVT9").otherwise("ZZ")
+    what = F.when(c("qty") % 4 == 0, "spare fuse").when(c("qty") % 4 == 1, "Junction Box").when(c("qty") % 4 == 2, "other")
+    return r.raw("line").select("drawing_id", "pos", bom.designation_type(name, what).alias("kind"))
+
+
+@query(
+    "e10_row_attributes",
+    "line",
+    """f AS (SELECT drawing_id, component_id, max(pos) AS pos FROM line GROUP BY ALL),
+g AS (SELECT drawing_id, component_id, k, arg_max(v, pos) AS v FROM (SELECT drawing_id, component_id, pos, 'QTY' AS k, CASE WHEN qty % 9 = 0 THEN 'LOT' ELSE CAST(qty AS VARCHAR) END AS v FROM line UNION ALL SELECT drawing_id, component_id, pos, 'col_9', 'x' || sk FROM line) GROUP BY ALL)
+SELECT drawing_id, component_id, string_agg(k || '=' || v, ', ' ORDER BY k) AS attributes FROM g GROUP BY ALL""",
+)
+def e10(r: Registry) -> DataFrame:
+    line = r.raw("line")
+    at = lambda col, value: line.select("drawing_id", F.lit("s").alias("sheet"), F.lit(0).alias("sheet_pos"), (c("pos") + 1).alias("row"), F.lit(col).alias("col"), value.alias("value"))
+    cells = at(0, c("component_id")).union(at(1, F.when(c("qty") % 9 == 0, "LOT").otherwise(c("qty").cast("string")))).union(at(9, F.concat(F.lit("x"), c("sk").cast("string"))))
+    heads = r.raw("drawing").select("drawing_id", F.lit("s").alias("sheet"), F.create_map(F.lit(0), F.lit("DEVICE"), F.lit(1), F.lit(" QTY "), F.lit(9), F.lit(" ")).alias("header"))
+    found = line.select("drawing_id", F.lit("s").alias("sheet"), (c("pos") + 1).alias("row"), "component_id")
+    return bom.row_attributes(cells, found, heads).withColumn("attributes", _text_map(c("attributes")))
+
+
+@query("e11_row_voltages", "line component", "SELECT l.drawing_id, pos AS row, (qty % 4 + 1) || 'kV' AS value, arg_min(i.component_id, i.first_pos) AS component_id FROM line l JOIN (SELECT drawing_id, component_id, min(pos) AS first_pos FROM line GROUP BY ALL) i ON i.drawing_id = l.drawing_id AND contains(l.component_id, i.component_id) WHERE qty % 2 = 0 GROUP BY ALL")
+def e11(r: Registry) -> DataFrame:
+    line = r.raw("line")
+    rows = line.select("drawing_id", F.lit("s").alias("sheet"), c("pos").alias("row"), F.when(c("qty") % 2 == 0, F.concat(F.lit("ITEM "), c("component_id"), F.lit(" AT "), (c("qty") % 4 + 1).cast("string"), F.lit("kV"))).otherwise(c("component_id")).alias("text"))
+    first = line.groupBy("drawing_id", "component_id").agg(F.min("pos").alias("first_seen"))
+    return bom.row_voltages(rows, first).select("drawing_id", "row", "value", "component_id")
+
+
+# Logs and stored mismatches
+
+
+def _mismatches(r: Registry) -> DataFrame:
+    return r.raw("mismatch").withColumn("drawings_involved", F.array("drawing_id"))
+
+
+@query("p1_get_drawing", "drawing", "SELECT drawing_id, drawing_type, title, revision FROM drawing WHERE drawing_id = 'NRE-EC-205.0'")
+def p1(r: Registry) -> DataFrame:
+    return registry.get_drawing(r.drawings, "NRE-EC-205.0").select("drawing_id", "drawing_type", "title", "revision")
+
+
+@query("p7_resolve", "mismatch", "SELECT mismatch_id, resolved OR mismatch_id = 'mm1-1' AS resolved FROM mismatch")
+def p7(r: Registry) -> DataFrame:
+    return registry.resolve_mismatch(_mismatches(r).withColumn("resolved_at", F.lit(None).cast("timestamp")), "mm1-1").select("mismatch_id", "resolved")
+
+
+@query("o1_active_mismatches", "mismatch", "SELECT mismatch_id, severity, detected_at FROM mismatch WHERE NOT resolved")
+def o1(r: Registry) -> DataFrame:
+    return registry.active_mismatches(_mismatches(r)).select("mismatch_id", "severity", "detected_at")
+
+
+@query("o1_gravest", "mismatch", "SELECT mismatch_id FROM mismatch WHERE NOT resolved ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, detected_at DESC, mismatch_id LIMIT 40")
+def o1_top(r: Registry) -> DataFrame:
+    """The order of O1, by its first rows."""
+    return registry.active_mismatches(_mismatches(r)).limit(40).select("mismatch_id")
+
+
+@query("o2_change_log", "change", "SELECT stamp, component_id, change_type, description FROM change ORDER BY stamp DESC, component_id LIMIT 50")
+def o2_log(r: Registry) -> DataFrame:
+    return registry.newest(r.raw("change"), 50, "stamp", "component_id").select("stamp", "component_id", "change_type", "description")
+
+
+@query("o3_propagation_log", "action", "SELECT action_id, stamp, status, approved_by FROM action WHERE status = 'APPLIED' ORDER BY stamp DESC, action_id LIMIT 50")
+def o3(r: Registry) -> DataFrame:
+    return registry.newest(r.raw("action"), 50, "stamp", "action_id", status="APPLIED").select("action_id", "stamp", "status", "approved_by")
+
+
+@query("k5_propagation_rows", "line drawing component", f"{_PLAN} SELECT *, 'A. Planner' AS approved_by FROM act")
+def k5(r: Registry) -> DataFrame:
+    return propagation.propagation_log(_plan(r), "A. Planner").drop("timestamp")
+
+
+@query("r7_change_report", "change", "SELECT stamp AS timestamp, drawing_id, component_id, change_type FROM change WHERE drawing_id = 'NRE-EC-101.0' ORDER BY stamp DESC, component_id LIMIT 50")
+def r7(r: Registry) -> DataFrame:
+    return reports.change_report(r.raw("change").withColumnRenamed("stamp", "timestamp"), drawing_id="NRE-EC-101.0").select("timestamp", "drawing_id", "component_id", "change_type")
+
+
+@query("r6_mismatch_report", "mismatch drawing", "SELECT mismatch_id, severity, component_id, parameter, drawing_id, revision FROM mismatch JOIN drawing USING (drawing_id) WHERE NOT resolved")
+def r6(r: Registry) -> DataFrame:
+    return reports.mismatch_report(_mismatches(r), r.drawings).drop("rank")
+
+
+_MANY = "sh AS (SELECT component_id, count(*) - 1 AS n_others FROM component GROUP BY component_id)"
+_ADVICE_SQL = f"""{_MANY}, adv AS (SELECT drawing_id, 'recommendation' AS section, mismatch_id AS name, CASE severity WHEN 'CRITICAL' THEN '[RED FLAG] ' ELSE '[WARNING] ' END || message || ' ' || recommendation AS detail FROM mismatch WHERE NOT resolved AND severity <> 'INFO'
+UNION ALL SELECT drawing_id, 'recommendation', component_id, 'in ' || (n_others + 1) || ' drawings: change them together' FROM component JOIN sh USING (component_id) WHERE n_others > 5)"""
+
+
+@query("r4_recommendations", "mismatch component", f"{_ADVICE_SQL} SELECT * FROM adv")
+def r4(r: Registry) -> DataFrame:
+    return reports.recommendations(r.raw("mismatch").filter("not resolved"), r.components)
+
+
+@query(
+    "r3_sync_report_stored",
+    "mismatch component",
+    f"{_ADVICE_SQL} SELECT * FROM adv UNION ALL SELECT drawing_id, 'mismatch', mismatch_id, severity FROM mismatch WHERE NOT resolved UNION ALL SELECT drawing_id, 'component', component_id, CAST(n_others AS VARCHAR) FROM component JOIN sh USING (component_id)",
+)
+def r3_stored(r: Registry) -> DataFrame:
+    """R3 over stored mismatches."""
+    return reports.sync_report(r.components, _mismatches(r))
+
+
+@query("k2_snapshot", "drawing component", "SELECT drawing_id, count(*) AS n_components, any_value(title) AS file_hash FROM component JOIN drawing USING (drawing_id) GROUP BY drawing_id")
+def k2(r: Registry) -> DataFrame:
+    made = changes.snapshot(r.components, r.raw("drawing").select("drawing_id", c("title").alias("file_hash")))
+    return made.select("drawing_id", F.size("components").cast("long").alias("n_components"), "file_hash")
+
+
+@query("k3_stored_mismatches", "mismatch", "SELECT mismatch_id, NOT found AS resolved FROM (SELECT mismatch_id, detected_at % 2 = 0 AS was, detected_at % 3 = 0 AS found FROM mismatch) WHERE was OR found")
+def k3(r: Registry) -> DataFrame:
+    rows = _mismatches(r).withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    old = rows.filter("detected_at % 2 = 0").withColumn("detected_at", F.current_timestamp())
+    found = rows.filter("detected_at % 3 = 0").drop("detected_at", "resolved", "resolved_at")
+    return changes.stored_mismatches(old, found).select("mismatch_id", "resolved")
+
+
+@query("k4_change_rows", "line drawing component", f"{_PLAN} SELECT target_drawing_id AS drawing_id, component_id, 'PROPAGATION' AS change_type, old_value, new_value FROM act")
+def k4(r: Registry) -> DataFrame:
+    return propagation.apply_actions(r.components, _plan(r))[2].drop("timestamp", "description")
+
+
+@query(
+    "t3_event_rows",
+    "drawing component mismatch line",
+    f"""{_LAST}, p AS (SELECT a.drawing_id, count(*) AS n FROM last a JOIN drawing d ON d.drawing_id = a.drawing_id AND d.k % 10 = 0 JOIN last b ON a.component_id = b.component_id AND a.parameter = b.parameter AND a.drawing_id <> b.drawing_id AND a.value <> b.value GROUP BY a.drawing_id)
+SELECT d.drawing_id, 'modified' AS event, (SELECT count(*) FROM component x WHERE x.drawing_id = d.drawing_id) AS n_components, (SELECT count(*) FROM mismatch x WHERE x.drawing_id = d.drawing_id) AS n_mismatches, coalesce(p.n, 0) AS n_affected FROM drawing d LEFT JOIN p USING (drawing_id) WHERE d.k % 10 = 0""",
+)
+def t3(r: Registry) -> DataFrame:
+    changed = r.raw("drawing").filter("k % 10 = 0").select("drawing_id")
+    return watch.event_rows(changed.withColumn("event", F.lit("modified")), r.components, _mismatches(r), propagation.impact(r.components, sources=changed))
