@@ -117,11 +117,16 @@ def extract_components(units: DataFrame, source: str = "p", text_col: str = "tex
 
     ``units`` has one text for each drawing_id and order (page, row).  The first hit decides
     the type: earlier units first, then the catalogue's order, then the place in the text.
-    One pass over the text and one grouping.
+    One pass over the text and one grouping, whose order is one number: unit, pattern and
+    place, so that Spark can add it up in its hash table.  The pattern says the type.
     """
     hits = units.select("drawing_id", F.col(order_col).cast("long").alias("unit"), F.explode(found_components(F.col(text_col), source)).alias("h"))
-    order = F.struct("unit", "h.prio", "h.at")
-    return hits.groupBy("drawing_id", F.col("h.component_id").alias("component_id")).agg(F.min_by("h.component_type", order).alias("component_type"), F.min(order).alias("first_seen"))
+    order = F.shiftleft(F.shiftleft("unit", 8) + F.col("h.prio"), 20) + F.least("h.at", F.lit((1 << 20) - 1))
+    first = hits.groupBy("drawing_id", F.col("h.component_id").alias("component_id")).agg(F.min(order).alias("o"))
+    kinds = F.array(*[F.lit(p.kind) for p in P.CATALOGUE])
+    prio = F.shiftright("o", 20).bitwiseAND(F.lit(255)).cast("int")
+    seen = F.struct(F.shiftright("o", 28).alias("unit"), prio.alias("prio"), F.col("o").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("at"))
+    return first.select("drawing_id", "component_id", F.element_at(kinds, prio).alias("component_type"), seen.alias("first_seen"))
 
 
 def in_table(components: DataFrame, table_rows: DataFrame) -> DataFrame:
