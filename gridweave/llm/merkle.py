@@ -129,17 +129,14 @@ def with_range(df: DataFrame, key: Column, per_range: int = PER_RANGE, most_rang
     first = [r[0] for r in lists.orderBy("_top").select(F.col("_low")[0]).collect()]
     if not first:
         return df.withColumn("_b", F.lit(0))
-    top = F.array(*[_literal(k) for k in first])
+    kind = keys.schema["key"].dataType
+    top = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in k.asDict().items()]).cast(kind) for k in first])
     below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("_key")))
     df = df.withColumn("_key", key).withColumn("_at", F.greatest(below(top) - 1, F.lit(0)))
     df = df.join(F.broadcast(lists), F.col("_at") == F.col("_top"), "left")
     return df.withColumn("_b", (F.col("_at") * side + below(F.col("_low"))).cast("int")).drop("_key", "_at", "_top", "_low")
 
 
-def _literal(key) -> Column:
-    return F.struct(*[F.lit(v).alias(n) for n, v in key.asDict().items()])
-
-
 def with_next(df: DataFrame, id_col: str, text_col: str, per_range: int = PER_RANGE) -> DataFrame:
     """Each row with ``_next``, the text of the row with the next smaller id; after the last, the first.
 

@@ -7,28 +7,23 @@ import hashlib
 import io
 import math
 import random
-import re
 import textwrap
 import zlib
 from collections import Counter
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.llm import bloom, context_tree, decontaminate, licences, merkle, mixing, prefix_tree_join, quality, textbytes, toxicity, url_filter, warc
 from gridweave.llm.shared import components
+from llm_brute_force import brute_components, brute_contamination, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def words(text, rx="[^\x20\x09-\x0d]+"):
-    return re.findall(rx, (text or "").translate(LOWER))
-
-
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in rows], DOCS)
 
@@ -176,6 +171,65 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.keep_clean(df.limit(0), lab).count() == 0
 
 
+def test_risk_and_gradient_equal_finite_differences():
+    """Both signs of the estimated risk on negatives, against the risk written out by document."""
+    rng = np.random.default_rng(3)
+    f = [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)).astype(np.int32) for _ in range(40)]
+    n_p, n_u = np.array([len(c) ** 2 for c in f]), rng.integers(1, 4, 40)
+    all_p, all_u = int(n_p.sum()), int(n_u.sum())
+
+    def risk(w, prior):
+        z = np.array([w[c].sum() + w[-1] for c in f])
+        pos = sum(n * math.log1p(math.exp(-x)) for n, x in zip(n_p, z, strict=True)) / all_p
+        neg = sum(n * math.log1p(math.exp(x)) for n, x in zip(n_u, z, strict=True)) / all_u - prior * sum(n * math.log1p(math.exp(x)) for n, x in zip(n_p, z, strict=True)) / all_p
+        return prior * pos, neg
+
+    signs = set()
+    for prior, shift in ((0.1, 0.0), (0.5, 0.0), (0.45, -3.0), (0.95, 2.0)):
+        w = rng.normal(0, 1, 7) + shift
+        value, g = toxicity.nnpu(*toxicity.sums(f, n_p, n_u, w), all_p, all_u, prior)
+        a, b = risk(w, prior)
+        signs.add(b >= 0)
+        assert value == pytest.approx(a + max(0.0, b))
+        for k in range(7):
+            e = np.eye(7)[k] * 1e-6
+            up, down = risk(w + e, prior), risk(w - e, prior)
+            # below zero the step goes up the risk on negatives
+            want = (sum(up) - sum(down)) / 2e-6 if b >= 0 else -(up[1] - down[1]) / 2e-6
+            assert g[k] == pytest.approx(want, abs=1e-6)
+    assert signs == {True, False}
+
+
+def test_patterns_and_counts_cover_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(k, sentence(rng, rng.randrange(0, 30), 20)) for k in range(60)] + [(60, None), (61, ""), (5, "w1 w1")]
+    df = docs_of(spark, rows).select("text", (F.col("doc_id") % 3 == 0).alias("positive"))
+    own = toxicity.buckets(pa.array([t for _, t in rows]))
+    want = Counter(x for r in own for x in r.tolist())
+    got = {r.feature: r.n for r in toxicity._counted(df, None).collect()}
+    assert got.pop(-1) == len(rows) and got == want
+    chosen = np.sort(np.array([k for k, n in want.items() if n % 2], np.int64))
+    seen = {tuple(np.frombuffer(bytes(r.f), np.int32).tolist()): (r.n_p, r.n_u) for r in toxicity.patterns(df, chosen).collect()}
+    brute: dict = {}
+    for (i, _), r in zip(rows, own, strict=True):
+        key = tuple(np.flatnonzero(np.isin(chosen, r)).tolist())
+        p, u = brute.get(key, (0, 0))
+        brute[key] = (p + (i % 3 == 0), u + 1)
+    assert seen == brute
+
+
+def test_null_ids_and_repeated_rows_in_classifiers(spark):
+    rng = random.Random(12)
+    rows = [(k, sentence(rng, 30) + (" vile" * 3 if k % 5 == 0 else ""), "en", "src1", 100) for k in range(120)]
+    rows += [(5, rows[5][1], "en", "src1", 100)] * 2 + [(None, "null id", None, None, None), (None, "vile vile", "en", "x", None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("quality_score", F.lit("mine")).withColumn("score", F.lit("mine"))
+    lab = spark.createDataFrame([(k, int(k % 4 > 0), int(k % 5 == 0)) for k in range(120)] + [(None, 1, 1), (5, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, lab, rounds=5))
+    assert got.count() == len(rows) and got.filter("score is null").count() == 0
+    got = quality.score(df, quality.fit(df, lab, rounds=1, most_exchanged=5))
+    assert got.count() == len(rows) and got.filter("quality_score is null").count() == 0 and dict(got.dtypes)["quality_score"] == "double"
+
+
 # 3: quality
 
 
@@ -198,6 +252,37 @@ def test_cotraining(spark):
     assert quality.keep_good(df, none).count() == len(rows) and quality.keep_good(df.limit(0), none).count() == 0
 
 
+def test_exchange_equals_brute_force(spark):
+    """The documents of which a view is sure, the first by hash for each view and label, and none on which both differ."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(200):
+        good = rng.random() < 0.5
+        rows.append((k, (". ".join(sentence(rng, 9) for _ in range(4))) if good else "!! @@ | # " * rng.randrange(3, 20), "en", f"src{int(rng.random() < (0.9 if good else 0.2))}", rng.randrange(1, 999)))
+    df = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(r[0], int("w" in r[1]), 0) for r in rows[:100]], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, lab, rounds=0, held_mod=1000)
+    least, most = 0.7, 4
+    cols = [pa.array([r[k] for r in rows]) for k in range(1, 5)]
+    p = model.scores(*cols)[:2]
+    sure = [(r[0], *(1 if q[k] >= least else 0 if 1 - q[k] >= least else -1 for q in p)) for k, r in enumerate(rows)]
+    sure = [x for x in sure if not (x[1] >= 0 and x[2] >= 0 and x[1] != x[2])]
+    order = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
+    want: dict = {}
+    for at, to in ((1, 1), (2, 0)):
+        for label in (0, 1):
+            # what the text view (1) is sure of goes to the metadata view
+            for x in sorted((x for x in sure if x[at] == label), key=lambda x: (order[x[0]], x[0]))[:most]:
+                want.setdefault(x[0], [-1, -1])[to] = label
+    got = {r.doc_id: [r.y_text, r.y_meta] for r in quality.exchanged(df, model, least=least, most=most, seed=7).collect()}
+    assert got == want and got
+
+
+def test_metadata_view_reads_no_text():
+    view = quality.metadata_view(pa.array(["en", None]), pa.array([None, "src1"]), pa.array([None, 12], pa.int64()))
+    assert view.sum() == 6 and (view.sum(0) <= 1).all()
+
+
 # 4: WARC
 
 
@@ -227,29 +312,30 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(warc.planned(pages.limit(0)), f"file://{tmp_path}/none")).count() == 0
 
 
-# 5: Jaccard join
+def test_each_attempt_has_its_own_archives(spark, tmp_path):
+    """A second run into the same folder touches no file of the first, and stray files are not read."""
+    pages = spark.createDataFrame([(k, "u", f"text {k % 4}") for k in range(20)], "page_id long, url string, html string").repartition(2)
+    folder = tmp_path / "w"
+    first = warc.write_archives(warc.planned(pages), f"file://{folder}", archive_bytes=400)
+    names = sorted(r.archive for r in first.collect())
+    (folder / "part-000000-00000-999.warc.gz").write_bytes(b"half a record")
+    second = warc.write_archives(warc.planned(pages), f"file://{folder}", archive_bytes=400)
+    assert not set(names) & {r.archive for r in second.collect()}
+    for table in (first, second):
+        assert sorted((r.page_id, r.refers_to) for r in warc.read_archives(table).collect()) == sorted((k, None if k >= 16 else 16 + k % 4) for k in range(20))
 
 
-def brute_components(rows, n, percent):
-    sets = []
-    for _, t in rows:
-        w = words(t)
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    up = list(range(len(rows)))
+def test_popular_payloads_and_repeated_ids(spark, tmp_path):
+    rows = [(k, "u", "same") for k in range(30)] + [(29, "v", "same"), (29, "v", "other"), (7, "u", "other"), (None, "u", "other"), (50, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for popular in (2, 1000):
+        got = warc.read_archives(warc.write_archives(warc.planned(pages, popular=popular), f"file://{tmp_path}/{popular}")).collect()
+        want = [(i, None if (t, i) in (("same", 29), ("other", 29)) or t == "" else 29) for i, _, t in rows]
+        assert sorted(((r.page_id, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.refers_to is None for r in warc.planned(pages, least_bytes=10).collect())
 
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for a, b in combinations(range(len(rows)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-            up[find(a)] = find(b)
-    low = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            low[find(k)] = min(low.get(find(k), i), i)
-    return sorted(((i, len(s), low.get(find(k), i) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+# 5: Jaccard join
 
 
 @pytest.mark.parametrize(("n", "percent", "block", "common"), [(4, 85, 2048, 0.002), (5, 80, 4, 0.002), (4, 85, 3, 0.2)])
@@ -322,29 +408,6 @@ def test_bloom_has_no_false_negatives(spark):
 # 7: benchmark
 
 
-def brute_contamination(rows, bench, window):
-    rx = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-    wins = {}
-    for k, t in bench:
-        w = words(t, rx)
-        if k is None or not w:
-            continue
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1):
-            wins.setdefault(tuple(w[i : i + n]), set()).add(str(k))
-    out = []
-    for i, t in rows:
-        w = words(t, rx)
-        hit, items = set(), set()
-        for g, ks in wins.items():
-            for p in range(len(w) - len(g) + 1):
-                if tuple(w[p : p + len(g)]) == g:
-                    hit.update(range(p, p + len(g)))
-                    items |= ks
-        out.append((i, len(w), len(hit), ",".join(sorted(items)), bool(hit)))
-    return sorted(out, key=str)
-
-
 @pytest.mark.parametrize("block_chars", [10**9, 60])
 def test_contamination_equals_brute_force(spark, block_chars):
     rng = random.Random(8)
@@ -363,15 +426,26 @@ def test_contamination_equals_brute_force(spark, block_chars):
     assert decontaminate.contamination(df, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_text_of_more_words_than_a_rank_has_room_for():
+    n = (1 << 21) + 50
+    text = " ".join(map(str, range(n)))
+    probe = decontaminate.Probe([("a", " ".join(map(str, range(n - 20, n - 5)))), ("b", "5 6 8"), ("c", "7 8 9")], 10)
+    counts, doc, start, size, item = decontaminate._search(pa.array(["x", text, None]), probe)
+    assert counts.tolist() == [1, n, 0] and set(doc.tolist()) == {1}
+    assert sorted(zip(start.tolist(), size.tolist(), item.tolist(), strict=True)) == [(7, 3, 2), *((n - 20 + k, 10, 0) for k in range(6))]
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(4)
     for depth in (3, 12, 40):
         rank = rng.integers(1, 4, 300)
         rank[[0, 77, 78, 200, 299]] = 0
         order, _ = decontaminate.suffix_array(rank, depth)
+        two, _ = decontaminate.suffix_array(rank, depth, 2, 31)
         ends = [int(np.flatnonzero(rank[p:] == 0)[0]) for p in range(len(rank))]
         view = [tuple(rank[p : p + min(depth, e)]) for p, e in enumerate(ends)]
         got = [view[p] for p in order]
+        assert [view[p] for p in two] == got
         assert sorted(order.tolist()) == list(range(300)) and got == sorted(got)
 
 
@@ -438,6 +512,80 @@ def test_merkle_of_few_and_repeated_rows(spark):
     assert three.count() == 3
 
 
+@pytest.mark.parametrize("kind", ["wide", "string", "decimal", "clustered"])
+def test_next_documents_of_any_ids(spark, kind):
+    """The next one in descending order, over many ranges, for ids of any type and spread."""
+    rng = random.Random(14)
+    ids = {"wide": [-(2**63), 2**63 - 1, *(rng.randrange(-(2**62), 2**62) for _ in range(80))], "string": [f"d{k}" for k in range(90)] + ["", "é"], "decimal": [10**25 + k * 7 for k in range(60)], "clustered": [*range(100), 2**60, -(2**60)]}[kind]
+    ids = [None, *ids]
+    texts = {i: f"text of {i} " + "x" * rng.randrange(9) for i in ids}
+    schema = {"string": "doc_id string, text string", "decimal": "doc_id decimal(38,0), text string"}.get(kind, "doc_id long, text string")
+    made = [(Decimal(i) if kind == "decimal" and i is not None else i, t) for i, t in texts.items()]
+    df = merkle.with_next(spark.createDataFrame(made, schema).repartition(5), "doc_id", "text", per_range=7)
+    assert df.select("_b").distinct().count() > 3
+    over = Window.partitionBy("_b").orderBy("_g", F.col("_k").desc(), "text")
+    got = {r.text: r.n for r in df.withColumn("n", F.lead("text").over(over)).filter("not _g").select("text", "n").collect()}
+    ordered = [texts[i] for i in sorted((i for i in ids if i is not None), key=lambda i: i.encode() if kind == "string" else i, reverse=True)] + [texts[None]]
+    assert got == dict(zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+
+
+def test_pieces_are_cut_by_content(spark):
+    """One line without spaces, and one inserted word: most leaves stay; equal roots for equal texts alone."""
+    rng = random.Random(15)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20000))
+    line = " ".join(f"w{rng.randrange(9999)}." if rng.random() < 0.1 else f"w{rng.randrange(9999)}" for _ in range(5000))
+    same = "ab" * 3000
+    rows = [(1, wide), (2, wide[:50] + "\u4e01\u9000" + wide[50:]), (3, line), (4, "start " + line), (5, same), (6, same + "b"), (7, "a\x01b"), (8, "ab")]
+    df = merkle.merkle_tree(docs_of(spark, rows), F.col("text"), "tree").select("doc_id", "tree")
+    a, b = df.withColumnRenamed("tree", "a"), df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tree").alias("b"))
+    got = {r.doc_id: r.near for r in merkle.likeness(a.join(b, "doc_id"), "a", "b", "near").collect()}
+    assert got[1] > 0.9 and got[3] > 0.98 and got[5] < 1 and got[7] < 1
+    assert df.select("tree.root").distinct().count() == len(rows)
+    edited = merkle.edited_fingerprints(docs_of(spark, rows[:1] + [(0, "z" * 9000)]))
+    assert 0.6 < {r.doc_id: r.near_edited for r in edited.collect()}[1] < 0.7
+
+
+def test_likeness_by_descent_equals_sets_of_leaves(spark):
+    rng = random.Random(16)
+    lines = [sentence(rng, 20) + "." for _ in range(80)]
+    rows = []
+    for k in range(30):
+        mine = [rng.choice(lines) for _ in range(rng.randrange(1, 60))] if k % 3 else lines[: rng.randrange(1, 80)]
+        rows.append((k, "\n".join(mine)))
+    df = merkle.merkle_tree(docs_of(spark, rows), F.col("text"), "tree").select("doc_id", "tree")
+    pairs = df.select(F.lit(0).alias("z"), "doc_id", F.col("tree").alias("a")).join(df.select(F.lit(0).alias("z"), F.col("doc_id").alias("o"), F.col("tree").alias("b")), "z")
+    for r in merkle.likeness(pairs, "a", "b", "near").collect():
+        x, y = set(r.a.leaves), set(r.b.leaves)
+        assert r.near == pytest.approx(1.0 if r.a.root == r.b.root else len(x & y) / max(len(x), len(y)))
+
+
+# Very long texts
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of 1.5 million characters passes through every operator, whole."""
+    rng = random.Random(17)
+    long = sentence(rng, 250_000, 50_000)
+    rows = [(1, long), (2, long[:-20] + " and another end"), (3, "short\nReleased under the MIT License."), (4, long + "\nReleased under the MIT License.")]
+    df = docs_of(spark, rows)
+    lab = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.licences for r in licences.licence_scan(df).collect()} == {1: [], 2: [], 3: ["MIT"], 4: ["MIT"]}
+    assert toxicity.score(df, toxicity.fit(df, lab, rounds=2)).count() == 4 and quality.score(df, quality.fit(df, lab, rounds=0)).count() == 4
+    pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.org/"), "text").alias("url"), F.col("text").alias("html"))
+    back = {r.page_id: (r.payload_bytes, r.url) for r in warc.read_archives(warc.write_archives(warc.planned(pages), f"file://{tmp_path}/w")).collect()}
+    assert back == {k: (len(t), "http://a.org/" + t.replace("\n", " ")) for k, t in rows}
+    got = {r.page_id: r for r in url_filter.judged(pages, spark.createDataFrame([], "u string")).collect()}
+    assert got[1].path == "/" + long and got[1].rule == "org/"
+    assert {r.doc_id: r.component_id for r in prefix_tree_join.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    bench = spark.createDataFrame([(9, " ".join(long.split()[-30:]))], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(df, bench).collect()} == {1: True, 2: True, 3: False, 4: True}
+    assert {r.doc_id for r in mixing.mixed(df, share=(30, 10)).collect()} == {1, 2, 3, 4}
+    near = {r.doc_id: r for r in merkle.edited_fingerprints(df).collect()}
+    assert near[2].n_chars == len(rows[1][1]) and near[2].near_next > 0.99
+    scored = {r.doc_id: r for r in context_tree.scores(df, bucket_bytes=1 << 19).collect()}
+    assert scored[1].n_tokens == 250_001 and scored[4].score < scored[1].score < scored[3].score < 0
+
+
 # 10: context trees
 
 
