@@ -24,7 +24,7 @@ CATALOGUE = (
     Pattern(rf"\b(52-[A-Z0-9]+{_SUB})\b", "52"),
     Pattern(rf"\b(50-[A-Z0-9]+{_SUB})\b", "50"),
     Pattern(rf"\b(51-[A-Z0-9]+{_SUB})\b", "51"),
-    Pattern(r"\b(86[A-Z]{1,3}[0-9]*)\b", "86"),
+    Pattern(r"\b(86[A-Z]{1,3}\d*)\b", "86"),
     Pattern(rf"\b(87-[A-Z0-9]+{_SUB})\b", "87"),
     Pattern(rf"\b(89-[A-Z0-9]+{_SUB})\b", "89"),
     Pattern(r"\b(21-[A-Z0-9]+)\b", "21"),
@@ -34,94 +34,94 @@ CATALOGUE = (
     Pattern(r"\b(67-[A-Z0-9]+)\b", "67"),
     Pattern(r"\b(81-[A-Z0-9]+)\b", "81"),
     Pattern(r"\b(79-[A-Z0-9]+)\b", "79"),
-    Pattern(r"\b(SEL-[0-9]{3,4}[A-Z0-9]{0,5})\b", "RELAY"),
+    Pattern(r"\b(SEL-\d{3,4}[A-Z0-9]{0,5})\b", "RELAY"),
     Pattern(r"\b(GE-[A-Z0-9]+)\b", "RELAY"),
-    Pattern(r"\bGE\s+(L[0-9]+[A-Z]?)\b", "RELAY", "GE-{}"),
+    Pattern(r"\bGE\s+(L\d+[A-Z]?)\b", "RELAY", "GE-{}"),
     Pattern(r"\b(ABB-[A-Z0-9]+)\b", "RELAY"),
     Pattern(r"\b(BECKWITH-[A-Z0-9]+)\b", "RELAY", "BECKWITH-{}"),
-    Pattern(r"\bBECKWITH\s+(M-?[0-9]+[A-Z]*)\b", "RELAY"),
-    Pattern(r"\b(TESLA-?[0-9]+)\b", "RELAY"),
+    Pattern(r"\bBECKWITH\s+(M-?\d+[A-Z]*)\b", "RELAY"),
+    Pattern(r"\b(TESLA-?\d+)\b", "RELAY"),
     Pattern(rf"\b(CT-[A-Z0-9]+{_SUB})\b", "CT"),
     Pattern(rf"\b(PT-[A-Z0-9]+{_SUB})\b", "PT"),
     Pattern(rf"\b(VT-[A-Z0-9]+{_SUB})\b", "VT"),
     Pattern(rf"\b(CCVT-[A-Z0-9]+{_SUB})\b", "CCVT"),
-    Pattern(r"\b(FU[0-9]+[A-Z]?)\b", "FU"),
+    Pattern(r"\b(FU\d+[A-Z]?)\b", "FU"),
     Pattern(r"\b(NGR-[A-Z0-9]+)\b", "NGR"),
-    Pattern(r"\b(SW-[0-9]+)\b", "SW"),
-    Pattern(r"\b((?:DC\s*)?PANEL\s+(?:[0-9]+[A-Z]?|[A-Z]{1,3}[0-9]+))\b", "PANEL"),
-    Pattern(r"\b(86[A-Z]{1,4}[0-9]?)\b", "86", sources="p", in_label=False),
-    Pattern(r"\b(DC\s*PANEL\s*[A-Z]*[0-9]*)\b", "PANEL", sources="pd", in_label=False),
-    Pattern(r"BREAKER\s+([0-9]+)", "52", "BREAKER-{}", sources="pd", in_label=False),
-    Pattern(r"\bDPAC-?([0-9]+[A-Z]?)\b", "RELAY", "DPAC-{}"),
-    Pattern(r"\b(SEL-C[0-9]{2,})\b", "CABLE"),
-    Pattern(r"\b(OUT[0-9]{2,})\b", "RELAY"),
-    Pattern(r"\b(IN[0-9]{3,})\b", "RELAY"),
-    Pattern(r"\bCIRCUIT\s+([0-9]+)\b", "52", "CIRCUIT-{}", in_label=False),
-    Pattern(r"\bDFR-?([0-9]+)\b", "DFR", "DFR-{}"),
-    Pattern(r"\b(CM-[0-9]+)\b", "DFR"),
-    Pattern(r"\b(VM-[0-9]+)\b", "DFR"),
-    Pattern(r"\b(CMET-[0-9]+)\b", "CMET"),
-    Pattern(r"\bFPP-?([0-9]+)\b", "FPP", "FPP-{}"),
-    Pattern(r"\b(HS[0-9]{2,})\b", "HS"),
-    Pattern(r"\b(TEE[0-9]+[A-Z]?)\b", "UNKNOWN"),
+    Pattern(r"\b(SW-\d+)\b", "SW"),
+    Pattern(r"\b((?:DC\s*)?PANEL\s+(?:\d+[A-Z]?|[A-Z]{1,3}\d+))\b", "PANEL"),
+    Pattern(r"\b(86[A-Z]{1,4}\d?)\b", "86", sources="p", in_label=False),
+    Pattern(r"\b(DC\s*PANEL\s*[A-Z]*\d*)\b", "PANEL", sources="pd", in_label=False),
+    Pattern(r"BREAKER\s+(\d+)", "52", "BREAKER-{}", sources="pd", in_label=False),
+    Pattern(r"\bDPAC-?(\d+[A-Z]?)\b", "RELAY", "DPAC-{}"),
+    Pattern(r"\b(SEL-C\d{2,})\b", "CABLE"),
+    Pattern(r"\b(OUT\d{2,})\b", "RELAY"),
+    Pattern(r"\b(IN\d{3,})\b", "RELAY"),
+    Pattern(r"\bCIRCUIT\s+(\d+)\b", "52", "CIRCUIT-{}", in_label=False),
+    Pattern(r"\bDFR-?(\d+)\b", "DFR", "DFR-{}"),
+    Pattern(r"\b(CM-\d+)\b", "DFR"),
+    Pattern(r"\b(VM-\d+)\b", "DFR"),
+    Pattern(r"\b(CMET-\d+)\b", "CMET"),
+    Pattern(r"\bFPP-?(\d+)\b", "FPP", "FPP-{}"),
+    Pattern(r"\b(HS\d{2,})\b", "HS"),
+    Pattern(r"\b(TEE\d+[A-Z]?)\b", "UNKNOWN"),
     Pattern(r"\b(52[AB])\b", "52"),
-    Pattern(r"\b(WSL-[0-9]+[PS]?)\b", "CT"),
-    Pattern(r"\b(PS[0-9]+)\b", "PS"),
-    Pattern(r"\b(RP[0-9]+)\b", "PANEL"),
-    Pattern(r"\b(ETM-T[0-9]+)\b", "RELAY"),
-    Pattern(r"\b(LTC-T[0-9]+)\b", "LTC"),
+    Pattern(r"\b(WSL-\d+[PS]?)\b", "CT"),
+    Pattern(r"\b(PS\d+)\b", "PS"),
+    Pattern(r"\b(RP\d+)\b", "PANEL"),
+    Pattern(r"\b(ETM-T\d+)\b", "RELAY"),
+    Pattern(r"\b(LTC-T\d+)\b", "LTC"),
     Pattern(r"\b(SST)\b", "TX"),
-    Pattern(r"\b(AC\s*PANEL\s*AC[0-9]+)\b", "PANEL"),
+    Pattern(r"\b(AC\s*PANEL\s*AC\d+)\b", "PANEL"),
     Pattern(r"\b(FU-[A-Z]{2,})\b", "FU"),
-    Pattern(r"\b(BESS-AUX[0-9]+)\b", "BAT"),
+    Pattern(r"\b(BESS-AUX\d+)\b", "BAT"),
     Pattern(r"\b(IRIG-B)\b", "UNKNOWN", in_label=False),
     Pattern(r"\b(TC[12])\b", "52"),
     Pattern(r"\b(LOR)\b", "86"),
-    Pattern(r"\b(VDC[0-9]+)\b", "PS"),
+    Pattern(r"\b(VDC\d+)\b", "PS"),
     Pattern(r"\b([PS]M68)\b", "RELAY"),
     Pattern(r"\b(C[12348]00)\b", "CT"),
-    Pattern(r"\b(TB[0-9]{1,2})\b(?!-)", "TB", in_label=False),
-    Pattern(r"\b(TS[0-9]{1,2})\b(?!-)", "TB", in_label=False),
+    Pattern(r"\b(TB\d{1,2})\b(?!-)", "TB", in_label=False),
+    Pattern(r"\b(TS\d{1,2})\b(?!-)", "TB", in_label=False),
     Pattern(r"\b(RTAC)\b", "RTAC"),
     Pattern(r"\b(CLOCK)\b", "CLOCK"),
     Pattern(r"\b(PDC)\b", "PDC"),
-    Pattern(r"\b(CISCO\s+(?:IE-?[0-9]+|CGR-?[0-9]+))\b", "NETSW"),
-    Pattern(r"\b(RTR-[0-9]+)\b", "RTR"),
-    Pattern(r"\b(BAF-[0-9]+)\b", "FU"),
+    Pattern(r"\b(CISCO\s+(?:IE-?\d+|CGR-?\d+))\b", "NETSW"),
+    Pattern(r"\b(RTR-\d+)\b", "RTR"),
+    Pattern(r"\b(BAF-\d+)\b", "FU"),
     Pattern(r"\b(POWER\s*STRIP)\b", "PS"),
     Pattern(r"\b(ATS)\b", "ATS"),
     Pattern(r"\b(RTU)\b", "RTAC"),
-    Pattern(r"\b(HVAC-[0-9]+)\b", "UNKNOWN"),
-    Pattern(r"\b(BP-[0-9]+)\b", "PT"),
-    Pattern(r"\b(EMS-[A-Z]+-?[0-9]*)\b", "RTAC"),
-    Pattern(r"\b(BATTERY\s+(?:BANK|CHARGER)\s+#[0-9]+)\b", "BAT"),
-    Pattern(r"\b(UPS-?[0-9]*)\b", "UPS"),
+    Pattern(r"\b(HVAC-\d+)\b", "UNKNOWN"),
+    Pattern(r"\b(BP-\d+)\b", "PT"),
+    Pattern(r"\b(EMS-[A-Z]+-?\d*)\b", "RTAC"),
+    Pattern(r"\b(BATTERY\s+(?:BANK|CHARGER)\s+#\d+)\b", "BAT"),
+    Pattern(r"\b(UPS-?\d*)\b", "UPS"),
     Pattern(r"\b(MCC-?[A-Z0-9]*)\b", "MCC"),
     Pattern(r"\b(SWGR-?[A-Z0-9]*)\b", "SWGR"),
-    Pattern(r"\b(VFD-?[0-9]+)\b", "VFD"),
-    Pattern(r"\b(PLC-?[0-9]*)\b", "PLC"),
-    Pattern(r"\b(RECT-?[0-9]*)\b", "RECT"),
-    Pattern(r"\b(MOV-?[0-9]*)\b", "MOV"),
-    Pattern(r"\b([LS]A-[0-9]+)\b", "MOV"),
-    Pattern(r"\b(SPD-?[0-9]*)\b", "SPD"),
-    Pattern(r"\b(REG-?[0-9]*)\b", "REG"),
-    Pattern(r"\b(GEN-?[0-9]*)\b", "GEN"),
+    Pattern(r"\b(VFD-?\d+)\b", "VFD"),
+    Pattern(r"\b(PLC-?\d*)\b", "PLC"),
+    Pattern(r"\b(RECT-?\d*)\b", "RECT"),
+    Pattern(r"\b(MOV-?\d*)\b", "MOV"),
+    Pattern(r"\b([LS]A-\d+)\b", "MOV"),
+    Pattern(r"\b(SPD-?\d*)\b", "SPD"),
+    Pattern(r"\b(REG-?\d*)\b", "REG"),
+    Pattern(r"\b(GEN-?\d*)\b", "GEN"),
 )
 
-VOLTAGE = r"([0-9]+\.?[0-9]*)\s*(kV|V|KV)\s*(AC|DC)?"
-CURRENT = r"([0-9]+\.?[0-9]*)\s*(A|kA|MA)\b"
-IMPEDANCE = r"([0-9]+\.?[0-9]*)\s*(%Z|%|[Oo][Hh][Mm]|Ω)"
-POWER = r"([0-9]+(?:/[0-9]+)*)\s*(MVA|KVA|kVA)"
-RATIO = r"([0-9]+(?:/[0-9]+)*:[0-9]+(?::[0-9]+)?)"
-CABLE = r"([0-9]+/C\s*#[0-9]+\w*)"
-PAIRS = r"\b([0-9]+PR\s*#[0-9]+SH?)\b"
+VOLTAGE = r"(\d+\.?\d*)\s*(kV|V|KV)\s*(AC|DC)?"
+CURRENT = r"(\d+\.?\d*)\s*(A|kA|MA)\b"
+IMPEDANCE = r"(\d+\.?\d*)\s*(%Z|%|[Oo][Hh][Mm]|Ω)"
+POWER = r"(\d+(?:/\d+)*)\s*(MVA|KVA|kVA)"
+RATIO = r"(\d+(?:/\d+)*:\d+(?::\d+)?)"
+CABLE = r"(\d+/C\s*#\d+\w*)"
+PAIRS = r"\b(\d+PR\s*#\d+SH?)\b"
 NAMED_CABLE = r"(?i)\b(CAT[56]E?|MM\s*FIBER|SM\s*FIBER|COAX)\b"
-CABLE_LABEL = r"\b([A-Z]+[0-9]*\.[0-9]{2}-[A-Z][0-9]+\.[A-Z]+)\b"
-TERMINAL = r"\b(T[SB][0-9]+-[0-9]+)\b"
-BLOCK_TERMINAL = r"\bTB([0-9]+)-([0-9]+)\b"
-STRIP_TERMINAL = r"\bTS([0-9]+)-([0-9]+)\b"
-DRAWING_REF = r"\b(E[CPS]-[0-9]{3}\.[0-9])\b"
-SHEET_REF = r"\b(NRE-E[CP]-[0-9]{3}\.[0-9])\b"
+CABLE_LABEL = r"\b([A-Z]+\d*\.\d{2}-[A-Z]\d+\.[A-Z]+)\b"
+TERMINAL = r"\b(T[SB]\d+-\d+)\b"
+BLOCK_TERMINAL = r"\bTB(\d+)-(\d+)\b"
+STRIP_TERMINAL = r"\bTS(\d+)-(\d+)\b"
+DRAWING_REF = r"\b(E[CPS]-\d{3}\.\d)\b"
+SHEET_REF = r"\b(NRE-E[CP]-\d{3}\.\d)\b"
 SIGNAL_WORDS = ("TRIP", "CLOSE", "OPEN", "SCADA", "BF TRIP", "LOCKOUT", "ALARM", "BLOCK", "INITIATE", "TRANSFER", "INTERLOCK", "METERING", "STATUS", "CONTROL", "POWER", "AUX")
 TITLE_WORDS = ("DRAWN BY", "DESIGNED BY", "REVIEWED BY", "DATE", "PROJECT", "DRAWING", "ENGINEER", "STAMP")
 
@@ -255,3 +255,7 @@ DESCRIPTIONS = {
     "VT": "Voltage transformer",
     "CCVT": "Coupling capacitor voltage transformer",
 }
+
+#: Words of a sheet's header row, and beginnings of nameplate lines that name a place.
+HEADER_WORDS = ("ITEM", "QTY", "QUANTITY", "MATERIAL", "CATALOG", "DESCRIPTION", "DEVICE", "SIZE", "DRAWING", "DWG")
+PLACES = ("34.5kV", "138kV", "NORTH", "SOUTH", "EAST", "H-FRAME", "NE ", "SW ", "NW ", "SE ")

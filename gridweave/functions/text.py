@@ -53,9 +53,9 @@ def entity_category(text: Column) -> Column:
     )
 
 
-CELL_COMPONENT = r"\b(?:52|50|51|86|87|89|21|25|27|59|67|81)-[A-Z0-9]|SEL-[0-9]+|CT-|PT-|VT-|CCVT-|FU[0-9]+|BAF-[0-9]+|TB[0-9]+|TS[0-9]+|SW-[0-9]+|RTAC|CLOCK|PDC|DFR|FPP|DPAC"
-CELL_VALUE = r"[0-9]+\s*(?:kV|V|A|kA|MVA)"
-CELL_CABLE = r"[0-9]+/C\s*#[0-9]+"
+CELL_COMPONENT = r"\b(?:52|50|51|86|87|89|21|25|27|59|67|81)-[A-Z0-9]|SEL-\d+|CT-|PT-|VT-|CCVT-|FU\d+|BAF-\d+|TB\d+|TS\d+|SW-\d+|RTAC|CLOCK|PDC|DFR|FPP|DPAC"
+CELL_VALUE = r"\d+\s*(?:kV|V|A|kA|MVA)"
+CELL_CABLE = r"\d+/C\s*#\d+"
 
 
 def cell_category(text: Column, header: Column) -> Column:
@@ -141,7 +141,7 @@ def in_table(components: DataFrame, table_rows: DataFrame) -> DataFrame:
 
 def drop_noise(components: DataFrame) -> DataFrame:
     """Without ids that are blank, only digits, or shorter than two characters."""
-    return components.filter((F.length(F.trim("component_id")) >= 2) & ~F.col("component_id").rlike("^[0-9]+$"))
+    return components.filter((F.length(F.trim("component_id")) >= 2) & ~F.col("component_id").rlike(r"^\d+$"))
 
 
 def electrical_values(text: Column) -> Column:
@@ -204,7 +204,7 @@ def title_fields(text: Column) -> Column:
 
 def notes(text: Column) -> Column:
     """Numbered notes above 10 characters, with their indented lines, then lines above 5 of the first NOTES section; each once."""
-    numbered = F.filter(F.transform(all_of(text, r"([0-9]+\.\s+[^\n]+(?:\n[ \t]+[^\n]+)*)"), lambda x: F.trim(x)), lambda x: F.length(x) > 10)
+    numbered = F.filter(F.transform(all_of(text, r"(\d+\.\s+[^\n]+(?:\n[ \t]+[^\n]+)*)"), lambda x: F.trim(x)), lambda x: F.length(x) > 10)
     section = F.regexp_extract(text, r"(?is)NOTES?\s*:\s*\n(.*?)(?:\n\s*\n|\z)", 1)
     lines = F.filter(F.transform(F.split(section, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
     return F.array_distinct(F.concat(numbered, lines))
@@ -212,8 +212,8 @@ def notes(text: Column) -> Column:
 
 def voltage_levels(text: Column) -> Column:
     """Distinct kV levels and AC / DC supplies, sorted as strings."""
-    kv = F.transform(all_of(text, r"([0-9]+\.?[0-9]*)\s*(?:kV|KV)"), lambda x: F.concat(x, F.lit("kV")))
-    v, k = all_of(text, r"([0-9]+)\s*V\s*(AC|DC)", 1), all_of(text, r"([0-9]+)\s*V\s*(AC|DC)", 2)
+    kv = F.transform(all_of(text, r"(\d+\.?\d*)\s*(?:kV|KV)"), lambda x: F.concat(x, F.lit("kV")))
+    v, k = all_of(text, r"(\d+)\s*V\s*(AC|DC)", 1), all_of(text, r"(\d+)\s*V\s*(AC|DC)", 2)
     return F.array_sort(F.array_distinct(F.concat(kv, F.transform(v, lambda x, i: F.concat(x, F.lit("V "), F.get(k, i))))))
 
 

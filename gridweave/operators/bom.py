@@ -15,7 +15,6 @@ from ..functions.text import electrical_values
 
 c = F.col
 SHEET = ["drawing_id", "sheet", "sheet_pos"]
-HEADER_WORDS = ("ITEM", "QTY", "QUANTITY", "MATERIAL", "CATALOG", "DESCRIPTION", "DEVICE", "SIZE", "DRAWING", "DWG")
 
 
 def bom_cells(cells: DataFrame) -> DataFrame:
@@ -31,7 +30,7 @@ def header_rows(cells: DataFrame) -> DataFrame:
     """Of the first five rows the one with most header words, if two or more; else the first."""
     early = rows_of(cells.filter("row <= 5"))
     upper = F.upper(F.array_join(F.map_values("cells"), " "))
-    score = sum((F.contains(upper, F.lit(w)).cast("int") for w in HEADER_WORDS), F.lit(0))
+    score = sum((F.contains(upper, F.lit(w)).cast("int") for w in P.HEADER_WORDS), F.lit(0))
     return early.withColumn("score", score).groupBy(*SHEET).agg(F.max_by(F.struct("row", "cells"), F.struct(F.when(c("score") >= 2, c("score")).otherwise(0), -c("row"))).alias("h")).select(*SHEET, c("h.row").alias("header_row"), c("h.cells").alias("header"))
 
 
@@ -92,9 +91,9 @@ def designation_type(name: Column, description: Column) -> Column:
     """The type of a nameplate by its name, then by its second line."""
     u, d = F.upper(name), F.upper(F.coalesce(description, F.lit("")))
     return (
-        F.when(u.rlike("^(LT[0-9]+-)?T[BS][0-9]*$"), "TB")
-        .when(u.rlike("^FU[0-9]*$") | F.contains(d, F.lit("FUSE")), "FU")
-        .when(u.rlike("^SW-?[0-9]*$"), "SW")
+        F.when(u.rlike(r"^(LT\d+-)?T[BS]\d*$"), "TB")
+        .when(u.rlike(r"^FU\d*$") | F.contains(d, F.lit("FUSE")), "FU")
+        .when(u.rlike(r"^SW-?\d*$"), "SW")
         .when(d.rlike("JUNCTION BOX|ENCLOSURE"), "JB")
         .when(u.startswith("CT-"), "CT")
         .when(u.startswith("VT-"), "VT")
@@ -127,18 +126,15 @@ def line_items(cells: DataFrame) -> DataFrame:
     return named.select(*SHEET, "row", "component_id", material_type(c("description"), c("qty"), c("catalog")).alias("component_type"), "item", "qty", "catalog", "description", values.alias("values"))
 
 
-PLACES = ("34.5kV", "138kV", "NORTH", "SOUTH", "EAST", "H-FRAME", "NE ", "SW ", "NW ", "SE ")
-
-
 def nameplates(cells: DataFrame) -> DataFrame:
     """Nameplate lines as components; short names get the sheet's prefix. The last row of an id wins."""
     rows = _body(cells).filter("kind = 'nameplate'").select(*SHEET, "row", cell("1st_line").alias("line1"), cell("2nd_line").alias("line2"), cell("item").alias("item"), cell("size").alias("size"), cell("letter_size").alias("letter_size"), cell("qty").alias("qty")).filter("line1 <> ''")
     prefix = F.trim(F.replace(F.upper("sheet"), F.lit("NAMEPLATE"), F.lit("")))
     rows = rows.withColumn("prefix", F.when(prefix.isin("", "SCHEDULE"), "").otherwise(prefix))
     placed = F.lit(False)
-    for p in PLACES:
+    for p in P.PLACES:
         placed = placed | c("line1").startswith(p)
-    short = (F.length("line1") <= 6) & ~c("line1").rlike("^[0-9]") & ~placed
+    short = (F.length("line1") <= 6) & ~c("line1").rlike(r"^\d") & ~placed
     name = F.when((c("prefix") != "") & (c("line1").isin("TB", "TB1") | short), F.concat("prefix", F.lit("-"), "line1")).otherwise(c("line1"))
     rows = rows.withColumn("component_id", name).withColumn("component_type", designation_type(name, c("line2"))).withColumn("description", F.when(c("line2") != "", c("line2")).otherwise(c("line1")))
     at = F.struct("sheet_pos", "row")

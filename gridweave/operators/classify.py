@@ -24,7 +24,7 @@ def normalise_type(text: Column) -> Column:
 
 def by_number(drawing_id: Column) -> Column:
     """By the first run of one to three digits of the id."""
-    n = F.nullif(F.regexp_extract(drawing_id, "([0-9]{1,3})", 1), F.lit("")).cast("int")
+    n = F.nullif(F.regexp_extract(drawing_id, r"(\d{1,3})", 1), F.lit("")).cast("int")
     out = F.lit("UNKNOWN")
     for low, high, kind in reversed(NUMBER_SERIES):
         out = F.when(n.between(low, high), kind).otherwise(out)
