@@ -36,16 +36,30 @@ def near_pairs(left: DataFrame, right: DataFrame, dy: float, dx: float | None =
     return out.drop("cy", "cx")
 
 
+#: Distances within which a nearest label is looked for first; a hit nearer than the width can't be beaten from outside.
+RINGS = (25.0, 200.0)
+
+
 def nearest_component(values: DataFrame, labels: DataFrame, components: DataFrame) -> DataFrame:
     """Each value goes to the nearest component label of its drawing, if that is a component there.
 
     The first label wins ties; a value text counts once for a component.  values: drawing_id,
-    seq, value, x, y.  labels: drawing_id, seq, text, x, y.  The rule has no bound, so labels
-    meet all values of their drawing; a running minimum keeps one row a value.
+    seq, value, x, y.  labels: drawing_id, seq, text, x, y.  The rule has no bound, so values
+    look in ever wider rings of grid cells; only those that find nothing in the widest meet
+    all labels of their drawing.
     """
+    keys = ["drawing_id", "seq", "value"]
+    labels = labels.select("drawing_id", "seq", "text", "x", "y")
+    open_, best = values.select(*keys, "x", "y"), None
+    for width in RINGS:
+        far = F.sqrt((c("l_x") - c("r_x")) ** 2 + (c("l_y") - c("r_y")) ** 2)
+        near = near_pairs(open_, labels, width, width).withColumn("far", far).filter(c("far") < width)
+        hit = near.groupBy("drawing_id", c("l_seq").alias("seq"), c("l_value").alias("value")).agg(F.min_by("r_text", F.struct("far", "r_seq")).alias("component_id"))
+        best = hit if best is None else best.unionByName(hit)
+        open_ = open_.join(hit.select(*keys), keys, "left_anti")
     at = labels.select("drawing_id", c("seq").alias("lseq"), c("text").alias("component_id"), c("x").alias("lx"), c("y").alias("ly"))
     far = F.sqrt((c("x") - c("lx")) ** 2 + (c("y") - c("ly")) ** 2)
-    best = values.join(at, "drawing_id").groupBy("drawing_id", "seq", "value").agg(F.min_by("component_id", F.struct(far, c("lseq"))).alias("component_id"))
+    best = best.unionByName(open_.join(at, "drawing_id").groupBy(*keys).agg(F.min_by("component_id", F.struct(far, c("lseq"))).alias("component_id")))
     best = best.join(components.select("drawing_id", "component_id"), ["drawing_id", "component_id"], "left_semi")
     return best.groupBy("drawing_id", "component_id", "value").agg(F.min("seq").alias("seq"))
 

@@ -302,3 +302,17 @@ def test_plain_parts_are_in_every_hit():
     for p in P.CATALOGUE:
         for m in re.finditer(p.regex, seen, re.ASCII):
             assert literal_part(p.regex) in m[0], p.regex
+
+
+def test_nearest_by_rings_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    at = [(d, k, f"c{k}", float(rng.randrange(n)), float(rng.randrange(n))) for d, n in (("A", 60), ("B", 3000)) for k in range(30)]
+    vals = [(d, 100 + k, f"v{k}", float(rng.randrange(n)), float(rng.randrange(n))) for d, n in (("A", 60), ("B", 3000), ("C", 9)) for k in range(40)]
+    got = spatial.nearest_component(spark.createDataFrame(vals, "drawing_id string, seq long, value string, x double, y double"), spark.createDataFrame(at, "drawing_id string, seq long, text string, x double, y double"), spark.createDataFrame([(d, i) for d, _, i, *_ in at], "drawing_id string, component_id string"))
+    want = set()
+    for d, k, v, x, y in vals:
+        near = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, s, t) for e, s, t, a, b in at if e == d]
+        want |= {(d, min(near)[2], v, k)} if near else set()
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 80
