@@ -40,7 +40,7 @@ def _text_map(m: Column) -> Column:
 
 def flat(df: DataFrame) -> DataFrame:
     """A mismatch row as strings."""
-    return df.select("mismatch_id", "severity", "component_id", "parameter", F.array_join(F.array_sort("drawings_involved"), ",").alias("drawings"), _text_map(c("values_found")).alias("found"))
+    return df.select("mismatch_id", "severity", "component_id", "parameter", F.array_join(F.array_sort("drawings_involved"), ",").alias("drawings"), _text_map(c("values_found")).alias("found"), "message")
 
 
 _ID = "substr(sha256({}), 1, 24)"
@@ -192,10 +192,10 @@ _SUPPLIED = ", ".join(f"'{x}'" for x in P.DC_SUPPLIED)
 @query(
     "m12_dc_supply",
     "component connection line",
-    f"""{_edges()}, {_LISTED}, ids AS (SELECT DISTINCT component_id FROM component WHERE component_type IN ({_SUPPLIED}) AND NOT contains(component_id, '.')),
+    f"""{_edges()}, {_LISTED}, ids AS (SELECT component_id, min(component_type) AS ct FROM component WHERE component_type IN ({_SUPPLIED}) AND NOT contains(component_id, '.') GROUP BY component_id),
 s AS (SELECT DISTINCT upper(b) AS u, b FROM edge WHERE a ILIKE '%DC%'), p AS (SELECT DISTINCT upper(a) AS u FROM edge WHERE a ILIKE '%PWR%'),
 sig AS (SELECT DISTINCT component_id FROM line WHERE signal ILIKE '%POWER%' OR signal ILIKE '%DC%')
-SELECT {_ID.format("component_id || '|dc_supply'")} AS mismatch_id, 'INFO' AS severity, component_id, 'dc_supply' AS parameter, drawings, component_id || '=no DC supply connection found' AS found FROM ids JOIN listed USING (component_id)
+SELECT {_ID.format("component_id || '|dc_supply'")} AS mismatch_id, 'INFO' AS severity, component_id, 'dc_supply' AS parameter, drawings, component_id || '=no DC supply connection found' AS found, component_id || ' (' || ct || ') has no DC supply.' AS message FROM ids JOIN listed USING (component_id)
 WHERE NOT EXISTS (SELECT 1 FROM s WHERE starts_with(s.u, upper(component_id))) AND NOT EXISTS (SELECT 1 FROM s WHERE s.b = 'BREAKER ' || component_id)
   AND component_id || '.PWR' NOT IN (SELECT component_id FROM component) AND component_id NOT IN (SELECT component_id FROM sig)
   AND NOT EXISTS (SELECT 1 FROM p WHERE starts_with(p.u, upper(component_id)) AND contains(substr(p.u, length(component_id) + 1), 'PWR'))""",
@@ -204,8 +204,26 @@ def m12(r: Registry) -> DataFrame:
     return flat(checks.dc_supply(r.components, r.connections))
 
 
+#: What each check says, from the other columns of its rows; m12 says it by itself.
+_MESSAGES = {
+    "m1_value_mismatch": "component_id || ': values of ' || parameter || ' differ: ' || found",
+    "m2_type_mismatch": "component_id || ': types differ: ' || found",
+    "m3_broken_ref": "component_id || ' refers to ' || substr(found, length(component_id) + 2) || ', which was not scanned.'",
+    "m4_cable_mismatch": "'Cables between ' || replace(component_id, ' <-> ', ' and ') || ' differ: ' || found",
+    "m5_tb_conflict": "'Terminal counts of ' || component_id || ' differ: ' || found",
+    "m6_voltage_mismatch": "component_id || ': voltage ratings differ: ' || found",
+    "m7_relay_mismatch": "component_id || ': associated devices differ: ' || found",
+    "m8_orphan": "component_id || ' is only in ' || regexp_extract(found, '([^ ,=]+)=present', 1) || ', to which ' || (len(string_split(drawings, ',')) - 1) || ' drawings refer: ' || array_to_string(list_filter(string_split(drawings, ','), lambda d: d <> regexp_extract(found, '([^ ,=]+)=present', 1))[:5], ', ')",
+    "m9_trip_path": "component_id || ' has no way to ' || regexp_extract(found, '(?:^|, )([^=]*)=expected breaker', 1) || ', direct or over a lockout relay.'",
+    "m10_lockout": "'Lockout relay ' || component_id || CASE parameter WHEN 'lockout_connections' THEN ' has neither inputs nor outputs.' WHEN 'lockout_input' THEN ' has no inputs.' ELSE ' has no outputs.' END",
+    "m11_ct_relay": "component_id || ' is connected to no protective relay.'",
+}
+for _name, _said in _MESSAGES.items():
+    ORACLES[_name] = f"SELECT *, {_said} AS message FROM ({ORACLES[_name]})"
+
+
 def _every_check() -> str:
-    return " UNION ALL ".join(f"SELECT mismatch_id, severity, component_id, parameter, drawings, found FROM ({ORACLES[n]})" for n in CHECKS)
+    return " UNION ALL ".join(f"SELECT mismatch_id, severity, component_id, parameter, drawings, found, message FROM ({ORACLES[n]})" for n in CHECKS)
 
 
 #: The twelve checks.
