@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from gridweave.plans.corpus import STORED, Registry
 from gridweave.plans.queries import QUERIES
 
 #: The checks and plans of the reference's published times, and the heaviest text, place and graph work.
@@ -51,6 +52,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()  # starts the executors
     took = {}
+    began = time.time()
+    tables = Registry(spark, sf_dir)  # a scan fills the registry, the queries ask it
+    for name in STORED:
+        tables.raw(name)
+    tables.components, tables.drawings  # noqa: B018
+    took["registry_tables"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
