@@ -47,6 +47,8 @@ from .textbytes import NOT_SPACE, Words, group_rows, release, runs, slices
 
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 32 << 20
+#: Hubs of large groups go to all tasks up to this size.
+HUB_BYTES = 8 << 20
 TOP = np.uint64(1 << 63)
 
 
@@ -253,8 +255,10 @@ def _tasks(rows: DataFrame, block: int, similar) -> tuple[DataFrame, DataFrame]:
             tied = [a == h or similar(n, d.as_buffer(), m, e.as_buffer()) for a, n, d, h, m, e in zip(of["cls"].to_pylist(), of["n"].to_pylist(), of["data"], of["hub"].to_pylist(), of["hub_n"].to_pylist(), of["hub_data"], strict=True)]
             yield pa.RecordBatch.from_arrays([*(of[c] for c in ("g", "size", "cls", "n", "data", "hub")), pa.array(tied, pa.bool_())], names=["g", "size", "cls", "n", "data", "hub", "tied"])
 
-    met = large.join(small(hubs, 20_000), "g").select("g", "size", "cls", "n", "data", "hub", "hub_n", "hub_data")
-    met = written(met.mapInArrow(star, "g bigint, size bigint, cls bigint, n int, data binary, hub bigint, tied boolean"), "hubs")
+    hubs = written(hubs, "hubs")
+    size = hubs.agg(F.sum(F.octet_length("hub_data"))).first()[0] or 0
+    met = large.join(F.broadcast(hubs) if size <= HUB_BYTES else hubs, "g").select("g", "size", "cls", "n", "data", "hub", "hub_n", "hub_data")
+    met = written(met.mapInArrow(star, "g bigint, size bigint, cls bigint, n int, data binary, hub bigint, tied boolean"), "met")
     links = met.filter("tied and cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     loose = met.filter("not tied").groupBy("g").agg(F.count("*").alias("u"))
     open_ = met.join(small(loose), "g").withColumn("k", F.ceil(F.col("size") / block).cast("int")).withColumn("o", F.ceil(F.col("u") / block).cast("int"))
