@@ -41,15 +41,13 @@ class Adam:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 300, rate: float = 0.05) -> np.ndarray:
-    """Weights of a logistic model; the last is the intercept."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a logistic model; the last is the intercept. Rows of weight 0 don't count."""
     weight = np.ones(len(x)) if weight is None else weight
-    w, adam, total = np.zeros(x1.shape[1]), Adam(x1.shape[1], rate), max(weight.sum(), 1e-9)
+    w, adam, total = np.zeros(x.shape[1] + 1), Adam(x.shape[1] + 1, rate), max(weight.sum(), 1e-9)
     for _ in range(rounds):
         # products in the matrix's own precision: no wider copy of it is made
-        slope = (sigmoid(x1 @ w.astype(x1.dtype)) - y) * weight / total
-        g = (slope.astype(x1.dtype) @ x1).astype(float)
-        g[:-1] += l2 * w[:-1]
+        slope = (sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y) * weight / total
+        g = np.append((slope.astype(x.dtype) @ x).astype(float) + l2 * w[:-1], slope.sum())
         w = adam.step(w, g)
     return w
 

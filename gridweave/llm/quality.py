@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .shared import dropped, held_out, small_batches, written
 from .textbytes import NOT_SPACE, Words, as_array, joined, release, slices
 
 HASHED = 512
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
 LANGS, SOURCES, LENGTHS = 16, 128, 40
 
 _UPPER, _LOWER, _DIGIT, _PUNCT = (np.zeros(256, bool) for _ in range(4))
@@ -41,7 +42,7 @@ _SYMBOL &= ~(_UPPER | _LOWER | _DIGIT | _PUNCT)
 def text_view(texts) -> np.ndarray:
     """Shares of character classes, word lengths, repetition, and hashed words, by text."""
     out = []
-    for begin, end in slices(texts, SLICE_BYTES):
+    for begin, end in slices(texts, SLICE_BYTES, SLICE_ROWS):
         part = texts.slice(begin, end - begin)
         raw, at = joined(part)
         n_bytes = np.maximum(1, np.diff(at) - 1)
@@ -67,22 +68,32 @@ def text_view(texts) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 13 + HASHED), np.float32)
 
 
-def metadata_view(lang, source, n_chars) -> np.ndarray:
-    """Language, source and length as the page's metadata give them, by document. Nulls have a slot of their own."""
-    n = len(lang)
-    hot = np.zeros((n, LANGS + SOURCES + LENGTHS), np.float32)
-    for column, at, width in ((lang, 0, LANGS), (source, LANGS, SOURCES)):
-        for i, x in enumerate(column.to_pylist()):
-            hot[i, at + (0 if x is None else 1 + zlib.crc32(x.encode()) % (width - 1))] = 1
-    for i, x in enumerate(n_chars.to_pylist()):
-        hot[i, LANGS + SOURCES + (0 if x is None else min(LENGTHS - 1, 1 + max(int(x), 0).bit_length()))] = 1
+def metadata_slots(lang, source, n_chars) -> np.ndarray:
+    """The slots of language, source and length, as the page's metadata give them, by document. Nulls have slots of their own."""
+    out = np.zeros((len(lang), 3), np.int16)
+    for k, (column, at, width) in enumerate(((lang, 0, LANGS), (source, LANGS, SOURCES))):
+        out[:, k] = [at + (0 if x is None else 1 + zlib.crc32(x.encode()) % (width - 1)) for x in column.to_pylist()]
+    out[:, 2] = [LANGS + SOURCES + (0 if x is None else min(LENGTHS - 1, 1 + max(int(x), 0).bit_length())) for x in n_chars.to_pylist()]
+    return out
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    hot = np.zeros((len(slots), LANGS + SOURCES + LENGTHS), np.float32)
+    hot[np.arange(len(slots))[:, None], slots] = 1
     return hot
 
 
-def view_weights(x: np.ndarray, y: np.ndarray, pseudo: np.ndarray) -> np.ndarray:
-    """Weights of one view from labels (1 good, 0 bad); both classes weigh the same, pseudo-labels half."""
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
-    return logistic(x, y, np.where(pseudo, weight / 2, weight), rounds=150, rate=0.1)
+def metadata_view(lang, source, n_chars) -> np.ndarray:
+    """The slots, as a feature each."""
+    return one_hot(metadata_slots(lang, source, n_chars))
+
+
+def view_weights(x: np.ndarray, y: np.ndarray, pseudo: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Weights of one view from the labels (1 good, 0 bad) of the rows to use; both classes weigh the same, pseudo-labels half."""
+    good = use & (y == 1)
+    share = good.sum() / max(use.sum(), 1)
+    weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) * np.where(pseudo, 0.5, 1.0) * use
+    return logistic(x, (y == 1).astype(float), weight, rounds=150, rate=0.1)
 
 
 class Model:
@@ -94,7 +105,7 @@ class Model:
         if not self.weights:
             return tuple(np.ones(len(texts)) for _ in range(3))
         texts, parts = as_array(texts), []
-        for begin, end in slices(texts, SLICE_BYTES):
+        for begin, end in slices(texts, SLICE_BYTES, SLICE_ROWS):
             n = end - begin
             views = [text_view(texts.slice(begin, n)), metadata_view(lang.slice(begin, n), source.slice(begin, n), n_chars.slice(begin, n))]
             z = [margins(margins(x, w)[:, None], s) for x, w, s in zip(views, self.weights, self.scale, strict=True)]
@@ -115,13 +126,17 @@ def calibrated(t: np.ndarray, m: np.ndarray, y: np.ndarray, w: list[np.ndarray])
     return Model(w, scale, logistic(np.clip(both, -12, 12), y, l2=1e-3, rounds=500))
 
 
-def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    """Rows of equal size, without a copy of each."""
-    if not n:
-        return np.zeros((0, 1), np.float32)
-    whole = as_array(column.cast(pa.large_binary()))
-    at = np.frombuffer(whole.buffers()[1], np.int64, n + 1, whole.offset * 8)
-    return np.frombuffer(whole.buffers()[2], np.float32, int(at[-1] - at[0]) // 4, int(at[0])).reshape(n, -1)
+def _filled(column: pa.ChunkedArray, kind, place: np.ndarray) -> np.ndarray:
+    """Packed rows as a matrix, each at its place; a chunk is read at a time."""
+    out, k = None, 0
+    for chunk in column.chunks:
+        for x in chunk:
+            row = np.frombuffer(x.as_buffer(), kind)
+            if out is None:
+                out = np.empty((len(place), len(row)), np.float32 if kind == np.float16 else kind)
+            out[place[k]] = row
+            k += 1
+    return np.zeros((0, 1), np.float32) if out is None else out
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -135,7 +150,8 @@ def _featured(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             release()
-            t, m = text_view(batch.column(1)), metadata_view(*batch.columns[2:5])
+            # half precision is enough to fit on
+            t, m = text_view(batch.column(1)).astype(np.float16), metadata_slots(*batch.columns[2:5])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m))], names=["doc_id", "t", "m"])
 
     return docs.select(*COLUMNS).mapInArrow(run, ROWS.format(docs.schema["doc_id"].dataType.simpleString()))
@@ -145,16 +161,18 @@ def _trained(rows: DataFrame) -> tuple[list[np.ndarray], Model]:
     """Weights of both views from rows (doc_id, t, m, y_text, y_meta, pseudo), and the calibrated model. The rows are bounded: one task fits."""
 
     def train(table):
-        rows = table.sort_by([("pseudo", "ascending"), ("doc_id", "ascending")])
-        n = rows.num_rows
-        t, m = (_matrix(rows.column(k), n) for k in ("t", "m"))
-        y_t, y_m, pseudo = (rows.column(k).to_numpy() for k in ("y_text", "y_meta", "pseudo"))
+        n = table.num_rows
+        order = pc.sort_indices(table.select(["pseudo", "doc_id"]), sort_keys=[("pseudo", "ascending"), ("doc_id", "ascending")]).to_numpy()
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        t, m = _filled(table.column("t"), np.float16, place), one_hot(_filled(table.column("m"), np.int16, place))
+        y_t, y_m, pseudo = (table.column(k).to_numpy()[order] for k in ("y_text", "y_meta", "pseudo"))
         # a fifth of the labelled rows calibrates
         fold = ~pseudo & (np.arange(n) % 5 == 0)
-        fits = [~fold & (y >= 0) for y in (y_t, y_m)]
-        if any(len(np.unique(y[k])) < 2 for y, k in ((y_t, fits[0]), (y_m, fits[1]), (y_t, fold))):
+        uses = [~fold & (y >= 0) for y in (y_t, y_m)]
+        if any(len(np.unique(y[k])) < 2 for y, k in ((y_t, uses[0]), (y_m, uses[1]), (y_t, fold))):
             return pa.table({"model": pa.array([pickle.dumps(([], [], np.zeros(0)))], pa.binary())})
-        w = [view_weights(x[k], y[k], pseudo[k]) for x, y, k in zip((t, m), (y_t, y_m), fits, strict=True)]
+        w = [view_weights(x, y, pseudo, k) for x, y, k in zip((t, m), (y_t, y_m), uses, strict=True)]
         model = calibrated(t[fold], m[fold], y_t[fold], w)
         return pa.table({"model": pa.array([pickle.dumps((model.weights, model.scale, model.both))], pa.binary())})
 

@@ -65,12 +65,12 @@ def joined(texts, end: str = " ") -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts, most_bytes: int) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about ``most_bytes`` of text, and at least one row each."""
+def slices(texts, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold about ``most_bytes`` of text and ``most_rows`` rows at most, and at least one row each."""
     sizes = pc.fill_null(pc.binary_length(as_array(texts)), 0).to_numpy(zero_copy_only=False)
     at, begin, total = np.cumsum(sizes), 0, 0
     while begin < len(sizes):
-        end = max(begin + 1, int(np.searchsorted(at, total + most_bytes, "right")))
+        end = max(begin + 1, min(begin + most_rows, int(np.searchsorted(at, total + most_bytes, "right"))))
         yield begin, end
         begin, total = end, int(at[end - 1])
 
