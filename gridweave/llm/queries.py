@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontaminate, licences, merkle, mixing, prefix_tree_join, quality, toxicity, url_filter, warc
+from . import context_tree, decontaminate, histogram_sort, licences, merkle, mixing, prefix_rollup, prefix_tree_join, quality, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_merkle_fingerprint": merkle.op9_merkle_fingerprint,
     "op10_context_tree": context_tree.op10_context_tree,
+    "op11_histogram_sort": histogram_sort.op11_histogram_sort,
+    "op12_prefix_rollup": prefix_rollup.op12_prefix_rollup,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 
 #: Learned scores (op2, op3, op10) have no SQL: tests hold them against held-out labels or a brute-force version.
@@ -26,4 +29,7 @@ ORACLES = {
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op9_merkle_fingerprint": merkle.OP9_SQL,
+    "op11_histogram_sort": histogram_sort.OP11_SQL,
+    "op12_prefix_rollup": prefix_rollup.OP12_SQL,
+    "op13_turn_repair": turn_repair.OP13_SQL,
 }

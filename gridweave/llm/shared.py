@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -99,3 +100,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def placed(df: DataFrame, key: list[str], order: list, name: str = "place") -> DataFrame:
+    """Rows with their place (a long from 0) within ``key`` by ``order``; a key may hold any share of the rows.
+
+    Rows are dealt by ranges of key, order and their number, so that a large key lies in many
+    ranges, and written; a place is the rank in the range and the key's rows in earlier
+    ranges.  ``order`` must leave only equal rows tied.  Null keys are one key.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*key, *order, "_row")
+    rows = written(rows.withColumn("_range", F.spark_partition_id()), "ranges")
+    rank = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_range", *key).orderBy(*order, "_row")))
+    before = rows.groupBy("_range", *key).count().withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("_before > 0").drop("count")
+    on = [rank[c].eqNullSafe(before[c]) for c in ("_range", *key)]
+    return rank.join(before, on, "left").select(*(rank[c] for c in df.columns), (F.col("_rank") - 1 + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
