@@ -1,18 +1,23 @@
 """The twelve consistency checks over the registry, each a DataFrame of mismatch rows.
 
-All return MISMATCH columns.  Drawings are listed in ascending order.  Small neighbour lists
-are bounded by what a mismatch must show; joins are on keys, with salted or pre-aggregated
-sides where a key can be hot, and the choice of broadcast is left to the optimiser.
+All return MISMATCH columns.  Drawings are listed in ascending order.  What checks 1, 2, 6
+and 7 compare are facts of a component (``facts``); one grouping of facts, the profile, says
+which of them differ, and is also what checks 8 to 12 know of a component.  So all checks
+together read the components twice: for the profile, and for the rows of what differs.
+Every key holds component_id, so tables that are bucketed by it need no exchange for this.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import severity_of, stable_id
 from ..functions.patterns import DC_SUPPLIED, PROTECTIVE
+from ..sources.store import written
 from .authority import basis_text, ruled
 
 MISMATCH = ("mismatch_id", "severity", "component_id", "parameter", "drawings_involved", "values_found", "message", "recommendation", "resolution_options")
@@ -29,7 +34,7 @@ def _map_text(m: Column) -> Column:
 
 
 def _by_drawing(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row a key that has two values or more: drawings in order, and drawing to value.
+    """One row a key that has two values or more: drawing to value, in order.
 
     A first grouping counts the values, so that only conflicting keys gather lists.
     """
@@ -43,41 +48,111 @@ def values_long(components: DataFrame) -> DataFrame:
     return components.select("component_id", "drawing_id", F.posexplode("values").alias("pos", "v")).select("component_id", "drawing_id", "pos", "v.parameter", "v.value")
 
 
+_BLANK = lambda x: F.coalesce(x, F.lit("")) == ""
+
+
 def last_values(components: DataFrame) -> DataFrame:
     """The last value of each parameter in a component's drawing; blank ones don't count.
 
     A component has one row for each drawing, so the choice is made within the row.
     """
-    return _last(components, F.filter("values", lambda v: (F.coalesce(v["parameter"], F.lit("")) != "") & (F.coalesce(v["value"], F.lit("")) != "")))
+    return facts(components, 1).select("component_id", "drawing_id", "parameter", "value")
+
+
+def _last(name: str) -> Column:
+    """Of an array of values the last one of each parameter."""
+    back = F.reverse(F.transform(name, lambda v: v["parameter"]))
+    return F.filter(name, lambda v, i: F.array_position(back, v["parameter"]) == F.size(name) - i)
+
+
+def facts(components: DataFrame, *kinds: int) -> DataFrame:
+    """(component_id, drawing_id, drawing_type, kind, parameter, value, powered): what the check of number ``kind`` compares.
+
+    1: last values; 2: the type; 6: the last voltage rating, blank ones too; 7: a relay's
+    device.  powered (kind 2 only): a signal names power.  drawing_type is null if the table
+    has none.
+    """
+    c = F.col
+    device = F.try_element_at("attributes", F.lit("associated_device")) if 7 in kinds else F.lit(None).cast("string")
+    powered = F.exists("signals", lambda s: F.contains(F.upper(s), F.lit("POWER")) | F.contains(F.upper(s), F.lit("DC"))) if 2 in kinds and "signals" in components.columns else F.lit(False)
+    drawing_type = c("drawing_type") if "drawing_type" in components.columns else F.lit(None).cast("string")
+    values = c("values") if {1, 6} & set(kinds) else F.array().cast("array<struct<parameter:string,value:string>>")
+    kind = c("component_type") if {2, 7} & set(kinds) else F.lit(None).cast("string")
+    rows = components.select(
+        "component_id",
+        "drawing_id",
+        drawing_type.alias("drawing_type"),
+        F.filter(values, lambda v: ~_BLANK(v["parameter"]) & ~_BLANK(v["value"])).alias("v1"),
+        F.filter(values, lambda v: (v["parameter"] == "voltage_rating") & v["value"].isNotNull()).alias("v6"),
+        kind.alias("t"),
+        F.when(kind == "RELAY", device).alias("d"),
+        powered.alias("w"),
+    )
+    fact = lambda k, parameter, value, w=F.lit(False): F.struct(F.lit(k).alias("kind"), parameter.alias("parameter"), value.alias("value"), w.alias("powered"))
+    made = {
+        1: F.transform(_last("v1"), lambda v: fact(1, v["parameter"], v["value"])),
+        2: F.array(fact(2, F.lit("component_type"), c("t"), F.coalesce("w", F.lit(False)))),
+        6: F.transform(_last("v6"), lambda v: fact(6, v["parameter"], v["value"])),
+        7: F.filter(F.array(fact(7, F.lit("associated_device"), c("d"))), lambda v: ~_BLANK(v["value"])),
+    }
+    return rows.select("component_id", "drawing_id", "drawing_type", F.explode(F.concat(*(made[k] for k in kinds))).alias("f")).select("component_id", "drawing_id", "drawing_type", "f.*")
+
+
+KEYS = ["component_id", "kind", "parameter"]
+
+
+def profile(components: DataFrame, *kinds: int) -> DataFrame:
+    """One row for each component, kind and parameter: low, high, n, first (drawing), first_type, types, powered; the last three for kind 2."""
+    c = F.col
+    kind = F.when(c("kind") == 2, c("value"))
+    out = facts(components, *kinds).groupBy(*KEYS)
+    return out.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"), F.min("drawing_id").alias("first"), F.min_by(kind, "drawing_id").alias("first_type"), F.collect_set(kind).alias("types"), F.bool_or("powered").alias("powered"))
 
 
-def _last(components: DataFrame, values: Column) -> DataFrame:
-    rows = components.select("component_id", "drawing_id", values.alias("vs")).filter(F.size("vs") > 0)
-    back = F.reverse(F.transform("vs", lambda v: v["parameter"]))
-    kept = F.filter("vs", lambda v, i: F.array_position(back, v["parameter"]) == F.size("vs") - i)
-    return rows.select("component_id", "drawing_id", F.explode(kept).alias("v")).select("component_id", "drawing_id", "v.parameter", "v.value")
+def _known(profiled: DataFrame) -> DataFrame:
+    """(component_id, n, first, first_type, types, powered) of the components."""
+    return profiled.filter("kind = 2").select("component_id", "n", "first", "first_type", "types", "powered")
 
 
-def _conflicts(last: DataFrame, components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
+def _differing(profiled: DataFrame) -> DataFrame:
+    return profiled.filter("low <> high").select(*KEYS)
+
+
+def _held(found: DataFrame, keys: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
+    """KEYS, held (drawing_id, value, drawing_type by drawing) for some keys; drawings give the types that facts don't have."""
+    some = found.join(keys, KEYS, "left_semi")
+    if drawings is not None and "drawing_type" in drawings.columns:
+        some = some.drop("drawing_type").join(drawings.select("drawing_id", "drawing_type"), "drawing_id", "left")
+    kind = F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN"))
+    return some.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("drawing_id", "value", kind.alias("drawing_type")))).alias("held"))
+
+
+def _by(held: Column) -> Column:
+    return F.map_from_entries(F.transform(held, lambda h: F.struct(h["drawing_id"], h["value"])))
+
+
+def _conflicts(groups: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
     """Parameters of components with two values or more: by (drawing to value), options, auth, auth_type, basis.
 
-    Conflicting parameters are found first, so that only they gather what the mismatch row
-    must show; the authoritative drawing is chosen within the row, from the rule's order.
+    The authoritative drawing is chosen within the row, from the rule's order.  kinds: component_id, first_type.
     """
     c = F.col
-    keys = ["component_id", "parameter"]
-    bad = last.groupBy(*keys).agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a <> b").select(*keys)
-    some = last.join(bad, keys, "left_semi")
-    typed = some.join(drawings.select("drawing_id", F.coalesce(F.nullif("drawing_type", F.lit("")), F.lit("UNKNOWN")).alias("drawing_type")), "drawing_id", "left")
-    entry = F.struct("drawing_id", "value", F.coalesce("drawing_type", F.lit("UNKNOWN")).alias("drawing_type"))
-    groups = typed.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("held"))
-    kinds = components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("component_type"))
-    ordered = ruled(groups.join(kinds, "component_id"), rules)
+    ordered = ruled(groups.join(kinds.select("component_id", c("first_type").alias("component_type")), "component_id"), rules)
     ranked = F.filter(F.transform("held", lambda h: F.struct(F.array_position("authority_order", h["drawing_type"]).alias("rank"), h["drawing_id"].alias("drawing_id"), h["drawing_type"].alias("drawing_type"))), lambda h: h["rank"] > 0)
     best = ordered.withColumn("best", F.array_min(F.when(c("authority_order").isNotNull(), ranked)))
     option = F.transform("held", lambda h: F.struct(h["drawing_id"].alias("drawing_id"), h["value"].alias("value"), h["drawing_type"].alias("drawing_type"), F.coalesce(h["drawing_id"] == c("best.drawing_id"), F.lit(False)).alias("is_authoritative")))
-    by = F.map_from_entries(F.transform("held", lambda h: F.struct(h["drawing_id"].alias("drawing_id"), h["value"].alias("value"))))
-    return best.select("component_id", "parameter", by.alias("by"), option.alias("options"), c("best.drawing_id").alias("auth"), c("best.drawing_type").alias("auth_type"), basis_text(c("parameter"), c("authority_order"), c("best.drawing_type")).alias("basis"))
+    return best.select("component_id", "parameter", _by(c("held")).alias("by"), option.alias("options"), c("best.drawing_id").alias("auth"), c("best.drawing_type").alias("auth_type"), basis_text(c("parameter"), c("authority_order"), c("best.drawing_type")).alias("basis"))
+
+
+def _types(components: DataFrame) -> DataFrame:
+    return components.groupBy("component_id").agg(F.min_by("component_type", "drawing_id").alias("first_type"))
+
+
+def _alone(components: DataFrame, kind: int, drawings: DataFrame | None = None) -> DataFrame:
+    """Held facts of one kind that differ, for a check that runs by itself."""
+    own = facts(components, kind)
+    bad = own.groupBy(*KEYS).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return _held(own, _differing(bad), None if "drawing_type" in components.columns else drawings)
 
 
 def _advice(plain: Column) -> Column:
@@ -86,25 +161,41 @@ def _advice(plain: Column) -> Column:
 
 def value_mismatch(components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
     """M1: a parameter with different values over a component's drawings."""
+    return _value_rows(_conflicts(_alone(components, 1, drawings), _types(components), rules))
+
+
+def _value_rows(df: DataFrame) -> DataFrame:
     c = F.col
-    df = _conflicts(last_values(components), components, drawings, rules)
     plain = F.concat(F.lit("Find the right "), c("parameter"), F.lit(" of "), c("component_id"), F.lit(" and set it on all drawings."))
     return _rows(df, mismatch_id=stable_id(c("component_id"), c("parameter"), "value_mismatch"), severity=severity_of(c("parameter")), component_id=c("component_id"), parameter=c("parameter"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(c("component_id"), F.lit(": values of "), c("parameter"), F.lit(" differ: "), _map_text(c("by"))), recommendation=_advice(plain), resolution_options=c("options"))
 
 
 def type_mismatch(components: DataFrame) -> DataFrame:
     """M2: a component with different types."""
+    return _type_rows(_alone(components, 2))
+
+
+def _type_rows(held: DataFrame) -> DataFrame:
     c = F.col
-    df = _by_drawing(components.select("component_id", "drawing_id", "component_type"), ["component_id"], "component_type")
+    df = held.select("component_id", _by(c("held")).alias("by"))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "type", "type_mismatch"), severity=F.lit("WARNING"), component_id=c("component_id"), parameter=F.lit("component_type"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(c("component_id"), F.lit(": types differ: "), _map_text(c("by"))), recommendation=F.concat(F.lit("Check the type of "), c("component_id"), F.lit("; its name may be wrong.")))
 
 
 def broken_ref(drawings: DataFrame) -> DataFrame:
     """M3: a reference to a drawing that isn't in the set; both written forms of a reference count apart."""
+    return broken_ref_of(drawings.select("drawing_id", F.explode("cross_references").alias("ref")), drawings.select("drawing_id"))
+
+
+def full_reference(ref: Column) -> Column:
+    """A reference as the id of its drawing."""
+    return F.when(ref.startswith("NRE-"), ref).otherwise(F.concat(F.lit("NRE-"), ref))
+
+
+def broken_ref_of(references: DataFrame, scanned: DataFrame) -> DataFrame:
+    """M3 from (drawing_id, ref) and the ids of the drawings that are there."""
     c = F.col
-    refs = drawings.select("drawing_id", F.explode("cross_references").alias("ref")).distinct()
-    refs = refs.withColumn("full", F.when(c("ref").startswith("NRE-"), c("ref")).otherwise(F.concat(F.lit("NRE-"), c("ref"))))
-    df = refs.join(drawings.select(c("drawing_id").alias("full")), "full", "left_anti")
+    refs = references.select("drawing_id", "ref").distinct().withColumn("full", full_reference(c("ref")))
+    df = refs.join(scanned.select(c("drawing_id").alias("full")), "full", "left_anti")
     return _rows(df, mismatch_id=stable_id(c("drawing_id"), c("ref"), "broken_ref"), severity=F.lit("WARNING"), component_id=c("drawing_id"), parameter=F.lit("cross_reference"), drawings_involved=F.array("drawing_id"), values_found=F.create_map("drawing_id", "ref"), message=F.concat(c("drawing_id"), F.lit(" refers to "), c("ref"), F.lit(", which was not scanned.")), recommendation=F.concat(F.lit("Check that "), c("ref"), F.lit(" exists, and scan it.")))
 
 
@@ -117,10 +208,19 @@ def cable_mismatch(connections: DataFrame) -> DataFrame:
     return _rows(df, mismatch_id=stable_id(F.concat("a", F.lit("-"), "b"), "cable", "cable_mismatch"), severity=F.lit("WARNING"), component_id=F.concat("a", F.lit(" <-> "), "b"), parameter=F.lit("cable_specification"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(F.lit("Cables between "), c("a"), F.lit(" and "), c("b"), F.lit(" differ: "), _map_text(c("by"))), recommendation=F.lit("Check the cable specification."))
 
 
+def terminal_counts(drawings: DataFrame) -> DataFrame:
+    """(drawing_id, block, n)."""
+    return drawings.select("drawing_id", F.explode("terminal_blocks").alias("block", "t")).select("drawing_id", "block", F.size("t").alias("n"))
+
+
 def tb_conflict(drawings: DataFrame) -> DataFrame:
     """M5: a terminal block that has more than twice as many terminals in one drawing as in another."""
+    return tb_conflict_of(terminal_counts(drawings))
+
+
+def tb_conflict_of(counts: DataFrame) -> DataFrame:
+    """M5 from (drawing_id, block, n)."""
     c = F.col
-    counts = drawings.select("drawing_id", F.explode("terminal_blocks").alias("block", "t")).select("drawing_id", "block", F.size("t").alias("n"))
     span = counts.groupBy("block").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")).filter("k >= 2 and low > 0 and high > 2 * low")
     df = counts.join(span.select("block"), "block", "left_semi").groupBy("block").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("drawing_id", c("n").cast("string").alias("n"))))).alias("by"))
     return _rows(df, mismatch_id=stable_id(c("block"), "terminals", "tb_conflict"), severity=F.lit("INFO"), component_id=c("block"), parameter=F.lit("terminal_count"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(F.lit("Terminal counts of "), c("block"), F.lit(" differ: "), _map_text(c("by"))), recommendation=F.concat(F.lit("Check that the wiring of "), c("block"), F.lit(" is complete.")))
@@ -128,26 +228,37 @@ def tb_conflict(drawings: DataFrame) -> DataFrame:
 
 def voltage_mismatch(components: DataFrame, drawings: DataFrame, rules: DataFrame) -> DataFrame:
     """M6: different voltage ratings, under an id of their own. Blank values count here."""
+    return _voltage_rows(_conflicts(_alone(components, 6, drawings), _types(components), rules))
+
+
+def _voltage_rows(df: DataFrame) -> DataFrame:
     c = F.col
-    last = _last(components, F.filter("values", lambda v: (v["parameter"] == "voltage_rating") & v["value"].isNotNull()))
-    df = _conflicts(last, components, drawings, rules)
     plain = F.concat(F.lit("Check the voltage rating of "), c("component_id"), F.lit(" at once."))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "voltage", "voltage_mismatch"), severity=F.lit("CRITICAL"), component_id=c("component_id"), parameter=F.lit("voltage_rating"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(c("component_id"), F.lit(": voltage ratings differ: "), _map_text(c("by"))), recommendation=_advice(plain), resolution_options=c("options"))
 
 
 def relay_mismatch(components: DataFrame) -> DataFrame:
     """M7: a relay with different associated devices."""
+    return _relay_rows(_alone(components, 7))
+
+
+def _relay_rows(held: DataFrame) -> DataFrame:
     c = F.col
-    rows = components.filter("component_type = 'RELAY'").select("component_id", "drawing_id", F.try_element_at("attributes", F.lit("associated_device")).alias("device")).filter("coalesce(device, '') <> ''")
-    df = _by_drawing(rows, ["component_id"], "device")
+    df = held.select("component_id", _by(c("held")).alias("by"))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "device", "relay_mismatch"), severity=F.lit("WARNING"), component_id=c("component_id"), parameter=F.lit("associated_device"), drawings_involved=F.map_keys("by"), values_found=c("by"), message=F.concat(c("component_id"), F.lit(": associated devices differ: "), _map_text(c("by"))), recommendation=F.concat(F.lit("Check which device "), c("component_id"), F.lit(" protects.")))
 
 
 def orphan(components: DataFrame, drawings: DataFrame) -> DataFrame:
     """M8: a component in one drawing only, which other drawings refer to."""
+    counted = components.groupBy("component_id").agg(F.count("*").alias("n"), F.min("drawing_id").alias("first"))
+    return orphan_of(counted, drawings.select("drawing_id", F.explode("cross_references").alias("ref")))
+
+
+def orphan_of(counted: DataFrame, references: DataFrame) -> DataFrame:
+    """M8 from (component_id, n, first) and (drawing_id, ref)."""
     c = F.col
-    single = components.groupBy("component_id").agg(F.count("*").alias("n"), F.first("drawing_id").alias("drawing_id")).filter("n = 1").withColumn("short", F.replace(c("drawing_id"), F.lit("NRE-"), F.lit("")))
-    refs = drawings.select(c("drawing_id").alias("by"), F.explode("cross_references").alias("short")).distinct()
+    single = counted.filter("n = 1").select("component_id", c("first").alias("drawing_id"), F.replace("first", F.lit("NRE-"), F.lit("")).alias("short"))
+    refs = references.select(c("drawing_id").alias("by"), c("ref").alias("short")).distinct()
     near = refs.join(single.select("drawing_id", "short").distinct(), "short").filter("by <> drawing_id").groupBy("drawing_id").agg(F.array_sort(F.collect_set("by")).alias("others"))
     df = single.join(near, "drawing_id")
     found = F.map_concat(F.create_map("drawing_id", F.lit("present")), F.map_from_entries(F.transform("others", lambda d: F.struct(d, F.lit("referenced but missing")))))
@@ -169,36 +280,54 @@ def _listed(components: DataFrame, ids: DataFrame) -> DataFrame:
     return components.select("component_id", "drawing_id").join(ids.select("component_id").distinct(), "component_id", "left_semi").groupBy("component_id").agg(F.array_sort(F.collect_set("drawing_id")).alias("drawings"))
 
 
+def _known_alone(components: DataFrame) -> DataFrame:
+    """What checks 9 to 12 know of a component, for one that runs by itself."""
+    return _known(profile(components, 2))
+
+
+def _of_type(known: DataFrame, *types: str) -> DataFrame:
+    return known.filter(F.arrays_overlap("types", F.array(*(F.lit(t) for t in types))))
+
+
+def open_trip_paths(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """M9: (component_id, other): relays without a way to the breaker of the same suffix, direct or over a lockout relay."""
+    c = F.col
+    breakers = _of_type(known, "52").withColumn("suffix", _suffix(c("component_id"))).filter("suffix is not null and not contains(suffix, '.')").groupBy("suffix").agg(F.max("component_id").alias("breaker"))
+    relays = _of_type(known, *PROTECTIVE).filter("not contains(component_id, '.')").select("component_id", _suffix(c("component_id")).alias("suffix")).filter("suffix is not null")
+    wanted = relays.join(breakers, "suffix").select("component_id", "breaker")
+    open_ = wanted.join(edges, (c("component_id") == c("a")) & (c("breaker") == c("b")), "left_anti")
+    lockouts = _of_type(known, "86").select(c("component_id").alias("lockout"))
+    # a row for each lockout of an open relay, never for each way through a lockout
+    over = edges.join(lockouts, c("a") == c("lockout")).select("lockout", c("b").alias("end"))
+    ways = open_.join(over.select("lockout", c("end").alias("component_id")), "component_id").join(over.select("lockout", c("end").alias("breaker")), ["lockout", "breaker"], "left_semi").select("component_id", "breaker").distinct()
+    open_ = open_.join(ways, ["component_id", "breaker"], "left_anti")
+    ends = edges.filter("endswith(a, ' RELAY')").select(F.expr("left(a, length(a) - 6)").alias("r"), c("b").alias("brk"), F.expr("b ilike '86%' or a ilike '86%'").alias("trips"))
+    met = (c("component_id") == c("r")) & (c("trips") | (c("breaker") == c("brk")))
+    return open_.join(ends, met, "left_anti").select("component_id", c("breaker").alias("other"))
+
+
+def _trip_rows(df: DataFrame) -> DataFrame:
+    c = F.col
+    return _rows(df, mismatch_id=stable_id(c("component_id"), c("other"), "trip_path"), severity=F.lit("WARNING"), component_id=c("component_id"), parameter=F.lit("trip_path"), drawings_involved=c("drawings"), values_found=F.create_map("component_id", F.lit("no trip path found"), "other", F.lit("expected breaker")), message=F.concat(c("component_id"), F.lit(" has no way to "), c("other"), F.lit(", direct or over a lockout relay.")), recommendation=F.concat(F.lit("Check the trip path from "), c("component_id"), F.lit(" to "), c("other"), F.lit(".")))
+
+
 def trip_path(components: DataFrame, connections: DataFrame) -> DataFrame:
     """M9: a protective relay without a way to the breaker of the same suffix, direct or over a lockout relay."""
+    df = open_trip_paths(written(_known_alone(components), "known"), written(undirected(connections), "edges"))
+    return _trip_rows(df.join(_listed(components, df), "component_id"))
+
+
+def open_lockouts(known: DataFrame, connections: DataFrame) -> DataFrame:
+    """(component_id, inputs, outputs): lockout relays without inputs or outputs."""
     c = F.col
-    edges = undirected(connections)
-    kinds = components.select("component_id", "component_type").distinct()
-    breakers = kinds.filter("component_type = '52'").withColumn("suffix", _suffix(c("component_id"))).filter("suffix is not null and not contains(suffix, '.')").groupBy("suffix").agg(F.max("component_id").alias("breaker"))
-    relays = kinds.filter(c("component_type").isin(*PROTECTIVE) & ~F.contains("component_id", F.lit("."))).select("component_id").distinct().withColumn("suffix", _suffix(c("component_id"))).filter("suffix is not null")
-    open_ = relays.join(breakers, "suffix")
-    open_ = open_.join(edges, (c("component_id") == c("a")) & (c("breaker") == c("b")), "left_anti")
-    lockouts = kinds.filter("component_type = '86'").select(c("component_id").alias("lockout")).distinct()
-    # a row for each lockout of an open relay, never for each way through a lockout
-    first = edges.join(lockouts, c("b") == c("lockout"), "left_semi").select(c("a").alias("component_id"), c("b").alias("lockout"))
-    second = edges.join(lockouts, c("a") == c("lockout"), "left_semi").select(c("a").alias("lockout"), c("b").alias("breaker"))
-    over = open_.select("component_id", "breaker").join(first, "component_id").join(second, ["lockout", "breaker"], "left_semi").select("component_id", "breaker").distinct()
-    open_ = open_.join(over, ["component_id", "breaker"], "left_anti")
-    ends = edges.filter("endswith(a, ' RELAY')").withColumn("r", F.expr("left(a, length(a) - 6)"))
-    trips = ends.filter("b ilike '86%' or a ilike '86%'").select("r").distinct()
-    open_ = open_.join(ends.select("r", c("b").alias("brk")), (c("component_id") == c("r")) & (c("breaker") == c("brk")), "left_anti").join(trips, c("component_id") == c("r"), "left_anti")
-    df = open_.join(_listed(components, open_), "component_id")
-    return _rows(df, mismatch_id=stable_id(c("component_id"), c("breaker"), "trip_path"), severity=F.lit("WARNING"), component_id=c("component_id"), parameter=F.lit("trip_path"), drawings_involved=c("drawings"), values_found=F.create_map("component_id", F.lit("no trip path found"), "breaker", F.lit("expected breaker")), message=F.concat(c("component_id"), F.lit(" has no way to "), c("breaker"), F.lit(", direct or over a lockout relay.")), recommendation=F.concat(F.lit("Check the trip path from "), c("component_id"), F.lit(" to "), c("breaker"), F.lit(".")))
+    ids = _of_type(known, "86").select("component_id")
+    ends = connections.select(F.explode(F.array(F.struct(c("to_component").alias("component_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(c("from_component").alias("component_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
+    counts = ends.groupBy("component_id").agg(F.sum("i").alias("inputs"), F.sum("o").alias("outputs"))
+    return ids.join(counts, "component_id", "left").fillna(0, ["inputs", "outputs"]).filter("inputs = 0 or outputs = 0")
 
 
-def lockout(components: DataFrame, connections: DataFrame) -> DataFrame:
-    """A lockout relay without inputs, without outputs, or without both."""
+def _lockout_rows(df: DataFrame) -> DataFrame:
     c = F.col
-    ids = components.filter("component_type = '86'").select("component_id").distinct()
-    inputs = connections.groupBy(c("to_component").alias("component_id")).agg(F.count("*").alias("inputs"))
-    outputs = connections.groupBy(c("from_component").alias("component_id")).agg(F.count("*").alias("outputs"))
-    df = ids.join(inputs, "component_id", "left").join(outputs, "component_id", "left").fillna(0, ["inputs", "outputs"]).filter("inputs = 0 or outputs = 0")
-    df = df.join(_listed(components, df), "component_id")
     neither, no_in = (c("inputs") == 0) & (c("outputs") == 0), c("inputs") == 0
     case = F.when(neither, "lockout_completeness").when(no_in, "lockout_no_input").otherwise("lockout_no_output")
     one = lambda a, b, d: F.when(neither, a).when(no_in, b).otherwise(d)
@@ -206,57 +335,117 @@ def lockout(components: DataFrame, connections: DataFrame) -> DataFrame:
     return _rows(df, mismatch_id=stable_id(c("component_id"), case), severity=F.lit("WARNING"), component_id=c("component_id"), parameter=one(F.lit("lockout_connections"), F.lit("lockout_input"), F.lit("lockout_output")), drawings_involved=c("drawings"), values_found=found, message=F.concat(F.lit("Lockout relay "), c("component_id"), one(F.lit(" has neither inputs nor outputs."), F.lit(" has no inputs."), F.lit(" has no outputs."))), recommendation=F.concat(F.lit("Check the wiring of "), c("component_id"), F.lit(".")))
 
 
-def ct_relay(components: DataFrame, connections: DataFrame) -> DataFrame:
-    """A current transformer without a connection to a protective relay."""
+def lockout(components: DataFrame, connections: DataFrame) -> DataFrame:
+    """A lockout relay without inputs, without outputs, or without both."""
+    df = open_lockouts(_known_alone(components.filter("component_type = '86'")), connections)
+    return _lockout_rows(df.join(_listed(components, df), "component_id"))
+
+
+def open_transformers(known: DataFrame, edges: DataFrame, connections: DataFrame) -> DataFrame:
+    """(component_id, near): current transformers without a connection to a protective relay, and their first five neighbours."""
     c = F.col
-    cts = components.filter("component_type = 'CT'").select("component_id").distinct()
-    relays = components.filter(c("component_type").isin(*PROTECTIVE, "RELAY")).select(c("component_id").alias("b")).distinct()
-    edges = connections.select(c("from_component").alias("a"), c("to_component").alias("b"), "drawing_id", "seq").union(connections.select("to_component", "from_component", "drawing_id", "seq").filter("from_component <> to_component"))
+    relays = _of_type(known, *PROTECTIVE, "RELAY").select(c("component_id").alias("b"))
     fed = edges.join(relays, "b", "left_semi").select(c("a").alias("component_id")).distinct()
-    df = cts.join(fed, "component_id", "left_anti")
+    df = _of_type(known, "CT").select("component_id").join(fed, "component_id", "left_anti")
     first = F.row_number().over(W.partitionBy("a").orderBy("drawing_id", "seq", "b"))
-    some = edges.join(df.select(c("component_id").alias("a")), "a", "left_semi").withColumn("n", first).filter("n <= 5")
+    both = connections.select(c("from_component").alias("a"), c("to_component").alias("b"), "drawing_id", "seq").union(connections.select("to_component", "from_component", "drawing_id", "seq").filter("from_component <> to_component"))
+    some = both.join(df.select(c("component_id").alias("a")), "a", "left_semi").withColumn("n", first).filter("n <= 5")
     near = some.groupBy(c("a").alias("component_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]).alias("near"))
-    df = df.join(near, "component_id", "left").join(_listed(components, df), "component_id")
+    return df.join(near, "component_id", "left")
+
+
+def _transformer_rows(df: DataFrame) -> DataFrame:
+    c = F.col
     found = F.create_map(c("component_id"), F.concat(F.lit("connections: "), F.coalesce(F.array_join("near", ", "), F.lit("none"))), F.lit("relay_connection"), F.lit("none found"))
     return _rows(df, mismatch_id=stable_id(c("component_id"), "ct_relay_assoc"), severity=F.lit("INFO"), component_id=c("component_id"), parameter=F.lit("relay_association"), drawings_involved=c("drawings"), values_found=found, message=F.concat(c("component_id"), F.lit(" is connected to no protective relay.")), recommendation=F.concat(F.lit("Check the wiring of "), c("component_id"), F.lit(".")))
 
 
-def dc_supply(components: DataFrame, connections: DataFrame) -> DataFrame:
-    """Protection equipment without a sign of DC power.
+def ct_relay(components: DataFrame, connections: DataFrame) -> DataFrame:
+    """A current transformer without a connection to a protective relay."""
+    own = components.filter(F.col("component_type").isin("CT", *PROTECTIVE, "RELAY"))
+    df = open_transformers(_known_alone(own), undirected(connections), connections)
+    return _transformer_rows(df.join(_listed(components, df), "component_id"))
+
+
+def supplied_names(edges: DataFrame) -> DataFrame:
+    """(u): upper names that DC power reaches, as beginnings of edge ends: an id that is one of them is supplied.
+
+    Beginnings are generated and joined by equality, so no pair of names is tried.
+    """
+    c = F.col
+    begins = lambda u: F.explode(F.transform(F.sequence(F.lit(1), F.length(u)), lambda n: F.substring(u, F.lit(1), n)))
+    by_name = edges.filter("a ilike '%DC%' and b <> ''").select(F.upper("b").alias("u")).distinct().select(begins(c("u")).alias("u"))
+    powered = edges.select(F.upper("a").alias("n")).filter("contains(n, 'PWR')").select(F.expr("substring_index(n, 'PWR', size(split(n, 'PWR')) - 1)").alias("n")).filter("n <> ''").distinct().select(begins(c("n")).alias("u"))
+    return by_name.union(powered).distinct()
+
+
+def open_supplies(known: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(component_id, other): protection equipment without a sign of DC power, with its least type.
 
     Signs: an edge between something with DC in its name and the id, or a name that begins
     with it, or BREAKER and the id; a component <id>.PWR; a signal with POWER or DC; an edge
-    end that begins with the id and has PWR after it.  Case doesn't matter except in exact
-    ids.  Beginnings are generated and joined by equality, so no pair of names is tried.
+    end that begins with the id and has PWR after it.  Case doesn't matter except in exact ids.
+    names: ``supplied_names``.
     """
     c = F.col
-    ids = components.filter(c("component_type").isin(*DC_SUPPLIED) & ~F.contains("component_id", F.lit("."))).groupBy("component_id").agg(F.min("component_type").alias("component_type"))
+    kind = F.array_min(F.array_intersect("types", F.array(*(F.lit(t) for t in DC_SUPPLIED))))
+    ids = _of_type(known, *DC_SUPPLIED).filter("not contains(component_id, '.') and not powered").select("component_id", kind.alias("other"), F.upper("component_id").alias("u"))
+    exact = edges.filter("a ilike '%DC%' and startswith(b, 'BREAKER ')").select(F.expr("substring(b, 9)").alias("component_id"))
+    exact = exact.union(known.filter("endswith(component_id, '.PWR')").select(F.expr("left(component_id, length(component_id) - 4)")))
+    return ids.join(names, "u", "left_anti").join(exact, "component_id", "left_anti").select("component_id", "other")
+
+
+def _supply_rows(df: DataFrame) -> DataFrame:
+    c = F.col
+    return _rows(df, mismatch_id=stable_id(c("component_id"), "dc_supply"), severity=F.lit("INFO"), component_id=c("component_id"), parameter=F.lit("dc_supply"), drawings_involved=c("drawings"), values_found=F.create_map("component_id", F.lit("no DC supply connection found")), message=F.concat(c("component_id"), F.lit(" ("), c("other"), F.lit(") has no DC supply.")), recommendation=F.concat(F.lit("Check the DC supply of "), c("component_id"), F.lit(".")))
+
+
+def dc_supply(components: DataFrame, connections: DataFrame) -> DataFrame:
+    """Protection equipment without a sign of DC power (``open_supplies``)."""
     edges = undirected(connections)
-    supplied = edges.filter("a ilike '%DC%'").select(F.upper("b").alias("u"), "b").distinct()
-    begins = lambda u: F.explode(F.transform(F.sequence(F.lit(1), F.length(u)), lambda n: F.substring(u, F.lit(1), n)))
-    by_name = supplied.filter("u <> ''").select(begins(c("u")).alias("u"))
-    powered = edges.select(F.upper("a").alias("n")).distinct().filter("contains(n, 'PWR')").select(F.expr("substring_index(n, 'PWR', size(split(n, 'PWR')) - 1)").alias("n")).filter("n <> ''").select(begins(c("n")).alias("u"))
-    upper = by_name.union(powered).distinct()
-    exact = supplied.filter("startswith(b, 'BREAKER ')").select(F.expr("substring(b, 9)").alias("component_id"))
-    exact = exact.union(components.filter("endswith(component_id, '.PWR')").select(F.expr("left(component_id, length(component_id) - 4)")))
-    exact = exact.union(components.filter(F.exists("signals", lambda s: F.contains(F.upper(s), F.lit("POWER")) | F.contains(F.upper(s), F.lit("DC")))).select("component_id"))
-    df = ids.withColumn("u", F.upper("component_id")).join(upper, "u", "left_anti").join(exact.distinct(), "component_id", "left_anti")
-    df = df.join(_listed(components, df), "component_id")
-    return _rows(df, mismatch_id=stable_id(c("component_id"), "dc_supply"), severity=F.lit("INFO"), component_id=c("component_id"), parameter=F.lit("dc_supply"), drawings_involved=c("drawings"), values_found=F.create_map("component_id", F.lit("no DC supply connection found")), message=F.concat(c("component_id"), F.lit(" ("), c("component_type"), F.lit(") has no DC supply.")), recommendation=F.concat(F.lit("Check the DC supply of "), c("component_id"), F.lit(".")))
-
-
-def all_checks(drawings: DataFrame, components: DataFrame, connections: DataFrame | None, rules: DataFrame) -> DataFrame:
+    df = open_supplies(_known_alone(components), edges, supplied_names(edges))
+    return _supply_rows(df.join(_listed(components, df), "component_id"))
+
+
+def all_checks(drawings: DataFrame, components: DataFrame, connections: DataFrame | None, rules: DataFrame, references: DataFrame | None = None, terminals: DataFrame | None = None, names: DataFrame | None = None, scanned: DataFrame | None = None) -> DataFrame:
     """The rows of all twelve checks with their order; an id that comes twice stays once, the later one.
 
-    Without a table of connections, the checks that read it (4, 9 to 12) make no rows.
+    Components are read twice; what the checks share (profile, edges, what checks 9 to 12
+    find, rows of what differs) is written to the shared folder.  Without a table of
+    connections, the checks that read it (4, 9 to 12) make no rows.  The last four tables
+    stand for what is otherwise taken from drawings and connections: (drawing_id, ref),
+    (drawing_id, block, n), ``supplied_names`` and the ids of drawings that are there.
     """
-    made = {1: value_mismatch(components, drawings, rules), 2: type_mismatch(components), 3: broken_ref(drawings), 5: tb_conflict(drawings), 6: voltage_mismatch(components, drawings, rules), 7: relay_mismatch(components), 8: orphan(components, drawings)}
+    c = F.col
+    known_types = "drawing_type" in components.columns
+    profiled = written(profile(components, 1, 2, 6, 7), "profile")
+    known, keys = _known(profiled), _differing(profiled)
+    marked = None
     if connections is not None:
-        made |= {4: cable_mismatch(connections), 9: trip_path(components, connections), 10: lockout(components, connections), 11: ct_relay(components, connections), 12: dc_supply(components, connections)}
-    out = None
-    for k, df in sorted(made.items(), key=lambda e: e[0]):
-        df = df.withColumn("check_no", F.lit(k))
-        out = df if out is None else out.unionByName(df)
+        edges = written(undirected(connections), "edges")
+        found = {9: open_trip_paths(known, edges), 10: open_lockouts(known, connections), 11: open_transformers(known, edges, connections), 12: open_supplies(known, edges, supplied_names(edges) if names is None else names)}
+        columns = {"other": "string", "inputs": "long", "outputs": "long", "near": "array<string>"}
+        rows = [df.select(F.lit(k).alias("check_no"), "component_id", *((c(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in columns.items())) for k, df in found.items()]
+        marked = written(reduce(DataFrame.union, rows), "marked")
+        keys = keys.union(marked.select("component_id", F.lit(2), F.lit("component_type"))).distinct()
+    held = written(_held(facts(components, 1, 2, 6, 7), keys, None if known_types else drawings), "held")
+    differing = held.join(_differing(profiled), KEYS, "left_semi")
+    of = lambda kind: differing.filter(c("kind") == kind)
+    references = drawings.select("drawing_id", F.explode("cross_references").alias("ref")) if references is None else references
+    made = {
+        1: _value_rows(_conflicts(of(1), known, rules)),
+        2: _type_rows(of(2)),
+        3: broken_ref_of(references, drawings.select("drawing_id") if scanned is None else scanned),
+        5: tb_conflict_of(terminal_counts(drawings) if terminals is None else terminals),
+        6: _voltage_rows(_conflicts(of(6), known, rules)),
+        7: _relay_rows(of(7)),
+        8: orphan_of(known, references),
+    }
+    if marked is not None:
+        listed = held.filter("kind = 2").select("component_id", F.array_distinct(F.transform("held", lambda h: h["drawing_id"])).alias("drawings"))
+        shown = marked.join(listed, "component_id")
+        made[4] = cable_mismatch(connections)
+        made |= {k: f(shown.filter(c("check_no") == k)) for k, f in ((9, _trip_rows), (10, _lockout_rows), (11, _transformer_rows), (12, _supply_rows))}
+    out = reduce(DataFrame.unionByName, (df.withColumn("check_no", F.lit(k)) for k, df in sorted(made.items(), key=lambda e: e[0])))
     cols = [x for x in out.columns if x != "mismatch_id"]
     return out.groupBy("mismatch_id").agg(F.max_by(F.struct(*cols), F.struct("check_no", "component_id", "parameter")).alias("r")).select("mismatch_id", "r.*").select(*out.columns)

@@ -85,9 +85,13 @@ TABLES = {
   UNION ALL SELECT drawing_id, pos + 1 AS rw, 1 AS cl, CASE qty % 3 WHEN 0 THEN 'MAIN FUSE' WHEN 1 THEN 'JUNCTION BOX' ELSE 'OTHER' END AS value FROM line WHERE qty % 4 <> 0
   UNION ALL SELECT drawing_id, pos + 1 AS rw, 2 AS cl, CAST(pos AS STRING) AS value FROM line""",
     "event": """SELECT event_id, 'f' || CAST(user_id AS STRING) || CASE event_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.dxf' WHEN 2 THEN '.xlsx' ELSE '.tmp' END AS path, event_type AS event, ts FROM events""",
+    #: events of few files, two thirds of a second apart and slightly out of order, some at one time
+    "burst": """SELECT event_id, 'f' || CAST(user_id % 5 AS STRING) || '.pdf' AS path, (event_id + 100 - CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) * 150000 + CAST((event_id + 100 - CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) * 7919 % 1000 AS BIGINT) * 1000 AS us FROM events""",
 }
 
 
+#: The given tables that a registry is derived from.
+GIVEN = ("orders", "lineitem", "events")
 #: Written at their first use.
 STORED = ("line", "component", "connection")
 
@@ -114,25 +118,26 @@ class Registry:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.sources = [f"{sf_dir}/{t}.parquet" for t in GIVEN]
         self._made: dict[str, DataFrame] = {}
 
     def _derived(self, name: str) -> DataFrame:
-        for t in ("orders", "lineitem", "events"):
-            self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         known = tuple(n for n in STORED if n != name)
-        uses = [n for n in known if any(re.search(rf"\b(?:FROM|JOIN) {n}\b", TABLES[t]) for t in _needs(name, [], known))]
-        for n in uses:
-            self.raw(n).createOrReplaceTempView(n)
-        return self.spark.sql(f"{with_tables(name, known=known)}\nSELECT * FROM {name}")
+        used = _needs(name, [], known)
+        read = {t: self.spark.read.parquet(path) for t, path in zip(GIVEN, self.sources, strict=True)}
+        read |= {n: self.raw(n) for n in known if any(re.search(rf"\b(?:FROM|JOIN) {n}\b", TABLES[t]) for t in used)}
+        # the tables are arguments of the statement, so no view of the caller's is replaced
+        text = re.sub(r"\b(FROM|JOIN) (" + "|".join(read) + r")\b", r"\1 {\2}", f"{with_tables(name, known=known)}\nSELECT * FROM {name}")
+        return self.spark.sql(text, **{n: df for n, df in read.items() if f"{{{n}}}" in text})
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = stored(lambda: self._derived(name), self.spark, self.sf_dir, name) if name in STORED else self._derived(name)
+            self._made[name] = stored(lambda: self._derived(name), self.spark, self.sources, name) if name in STORED else self._derived(name)
         return self._made[name]
 
     @cached_property
     def drawings(self) -> DataFrame:
-        return stored(self._drawings, self.spark, self.sf_dir, "drawings")
+        return stored(self._drawings, self.spark, self.sources, "drawings")
 
     def _drawings(self) -> DataFrame:
         refs = self.raw("reference").groupBy("drawing_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda r: r["ref"]).alias("cross_references"))
@@ -144,7 +149,7 @@ class Registry:
 
     @cached_property
     def components(self) -> DataFrame:
-        return stored(self._components, self.spark, self.sf_dir, "components")
+        return stored(self._components, self.spark, self.sources, "components")
 
     def _components(self) -> DataFrame:
         value = F.struct("pos", F.struct("parameter", "value", "unit", F.lit(None).cast("double").alias("numeric_value")).alias("v"))

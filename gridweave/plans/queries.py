@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import audit, authority, bom, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
 from ..sources import decoded, files
+from ..sources.store import new_path
 from ..streaming import watch
 from .corpus import Registry, with_tables
 
@@ -884,18 +885,53 @@ def t4(r: Registry) -> DataFrame:
     return r.raw("event").filter(files.wanted(c("path"))).select("event_id", "path")
 
 
-@query(
-    "t2_debounce",
-    "event",
-    """RECURSIVE_ a(path, ts) AS (SELECT path, min(ts) FROM event GROUP BY path UNION ALL SELECT a.path, min(e.ts) FROM a JOIN event e ON e.path = a.path AND e.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.path)
-SELECT path, CAST(ts AS VARCHAR) AS ts FROM a""",
-)
+def _walk_sql(table: str, time: str, gap: str) -> str:
+    return f"""RECURSIVE_ t AS (SELECT path, {time} AS t, min(event_id) AS event_id FROM {table} GROUP BY ALL),
+a(path, t) AS (SELECT path, min(t) FROM t GROUP BY path UNION ALL SELECT path, min(n) FROM (SELECT a.path, t.t AS n FROM a JOIN t ON t.path = a.path AND t.t >= a.t + {gap}) GROUP BY path)
+SELECT t.path, t.event_id, CAST(t.t AS VARCHAR) AS t FROM a JOIN t USING (path, t)"""
+
+
+@query("t2_debounce", "event", _walk_sql("event", "ts", "INTERVAL 1 HOUR"))
 def t2(r: Registry) -> DataFrame:
-    """Accepted times, with an hour's gap: the given events of a path are far apart."""
-    return watch.debounce(r.raw("event"), seconds=3600.0).select("path", c("ts").cast("string").alias("ts")).distinct()
+    """W9 with an hour's gap: the given events of a path are far apart."""
+    return watch.debounce(r.raw("event").select("path", "event_id", "ts"), seconds=3600.0).select("path", "event_id", c("ts").cast("string").alias("t"))
+
+
+def _burst(r: Registry) -> DataFrame:
+    return r.raw("burst").select("path", "event_id", F.timestamp_micros("us").alias("ts"))
+
+
+@query("w9_debounce_close", "burst", _walk_sql("burst", "us", "2000000"))
+def w9(r: Registry) -> DataFrame:
+    """W9 at two seconds over events less than a second apart in few paths."""
+    return watch.debounce(_burst(r)).select("path", "event_id", F.unix_micros("ts").cast("string").alias("t"))
+
+
+def _streamed(r: Registry, events: DataFrame, seconds: float, parts: int) -> DataFrame:
+    """T2 over events that come in parts of the time, the stream being started again for each."""
+    at = new_path(r.spark, "debounce")
+    low, high = events.select(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for k in range(parts if low is not None else 0):
+        part = F.least(F.floor((F.unix_micros("ts") - low) * parts / max(high - low, 1)), F.lit(parts - 1))
+        events.filter(part == k).write.mode("append").parquet(f"{at}/in")
+        watch.run_debounce(r.spark, f"{at}/in", f"{at}/out", f"{at}/state", seconds)
+    return r.spark.read.schema("path string, event_id bigint, ts timestamp").parquet(f"{at}/out")
+
+
+@query("t2_stream_hour", "event", _walk_sql("event", "ts", "INTERVAL 1 HOUR"))
+def t2_hour(r: Registry) -> DataFrame:
+    """T2 on a stream, an hour's gap."""
+    return _streamed(r, r.raw("event").select("path", "event_id", c("ts").cast("timestamp").alias("ts")), 3600.0, 2).select("path", "event_id", c("ts").cast("string").alias("t"))
+
+
+@query("t2_stream_close", "burst", _walk_sql("burst", "us", "2000000"))
+def t2_close(r: Registry) -> DataFrame:
+    """T2 on a stream at two seconds, started three times."""
+    return _streamed(r, _burst(r), 2.0, 3).select("path", "event_id", F.unix_micros("ts").cast("string").alias("t"))
 
 
-ORACLES["t2_debounce"] = ORACLES["t2_debounce"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_ ", "")
+for _name in ("t2_debounce", "w9_debounce_close", "t2_stream_hour", "t2_stream_close"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_ ", "")
 
 
 # Page texts and tables

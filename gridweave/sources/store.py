@@ -1,14 +1,16 @@
-"""Derived tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[tuple[str, ...], str] = {}
+_MADE: dict[tuple, str] = {}
+_LOCK = threading.RLock()  # tables are derived from each other
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,11 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(make, spark: SparkSession, *key: str) -> DataFrame:
-    """The rows of ``make()``, written once for each application and key."""
-    name = (spark.sparkContext.applicationId, *key)
-    if name not in _MADE:
-        path = f"{shared_dir(spark)}/derived-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _MADE[name] = path
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, from a table written in the shared folder, so that lost executors cost no earlier work."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """A file's or folder's bytes, number of files and time of change; a table that is written anew has another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(at)
+    return path, size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+
+def stored(make, spark: SparkSession, sources: list[str], *key: str) -> DataFrame:
+    """The rows of ``make()``, written once for each application, key and state of the source files."""
+    name = (spark.sparkContext.applicationId, *key, *(state_of(spark, path) for path in sources))
+    with _LOCK:
+        if name not in _MADE:
+            path = new_path(spark, "derived")
+            make().write.parquet(path)
+            _MADE[name] = path
     return spark.read.parquet(_MADE[name])
