@@ -367,15 +367,15 @@ def ct_relay(components: DataFrame, connections: DataFrame) -> DataFrame:
     return _transformer_rows(df.join(_listed(components, df), "component_id"))
 
 
-def supplied_names(edges: DataFrame) -> DataFrame:
-    """(u): upper names that DC power reaches, as beginnings of edge ends: an id that is one of them is supplied.
+def supplied_names(edges: DataFrame, *keep: str) -> DataFrame:
+    """(u, and what is kept): upper names that DC power reaches, as beginnings of edge ends: an id that is one of them is supplied.
 
     Beginnings are generated and joined by equality, so no pair of names is tried.
     """
     c = F.col
     begins = lambda u: F.explode(F.transform(F.sequence(F.lit(1), F.length(u)), lambda n: F.substring(u, F.lit(1), n)))
-    by_name = edges.filter("a ilike '%DC%' and b <> ''").select(F.upper("b").alias("u")).distinct().select(begins(c("u")).alias("u"))
-    powered = edges.select(F.upper("a").alias("n")).filter("contains(n, 'PWR')").select(F.expr("substring_index(n, 'PWR', size(split(n, 'PWR')) - 1)").alias("n")).filter("n <> ''").distinct().select(begins(c("n")).alias("u"))
+    by_name = edges.filter("a ilike '%DC%' and b <> ''").select(F.upper("b").alias("u"), *keep).distinct().select(begins(c("u")).alias("u"), *keep)
+    powered = edges.select(F.upper("a").alias("n"), *keep).filter("contains(n, 'PWR')").select(F.expr("substring_index(n, 'PWR', size(split(n, 'PWR')) - 1)").alias("n"), *keep).filter("n <> ''").distinct().select(begins(c("n")).alias("u"), *keep)
     return by_name.union(powered).distinct()
 
 

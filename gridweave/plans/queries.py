@@ -14,8 +14,8 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import audit, authority, bom, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
 from ..sources import decoded, files
-from ..sources.store import new_path
-from ..streaming import watch
+from ..sources.store import new_path, written
+from ..streaming import upkeep, watch
 from .corpus import Registry, with_tables
 
 c = F.col
@@ -934,6 +934,54 @@ for _name in ("t2_debounce", "w9_debounce_close", "t2_stream_hour", "t2_stream_c
     ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_ ", "")
 
 
+def scans_of(r: Registry) -> DataFrame:
+    """The registry's drawings as scans, with all that was extracted from them."""
+    values = F.struct("component_id", "component_type", "values", "attributes", "signals")
+    parts = r.components.groupBy("drawing_id").agg(F.collect_list(values).alias("components"))
+    ends = r.connections.groupBy("drawing_id").agg(F.collect_list(F.struct("from_component", "to_component", "cable_spec", "wire_label", "signal_type", "seq")).alias("connections"))
+    rows = r.drawings.select("drawing_id", "drawing_type", c("title").alias("file_hash"), F.lit(None).cast("timestamp").alias("scanned"), "cross_references", "terminal_blocks", "k")
+    return rows.join(parts, "drawing_id", "left").join(ends, "drawing_id", "left")
+
+
+_SCANNED = [x.split()[0] for x in upkeep.SCAN.split(", ")]
+
+
+def _kept_up(r: Registry, cuts) -> tuple[str, list[DataFrame]]:
+    """Batches of scans through the change stream, the stream being started for each; its root and the batches."""
+    scans = written(scans_of(r), "scans")
+    root, batches = new_path(r.spark, "upkeep"), [cut(scans).select(*_SCANNED) for cut in cuts]
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{root}/in")
+        upkeep.change_stream(r.spark, f"{root}/in", root, authority.default_rules(r.spark)).awaitTermination()
+    return root, batches
+
+
+def _emptied(scans: DataFrame) -> DataFrame:
+    return scans.withColumns({n: F.slice(n, 1, 0) for n in ("components", "connections", "cross_references")})
+
+
+def _relabelled(scans: DataFrame) -> DataFrame:
+    """Other values, types and references than the drawing has in the end."""
+    parts = F.transform("components", lambda p: p.withField("values", F.slice(p["values"], 1, 1)).withField("component_type", F.lit("86")))
+    return scans.withColumns({"components": F.slice(parts, 2, 100000), "cross_references": F.array(F.lit("EC-100.0"), F.lit("EC-999.9")), "drawing_type": F.lit("LEGEND")})
+
+
+@query("t1_change_stream")
+def t1(r: Registry) -> DataFrame:
+    """Open mismatches after three batches: some drawings as they are, others altered or empty, and then those as they are."""
+    cuts = [
+        lambda s: s.filter("k % 5 <> 0").unionByName(_relabelled(s.filter("k % 10 = 5"))),
+        lambda s: _emptied(s.filter("k % 15 = 1")).unionByName(_relabelled(s.filter("k % 30 = 0"))),
+        lambda s: s.filter("k % 5 = 0 OR k % 15 = 1"),
+    ]
+    root, _ = _kept_up(r, cuts)
+    rows = upkeep.Upkeep(r.spark, root, authority.default_rules(r.spark)).mismatches.read()
+    return flat(rows.filter("not resolved"))
+
+
+ORACLES["t1_change_stream"] = ORACLES["u1_all_checks"]
+
+
 # Page texts and tables
 
 

@@ -17,10 +17,10 @@ from ..operators.changes import latest, replaced, snapshot, stored_mismatches
 c = F.col
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows of a folder; None if nothing was written there."""
+def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The rows of a folder; None if nothing was written there. A stated schema spares reading it from the files."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -28,13 +28,19 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 class Table:
-    """One table with a key."""
+    """One table with a key, in ``buckets`` partitions by its hash.
+
+    ``buckets`` should grow with the table: what a batch reads and writes is the partitions
+    that its keys fall into.  Each written partition has a row without key, so that one whose
+    last row goes is overwritten too; rows without key aren't read back.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str | None = None, key: str = "drawing_id", buckets: int = 32):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
 
     def _stored(self) -> DataFrame | None:
-        return read_or_none(self.spark, self.path)
+        rows = read_or_none(self.spark, self.path, self.schema and f"{self.schema}, bucket int")
+        return None if rows is None else rows.filter(c(self.key).isNotNull())
 
     def exists(self) -> bool:
         return self._stored() is not None
@@ -50,21 +56,41 @@ class Table:
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def write(self, df: DataFrame) -> None:
-        """The rows of ``df`` replace those of all partitions that they fall into."""
+    def hit(self, keys: DataFrame) -> list[int]:
+        """The partitions that keys fall into: ``buckets`` numbers at most."""
+        return [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+
+    def write(self, df: DataFrame, hit: list[int] | None = None) -> None:
+        """The rows of ``df`` become those of the partitions ``hit``, or of all that they fall into."""
         rows = df.withColumn("bucket", self._bucket())
+        if hit is not None:
+            empty = self.spark.range(1).select(F.explode(F.lit(hit)).alias("bucket")).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), c("bucket").cast("int"))
+            rows = rows.unionByName(empty)
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
-    def touched(self, new: DataFrame) -> DataFrame:
-        """The stored rows in the partitions that the keys of ``new`` fall into."""
+    def touched(self, keys: DataFrame) -> DataFrame:
+        """The stored rows in the partitions that ``keys`` fall into."""
+        return self.within(self.hit(keys))
+
+    def within(self, hit: list[int]) -> DataFrame:
         rows = self._stored()
-        # at most ``buckets`` numbers
-        hit = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]
-        return rows.filter(c("bucket").isin(hit)).drop("bucket")
+        return self.read() if rows is None else rows.filter(c("bucket").isin(hit)).drop("bucket")
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """The rows of some keys; ``keys`` has the key column."""
+        keys = keys.select(self.key).distinct()
+        return self.touched(keys).join(keys, self.key, "left_semi")
 
-    def replace(self, new: DataFrame) -> None:
-        """K1: the rows with the keys of ``new`` are replaced, all others stay."""
-        self.write(replaced(self.touched(new), new, self.key) if self.exists() else new)
+    def replace(self, new: DataFrame, keys: DataFrame | None = None) -> None:
+        """K1: the rows of ``keys`` go, those of ``new`` come, all others stay.
+
+        ``keys`` are all that was scanned: one that has no rows any more loses its old ones.
+        Left out, they are the keys of ``new``.
+        """
+        keys = new.select(self.key) if keys is None else keys.select(self.key).union(new.select(self.key))
+        hit = self.hit(keys)
+        old = self.within(hit) if self.exists() else new.limit(0)
+        self.write(replaced(old, new, self.key, keys), hit)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -83,9 +109,11 @@ def batch_rows(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
 
 
 def store_mismatches(table: Table, found: DataFrame) -> None:
-    """K3. Every open mismatch may change its state, so all partitions are written; ``table`` has the key mismatch_id."""
-    old = table.read() if table.exists() else stored_mismatches_empty(found)
-    table.write(stored_mismatches(old, found))
+    """K3 after all checks: partitions with open or found mismatches are written, those with resolved ones alone stay."""
+    if not table.exists():
+        return table.write(stored_mismatches(stored_mismatches_empty(found), found))
+    hit = table.hit(table.read().filter("not resolved").select(table.key).union(found.select(table.key)))
+    table.write(stored_mismatches(table.within(hit), found), hit)
 
 
 def stored_mismatches_empty(found: DataFrame) -> DataFrame:
@@ -104,21 +132,59 @@ def write_snapshot(components: DataFrame, drawings: DataFrame, path: str) -> Non
     append(snapshot(components, drawings), path)
 
 
-def write_drawing_json(drawings: DataFrame, components: DataFrame, path: str) -> None:
-    """K7: JSON lines, an object for each drawing with its components."""
+#: What one exported file holds at most.
+MOST_RECORDS = 1_000_000
+DRAWING_JSON = "drawing_id string, drawing_type string, components array<struct<component_id:string,component_type:string,values:array<struct<parameter:string,value:string,unit:string,numeric_value:double>>>>"
+
+
+def write_drawing_json(drawings: DataFrame, components: DataFrame, path: str, most: int = MOST_RECORDS) -> None:
+    """K7: JSON lines, an object for each drawing with its components in order; ``most`` drawings a file at most."""
     inner = components.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("component_id", "component_type", "values"))).alias("components"))
-    drawings.join(inner, "drawing_id", "left").write.mode("overwrite").json(path)
+    drawings.join(inner, "drawing_id", "left").write.mode("overwrite").option("maxRecordsPerFile", most).json(path)
+
+
+def read_drawing_json(spark: SparkSession, path: str, schema: str = DRAWING_JSON) -> DataFrame:
+    """K7 read back; a drawing without components has none (null)."""
+    return spark.read.schema(schema).json(path)
+
+
+#: K8: the parts of a full export and their columns.
+EXPORT = {
+    "statistics": "drawings long, component_instances long, unique_components long, shared_components long, connections long, labels long, active_mismatches long",
+    "shared": "component_id string, n_drawings long, drawings array<string>",
+    "graph": "drawing_id string, n_references long, n_referenced_by long, n_shared long",
+}
+
+
+def export_json(parts: dict[str, DataFrame], path: str, most: int = MOST_RECORDS) -> None:
+    """K8: statistics, shared components and the graph, each as JSON lines in a folder of its own."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").option("maxRecordsPerFile", most).json(f"{path}/{name}")
+
 
+def read_export(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """K8 read back."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in (schemas or EXPORT).items()}
 
-def export_json(statistics: DataFrame, shared: DataFrame, graph: DataFrame, path: str) -> None:
-    """K8: statistics, shared components and the graph, as JSON lines of three folders."""
-    for name, df in (("statistics", statistics), ("shared", shared), ("graph", graph)):
-        df.write.mode("overwrite").json(f"{path}/{name}")
 
+def write_cables(connections: DataFrame, components: DataFrame, drawings: DataFrame, path: str, drawing_id: str | None = None, most: int = MOST_RECORDS) -> None:
+    """K9: cable list in the order of drawing, from and to over its files, schedule, and the list by drawing.
 
-def write_cables(connections: DataFrame, components: DataFrame, drawings: DataFrame, path: str, drawing_id: str | None = None) -> None:
-    """K9: cable list, schedule, and the list dealt out by drawing."""
+    The list by drawing lies in folders by a hash of the drawing, in the list's order; a
+    folder for each drawing would be as many as drawings.
+    """
     rows = cables.cable_list(connections, components, drawing_id)
-    rows.write.mode("overwrite").option("header", True).csv(f"{path}/cable_list")
-    cables.cable_schedule(connections, drawings).write.mode("overwrite").option("header", True).csv(f"{path}/cable_schedule")
-    cables.cables_by_drawing(rows).write.mode("overwrite").parquet(f"{path}/by_drawing")
+    order = ["drawing_id", "from_component", "to_component", "cable_number"]
+    out = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", most)
+    out(rows.repartitionByRange(*order).sortWithinPartitions(*order)).option("header", True).option("quoteAll", True).option("emptyValue", "").csv(f"{path}/cable_list")
+    out(cables.cable_schedule(connections, drawings)).option("header", True).csv(f"{path}/cable_schedule")
+    by = rows.withColumn("folder", F.pmod(F.xxhash64("drawing_id"), F.lit(64)).cast("int"))
+    out(by.repartition("folder").sortWithinPartitions("folder", *order)).partitionBy("folder").parquet(f"{path}/by_drawing")
+
+
+def read_cables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K9 read back: list, schedule, list by drawing (folder dropped)."""
+    by = spark.read.parquet(f"{path}/by_drawing").drop("folder")
+    read = lambda schema: spark.read.schema(schema).option("header", True).option("emptyValue", "")
+    listed = ", ".join(f"{n} {t}" for n, t in by.dtypes)
+    return read(listed).csv(f"{path}/cable_list"), read("spec string, n long, n_drawings long, n_from long, n_to long").csv(f"{path}/cable_schedule"), by

@@ -1,4 +1,4 @@
-"""Changed drawings as a stream: filter, debounce, merge, check, impact, event rows."""
+"""File events: which count, the debounce on a stream, and event rows."""
 
 from __future__ import annotations
 
@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import checks, propagation
-from ..operators.changes import detect_changes, snapshot
 from ..operators.debounce import debounce
 from ..sources.files import wanted
-from ..sources.registry import Table, append_batch, batch_rows
 
 c = F.col
 
@@ -109,72 +106,4 @@ def event_rows(events: DataFrame, components: DataFrame, mismatches: DataFrame,
     return rows.fillna(0, ["n_components", "n_mismatches", "n_affected"])
 
 
-def _with_columns(drawings: DataFrame) -> DataFrame:
-    """Drawings with the columns that the checks read; missing ones are empty."""
-    kinds = {"cross_references": "array<string>", "terminal_blocks": "map<string,array<string>>", "file_hash": "string"}
-    return drawings.withColumns({n: F.lit(None).cast(t) for n, t in kinds.items() if n not in drawings.columns})
-
-
-COMPONENTS = "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>, attributes map<string,string>, signals array<string>"
-
-
-def apply_batch(batch: DataFrame, number: int, root: str, drawings: DataFrame, connections: DataFrame | None, rules: DataFrame) -> None:
-    """What one batch of decoded components does, in order: snapshot, change log, replacement, checks, impact, event rows.
-
-    The old rows of the batch's drawings go to ``snapshots`` (K2), what changes to
-    ``change_log`` (H1, K4); the registry's rows are replaced (K1); all checks run, and those
-    that involve a drawing of the batch go to ``mismatches``; ``events`` has a row for each
-    drawing, with its components, mismatches and affected drawings (T3).  Logs are
-    partitioned by batch, so a batch that is run again replaces what it wrote; it takes the
-    old rows from the snapshot that its first run made, if that was written.
-    """
-    spark = batch.sparkSession
-    table = Table(spark, f"{root}/components", COMPONENTS)
-    # one row for each component of a drawing: the stream may bring it twice
-    batch = batch.dropDuplicates(["drawing_id", "component_id"])
-    changed = batch.select("drawing_id").distinct()
-    old = (table.touched(batch) if table.exists() else table.read()).join(changed, "drawing_id", "left_semi")
-    before = batch_rows(spark, f"{root}/snapshots", number)
-    if before is None or before.isEmpty():
-        append_batch(snapshot(old, _with_columns(drawings)), f"{root}/snapshots", number)
-        before = batch_rows(spark, f"{root}/snapshots", number)
-    was = old.select("drawing_id", "component_id", "values") if before is None else before.select("drawing_id", F.explode("components").alias("component_id", "x")).select("drawing_id", "component_id", "x.values")
-    log = detect_changes(was, batch).select(F.current_timestamp().alias("timestamp"), "*")
-    append_batch(log, f"{root}/change_log", number)
-    table.replace(batch)
-    everything = table.read()
-    found = checks.all_checks(_with_columns(drawings), everything, connections, rules)
-    hit = found.select("mismatch_id", F.explode("drawings_involved").alias("drawing_id")).join(changed, "drawing_id", "left_semi").select("mismatch_id").distinct()
-    append_batch(found.join(hit, "mismatch_id", "left_semi").drop("resolution_options"), f"{root}/mismatches", number)
-    written = batch_rows(spark, f"{root}/mismatches", number)
-    written = found.limit(0) if written is None else written
-    near = everything.join(batch.select("component_id").distinct(), "component_id", "left_semi")
-    affected = propagation.impact(near, sources=changed)
-    events = event_rows(changed.withColumn("event", F.lit("modified")), batch, written, affected)
-    append_batch(events, f"{root}/events", number)
-
-
-def change_stream(spark: SparkSession, decoded: str, root: str, drawings: DataFrame, connections: DataFrame | None, rules: DataFrame, file_changes: DataFrame | None = None, seconds: float = 2.0):
-    """A query over decoded components that arrive as Parquet in ``decoded``.
-
-    Each batch goes through ``apply_batch``.  Without ``connections`` the checks that read
-    them make no rows.  ``file_changes``: a stream of file events (path, event, ts); then
-    only drawings whose events pass the filter (T4) and the debounce (T2) are taken, by a
-    join on drawing_id within an hour of the event; decoded rows need a column ts for it.
-    """
-    schema = COMPONENTS if file_changes is None else f"{COMPONENTS}, ts timestamp"
-    rows = spark.readStream.schema(schema).parquet(decoded)
-    if file_changes is not None:
-        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-        taken = debounced_stream(file_events(file_changes), seconds).select(name.alias("changed_id"), c("ts").alias("changed_at")).withWatermark("changed_at", "1 hour")
-        near = "drawing_id = changed_id and ts between changed_at and changed_at + interval 1 hour"
-        rows = rows.withWatermark("ts", "1 hour").join(taken, F.expr(near)).drop("ts", "changed_id", "changed_at")
-
-    def each(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            apply_batch(batch, number, root, drawings, connections, rules)
-
-    return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-
-
-__all__ = ["apply_batch", "change_stream", "debounce", "debounced_stream", "event_rows", "file_events"]
+__all__ = ["Debounce", "debounce", "debounced_stream", "event_rows", "file_events", "run_debounce"]
