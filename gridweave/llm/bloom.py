@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import written
-from .textbytes import as_array, digests, joined, mix
+from .textbytes import as_array, digests, joined, mix, tidied
 
 BITS = 512
 WORDS = BITS // 64
@@ -56,7 +56,7 @@ class BlockedBloom:
                 yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(set_[:, i].view(np.int64)) for i in range(WORDS))], names=["block", *columns])
 
         columns = [f"w{i}" for i in range(WORDS)]
-        made = keys.mapInArrow(part, "block bigint, " + ", ".join(f"{c} bigint" for c in columns))
+        made = keys.mapInArrow(tidied(part), "block bigint, " + ", ".join(f"{c} bigint" for c in columns))
         rows = made.groupBy("block").agg(*[F.bit_or(c).alias(c) for c in columns]).toArrow()
         words = np.zeros((blocks, WORDS), np.uint64)
         at = rows.column("block").to_numpy()
@@ -85,7 +85,7 @@ class BlockedBloom:
                 flags = pa.array(mine.flags(batch.column(batch.schema.names.index(column))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, name])
 
-        return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+        return df.mapInArrow(tidied(add), T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
     def possible(self, df: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in: all that are, and a small share of the others."""
@@ -97,4 +97,4 @@ class BlockedBloom:
             for batch in batches:
                 yield batch.filter(pa.array(mine.flags(batch.column(batch.schema.names.index(column)))))
 
-        return df.mapInArrow(keep, df.schema)
+        return df.mapInArrow(tidied(keep), df.schema)

@@ -18,6 +18,7 @@ two of them share a digest is at most d * d / 2**65.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
-from .textbytes import ALNUM, Words, release, slices
+from .textbytes import ALNUM, Words, release, slices, tidied
 
 #: Bytes of text in a shard; its arrays take about 60 bytes a word.
 SHARD_BYTES = 2 << 20
@@ -175,28 +176,58 @@ def _shard(texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     return words, rank, names, begin
 
 
-def _search(texts, probe: Probe):
-    """(first word, words, item) triples of all windows, and n_words, by document of one shard."""
+def _search(texts, probe: Probe, marked: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Of one shard: n_words by document, (document, begin, end) of hit stretches, and (document, items) of documents with hits.
+
+    Suffixes with equal windows have one range in the suffix array, so each window's places
+    are listed once, however many items have it: no more than there are words for each length
+    of a window.  Words inside windows are counted by steps up and down, with ``marked``
+    stretches (of earlier blocks) among them.  Items come from sets: windows with the same
+    items are one set, and a document gathers each set once.
+    """
     words, rank, names, begin = _shard(texts)
     counts = words.counts()
     order, low, high, *_ = _find(probe, rank, names)
     hit = np.flatnonzero(high > low)
-    n = high[hit] - low[hit]
-    place = order[np.repeat(low[hit], n) + _within(n)]
-    suffix = np.repeat(hit, n)
-    doc = np.searchsorted(begin, place, "right") - 1
-    return counts, doc, place - begin[doc], probe.need[suffix], probe.item[suffix]
-
-
-def _merged(starts: np.ndarray, sizes: np.ndarray) -> list[int]:
-    """Overlapping stretches as a flat list start, end, start, end."""
-    out: list[int] = []
-    for a, n in sorted(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], a + n)
+    hit = hit[np.lexsort((probe.item[hit], probe.need[hit], low[hit]))]
+    first = np.ones(len(hit), bool)
+    first[1:] = (low[hit[1:]] != low[hit[:-1]]) | (probe.need[hit[1:]] != probe.need[hit[:-1]])
+    window, one = np.cumsum(first) - 1, hit[first]
+    n = high[one] - low[one]
+    place = order[np.repeat(low[one], n) + _within(n)]
+    doc_old, old_begin, old_end = marked
+    steps = np.bincount(np.concatenate([place, begin[doc_old] + old_begin]), minlength=len(rank) + 1) - np.bincount(np.concatenate([place + np.repeat(probe.need[one], n), begin[doc_old] + old_end]), minlength=len(rank) + 1)
+    inside = np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]])
+    turns = np.diff(inside)
+    starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+    span_doc = np.searchsorted(begin, starts, "right") - 1
+
+    # distinct items of each window, and windows with equal ones as one set
+    new = np.ones(len(hit), bool)
+    new[1:] = first[1:] | (probe.item[hit[1:]] != probe.item[hit[:-1]])
+    item, of = probe.item[hit[new]], window[new]
+    cuts = np.searchsorted(of, np.arange(len(one) + 1))
+    sets: dict[bytes, int] = {}
+    held: list[np.ndarray] = []
+    set_of = np.zeros(len(one), np.int64)
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        mine = item[a:b]
+        set_of[k] = sets.setdefault(hashlib.blake2b(mine.tobytes(), digest_size=16).digest(), len(held))
+        if set_of[k] == len(held):
+            held.append(mine)
+    pairs = np.unique((np.searchsorted(begin, place, "right") - 1) * max(len(held), 1) + np.repeat(set_of, n))
+    doc, which = np.divmod(pairs, max(len(held), 1))
+    cuts = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc)).tolist()
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a == 1:
+            found.append((int(doc[a]), held[which[a]]))
         else:
-            out += [a, a + n]
-    return out
+            seen = np.zeros(len(probe.ids), bool)
+            for w in which[a:b].tolist():
+                seen[held[w]] = True
+            found.append((int(doc[a]), np.flatnonzero(seen)))
+    return counts, (span_doc, starts - begin[span_doc], ends - begin[span_doc]), found
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
@@ -240,19 +271,19 @@ def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_c
                 release()
                 for begin, end in slices(batch.column(text_col), SHARD_BYTES):
                     part = batch.slice(begin, end - begin)
-                    counts, doc, start, size, item = _search(part.column(text_col), probe)
-                    spans, names = part.column("hit_spans").to_pylist(), part.column("items").to_pylist()
-                    by = np.argsort(doc, kind="stable")
-                    cuts = np.searchsorted(doc[by], np.arange(len(counts) + 1))
-                    for i in np.flatnonzero(np.diff(cuts)):
-                        mine = by[cuts[i] : cuts[i + 1]]
-                        old = np.array(spans[i], np.int64).reshape(-1, 2)
-                        spans[i] = _merged(np.concatenate([old[:, 0], start[mine]]), np.concatenate([old[:, 1] - old[:, 0], size[mine]]))
-                        names[i] = sorted({*names[i], *(probe.ids[k] for k in np.unique(item[mine]).tolist())})
-                    cols = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
+                    old = part.column("hit_spans")
+                    flat = old.flatten().to_numpy(zero_copy_only=False)
+                    sizes = np.diff(old.offsets.to_numpy()) // 2
+                    counts, (doc, start, end_), found = _search(part.column(text_col), probe, (np.repeat(np.arange(len(sizes)), sizes), flat[0::2], flat[1::2]))
+                    offsets = 2 * np.searchsorted(doc, np.arange(len(counts) + 1))
+                    spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.column_stack([start, end_]).ravel(), pa.int64()))
+                    names = part.column("items").to_pylist()
+                    for i, ks in found:
+                        names[i] = sorted({*names[i], *(probe.ids[k] for k in ks.tolist())})
+                    cols = {"n_words": pa.array(counts, pa.int64()), "hit_spans": spans, "items": pa.array(names, pa.list_(pa.string()))}
                     yield pa.RecordBatch.from_arrays([cols.get(f.name, part.column(k)) for k, f in enumerate(part.schema)], names=part.schema.names)
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(tidied(search), out.schema)
     pairs = F.expr("aggregate(sequence(0, size(hit_spans) - 1, 2), 0L, (s, i) -> s + hit_spans[i + 1] - hit_spans[i])")
     out = out.withColumn("n_hit", F.when(F.size("hit_spans") > 0, pairs).otherwise(F.lit(0).cast("long")))
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
@@ -294,7 +325,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, *, least: int = 10, id_co
                     ids = part.column(0).take(pa.array(doc))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(place - first[doc]), pa.array(length[suffix]), pa.array([probe.ids[k] for k in probe.item[suffix]], pa.string()), pa.array(at0)], names=["doc_id", "word_at", "n_words", "item_id", "item_word_at"])
 
-        part = docs.mapInArrow(search, MATCHES)
+        part = docs.mapInArrow(tidied(search), MATCHES)
         found = part if found is None else found.union(part)
     return found
 

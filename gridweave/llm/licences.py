@@ -184,13 +184,14 @@ def found_column(text: Column, known: dict[str, str] = KNOWN) -> Column:
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     plain = F.regexp_replace(F.regexp_replace(low, _BREAKS, "$1S"), "[^a-z0-9S\n]+", " ")
-    # the odd parts are the matches
+    # the odd parts are the matches; one that was wrapped leaves its line ends behind it, so that the index of a part between ends is its number
     parts = F.split(F.regexp_replace(plain, _pattern(known), "M$1M"), "M", -1)
-    ends = lambda s: F.length(s) - F.length(F.translate(s, "S\n", ""))
-    before = lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, s: n + ends(s))
-    at = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
-    one = lambda k: F.struct(before(k).alias("at"), F.element_at(names, F.regexp_replace(F.get(parts, k), "[ \n]+", " ")).alias("id"))
-    return F.when(F.size(parts) > 1, F.transform(at, one)).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
+    inner = lambda p: F.repeat(F.lit("\n"), F.length(p) - F.length(F.translate(p, "\n", "")))
+    marked = F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.concat(F.lit("M"), F.regexp_replace(p, "[ \n]+", " "), inner(p))).otherwise(p))
+    numbered = F.transform(F.split(F.array_join(marked, ""), "[S\n]", -1), lambda x, k: F.struct(k.alias("at"), x.alias("id")))
+    hits = F.filter(numbered, lambda x: F.startswith(x["id"], F.lit("M")))
+    one = lambda x: F.struct(x["at"].alias("at"), F.element_at(names, F.substring(x["id"], 2, 1 << 30)).alias("id"))
+    return F.when(F.size(parts) > 1, F.transform(hits, one)).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
 
 
 def licence_scan(docs: DataFrame, *, known: dict[str, str] = KNOWN, rules=ALL_RULES, text_col: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
 from .shared import components, small, small_batches, written
-from .textbytes import NOT_SPACE, Words, group_rows, release, runs, slices
+from .textbytes import NOT_SPACE, Words, group_rows, release, runs, slices, tidied
 
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 32 << 20
@@ -95,7 +95,7 @@ def frequent_ngrams(docs: DataFrame, text_col: str, n: int, common: float) -> np
     total = docs.count()
     # chunks end with their task: few enough tasks, so that they are large enough
     tasks = max(1, total // least)
-    seen = docs.select(text_col).coalesce(tasks).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = docs.select(text_col).coalesce(tasks).mapInArrow(tidied(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = seen.filter(F.col("n") > max(3, int(common * total / 2))).orderBy("n", "gram").select("gram").toArrow()
     return rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
 
@@ -258,7 +258,7 @@ def _tasks(rows: DataFrame, block: int, similar) -> tuple[DataFrame, DataFrame]:
     hubs = written(hubs, "hubs")
     size = hubs.agg(F.sum(F.octet_length("hub_data"))).first()[0] or 0
     met = large.join(F.broadcast(hubs) if size <= HUB_BYTES else hubs, "g").select("g", "size", "cls", "n", "data", "hub", "hub_n", "hub_data")
-    met = written(met.mapInArrow(star, "g bigint, size bigint, cls bigint, n int, data binary, hub bigint, tied boolean"), "met")
+    met = written(met.mapInArrow(tidied(star), "g bigint, size bigint, cls bigint, n int, data binary, hub bigint, tied boolean"), "met")
     links = met.filter("tied and cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     loose = met.filter("not tied").groupBy("g").agg(F.count("*").alias("u"))
     open_ = met.join(small(loose), "g").withColumn("k", F.ceil(F.col("size") / block).cast("int")).withColumn("o", F.ceil(F.col("u") / block).cast("int"))
@@ -396,7 +396,7 @@ def _linked(docs: DataFrame, n: int, percent: int, common: float, block: int) ->
             else:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "h", "n", "cls", "prefix", "bits"])
 
-    made = written(docs.select("doc_id", "text", "h").mapInArrow(sets, "doc_id bigint, h bigint, n int, cls bigint, prefix array<bigint>, bits binary"), "sets")
+    made = written(docs.select("doc_id", "text", "h").mapInArrow(tidied(sets), "doc_id bigint, h bigint, n int, cls bigint, prefix array<bigint>, bits binary"), "sets")
     members = made.select("doc_id", "h", "n", "cls")
     # the class's row: its first document, ids before nulls
     low = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
@@ -410,18 +410,18 @@ def _linked(docs: DataFrame, n: int, percent: int, common: float, block: int) ->
     groups = shared.groupBy("g", "many", "cls").agg(F.min("n").alias("n"))
     groups = written(groups, "groups").join(classes.select("cls", F.col("bits").alias("data")), "cls").withColumnRenamed("many", "size")
     tasks, near = _tasks(groups, block, maps_allow(percent))
-    near = near.union(tasks.mapInArrow(lambda b: _candidate_links(b, percent), "a bigint, b bigint"))
+    near = near.union(tasks.mapInArrow(tidied(lambda b: _candidate_links(b, percent)), "a bigint, b bigint"))
     cluster = components(near)
 
     ids = cluster.join(classes.select(F.col("cls").alias("node"), "low"), "node")
     key = lambda c: F.coalesce(c, F.lit(-1)).cast("string")
     bloom = BlockedBloom.of(ids.select(key(F.col("low.id")).alias("k")), "k")
     inside = bloom.possible(docs.filter("text is not null").withColumn("k", key(F.col("doc_id"))), "k").select("doc_id", "text", "h")
-    full = inside.mapInArrow(lambda b: sets(b, True), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("data"))
+    full = inside.mapInArrow(tidied(lambda b: sets(b, True)), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("data"))
     size = cluster.groupBy("root").agg(F.count("*").alias("size"))
     held = cluster.join(size, "root").select(F.col("node").alias("cls"), F.col("root").alias("g"), "size").join(full, "cls").withColumn("n", (F.octet_length("data") / 8).cast("int"))
     tasks, links = _tasks(held, block, sets_similar(percent))
-    links = links.union(tasks.mapInArrow(lambda b: _tree_links(b, percent), "a bigint, b bigint"))
+    links = links.union(tasks.mapInArrow(tidied(lambda b: _tree_links(b, percent)), "a bigint, b bigint"))
     joined = components(links)
     first = joined.join(classes.select(F.col("cls").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("first"))
     reach = joined.join(first, "root").select(F.col("node").alias("cls"), "first")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .linear import logistic, margins, sigmoid, with_texts
 from .shared import dropped, held_out, small_batches, written
-from .textbytes import NOT_SPACE, Words, as_array, joined, release, slices
+from .textbytes import NOT_SPACE, Words, as_array, joined, release, slices, tidied
 
 HASHED = 512
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
@@ -154,7 +154,7 @@ def _featured(docs: DataFrame) -> DataFrame:
             t, m = text_view(batch.column(1)).astype(np.float16), metadata_slots(*batch.columns[2:5])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m))], names=["doc_id", "t", "m"])
 
-    return docs.select(*COLUMNS).mapInArrow(run, ROWS.format(docs.schema["doc_id"].dataType.simpleString()))
+    return docs.select(*COLUMNS).mapInArrow(tidied(run), ROWS.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def _trained(rows: DataFrame) -> tuple[list[np.ndarray], Model]:
@@ -199,7 +199,7 @@ def exchanged(docs: DataFrame, model: Model, *, least: float, most: int, seed: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(by_meta, pa.int32()), pa.array(by_text, pa.int32())], names=["doc_id", "y_text", "y_meta"]).filter(pa.array(keep))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sure = written(docs.select(*COLUMNS).mapInArrow(run, f"doc_id {kind}, y_text int, y_meta int"), "sure")
+    sure = written(docs.select(*COLUMNS).mapInArrow(tidied(run), f"doc_id {kind}, y_text int, y_meta int"), "sure")
     parts = [sure.filter(F.col(c) == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id", *[F.when(F.lit(c == k), F.col(k)).otherwise(F.lit(-1)).alias(k) for k in ("y_text", "y_meta")]) for c in ("y_text", "y_meta") for label in (0, 1)]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     # rows that repeat an id may differ: the label of most of them would not be defined, the greater one is
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             three = sent.value.scores(of["text"], of["lang"], of["source"], of["n_chars"])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in three)], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, docs.withColumns({a: F.lit(0.0) for a in added}).schema)
+    return docs.mapInArrow(tidied(run), docs.withColumns({a: F.lit(0.0) for a in added}).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

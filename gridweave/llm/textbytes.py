@@ -7,6 +7,7 @@ characters stay whole) and named by a 64-bit digest.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: The C library of a worker; elsewhere than on Linux it has no malloc_trim.
+_LIBC = ctypes.CDLL(None)
+
+
 def release() -> None:
-    """Give memory that Arrow keeps for later back to the system: workers live through many stages."""
+    """Give memory that Arrow and the C library keep for later back to the system: workers live through many stages."""
     pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidied(run):
+    """A function of batches that gives its memory back at its end, when its own variables are gone."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def as_array(column) -> pa.Array:

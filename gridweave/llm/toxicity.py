@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .linear import Adam, sample_ids, sigmoid
 from .shared import dropped, held_out, small_batches, written
-from .textbytes import ALNUM, Words, mix, release, slices
+from .textbytes import ALNUM, Words, mix, release, slices, tidied
 
 BITS = 20
 BEGINNINGS = (4, 5, 6)
@@ -111,7 +111,7 @@ def _counted(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
         some = np.flatnonzero(have) if sent.value is None else sent.value[have[sent.value] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(have[some], seen).astype(np.int64))], names=["feature", "n"])
 
-    return docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(run), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def chosen_features(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int, least_z: float, least_lift: float) -> np.ndarray:
@@ -133,7 +133,7 @@ def patterns(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
             cut = [c[c >= 0] for c in (place[r] for r in buckets(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cut], pa.binary()), batch.column(1).cast(pa.int64())], names=["f", "n_p"])
 
-    rows = docs.select("text", "positive").mapInArrow(run, "f binary, n_p bigint")
+    rows = docs.select("text", "positive").mapInArrow(tidied(run), "f binary, n_p bigint")
     return rows.groupBy("f").agg(F.sum("n_p").alias("n_p"), F.count("*").alias("n_u"))
 
 
@@ -225,7 +225,7 @@ def _summed(table: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cols = np.concatenate([grad[:, some], loss[:, None]], 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(c) for c in cols)], names=["k", "a", "b", "c"])
 
-    rows = table.mapInArrow(run, "k bigint, a double, b double, c double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "abc"]).toArrow()
+    rows = table.mapInArrow(tidied(run), "k bigint, a double, b double, c double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "abc"]).toArrow()
     sent.unpersist()
     k, v = rows.column("k").to_numpy(), np.stack([rows.column(c).to_numpy() for c in "abc"])
     grad = np.zeros((3, len(w)))
@@ -246,7 +246,7 @@ def _intercept(table: DataFrame, w: np.ndarray, n_u: int, prior: float) -> float
             z = np.array([sent.value[c].sum() for c in f])
             yield pa.RecordBatch.from_arrays([pa.array(np.round(100 * np.clip(z, -99, 99)).astype(np.int64)), pa.array(n)], names=["z", "n"])
 
-    rows = table.mapInArrow(run, "z bigint, n bigint").groupBy("z").agg(F.sum("n").alias("n")).toArrow()
+    rows = table.mapInArrow(tidied(run), "z bigint, n bigint").groupBy("z").agg(F.sum("n").alias("n")).toArrow()
     z, n = rows.column("z").to_numpy() / 100, rows.column("n").to_numpy()
     mean = lambda b: (sigmoid(z + b) * n).sum() / n_u
     low, high = -20.0, float(w[-1])
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             col = batch.column(batch.schema.names.index(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(col))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return docs.mapInArrow(tidied(run), docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
