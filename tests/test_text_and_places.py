@@ -13,7 +13,6 @@ from gridweave.functions import patterns as P
 from gridweave.functions import text as X
 from gridweave.operators import bom, cad, classify, spatial
 from gridweave.sources import decoded, files
-from gridweave.streaming import watch
 
 c = F.col
 
@@ -210,79 +209,6 @@ def test_manifest_and_delta(spark, tmp_path):
     assert {r.status: r.n for r in files.scan_results(files.hash_delta(own, known, force=True)).collect()} == {"updated": 1, "new": 1}
 
 
-def events(spark, times):
-    return spark.createDataFrame([(f"{p}.pdf", "modified", float(t)) for p, t in times], "path string, event string, s double").select("path", "event", F.timestamp_millis((c("s") * 1000).cast("long")).alias("ts"))
-
-
-def test_debounce(spark):
-    df = events(spark, [("a", t) for t in (0, 1, 2.5, 3, 5)] + [("b", 1)])
-    got = sorted((r.path, r.ts.timestamp()) for r in watch.debounce(df).collect())
-    assert got == [("a.pdf", 0.0), ("a.pdf", 2.5), ("a.pdf", 5.0), ("b.pdf", 1.0)]
-    assert watch.file_events(df).count() == 6 and watch.debounce(df.limit(0)).count() == 0
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    df = events(spark, [("a", t) for t in (0, 1, 2.5, 3, 5)] + [("b", 1), ("b", 2)])
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(watch.EVENTS).parquet(f"{tmp_path}/in")
-    q = watch.debounced_stream(stream).writeStream.format("memory").queryName("debounced").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("debounced").collect())) == sorted(map(tuple, watch.debounce(df).collect()))
-
-
-def test_change_stream(spark, tmp_path):
-    from gridweave.operators.authority import default_rules
-
-    schema = "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>, attributes map<string,string>, signals array<string>"
-    rows = [("A", "52-1", "52", [("ratio", "1", "", None)], {}, []), ("B", "52-1", "50", [("ratio", "2", "", None)], {}, [])]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    drawings = spark.createDataFrame([("A", ""), ("B", "")], "drawing_id string, drawing_type string")
-    q = watch.change_stream(spark, f"{tmp_path}/in", f"file://{tmp_path}/reg", drawings, None, default_rules(spark))
-    q.awaitTermination(180)
-    assert q.exception() is None
-    got = {r.drawing_id: (r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{tmp_path}/reg/events").collect()}
-    assert got == {"A": (1, 2, 1), "B": (1, 2, 1)}
-
-
-def test_change_stream_runs_all_checks(spark, tmp_path):
-    from gridweave.operators.authority import default_rules
-
-    schema = "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>, attributes map<string,string>, signals array<string>"
-    rows = [(d, "FU-1", "FU", [("voltage_rating", v, "", None)], {}, []) for d, v in (("A", "1"), ("B", "2"))]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    drawings = spark.createDataFrame([("A", "", ["NRE-X"]), ("B", "", [])], "drawing_id string, drawing_type string, cross_references array<string>")
-    connections = spark.createDataFrame([("A", "FU-1", "FU-2", "2C#10", "", "", 1), ("B", "FU-1", "FU-2", "4C#10", "", "", 2)], "drawing_id string, from_component string, to_component string, cable_spec string, wire_label string, signal_type string, seq long")
-    q = watch.change_stream(spark, f"{tmp_path}/in", f"file://{tmp_path}/reg", drawings, connections, default_rules(spark))
-    q.awaitTermination(400)
-    assert q.exception() is None
-    got = {r.drawing_id: (r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{tmp_path}/reg/events").collect()}
-    # values, voltages and cables differ; A also refers to an unknown drawing
-    assert got == {"A": (1, 4, 1), "B": (1, 3, 1)}
-
-
-def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
-    from gridweave.operators.authority import default_rules
-
-    root = f"file://{tmp_path}/reg"
-    drawings = spark.createDataFrame([("A", "", "h1"), ("B", "", "h2")], "drawing_id string, drawing_type string, file_hash string")
-    batch = lambda rows: spark.createDataFrame([(d, i, "52", [("ratio", v, "", None)], {}, []) for d, i, v in rows], watch.COMPONENTS)
-    watch.apply_batch(batch([("A", "52-1", "1"), ("A", "52-9", "1"), ("B", "52-1", "2")]), 0, root, drawings, None, default_rules(spark))
-    second = batch([("A", "52-1", "2"), ("A", "52-2", "7")])
-
-    def state():
-        log = sorted((r.batch, r.component_id, r.change_type) for r in spark.read.parquet(f"{root}/change_log").collect())
-        events = sorted((r.batch, r.drawing_id, r.n_components, r.n_mismatches, r.n_affected) for r in spark.read.parquet(f"{root}/events").collect())
-        kept = sorted((r.drawing_id, r.component_id) for r in spark.read.parquet(f"{root}/components").collect())
-        return log, events, kept, sorted((r.batch, r.drawing_id, sorted(r.components)) for r in spark.read.parquet(f"{root}/snapshots").collect())
-
-    for _ in range(2):
-        watch.apply_batch(second, 1, root, drawings, None, default_rules(spark))
-        log, seen, kept, snapshots = state()
-        assert log == [(1, "52-1", "VALUE_CHANGED"), (1, "52-2", "COMPONENT_ADDED"), (1, "52-9", "COMPONENT_REMOVED")]
-        assert seen == [(0, "A", 2, 1, 1), (0, "B", 1, 1, 1), (1, "A", 2, 0, 0)]
-        assert kept == [("A", "52-1"), ("A", "52-2"), ("B", "52-1")] and snapshots == [(1, "A", ["52-1", "52-9"])]
-
-
 def test_components_in_tables(spark):
     from gridweave.functions.text import in_table
 
