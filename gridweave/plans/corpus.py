@@ -149,7 +149,7 @@ class Registry:
 
     @cached_property
     def components(self) -> DataFrame:
-        return stored(self._components, self.spark, self.sources, "components")
+        return stored(self._components, self.spark, self.sources, "components", by="component_id")
 
     def _components(self) -> DataFrame:
         value = F.struct("pos", F.struct("parameter", "value", "unit", F.lit(None).cast("double").alias("numeric_value")).alias("v"))
@@ -160,7 +160,9 @@ class Registry:
             F.array_sort(F.collect_set(F.when(F.col("signal") != "", F.col("signal")))).alias("signals"),
         )
         attributes = F.when(F.col("device").isNotNull(), F.create_map(F.lit("associated_device"), F.col("device"))).otherwise(F.create_map().cast("map<string,string>"))
-        return rows.withColumn("attributes", attributes).drop("device")
+        rows = rows.withColumn("attributes", attributes).drop("device")
+        # a component says the type of its drawing, so that checks by component need no join for it
+        return rows.join(self.raw("drawing").select("drawing_id", "drawing_type"), "drawing_id")
 
     @property
     def connections(self) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import audit, authority, bom, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
 from ..sources import decoded, files
+from ..sources.registry import Table, append
 from ..sources.store import new_path, written
 from ..streaming import upkeep, watch
 from .corpus import Registry, with_tables
@@ -858,6 +859,37 @@ def k1(r: Registry) -> DataFrame:
     return changes.replaced(rows, new)
 
 
+_RESCAN = """d AS (SELECT drawing_id, k % 10 = 0 AS scanned, k % 20 = 0 AS filled FROM drawing),
+n AS (SELECT component.drawing_id, component_id, scanned, CASE WHEN NOT scanned THEN component_type WHEN filled AND component_type <> '52' THEN 'LOR' END AS component_type FROM component JOIN d USING (drawing_id))"""
+
+
+def _rescanned(r: Registry) -> tuple[DataFrame, DataFrame, Table]:
+    """A tenth of the drawings is scanned again: of half of these some components stay, with another type and no values, and the others have become empty."""
+    old = r.components.select("drawing_id", "component_id", "component_type", "values")
+    scanned = r.raw("drawing").filter("k % 10 = 0").select("drawing_id", "k")
+    new = old.filter("component_type <> '52'").join(scanned.filter("k % 20 = 0"), "drawing_id").drop("k")
+    new = new.withColumns({"component_type": F.lit("LOR"), "values": F.slice("values", 1, 0)})
+    table = Table(r.spark, f"{new_path(r.spark, 'registry')}/components", "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>", buckets=16)
+    table.write(old)
+    changed = written(changes.detect_changes(table.of(scanned), new, scanned), "changed")
+    table.replace(new, scanned)
+    return scanned, changed, table
+
+
+@query("k1_rescan", "drawing component", f"{_RESCAN} SELECT drawing_id, component_id, component_type FROM n WHERE component_type IS NOT NULL")
+def k1_rescan(r: Registry) -> DataFrame:
+    """K1 written and read back, with drawings that have become empty."""
+    return _rescanned(r)[2].read().select("drawing_id", "component_id", "component_type")
+
+
+@query("h1_rescan", "drawing component", f"{_RESCAN} SELECT drawing_id, component_id, CASE WHEN component_type IS NULL THEN 'COMPONENT_REMOVED' ELSE 'VALUE_CHANGED' END AS change_type FROM n WHERE scanned")
+def h1_rescan(r: Registry) -> DataFrame:
+    """H1 with the removal of a drawing's last components, appended to a log and read back (K4)."""
+    log = f"{new_path(r.spark, 'registry')}/change_log"
+    append(_rescanned(r)[1], log)
+    return r.spark.read.parquet(log).select("drawing_id", "component_id", "change_type")
+
+
 # Files and streams
 
 

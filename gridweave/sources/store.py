@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[tuple, str] = {}
+_MADE: dict[tuple, DataFrame] = {}
 _LOCK = threading.RLock()  # tables are derived from each other
 
 
@@ -43,12 +43,33 @@ def state_of(spark: SparkSession, path: str) -> tuple:
     return path, size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
-def stored(make, spark: SparkSession, sources: list[str], *key: str) -> DataFrame:
-    """The rows of ``make()``, written once for each application, key and state of the source files."""
-    name = (spark.sparkContext.applicationId, *key, *(state_of(spark, path) for path in sources))
+def buckets_for(size: int, least: int = 8, most: int = 4096, each: int = 64 << 20) -> int:
+    """How many buckets a table made of ``size`` bytes gets."""
+    return max(least, min(most, size // each))
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """The same rows from an external table in the shared folder that is bucketed and sorted by a column.
+
+    Groupings by keys that hold the column, and joins of such tables by it, need no exchange.
+    The rows are dealt out by the column first, so each bucket is one file.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, by)
+    rows.write.bucketBy(buckets, by).sortBy(by).option("path", new_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
+def stored(make, spark: SparkSession, sources: list[str], *key: str, by: str | None = None) -> DataFrame:
+    """The rows of ``make()``, written once for each application, key and state of the source files; bucketed ``by`` a column."""
+    states = [state_of(spark, path) for path in sources]
+    name = (spark.sparkContext.applicationId, *key, *states)
     with _LOCK:
         if name not in _MADE:
-            path = new_path(spark, "derived")
-            make().write.parquet(path)
-            _MADE[name] = path
-    return spark.read.parquet(_MADE[name])
+            if by is None:
+                path = new_path(spark, "derived")
+                make().write.parquet(path)
+                _MADE[name] = spark.read.parquet(path)
+            else:
+                _MADE[name] = bucketed(make(), by, buckets_for(sum(x[1] for x in states)))
+        return _MADE[name]
