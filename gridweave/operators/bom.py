@@ -158,6 +158,12 @@ def row_voltages(row_texts: DataFrame, components: DataFrame) -> DataFrame:
 
     ``row_texts``: drawing_id, sheet, row, text.  ``components``: drawing_id, component_id, first_seen.
     """
-    volts = row_texts.select("drawing_id", "sheet", "row", "text", F.posexplode(F.filter(electrical_values(c("text")), lambda v: v["parameter"] == "voltage_rating")).alias("pos", "v"))
-    held = volts.join(components.select("drawing_id", "component_id", "first_seen"), "drawing_id").filter(F.contains("text", c("component_id")))
-    return held.groupBy("drawing_id", "sheet", "row", "pos", c("v.value").alias("value")).agg(F.min_by("component_id", "first_seen").alias("component_id"))
+    volts = F.filter(electrical_values(c("text")), lambda v: v["parameter"] == "voltage_rating")
+    rows = row_texts.select("drawing_id", "sheet", "row", "text", volts.alias("volts")).filter(F.size("volts") > 0)
+    # parts of the row as long as the drawing's ids are joined by equality: no id is tried in each row
+    sizes = components.filter("component_id <> ''").groupBy("drawing_id").agg(F.collect_set(F.length("component_id")).alias("sizes"))
+    cut = lambda n: F.when(n <= F.length("text"), F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))).otherwise(F.array().cast("array<string>"))
+    parts = rows.join(sizes, "drawing_id").select("drawing_id", "sheet", "row", F.explode(F.array_distinct(F.flatten(F.transform("sizes", cut)))).alias("component_id"))
+    held = parts.join(components.select("drawing_id", "component_id", "first_seen"), ["drawing_id", "component_id"])
+    first = held.groupBy("drawing_id", "sheet", "row").agg(F.min_by("component_id", "first_seen").alias("component_id"))
+    return rows.join(first, ["drawing_id", "sheet", "row"]).select("drawing_id", "sheet", "row", F.posexplode("volts").alias("pos", "v"), "component_id").select("drawing_id", "sheet", "row", "pos", c("v.value").alias("value"), "component_id")

@@ -6,14 +6,17 @@ Maps and arrays come out as joined strings in a fixed order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import audit, authority, bom, cables, cad, changes, checks, classify, propagation, registry, reports, spatial
 from ..sources import decoded, files
+from ..sources import registry as registry_files
 from ..sources.registry import Table, append
 from ..sources.store import new_path, written
 from ..streaming import upkeep, watch
@@ -912,6 +915,87 @@ def s3(r: Registry) -> DataFrame:
     return files.scan_results(files.hash_delta(*_manifest(r)))
 
 
+@query(
+    "s1_incremental_scan",
+    "drawing",
+    """f AS (SELECT drawing_id, k % 3 AS m, k % 4 AS q FROM drawing WHERE k % 25 = 0),
+r(scan, drawing_id, status) AS (SELECT 1, drawing_id, 'new' FROM f WHERE m <> 2 UNION ALL SELECT 2, drawing_id, CASE WHEN m = 2 THEN 'new' WHEN m = 1 AND q = 0 THEN 'updated' ELSE 'skipped' END FROM f UNION ALL SELECT 3, drawing_id, 'skipped' FROM f)
+SELECT * FROM r""",
+)
+def s1_scan(r: Registry) -> DataFrame:
+    """A file for each 25th drawing, scanned, some changed, touched or added, and scanned twice again."""
+    at = new_path(r.spark, "files")
+    known = files.Table(r.spark, f"{at}/known", files.MANIFEST, buckets=8)
+    drawings = r.raw("drawing").filter("k % 25 = 0").select("k", F.concat("drawing_id", F.lit(".pdf")).alias("name"), F.concat_ws(" ", "drawing_id", "title", "revision").alias("text"))
+    text = lambda rows: rows.withColumn("content", F.col("text").cast("binary"))
+    files.write_files(text(drawings.filter("k % 3 <> 2")), f"{at}/in")
+    seen = [files.rescan(r.spark, f"{at}/in", known)]
+    files.write_files(text(drawings.filter("k % 3 = 2 OR k % 3 = 1 AND k % 4 = 1")), f"{at}/in")  # new ones, and some with the same bytes
+    files.write_files(text(drawings.filter("k % 3 = 1 AND k % 4 = 0").withColumn("text", F.concat("text", F.lit(" B")))), f"{at}/in")
+    seen += [files.rescan(r.spark, f"{at}/in", known), files.rescan(r.spark, f"{at}/in", known)]
+    rows = [df.select(F.lit(n).alias("scan"), "drawing_id", "status") for n, df in enumerate(seen, 1)]
+    return reduce(DataFrame.union, rows)
+
+
+@query("s11_rules", "drawing", "SELECT k AS rule_pos, title AS parameter, CASE WHEN k % 2 = 0 THEN '*' ELSE revision END AS types, drawing_type || ',' || revision AS ranked FROM drawing WHERE k % 100 = 0")
+def s11(r: Registry) -> DataFrame:
+    """S11 written and read back: rules that are made of drawings, in an order that isn't their names'."""
+    at = f"{new_path(r.spark, 'rules')}/rules"
+    rules = r.raw("drawing").filter("k % 100 = 0").select(c("k").alias("rule_pos"), c("title").alias("parameter"), F.when(c("k") % 2 == 1, F.array("revision")).alias("component_types"), F.array("drawing_type", "revision").alias("authority_order"), F.lit("").alias("description"))
+    decoded.write_rules(rules, at)
+    # the places in the list are dense; the numbers that were given ascend as they do
+    given = rules.select("rule_pos", (F.row_number().over(W.orderBy("rule_pos")) - 1).alias("at"))
+    back = decoded.read_rules(r.spark, at).withColumnRenamed("rule_pos", "at").join(given, "at")
+    return back.select("rule_pos", "parameter", F.array_join("component_types", ",").alias("types"), F.array_join("authority_order", ",").alias("ranked"))
+
+
+@query("k7_drawing_json", "drawing line component", "SELECT drawing_id, drawing_type, component_id, component_type, row_number() OVER (PARTITION BY drawing_id, component_id ORDER BY l.pos) - 1 AS idx, parameter, value, l.unit FROM drawing JOIN component USING (drawing_id) JOIN line l USING (drawing_id, component_id)".replace("component_type, row", "component.component_type, row"))
+def k7(r: Registry) -> DataFrame:
+    """K7 written and read back, a hundred drawings a file at most."""
+    at = f"{new_path(r.spark, 'json')}/drawings"
+    registry_files.write_drawing_json(r.drawings.select("drawing_id", "drawing_type"), r.components, at, most=100)
+    parts = registry_files.read_drawing_json(r.spark, at).select("drawing_id", "drawing_type", F.explode("components").alias("p"))
+    return parts.select("drawing_id", "drawing_type", "p.component_id", "p.component_type", F.posexplode("p.values").alias("idx", "v")).select("drawing_id", "drawing_type", "component_id", "component_type", "idx", "v.parameter", "v.value", "v.unit")
+
+
+@query(
+    "k8_full_json",
+    "drawing component connection label",
+    """s AS (SELECT component_id, count(*) AS n FROM component GROUP BY component_id)
+SELECT 'statistics' AS part, 'drawings' AS name, count(*)::VARCHAR AS value FROM drawing UNION ALL SELECT 'statistics', 'component_instances', count(*)::VARCHAR FROM component UNION ALL SELECT 'statistics', 'unique_components', count(*)::VARCHAR FROM s
+UNION ALL SELECT 'statistics', 'connections', count(*)::VARCHAR FROM connection UNION ALL SELECT 'statistics', 'labels', count(*)::VARCHAR FROM label UNION ALL SELECT 'statistics', 'shared_components', count(*)::VARCHAR FROM s WHERE n >= 2 UNION ALL SELECT 'statistics', 'active_mismatches', '0'
+UNION ALL SELECT 'shared', component_id, string_agg(drawing_id, ',' ORDER BY drawing_id) FROM component JOIN s USING (component_id) WHERE n >= 2 GROUP BY component_id
+UNION ALL SELECT 'graph', drawing_id, (SELECT count(*) FROM component c JOIN s USING (component_id) WHERE c.drawing_id = drawing.drawing_id AND n >= 2)::VARCHAR FROM drawing""",
+)
+def k8(r: Registry) -> DataFrame:
+    """K8 written and read back: all three parts as (part, name, value)."""
+    at = new_path(r.spark, "export")
+    none = r.spark.createDataFrame([], "mismatch_id string, resolved boolean")
+    parts = {"statistics": registry.statistics(r.drawings, r.components, r.connections, r.labels, none), "shared": registry.shared_components(r.components), "graph": reports.dependency_graph(r.drawings, r.components)}
+    registry_files.export_json(parts, at, most=5000)
+    back = registry_files.read_export(r.spark, at)
+    counts = back["statistics"].select(F.explode(F.map_from_arrays(F.array(*(F.lit(n) for n in back["statistics"].columns)), F.array(*(F.coalesce(c(n), F.lit(0)).cast("string") for n in back["statistics"].columns)))).alias("name", "value"))
+    rows = counts.select(F.lit("statistics").alias("part"), "name", "value")
+    rows = rows.union(back["shared"].select(F.lit("shared"), "component_id", F.array_join("drawings", ",")))
+    return rows.union(back["graph"].select(F.lit("graph"), "drawing_id", c("n_shared").cast("string")))
+
+
+@query("k9_cable_tables")
+def k9(r: Registry) -> DataFrame:
+    """K9 written and read back: the list, with its place among the rows of its drawing, and the schedule."""
+    at = new_path(r.spark, "cables")
+    registry_files.write_cables(r.connections, r.components, r.drawings, at, most=10000)
+    listed, schedule, by = registry_files.read_cables(r.spark, at)
+    numbers = lambda df, name: df.select(F.lit(name).alias("part"), "drawing_id", "seq", "cable_number", "from_component", "to_component", "cable_spec", "signal")
+    rows = numbers(listed, "list").union(numbers(by, "by drawing"))
+    return rows.union(schedule.select(F.lit("schedule"), F.lit(""), "n", "spec", c("n_drawings").cast("string"), c("n_from").cast("string"), c("n_to").cast("string"), F.lit("")))
+
+
+_LIST = "drawing_id, seq, cable_number, from_component, to_component, cable_spec, signal"
+ORACLES["k9_cable_tables"] = f"""SELECT part, {_LIST} FROM ({ORACLES["r8_cable_list"]}), (VALUES ('list'), ('by drawing')) AS p(part)
+UNION ALL SELECT 'schedule', '', n, spec, n_drawings::VARCHAR, n_from::VARCHAR, n_to::VARCHAR, '' FROM ({ORACLES["a5_cable_schedule"]})"""
+
+
 @query("t4_event_filter", "event", "SELECT event_id, path FROM event WHERE NOT ends_with(path, '.tmp')")
 def t4(r: Registry) -> DataFrame:
     return r.raw("event").filter(files.wanted(c("path"))).select("event_id", "path")

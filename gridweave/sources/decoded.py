@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_category, entity_category, label_category
@@ -42,14 +43,25 @@ def cell_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.select("drawing_id", "sheet", "row", "col", text.alias("text"), c("col").cast("double").alias("x"), (c("row") + 1).cast("double").alias("y"), cell_category(text, F.try_element_at("header", c("col"))).alias("category"))
 
 
+RULE = "parameter string, component_types array<string>, authority_order array<string>, description string"
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Authority rules from JSON, a list of rules; rules without component types hold for all."""
-    rows = spark.read.schema("parameter string, component_types array<string>, authority_order array<string>, description string").option("multiLine", True).json(path)
-    kept = rows.filter("parameter is not null")
-    own = kept.withColumn("component_types", F.coalesce("component_types", F.array(F.lit("*")))).withColumn("rule_pos", F.monotonically_increasing_id().cast("int"))
+    """Authority rules from JSON documents that hold a list of rules; rules without component types hold for all.
+
+    A rule's number is its place in its list, lists in the order of their files' names.  Rules
+    without a parameter are left out.
+    """
+    lists = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<{RULE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>").alias("rules"))
+    rows = lists.select("file", F.posexplode("rules").alias("at", "r")).filter("r.parameter is not null").select("file", "at", "r.*")
+    # rule sets are small (each file is one row here)
+    rows = rows.withColumn("rule_pos", (F.row_number().over(W.orderBy("file", "at")) - 1).cast("int"))
+    own = rows.withColumn("component_types", F.coalesce("component_types", F.array(F.lit("*"))))
     return own.select(*[x.split()[0] for x in RULES.split(", ")])
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
-    """Rules as JSON lines in their order. Rule sets are small; one file keeps the order."""
-    rules.orderBy("rule_pos").coalesce(1).drop("rule_pos").write.mode("overwrite").json(path)
+    """Rules as one JSON document, a list in their order. A rule set is small: it is read whole wherever it is used."""
+    names = [x.split()[0] for x in RULE.split(", ")]
+    ordered = F.array_sort(F.collect_list(F.struct("rule_pos", F.struct(*names).alias("r"))))
+    rules.agg(F.to_json(F.transform(ordered, lambda x: x["r"])).alias("value")).write.mode("overwrite").text(path)

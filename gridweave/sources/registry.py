@@ -183,8 +183,8 @@ def write_cables(connections: DataFrame, components: DataFrame, drawings: DataFr
 
 
 def read_cables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """K9 read back: list, schedule, list by drawing (folder dropped)."""
+    """K9 read back: list, schedule, list by drawing (folder dropped). The list has no nulls, which CSV doesn't tell from empty texts."""
     by = spark.read.parquet(f"{path}/by_drawing").drop("folder")
     read = lambda schema: spark.read.schema(schema).option("header", True).option("emptyValue", "")
     listed = ", ".join(f"{n} {t}" for n, t in by.dtypes)
-    return read(listed).csv(f"{path}/cable_list"), read("spec string, n long, n_drawings long, n_from long, n_to long").csv(f"{path}/cable_schedule"), by
+    return read(listed).csv(f"{path}/cable_list").fillna(""), read("spec string, n long, n_drawings long, n_from long, n_to long").csv(f"{path}/cable_schedule"), by

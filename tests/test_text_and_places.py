@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
 import pytest
@@ -242,3 +244,29 @@ def test_nearest_by_rings_equals_brute_force(spark):
         near = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, s, t) for e, s, t, a, b in at if e == d]
         want |= {(d, min(near)[2], v, k)} if near else set()
     assert {tuple(r) for r in got.collect()} == want and len(want) == 80
+
+
+def test_nearest_label_in_dense_drawings(spark):
+    """A pyramid of cells against all pairs: clusters, labels at one place, ties, values far outside."""
+    rng = random.Random(3)
+    place = lambda: (rng.gauss(0, 1), rng.gauss(0, 1)) if rng.random() < 0.6 else (rng.randrange(-5, 6) * 100.0, rng.randrange(4) * 50.0)
+    labels = [(d, k, f"C{k % 97}", *place()) for d, n in (("A", 400), ("B", 90), ("C", 5), ("D", 70)) for k in range(n)]
+    labels += [("E", k, f"C{k}", 7.0, 7.0) for k in range(80)]
+    values = [(d, k, f"{k}kV", *(place() if k % 5 else (1e6, -3e5))) for d in "ABCDEF" for k in range(60)]
+    parts = [(d, f"C{k}") for d in "ABCDE" for k in range(97) if k % 3]
+    got = spatial.nearest_component(spark.createDataFrame(values, "drawing_id string, seq long, value string, x double, y double"), spark.createDataFrame(labels, "drawing_id string, seq long, text string, x double, y double"), spark.createDataFrame(parts, "drawing_id string, component_id string"))
+    want = {}
+    for d, seq, value, x, y in values:
+        near = min(((math.sqrt((x - lx) ** 2 + (y - ly) ** 2), s, t) for e, s, t, lx, ly in labels if e == d), default=None)
+        if near and (d, near[2]) in parts:
+            want[d, near[2], value] = min(seq, want.get((d, near[2], value), seq))
+    assert {(r.drawing_id, r.component_id, r.value): r.seq for r in got.collect()} == want
+
+
+def test_row_voltages_by_parts_of_rows(spark):
+    rows = [("A", "s", 1, "FU1 AT 125V DC"), ("A", "s", 2, "XFU12 34.5kV AND 13.8kV"), ("A", "s", 3, "nothing 5kV"), ("A", "s", 4, "FU1"), ("B", "s", 1, "FU1 5kV"), ("C", "s", 1, None)]
+    parts = [("A", "FU12", 2), ("A", "FU1", 1), ("A", "U", 3), ("B", "52-L1 LONGER THAN THE ROW", 0), ("B", "", 1)]
+    got = bom.row_voltages(spark.createDataFrame(rows, "drawing_id string, sheet string, row int, text string"), spark.createDataFrame(parts, "drawing_id string, component_id string, first_seen int"))
+    assert sorted((r.row, r.pos, r.component_id) for r in got.collect()) == [(1, 0, "FU1"), (2, 0, "FU1"), (2, 1, "FU1")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains(" not in plan
