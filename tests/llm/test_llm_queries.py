@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
