@@ -259,3 +259,11 @@ DESCRIPTIONS = {
 #: Words of a sheet's header row, and beginnings of nameplate lines that name a place.
 HEADER_WORDS = ("ITEM", "QTY", "QUANTITY", "MATERIAL", "CATALOG", "DESCRIPTION", "DEVICE", "SIZE", "DRAWING", "DWG")
 PLACES = ("34.5kV", "138kV", "NORTH", "SOUTH", "EAST", "H-FRAME", "NE ", "SW ", "NW ", "SE ")
+
+#: What a sheet cell's text is told by.
+CELL_COMPONENT = r"\b(?:52|50|51|86|87|89|21|25|27|59|67|81)-[A-Z0-9]|SEL-\d+|CT-|PT-|VT-|CCVT-|FU\d+|BAF-\d+|TB\d+|TS\d+|SW-\d+|RTAC|CLOCK|PDC|DFR|FPP|DPAC"
+CELL_VALUE = r"\d+\s*(?:kV|V|A|kA|MVA)"
+CELL_CABLE = r"\d+/C\s*#\d+"
+
+#: Tags of title blocks and the fields they fill.
+TITLE_TAGS = (("DWGNO", "drawing_number"), ("DWGTYPE", "drawing_type"), ("CURRREV", "revision"), ("DRWNBY", "drawn_by"), ("DSGNBY", "designed_by"), ("APPDBY", "reviewed_by"), ("ORGDATE", "date"))

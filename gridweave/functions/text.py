@@ -53,18 +53,15 @@ def entity_category(text: Column) -> Column:
     )
 
 
-CELL_COMPONENT = r"\b(?:52|50|51|86|87|89|21|25|27|59|67|81)-[A-Z0-9]|SEL-\d+|CT-|PT-|VT-|CCVT-|FU\d+|BAF-\d+|TB\d+|TS\d+|SW-\d+|RTAC|CLOCK|PDC|DFR|FPP|DPAC"
-CELL_VALUE = r"\d+\s*(?:kV|V|A|kA|MVA)"
-CELL_CABLE = r"\d+/C\s*#\d+"
 
 
 def cell_category(text: Column, header: Column) -> Column:
     """Of a sheet cell: by its text, else by the words of its column's header; null header: text."""
     upper = F.upper(F.coalesce(header, F.lit("")))
     return (
-        F.when(text.rlike(CELL_COMPONENT), "component")
-        .when(text.rlike(CELL_VALUE), "value")
-        .when(text.rlike(CELL_CABLE), "cable")
+        F.when(text.rlike(P.CELL_COMPONENT), "component")
+        .when(text.rlike(P.CELL_VALUE), "value")
+        .when(text.rlike(P.CELL_CABLE), "cable")
         .when(upper.rlike("DRAWING|DWG|NUMBER"), "reference")
         .when(upper.rlike("DESCRIPTION|NAME|TITLE|MATERIAL"), "description")
         .when(upper.rlike("QTY|QUANTITY|COUNT"), "quantity")

@@ -42,14 +42,11 @@ def is_skipped() -> Column:
     return (upper == "WD_M") | (F.contains(upper, F.lit("REV")) & ~own) | (F.contains(upper, F.lit("TAG")) & attribute("TAGNUMBER").isNotNull())
 
 
-TITLE_TAGS = (("DWGNO", "drawing_number"), ("DWGTYPE", "drawing_type"), ("CURRREV", "revision"), ("DRWNBY", "drawn_by"), ("DSGNBY", "designed_by"), ("APPDBY", "reviewed_by"), ("ORGDATE", "date"))
-
-
 def title_blocks(entities: DataFrame) -> DataFrame:
     """B1: title block fields by drawing; a later block's value replaces an earlier one's."""
     rows = entities.filter(is_title()).select("drawing_id", "seq", F.explode("attribs").alias("tag", "value")).withColumn("tag", F.upper("tag"))
     field = F.lit(None).cast("string")
-    for tag, name in reversed(TITLE_TAGS):
+    for tag, name in reversed(P.TITLE_TAGS):
         field = F.when(F.contains("tag", F.lit(tag)), name).otherwise(field)
     field = F.when(c("tag") == "DRAWING_NUMBER", "drawing_number").when(F.contains("tag", F.lit("DWGTITLE")) | (c("tag") == "TITLE"), "drawing_name").when(c("tag") == "REVISION", "revision").when(c("tag") == "COMPANY", "company").otherwise(field)
     named = rows.withColumn("field", field).filter("field is not null and value <> ''")

@@ -32,7 +32,7 @@ def by_number(drawing_id: Column) -> Column:
 
 
 def by_title(title_type: Column) -> Column:
-    """By the title block's type; blank: unknown."""
+    """C2, and C1 for an index row's type: blank or null passes on to the next strategy."""
     return F.when(F.trim(F.coalesce(title_type, F.lit(""))) == "", "UNKNOWN").otherwise(normalise_type(title_type))
 
 
@@ -57,7 +57,7 @@ def classify(drawings: DataFrame, index: DataFrame) -> DataFrame:
     finds nothing passes on.  alternatives: the later strategies that say something else.
     """
     df = index_lookup(drawings.drop("drawing_type"), index)
-    df = df.withColumns({"t1": F.when(c("entry").isNotNull(), normalise_type(c("entry.drawing_type"))).otherwise("UNKNOWN"), "t2": by_title(c("title_type")), "t3": by_number(c("drawing_id"))})
+    df = df.withColumns({"t1": by_title(c("entry.drawing_type")), "t2": by_title(c("title_type")), "t3": by_number(c("drawing_id"))})
     some = lambda x: F.nullif(c(x), F.lit("UNKNOWN"))
     kind = F.coalesce(some("t1"), some("t2"), some("t3"), F.lit("UNKNOWN"))
     which = lambda a, b, d, e: F.when(some("t1").isNotNull(), a).when(some("t2").isNotNull(), b).when(some("t3").isNotNull(), d).otherwise(e)

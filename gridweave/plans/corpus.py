@@ -59,6 +59,9 @@ TABLES = {
   CAST(x % 400 AS DOUBLE) AS x, CAST(y % 120 AS DOUBLE) AS y FROM line""",
     "unit_text": """SELECT drawing_id, pos AS page, component_id || ' RATED ' || value || ' FED BY ' || CAST(qty AS STRING) || '/C #10 AT TB' || CAST(sk % 9 AS STRING) || '-' || CAST(qty AS STRING) || ' SEE EC-' || CAST(100 + pk % 300 AS STRING) || '.' || CAST(qty % 10 AS STRING)
   || CASE qty % 7 WHEN 0 THEN ' DPAC1 OUT101' WHEN 1 THEN ' 86MP SEL-451 SEL-C662' WHEN 2 THEN ' BREAKER 12 FU12A' WHEN 3 THEN ' CT-A.1 500kVA 125V DC' WHEN 4 THEN ' EMS-RTAC BECKWITH-M2001' WHEN 5 THEN ' CISCO IE-4010 UPS-1' ELSE ' BATTERY BANK #1 TC1' END AS text FROM line""",
+    "spec_text": """SELECT drawing_id, pos AS page, CASE qty % 4 WHEN 0 THEN '' ELSE CAST(qty AS STRING) || '/C #10 and ' || CAST(sk % 5 AS STRING) || '/C#12AWG, ' END || CASE sk % 4 WHEN 0 THEN 'cat6e ' WHEN 1 THEN 'MM FIBER, Cat5 ' WHEN 2 THEN 'COAX coax ' ELSE 'CATALOG ' END
+  || CASE qty % 3 WHEN 0 THEN 'W' || CAST(pk % 7 AS STRING) || '.05-B' || CAST(qty AS STRING) || '.AX ' ELSE '' END || CASE pk % 3 WHEN 0 THEN '12PR #16S 2/C #10 ' WHEN 1 THEN '4PR #18SH 4PR #18SH ' ELSE '' END
+  || 'TB' || CAST(sk % 3 AS STRING) || '-' || CAST(qty AS STRING) || ' TS' || CAST(pk % 2 AS STRING) || '-' || CAST(qty % 3 AS STRING) || ' TB' || CAST(sk % 2 AS STRING) || '-' || CAST(qty % 7 AS STRING) || ' TB1-1 TB1-1 TS1-2' AS text FROM line""",
     "entity": """SELECT drawing_id, pk % 2 AS layout, pos AS seq, CASE pos % 7 WHEN 1 THEN 'DEVICE' WHEN 2 THEN 'FUSE_NUM' WHEN 3 THEN 'OUTPUT-#' WHEN 4 THEN 'INPUT-#1' WHEN 5 THEN 'PWR_SUP' WHEN 6 THEN 'TAG' ELSE 'NONE' END AS tag,
   CASE pos % 7 WHEN 2 THEN 'FU' || CAST(qty AS STRING) WHEN 3 THEN 'OUT1' || CAST(qty AS STRING) WHEN 4 THEN 'IN1' || CAST(qty AS STRING) WHEN 5 THEN '125V DC' ELSE component_id END AS tag_value,
   CASE pos % 7 WHEN 0 THEN CASE qty % 4 WHEN 0 THEN 'GROUND BAR' WHEN 1 THEN 'ETHERNET PORT' WHEN 2 THEN 'PLAIN' ELSE 'TITLEBLOCK' END ELSE 'SYMBOL' END AS block_name, CAST(qty AS STRING) AS loc, x, y FROM line""",

@@ -308,6 +308,17 @@ def y8(r: Registry) -> DataFrame:
     return propagation.impact_counts(r.components)
 
 
+@query(
+    "y8_impact_rows",
+    "line drawing",
+    f"{_LAST} SELECT a.component_id, a.parameter, a.drawing_id AS source_drawing_id, a.value AS source_value, b.drawing_id AS affected_drawing_id, b.value AS current_value FROM last a JOIN drawing d ON d.drawing_id = a.drawing_id AND d.k % 40 = 3 JOIN last b ON a.component_id = b.component_id AND a.parameter = b.parameter AND a.drawing_id <> b.drawing_id AND a.value <> b.value",
+)
+def y8_rows(r: Registry) -> DataFrame:
+    """What changed drawings (here a fortieth of them) would change elsewhere."""
+    changed = r.raw("drawing").filter("k % 40 = 3").select("drawing_id")
+    return propagation.impact(r.components, sources=changed).select("component_id", "parameter", "source_drawing_id", "source_value", "affected_drawing_id", "current_value")
+
+
 _NEXT = "nl AS (SELECT * FROM line WHERE pk % 17 <> 3)"
 
 
@@ -449,6 +460,12 @@ def r1(r: Registry) -> DataFrame:
     return reports.component_status(r.components, checks.last_values(r.components)).withColumn("inconsistencies", F.array_join("inconsistencies", ","))
 
 
+@query("r1_component_values", "line", f"{_LAST} SELECT component_id, drawing_id, string_agg(parameter || '=' || value, ', ' ORDER BY parameter) AS vals FROM last GROUP BY ALL")
+def r1_values(r: Registry) -> DataFrame:
+    """A component's values by drawing and parameter."""
+    return reports.component_values(checks.last_values(r.components)).select("component_id", "drawing_id", _text_map(c("values")).alias("vals"))
+
+
 _SHARED = "sh AS (SELECT component_id, count(*) - 1 AS n_others FROM component GROUP BY component_id HAVING count(*) > 1)"
 
 
@@ -546,7 +563,7 @@ def x2b(r: Registry) -> DataFrame:
     return r.labels.select("drawing_id", "seq", X.entity_category(c("text")).alias("category"))
 
 
-@query("x3_cell_category", "label", f"SELECT drawing_id, seq, CASE WHEN {_has('text', X.CELL_COMPONENT)} THEN 'component' WHEN {_has('text', X.CELL_VALUE)} THEN 'value' WHEN {_has('text', X.CELL_CABLE)} THEN 'cable' WHEN seq % 3 = 0 THEN 'reference' WHEN seq % 3 = 1 THEN 'quantity' ELSE 'text' END AS category FROM label")
+@query("x3_cell_category", "label", f"SELECT drawing_id, seq, CASE WHEN {_has('text', P.CELL_COMPONENT)} THEN 'component' WHEN {_has('text', P.CELL_VALUE)} THEN 'value' WHEN {_has('text', P.CELL_CABLE)} THEN 'cable' WHEN seq % 3 = 0 THEN 'reference' WHEN seq % 3 = 1 THEN 'quantity' ELSE 'text' END AS category FROM label")
 def x3(r: Registry) -> DataFrame:
     header = F.when(c("seq") % 3 == 0, "Dwg Number").when(c("seq") % 3 == 1, "Qty")
     return r.labels.select("drawing_id", "seq", X.cell_category(c("text"), header).alias("category"))
@@ -608,6 +625,31 @@ def x6(r: Registry) -> DataFrame:
     return r.raw("unit_text").select("drawing_id", "page", blocks.alias("blocks"))
 
 
+def _each(rx: str, g: int = 1) -> str:
+    return f"regexp_extract_all(text, '{rx}', {g})"
+
+
+_KINDS = f"list_concat({_each(P.CABLE)}, list_transform({_each(P.NAMED_CABLE)}, lambda x: upper(x)), {_each(P.CABLE_LABEL)}, {_each(P.PAIRS)})"
+
+
+@query("x5_cable_kinds", "spec_text", f"k AS (SELECT drawing_id, page, {_KINDS} AS l FROM spec_text) SELECT drawing_id, page, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ';') AS cables FROM k")
+def x5_kinds(r: Registry) -> DataFrame:
+    """X5 with all four kinds, repeated and in lower case, in one text."""
+    return r.raw("spec_text").select("drawing_id", "page", F.array_join(X.cable_specs(c("text")), ";").alias("cables"))
+
+
+_PAIRS_SQL = f"""p AS (SELECT drawing_id, page, unnest(list_concat(list_transform({_each(P.BLOCK_TERMINAL)}, lambda b, i: {{'b': 'TB' || b, 't': {_each(P.BLOCK_TERMINAL, 2)}[i], 'k': i}}), list_transform({_each(P.STRIP_TERMINAL)}, lambda b, i: {{'b': 'TS-TS' || b, 't': {_each(P.STRIP_TERMINAL, 2)}[i], 'k': 1000 + i}}))) AS p FROM spec_text),
+f AS (SELECT drawing_id, page, p.b AS b, p.t AS t, min(p.k) AS k FROM p GROUP BY ALL), g AS (SELECT drawing_id, page, b, min(k) AS k, string_agg(t, ',' ORDER BY k) AS ts FROM f GROUP BY ALL)
+SELECT s.drawing_id, s.page, coalesce(string_agg(b || '=' || ts, ';' ORDER BY k), '') AS blocks FROM spec_text s LEFT JOIN g USING (drawing_id, page) GROUP BY ALL"""
+
+
+@query("x6_terminal_lists", "spec_text", _PAIRS_SQL)
+def x6_lists(r: Registry) -> DataFrame:
+    """X6 with several blocks and strips, and repeated terminals, in one text."""
+    blocks = F.array_join(F.transform(F.map_entries(X.terminal_blocks(c("text"))), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return r.raw("spec_text").select("drawing_id", "page", blocks.alias("blocks"))
+
+
 @query("x7_cross_references", "unit_text", f"SELECT drawing_id, page, array_to_string(list_sort(list_filter(list_distinct({_all(P.DRAWING_REF, 1)}), lambda x: x <> replace(drawing_id, 'NRE-', ''))), ',') AS refs FROM unit_text")
 def x7(r: Registry) -> DataFrame:
     return r.raw("unit_text").select("drawing_id", "page", F.array_join(X.cross_references(c("text"), c("drawing_id")), ",").alias("refs"))
@@ -814,7 +856,7 @@ def e5(r: Registry) -> DataFrame:
     return r.raw("line").select("drawing_id", "pos", bom.material_type(c("component_id"), lot, catalog).alias("kind"))
 
 
-@query("s9_cell_labels", "cell", f"SELECT drawing_id, rw AS row, cl AS col, value AS text, CASE WHEN {_has('value', X.CELL_COMPONENT)} THEN 'component' WHEN {_has('value', X.CELL_VALUE)} THEN 'value' WHEN cl = 1 THEN 'quantity' WHEN cl = 2 THEN 'reference' WHEN cl = 3 THEN 'description' ELSE 'text' END AS category FROM cell")
+@query("s9_cell_labels", "cell", f"SELECT drawing_id, rw AS row, cl AS col, value AS text, CASE WHEN {_has('value', P.CELL_COMPONENT)} THEN 'component' WHEN {_has('value', P.CELL_VALUE)} THEN 'value' WHEN cl = 1 THEN 'quantity' WHEN cl = 2 THEN 'reference' WHEN cl = 3 THEN 'description' ELSE 'text' END AS category FROM cell")
 def s9(r: Registry) -> DataFrame:
     cells = _cells(r)
     return decoded.cell_labels(cells, bom.header_rows(bom.bom_cells(cells))).select("drawing_id", "row", "col", "text", "category")
