@@ -71,6 +71,15 @@ TABLES = {
   UNION ALL SELECT drawing_id, pos + 1 AS rw, 1 AS cl, CASE WHEN qty % 9 = 0 THEN 'LOT' ELSE CAST(qty AS STRING) END AS value FROM line
   UNION ALL SELECT drawing_id, pos + 1 AS rw, 2 AS cl, 'C-' || CAST(pk % 5 AS STRING) AS value FROM line WHERE pk % 7 <> 0
   UNION ALL SELECT drawing_id, pos + 1 AS rw, 3 AS cl, CASE qty % 6 WHEN 0 THEN 'FUSE 30A' WHEN 1 THEN 'ENCLOSURE 125V DC' WHEN 2 THEN 'WIRE NO 10' WHEN 3 THEN 'TERMINAL BLOCK' WHEN 4 THEN 'POWER SUPPLY 5%Z' ELSE 'DIN RAIL' END AS value FROM line""",
+    #: a book of two lists and a sheet that is none; the first list has a title above its header in a third of the drawings
+    "book": """SELECT drawing_id, 'Material' AS sheet, 0 AS sheet_pos, 1 AS rw, 0 AS cl, 'STATION ' || CAST(k AS STRING) AS value FROM drawing WHERE k % 3 = 0
+  UNION ALL SELECT drawing_id, 'Material' AS sheet, 0 AS sheet_pos, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS rw, cl, value FROM drawing, (SELECT 0 AS cl, 'ITEM#' AS value UNION ALL SELECT 1 AS cl, 'QTY' AS value UNION ALL SELECT 2 AS cl, 'CATALOG#' AS value UNION ALL SELECT 3 AS cl, 'MATERIAL' AS value) h
+  UNION ALL SELECT drawing_id, 'Devices' AS sheet, 1 AS sheet_pos, 1 AS rw, cl, value FROM drawing, (SELECT 0 AS cl, 'ITEM' AS value UNION ALL SELECT 1 AS cl, 'QUANTITY' AS value UNION ALL SELECT 2 AS cl, 'DEVICE' AS value UNION ALL SELECT 3 AS cl, 'DESCRIPTION' AS value) h
+  UNION ALL SELECT drawing_id, 'Remarks' AS sheet, 2 AS sheet_pos, 3 AS rw, 1 AS cl, 'AS BUILT' AS value FROM drawing WHERE k % 5 = 0
+  UNION ALL SELECT drawing_id, CASE WHEN pos % 2 = 1 THEN 'Material' ELSE 'Devices' END AS sheet, CAST((pos + 1) % 2 AS INT) AS sheet_pos, pos + 2 AS rw, 0 AS cl, CAST(pos AS STRING) AS value FROM line
+  UNION ALL SELECT drawing_id, CASE WHEN pos % 2 = 1 THEN 'Material' ELSE 'Devices' END AS sheet, CAST((pos + 1) % 2 AS INT) AS sheet_pos, pos + 2 AS rw, 1 AS cl, CASE WHEN qty % 9 = 0 THEN 'LOT' ELSE CAST(qty AS STRING) END AS value FROM line
+  UNION ALL SELECT drawing_id, CASE WHEN pos % 2 = 1 THEN 'Material' ELSE 'Devices' END AS sheet, CAST((pos + 1) % 2 AS INT) AS sheet_pos, pos + 2 AS rw, 2 AS cl, CASE WHEN pos % 2 = 1 THEN CASE WHEN pk % 7 <> 0 THEN 'C-' || CAST(pk % 3 AS STRING) ELSE '' END ELSE CASE sk % 3 WHEN 0 THEN component_id WHEN 1 THEN 'C-' || CAST(pk % 3 AS STRING) ELSE ' ' END END AS value FROM line
+  UNION ALL SELECT drawing_id, CASE WHEN pos % 2 = 1 THEN 'Material' ELSE 'Devices' END AS sheet, CAST((pos + 1) % 2 AS INT) AS sheet_pos, pos + 2 AS rw, 3 AS cl, CASE qty % 5 WHEN 0 THEN 'FUSE 30A 600V' WHEN 1 THEN 'TRANSFORMER 5%Z 12.5kV' WHEN 2 THEN 'SWITCH' WHEN 3 THEN 'POWER SUPPLY 48V DC 5A' ELSE 'LAMP' END AS value FROM line""",
     "index_cell": """SELECT sheet, sheet_pos, CAST(2 AS BIGINT) AS rw, cl, value FROM (SELECT 'Set 30%' AS sheet, 0 AS sheet_pos UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos) s, (SELECT 0 AS cl, 'DWG NO' AS value UNION ALL SELECT 1 AS cl, 'TYPE' AS value UNION ALL SELECT 2 AS cl, 'REV A' AS value UNION ALL SELECT 3 AS cl, 'DATE' AS value UNION ALL SELECT 4 AS cl, 'REV B' AS value) h
   UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 0 AS cl, replace(drawing_id, 'NRE-', '') AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Cable' AS value FROM drawing UNION ALL SELECT 'Set 30%' AS sheet, 0 AS sheet_pos, k + 3 AS rw, 2 AS cl, 'r1' AS value FROM drawing
   UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 0 AS cl, drawing_id AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 1 AS cl, 'Layout' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 3 AS cl, 'd9' AS value FROM drawing WHERE k % 3 = 0 UNION ALL SELECT 'Set 90%' AS sheet, 1 AS sheet_pos, k + 3 AS rw, 4 AS cl, 'r2' AS value FROM drawing WHERE k % 6 = 0""",

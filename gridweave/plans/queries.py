@@ -836,6 +836,36 @@ def e1(r: Registry) -> DataFrame:
     return heads.select("drawing_id", "header_row", bom.sheet_kind(c("header"), c("sheet")).alias("kind"))
 
 
+def _book(r: Registry) -> DataFrame:
+    return r.raw("book").select(F.lit("list BOM.xlsx").alias("file_name"), "drawing_id", "sheet", "sheet_pos", c("rw").alias("row"), c("cl").alias("col"), "value")
+
+
+@query(
+    "e1_book_headers",
+    "drawing line",
+    """SELECT drawing_id, 'Material' AS sheet, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS header_row, 'material' AS kind FROM drawing UNION ALL SELECT drawing_id, 'Devices', 1, 'device_list' FROM drawing UNION ALL SELECT drawing_id, 'Remarks', 3, '' FROM drawing WHERE k % 5 = 0""",
+)
+def e1_book(r: Registry) -> DataFrame:
+    """E1, E2 where the header's row and the sheet's kind differ."""
+    heads = bom.header_rows(bom.bom_cells(_book(r)))
+    return heads.select("drawing_id", "sheet", c("header_row").cast("int").alias("header_row"), bom.sheet_kind(c("header"), c("sheet")).alias("kind"))
+
+
+@query(
+    "e4_book_items",
+    "line",
+    """b AS (SELECT drawing_id, pos, pos % 2 = 0 AS dev, qty, CASE WHEN pos % 2 = 1 THEN CASE WHEN pk % 7 <> 0 THEN 'C-' || (pk % 3) ELSE '' END ELSE CASE sk % 3 WHEN 0 THEN component_id WHEN 1 THEN 'C-' || (pk % 3) ELSE '' END END AS own FROM line),
+n AS (SELECT *, CASE WHEN own = '' THEN 'BOM-ITEM-' || pos ELSE own END AS base, row_number() OVER (PARTITION BY drawing_id, CASE WHEN own = '' THEN 'BOM-ITEM-' || pos ELSE own END ORDER BY dev, pos) AS n FROM b)
+SELECT drawing_id, CASE WHEN dev THEN 'Devices' ELSE 'Material' END AS sheet, pos + 2 AS row, CASE WHEN n = 1 OR own = '' THEN base ELSE base || CASE WHEN dev AND n = 2 THEN '-' ELSE ':' END || pos END AS component_id,
+  CASE WHEN qty % 9 = 0 THEN 'CONSUMABLE' ELSE CASE qty % 5 WHEN 0 THEN 'FU' WHEN 3 THEN 'PS' ELSE 'BOM' END END AS component_type,
+  CASE qty % 5 WHEN 0 THEN 'voltage_rating=600V;current_rating=30A' WHEN 1 THEN 'voltage_rating=12.5kV;impedance=5%Z' WHEN 3 THEN 'voltage_rating=48V DC;current_rating=5A' ELSE '' END AS vals FROM n""",
+)
+def e4_book(r: Registry) -> DataFrame:
+    """E4, E6, E9 and W5 over two sheets: an id of the first counts on the second."""
+    vals = F.array_join(F.transform("values", lambda v: F.concat_ws("=", v["parameter"], v["value"])), ";")
+    return bom.line_items(_book(r)).select("drawing_id", "sheet", "row", "component_id", "component_type", vals.alias("vals"))
+
+
 @query(
     "e4_line_items",
     "line",
