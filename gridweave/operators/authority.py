@@ -14,7 +14,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
     """The fixed rules. Made by an expression, so that the optimiser knows how small they are."""
     text = lambda xs: F.array(*[F.lit(x) for x in xs])
     rows = [F.struct(F.lit(k).alias("rule_pos"), F.lit(p).alias("parameter"), text(ts).alias("component_types"), text(o).alias("authority_order"), F.lit("").alias("description")) for k, (p, ts, o) in enumerate(AUTHORITY_RULES)]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -227,3 +228,54 @@ def test_impact_counts_make_no_pairs(spark, make):
     got = propagation.impact_counts(df)
     want = propagation.impact(df).groupBy("component_id", "parameter", "source_drawing_id").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(("52-1", "ratio", f"D{k}", 20) for k in range(30))
+
+
+def test_checks_by_component_need_no_exchange(spark, make, rules):
+    """On a bucketed table that says its drawings' types, checks 1, 2, 6 and 7 read buckets and move no rows."""
+    from gridweave.sources.store import bucketed
+
+    rows = [comp(f"50-L{k % 5}", f"D{k}", "RELAY" if k % 2 else "50", [value("ratio", str(k % 3)), value("voltage_rating", str(k % 2))]) for k in range(40)]
+    parts = make(rows, COMPONENTS).withColumn("drawing_type", F.lit("ONE_LINE"))
+    drawings = make([draw(f"D{k}") for k in range(40)], DRAWINGS)
+    kept = bucketed(parts, "component_id", 4)
+    for f in (lambda df: checks.value_mismatch(df, drawings, rules), checks.type_mismatch, lambda df: checks.voltage_mismatch(df, drawings, rules), checks.relay_mismatch):
+        df = f(kept)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(?<!Broadcast)(?<!Reused)Exchange (?!SinglePartition)", plan), plan
+        assert sorted(r.mismatch_id for r in df.collect()) == sorted(r.mismatch_id for r in f(parts).collect())
+
+
+def test_emptied_drawings_and_partitions(spark, make, tmp_path):
+    """A key that was scanned and has no rows any more loses its old ones, also where its partition becomes empty."""
+    table = Table(spark, f"file://{tmp_path}/t", "drawing_id string, component_id string", buckets=3)
+    rows = spark.createDataFrame([(f"D{k}", f"c{k}") for k in range(30)], "drawing_id string, component_id string")
+    table.replace(rows)
+    table.replace(rows.limit(0), rows.filter("drawing_id <> 'D7'"))
+    assert [tuple(r) for r in table.read().collect()] == [("D7", "c7")] and table.of(rows).count() == 1
+    old, new = make([comp("a", "A"), comp("b", "B")], COMPONENTS), make([], COMPONENTS)
+    got = changes.detect_changes(old, new, spark.createDataFrame([("A",), ("C",)], "drawing_id string"))
+    assert [(r.drawing_id, r.component_id, r.change_type) for r in got.collect()] == [("A", "a", "COMPONENT_REMOVED")]
+
+
+def test_running_sums_of_a_key_in_many_ranges(spark):
+    from gridweave.operators.order import placed, running
+
+    rows = [(None if k % 7 == 0 else "hot", k % 50, k) for k in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, n int").repartition(5)
+    got = running(df, ["k"], ["t", "n"], {"s": F.col("n"), "place": F.lit(1)}).collect()
+    for key in (None, "hot"):
+        own = sorted((r.t, r.n, r.s, r.place) for r in got if r.k == key)
+        assert [x[3] for x in own] == list(range(len(own))) and [x[2] for x in own] == [sum(y[1] for y in own[:i]) for i in range(len(own))]
+    assert placed(df.limit(0), ["k"], ["t"]).count() == 0
+
+
+def test_tables_are_made_anew_when_their_source_changes(spark, tmp_path):
+    from gridweave.sources.store import stored
+
+    path = f"file://{tmp_path}/in"
+    make_ = lambda: spark.read.parquet(path)
+    spark.range(3).write.parquet(path)
+    first = stored(make_, spark, [path], "x")
+    assert first.count() == 3 and stored(make_, spark, [path], "x").inputFiles() == first.inputFiles()
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert stored(make_, spark, [path], "x").count() == 5
