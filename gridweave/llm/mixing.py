@@ -86,11 +86,13 @@ def mixed(docs: DataFrame, *, weights: dict[str, dict[str, int]] = WEIGHTS, shar
     whether the last, partial one has.
 
     Null lang or source: a group named (none).  Null or empty text: no tokens; such a
-    document is in every whole epoch, and in the prefix if it comes before its end.  Null
-    ids hash as (none).  Repeated rows each count and each come out.  Empty table: no rows.
+    document is in every whole epoch, and in the prefix if it comes before its end.  The
+    order is by a hash of seed, epoch, id and text, so that rows without an id, or with one
+    that others have, lie apart by their texts; null ids hash as (none).  Repeated rows each
+    count and each come out.  Empty table: no rows.
     Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), source_domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), source_domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"))
     rows = written(rows, "tokens")  # the words are counted once
     # leaves are few and small: written, so that each step's plan stays small on the driver
     leaves = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
@@ -99,7 +101,7 @@ def mixed(docs: DataFrame, *, weights: dict[str, dict[str, int]] = WEIGHTS, shar
     leaves = leaves.withColumn("epoch", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0)).cast("int"))
     leaves = leaves.withColumn("rest", F.col("alloc") - F.col("epoch") * F.col("tokens")).select(*LEVELS, "epoch", "rest", F.lit(0).cast("long").alias("from"))
     leaves = written(leaves, "budgets")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)"))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)")), "text_md5"))
     open_ = rows.join(small(leaves), list(LEVELS)).withColumn("key", key)
     parts = []
     for k in range(CUTS):
@@ -114,7 +116,8 @@ def mixed(docs: DataFrame, *, weights: dict[str, dict[str, int]] = WEIGHTS, shar
     parts.append(open_.withColumn("in_prefix", F.col("from") + F.sum("n_tokens").over(inside) <= F.col("rest")))
     out = None
     for p in parts:
-        p = p.withColumn("copies", F.col("epoch") + F.col("in_prefix").cast("int")).select("doc_id", *LEVELS, "n_tokens", "copies", "in_prefix")
+        # nothing is left behind whole epochs: no partial one, not even for documents without tokens
+        p = p.withColumn("in_prefix", F.col("in_prefix") & ((F.col("epoch") == 0) | (F.col("rest") > 0))).withColumn("copies", F.col("epoch") + F.col("in_prefix").cast("int")).select("doc_id", *LEVELS, "n_tokens", "copies", "in_prefix")
         out = p if out is None else out.unionByName(p)
     return out.filter("copies > 0")
 
@@ -137,7 +140,7 @@ def mixing_sql(table: str, seed: int = 7, share: tuple[int, int] = (6, 10), epoc
     w = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in weights[level].items()) + " ELSE 1 END" if weights[level] else "1"
     ctes = [
         f"""m0 AS (SELECT doc_id, coalesce(CASE TRY_CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' END, 'reference') AS domain,
-  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS n_tokens FROM {table})""",
+  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS n_tokens, md5(coalesce(text, '')) AS text_md5 FROM {table})""",
         f"mleaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {epochs} AS cap FROM m0 GROUP BY ALL)",
         f"mb0 AS (SELECT least(sum(cap), floor(sum(tokens) * {share[0]} / {share[1]}))::HUGEINT AS budget FROM mleaf)",
     ]
@@ -155,8 +158,8 @@ def mixing_sql(table: str, seed: int = 7, share: tuple[int, int] = (6, 10), epoc
         ]
     ctes += [
         "m5 AS (SELECT domain, lang, source, budget, CASE WHEN tokens > 0 THEN (budget // tokens)::INTEGER ELSE 0 END AS epoch, budget - (CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END) * tokens AS rest FROM mleaf JOIN mb3 USING (domain, lang, source))",
-        f"m6 AS (SELECT *, md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '(none)')) AS k FROM m0 JOIN m5 USING (domain, lang, source))",
-        "m7 AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest AS in_prefix FROM m6)",
+        f"m6 AS (SELECT *, md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '(none)') || ':' || text_md5) AS k FROM m0 JOIN m5 USING (domain, lang, source))",
+        "m7 AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest AND (epoch = 0 OR rest > 0) AS in_prefix FROM m6)",
         "m9 AS (SELECT doc_id, domain, lang, source, n_tokens, epoch + in_prefix::INTEGER AS copies, in_prefix FROM m7 WHERE epoch + in_prefix::INTEGER > 0)",
     ]
     return ",\n".join(ctes)
