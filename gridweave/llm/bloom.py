@@ -87,8 +87,8 @@ class BlockedBloom:
 
         return df.mapInArrow(tidied(add), T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
-    def possible(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows whose key may be in: all that are, and a small share of the others."""
+    def keeper(self, column: str):
+        """A function of batches that keeps the rows whose key may be in, for a task that goes on with them."""
         sent, blocks = self.sent, self.blocks
 
         def keep(batches):
@@ -97,4 +97,8 @@ class BlockedBloom:
             for batch in batches:
                 yield batch.filter(pa.array(mine.flags(batch.column(batch.schema.names.index(column)))))
 
-        return df.mapInArrow(tidied(keep), df.schema)
+        return keep
+
+    def possible(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows whose key may be in: all that are, and a small share of the others."""
+        return df.mapInArrow(tidied(self.keeper(column)), df.schema)

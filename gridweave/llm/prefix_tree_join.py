@@ -416,8 +416,10 @@ def _linked(docs: DataFrame, n: int, percent: int, common: float, block: int) ->
     ids = cluster.join(classes.select(F.col("cls").alias("node"), "low"), "node")
     key = lambda c: F.coalesce(c, F.lit(-1)).cast("string")
     bloom = BlockedBloom.of(ids.select(key(F.col("low.id")).alias("k")), "k")
-    inside = bloom.possible(docs.filter("text is not null").withColumn("k", key(F.col("doc_id"))), "k").select("doc_id", "text", "h")
-    full = inside.mapInArrow(tidied(lambda b: sets(b, True)), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("data"))
+    # one Python worker a task: it looks keys up and makes the sets of what it keeps
+    keep = bloom.keeper("k")
+    asked = docs.filter("text is not null").select("doc_id", "text", "h", key(F.col("doc_id")).alias("k"))
+    full = asked.mapInArrow(tidied(lambda b: sets(keep(b), True)), "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("data"))
     size = cluster.groupBy("root").agg(F.count("*").alias("size"))
     held = cluster.join(size, "root").select(F.col("node").alias("cls"), F.col("root").alias("g"), "size").join(full, "cls").withColumn("n", (F.octet_length("data") / 8).cast("int"))
     tasks, links = _tasks(held, block, sets_similar(percent))
