@@ -661,3 +661,20 @@ def test_context_tree_equals_brute_force(spark, depth, bucket):
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.25, 100.0, 1e6, 3e9])
     assert context_tree.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+
+
+def test_short_frequent_items_are_searched_once():
+    """Very many items of one word, a document of that word alone, and items that repeat a text: no list of all pairs is made."""
+    none = np.zeros(0, np.int64)
+    probe = decontaminate.Probe([(str(k), "yes") for k in range(20_000)] + [("long", "a b c d e f g h i j k"), ("again", "A b c d e f g h i j k")], 10)
+    counts, (doc, start, end), found = decontaminate._search(pa.array(["yes " * 200_000, "no yes", None, "x a b c d e f g h i j k y"]), probe, (none, none, none))
+    assert counts.tolist() == [200_000, 2, 0, 13]
+    assert (doc.tolist(), start.tolist(), end.tolist()) == ([0, 1, 3], [0, 1, 1], [200_000, 2, 12])
+    assert [(d, len(ks)) for d, ks in found] == [(0, 20_000), (1, 20_000), (3, 2)]
+
+
+def test_very_many_licence_sentences(spark):
+    """The numbers of sentences are found in one pass: wrapped ones count their inner line ends too."""
+    text = "Released under the MIT License.\nother\nReleased under the\nMIT License.\n" * 3000
+    found = licences.licence_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    assert [x.at for x in found] == [x for k in range(3000) for x in (4 * k, 4 * k + 2)]
