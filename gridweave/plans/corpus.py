@@ -160,9 +160,14 @@ class Registry:
         return out.withColumns({"cross_references": F.coalesce("cross_references", empty), "cable_schedule": F.coalesce("cable_schedule", empty)})
 
     @cached_property
-    def components(self) -> DataFrame:
+    def typed(self) -> DataFrame:
+        """Components with the type of their drawing, which checks by component then need no join for."""
         return stored(self._components, self.spark, self.sources, "components", by="component_id")
 
+    @cached_property
+    def components(self) -> DataFrame:
+        return self.typed.drop("drawing_type")
+
     def _components(self) -> DataFrame:
         value = F.struct("pos", F.struct("parameter", "value", "unit", F.lit(None).cast("double").alias("numeric_value")).alias("v"))
         rows = self.raw("line").groupBy("drawing_id", "component_id").agg(
@@ -173,7 +178,6 @@ class Registry:
         )
         attributes = F.when(F.col("device").isNotNull(), F.create_map(F.lit("associated_device"), F.col("device"))).otherwise(F.create_map().cast("map<string,string>"))
         rows = rows.withColumn("attributes", attributes).drop("device")
-        # a component says the type of its drawing, so that checks by component need no join for it
         return rows.join(self.raw("drawing").select("drawing_id", "drawing_type"), "drawing_id")
 
     @property

@@ -71,7 +71,7 @@ _LISTED = "listed AS (SELECT component_id, string_agg(drawing_id, ',' ORDER BY d
 
 @query("m1_value_mismatch", "line", f"{_LAST}, {_found_sql('component_id, parameter', 'value', 'last')} SELECT {_ID.format("component_id || '|' || parameter || '|value_mismatch'")} AS mismatch_id, {_SEVERITY} AS severity, component_id, parameter, drawings, found FROM g")
 def m1(r: Registry) -> DataFrame:
-    return flat(checks.value_mismatch(r.components, r.drawings, authority.default_rules(r.spark)))
+    return flat(checks.value_mismatch(r.typed, r.drawings, authority.default_rules(r.spark)))
 
 
 @query(
@@ -85,7 +85,7 @@ best AS (SELECT component_id, parameter, drawing_id AS auth FROM (SELECT h.*, ro
 SELECT component_id, parameter, drawing_id, value, drawing_type, coalesce(drawing_id = auth, false) AS is_authoritative FROM held LEFT JOIN best USING (component_id, parameter)""",
 )
 def m1_options(r: Registry) -> DataFrame:
-    df = checks.value_mismatch(r.components, r.drawings, authority.default_rules(r.spark))
+    df = checks.value_mismatch(r.typed, r.drawings, authority.default_rules(r.spark))
     return df.select("component_id", "parameter", F.explode("resolution_options").alias("o")).select("component_id", "parameter", "o.*")
 
 
@@ -119,7 +119,7 @@ def m5(r: Registry) -> DataFrame:
 
 @query("m6_voltage_mismatch", "line", f"{_LAST}, v AS (SELECT * FROM last WHERE parameter = 'voltage_rating'), {_found_sql('component_id', 'value', 'v')} SELECT {_ID.format("component_id || '|voltage|voltage_mismatch'")} AS mismatch_id, 'CRITICAL' AS severity, component_id, 'voltage_rating' AS parameter, drawings, found FROM g")
 def m6(r: Registry) -> DataFrame:
-    return flat(checks.voltage_mismatch(r.components, r.drawings, authority.default_rules(r.spark)))
+    return flat(checks.voltage_mismatch(r.typed, r.drawings, authority.default_rules(r.spark)))
 
 
 _DEVICE = "dev AS (SELECT drawing_id, component_id, arg_max(device, pos) AS device FROM line WHERE device <> '' GROUP BY ALL), rel AS (SELECT d.* FROM dev d JOIN component c USING (drawing_id, component_id) WHERE component_type = 'RELAY')"
@@ -237,12 +237,12 @@ CHECKS = tuple(n for n in QUERIES if n[0] == "m" and n != "m1_resolution_options
 
 @query("u1_all_checks")
 def u1(r: Registry) -> DataFrame:
-    return flat(checks.all_checks(r.drawings, r.components, r.connections, authority.default_rules(r.spark)))
+    return flat(checks.all_checks(r.drawings, r.typed, r.connections, authority.default_rules(r.spark)))
 
 
 @query("a7_mismatch_summary")
 def a7(r: Registry) -> DataFrame:
-    found = checks.all_checks(r.drawings, r.components, r.connections, authority.default_rules(r.spark))
+    found = checks.all_checks(r.drawings, r.typed, r.connections, authority.default_rules(r.spark))
     return registry.mismatch_summary(found.withColumn("resolved", F.lit(False)))
 
 
@@ -496,7 +496,7 @@ def r11(r: Registry) -> DataFrame:
 
 @query("r3_sync_report")
 def r3(r: Registry) -> DataFrame:
-    found = checks.all_checks(r.drawings, r.components, r.connections, authority.default_rules(r.spark))
+    found = checks.all_checks(r.drawings, r.typed, r.connections, authority.default_rules(r.spark))
     return reports.sync_report(r.components, found.withColumn("resolved", F.lit(False)))
 
 
