@@ -1140,7 +1140,7 @@ def _kept_up(r: Registry, cuts) -> tuple[str, list[DataFrame]]:
     root, batches = new_path(r.spark, "upkeep"), [cut(scans).select(*_SCANNED) for cut in cuts]
     for batch in batches:
         batch.write.mode("append").parquet(f"{root}/in")
-        upkeep.change_stream(r.spark, f"{root}/in", root, authority.default_rules(r.spark)).awaitTermination()
+        upkeep.change_stream(r.spark, f"{root}/in", root, authority.default_rules(r.spark), buckets=8).awaitTermination()
     return root, batches
 
 
@@ -1163,7 +1163,7 @@ def t1(r: Registry) -> DataFrame:
         lambda s: s.filter("k % 5 = 0 OR k % 15 = 1"),
     ]
     root, _ = _kept_up(r, cuts)
-    rows = upkeep.Upkeep(r.spark, root, authority.default_rules(r.spark)).mismatches.read()
+    rows = upkeep.Upkeep(r.spark, root, authority.default_rules(r.spark), buckets=8).mismatches.read()
     return flat(rows.filter("not resolved"))
 
 
