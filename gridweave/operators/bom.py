@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import electrical_values
+from ..functions.text import electrical_values, voltages
 
 c = F.col
 SHEET = ["drawing_id", "sheet", "sheet_pos"]
@@ -153,17 +153,29 @@ def row_attributes(cells: DataFrame, found: DataFrame, headers: DataFrame) -> Da
     return last.groupBy("drawing_id", "component_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attributes"))
 
 
+#: Drawings of as many ids at most have them tried in their rows.
+FEW_IDS = 64
+
+
 def row_voltages(row_texts: DataFrame, components: DataFrame) -> DataFrame:
     """A voltage in a sheet row goes to the component of the drawing that was seen first and whose id the row holds.
 
     ``row_texts``: drawing_id, sheet, row, text.  ``components``: drawing_id, component_id, first_seen.
     """
-    volts = F.filter(electrical_values(c("text")), lambda v: v["parameter"] == "voltage_rating")
-    rows = row_texts.select("drawing_id", "sheet", "row", "text", volts.alias("volts")).filter(F.size("volts") > 0)
-    # parts of the row as long as the drawing's ids are joined by equality: no id is tried in each row
-    sizes = components.filter("component_id <> ''").groupBy("drawing_id").agg(F.collect_set(F.length("component_id")).alias("sizes"))
+    rows = row_texts.select("drawing_id", "sheet", "row", "text", voltages(c("text")).alias("volts")).filter(F.size("volts") > 0)
+    # up to FEW_IDS ids of a drawing go to its rows and are tried there
+    place = W.partitionBy("drawing_id").orderBy("first_seen", "component_id")
+    known = components.filter("component_id <> ''").select("drawing_id", "component_id", "first_seen", F.row_number().over(place).alias("_k"))
+    early = F.collect_list(F.when(c("_k") <= FEW_IDS, F.struct("first_seen", "component_id")))
+    ids = known.groupBy("drawing_id").agg(F.max("_k").alias("_n"), early.alias("ids"), F.collect_set(F.length("component_id")).alias("sizes"))
+    here = F.array_min(F.filter("ids", lambda i: F.contains("text", i["component_id"])))["component_id"]
+    few = rows.join(ids.filter(c("_n") <= FEW_IDS).select("drawing_id", "ids"), "drawing_id").withColumn("component_id", here).filter("component_id is not null").drop("ids", "text")
+    # of other drawings, parts of the row as long as the ids are joined by equality: no id is tried in each row
     cut = lambda n: F.when(n <= F.length("text"), F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))).otherwise(F.array().cast("array<string>"))
-    parts = rows.join(sizes, "drawing_id").select("drawing_id", "sheet", "row", F.explode(F.array_distinct(F.flatten(F.transform("sizes", cut)))).alias("component_id"))
+    dense = rows.join(ids.filter(c("_n") > FEW_IDS).select("drawing_id", "sizes"), "drawing_id")
+    parts = dense.select("drawing_id", "sheet", "row", F.explode(F.array_distinct(F.flatten(F.transform("sizes", cut)))).alias("component_id"))
     held = parts.join(components.select("drawing_id", "component_id", "first_seen"), ["drawing_id", "component_id"])
     first = held.groupBy("drawing_id", "sheet", "row").agg(F.min_by("component_id", "first_seen").alias("component_id"))
-    return rows.join(first, ["drawing_id", "sheet", "row"]).select("drawing_id", "sheet", "row", F.posexplode("volts").alias("pos", "v"), "component_id").select("drawing_id", "sheet", "row", "pos", c("v.value").alias("value"), "component_id")
+    many = dense.select("drawing_id", "sheet", "row", "volts").join(first, ["drawing_id", "sheet", "row"])
+    out = few.unionByName(many).select("drawing_id", "sheet", "row", F.posexplode("volts").alias("pos", "v"), "component_id")
+    return out.select("drawing_id", "sheet", "row", "pos", c("v.value").alias("value"), "component_id")
