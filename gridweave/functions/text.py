@@ -147,22 +147,36 @@ def electrical_values(text: Column) -> Column:
     Voltages are in kV; powers and ratios have no number.
     """
     none = F.lit(None).cast("double")
-
-    def kind(n: int, parameter: str, regex: str, value, unit, number):
-        whole, parts = all_of(text, regex, 0), []
-        for g in range(1, n + 1):
-            parts.append(all_of(text, regex, g))
-        return F.transform(whole, lambda w, i: F.struct(F.lit(parameter).alias("parameter"), value(w, *[F.get(p, i) for p in parts]).alias("value"), unit(*[F.get(p, i) for p in parts]).alias("unit"), number(*[F.get(p, i) for p in parts]).alias("numeric_value")))
-
     return F.concat(
-        kind(3, "voltage_rating", P.VOLTAGE, lambda w, a, u, k: F.rtrim(F.concat(a, u, F.lit(" "), k)), lambda a, u, k: u, lambda a, u, k: F.when(F.upper(u) == "KV", a.cast("double")).otherwise(a.cast("double") / 1000)),
-        kind(2, "current_rating", P.CURRENT, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: a.cast("double")),
-        kind(2, "impedance", P.IMPEDANCE, lambda w, a, u: w, lambda a, u: u, lambda a, u: a.cast("double")),
-        kind(2, "power_rating", P.POWER, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: none),
-        kind(1, "ratio", P.RATIO, lambda w, a: a, lambda a: F.lit(""), lambda a: none),
+        voltages(text),
+        _valued(2, "current_rating", P.CURRENT, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: a.cast("double")),
+        _valued(2, "impedance", P.IMPEDANCE, text, lambda w, a, u: w, lambda a, u: u, lambda a, u: a.cast("double"), parts=("%", "hm", "hM", "Hm", "HM", "Ω")),
+        _valued(2, "power_rating", P.POWER, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: none, parts=("VA",)),
+        _valued(1, "ratio", P.RATIO, text, lambda w, a: a, lambda a: F.lit(""), lambda a: none, parts=(":",)),
     )
 
 
+def voltages(text: Column) -> Column:
+    """The voltages among ``electrical_values``."""
+    return _valued(3, "voltage_rating", P.VOLTAGE, text, lambda w, a, u, k: F.rtrim(F.concat(a, u, F.lit(" "), k)), lambda a, u, k: u, lambda a, u, k: F.when(F.upper(u) == "KV", a.cast("double")).otherwise(a.cast("double") / 1000))
+
+
+def _valued(n: int, parameter: str, regex: str, text: Column, value, unit, number, parts: tuple[str, ...] = ()) -> Column:
+    """Values by one search of the text; a hit's ``n`` groups are read off the hit, as no pattern looks beyond it but for a word's end.
+
+    ``parts``: every hit has one of them, so texts without aren't searched.
+    """
+
+    def made(w: Column) -> Column:
+        g = [F.regexp_extract(w, regex, i) for i in range(1, n + 1)]
+        return F.struct(F.lit(parameter).alias("parameter"), value(w, *g).alias("value"), unit(*g).alias("unit"), number(*g).alias("numeric_value"))
+
+    found = all_of(text, regex, 0)
+    if parts:
+        found = F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in parts]), found).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(found, made)
+
+
 def cable_specs(text: Column) -> Column:
     """Distinct cable specifications, in the order of the kinds and of the text."""
     named = F.transform(all_of(text, P.NAMED_CABLE), lambda x: F.upper(x))
@@ -172,17 +186,21 @@ def cable_specs(text: Column) -> Column:
 def terminal_pairs(text: Column) -> Column:
     """Array of (block, terminal) of TBn-m and TSn-m; strips have the key TS-TSn."""
     def pairs(regex: str, before: str):
-        a, b = all_of(text, regex, 1), all_of(text, regex, 2)
-        return F.transform(a, lambda x, i: F.struct(F.concat(F.lit(before), x).alias("block"), F.get(b, i).alias("terminal")))
+        return F.transform(all_of(text, regex, 0), lambda w: F.struct(F.concat(F.lit(before), F.regexp_extract(w, regex, 1)).alias("block"), F.regexp_extract(w, regex, 2).alias("terminal")))
 
     return F.array_distinct(F.concat(pairs(P.BLOCK_TERMINAL, "TB"), pairs(P.STRIP_TERMINAL, "TS-TS")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def terminal_blocks(text: Column) -> Column:
     """Map of block to its terminals, in the order of the text."""
-    pairs = terminal_pairs(text)
-    blocks = F.array_distinct(F.transform(pairs, lambda p: p["block"]))
-    return F.map_from_arrays(blocks, F.transform(blocks, lambda b: F.transform(F.filter(pairs, lambda p: p["block"] == b), lambda p: p["terminal"])))
+    of = lambda pairs, b: F.transform(F.filter(pairs, lambda p: p["block"] == b), lambda p: p["terminal"])
+    blocks = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["block"]))
+    return let(terminal_pairs(text), lambda pairs: F.map_from_entries(F.transform(blocks(pairs), lambda b: F.struct(b.alias("key"), of(pairs, b).alias("value")))))
 
 
 def cross_references(text: Column, own_id: Column, sheet: bool = False) -> Column:
