@@ -37,8 +37,10 @@ def cable_schedule(connections: DataFrame, drawings: DataFrame) -> DataFrame:
 
 
 def cable_summary(connections: DataFrame) -> DataFrame:
-    """A6."""
-    return connections.agg(F.count("*").alias("cables"), F.countDistinct(F.nullif("cable_spec", F.lit(""))).alias("specs"), F.countDistinct("drawing_id").alias("drawings"))
+    """A6. Drawings are grouped, not told apart in one copy of the cables for each count."""
+    by = connections.groupBy("drawing_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cables"), F.count("drawing_id").alias("drawings"))
+    specs = connections.select(F.nullif("cable_spec", F.lit("")).alias("spec")).distinct().agg(F.count("spec").alias("specs"))
+    return by.crossJoin(specs).select("cables", "specs", "drawings")
 
 
 def cables_by_drawing(rows: DataFrame) -> DataFrame:
