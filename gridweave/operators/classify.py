@@ -77,6 +77,10 @@ def records(classified: DataFrame) -> DataFrame:
     return classified.select(stable_id(c("drawing_id"), "CLASSIFICATION").alias("decision_id"), F.current_timestamp().alias("timestamp"), F.lit("CLASSIFICATION").alias("decision_type"), F.lit("").alias("component_id"), "drawing_id", F.create_map(F.lit("strategy"), c("strategy")).alias("input_data"), F.concat(F.lit("by "), c("strategy")).alias("reasoning"), "confidence", c("drawing_type").alias("outcome"), "alternatives")
 
 
+#: How many parts a sheet's rows are dealt into.
+SHEET_PARTS = 256
+
+
 def index_entries(cells: DataFrame) -> DataFrame:
     """Index rows by drawing number, from the cells of index workbooks.
 
@@ -97,8 +101,11 @@ def index_entries(cells: DataFrame) -> DataFrame:
     cols = head.groupBy(*sheet).agg(F.coalesce(first(strict), first(number)).alias("dwg"), first(F.contains("up", F.lit("TYPE"))).alias("type"), first(F.contains("up", F.lit("TITLE"))).alias("title"))
     cols = cols.filter("dwg is not null and type is not null").withColumn("header", c("dwg.row"))
     revs = head.join(cols.select(*sheet, "header"), sheet).filter(c("row") == c("header")).groupBy(*sheet).agg(F.map_from_entries(F.collect_list(F.struct("col", "up"))).alias("heads"))
-    body = cells.join(cols, sheet).filter("row > header").groupBy(*sheet, "row", c("dwg.col").alias("dc"), c("type.col").alias("tc"), c("title.col").alias("nc")).agg(F.map_from_entries(F.collect_list(F.struct("col", F.trim("value").alias("v")))).alias("cells"))
-    body = body.join(revs, sheet, "left")
+    # a sheet may hold any share of the cells: its header meets them in as many parts
+    part = F.pmod("row", F.lit(SHEET_PARTS)).cast("int")
+    headed = cols.join(revs, sheet, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHEET_PARTS - 1)))).repartition(*sheet, "part")
+    body = cells.withColumn("part", part).join(headed, [*sheet, "part"]).filter("row > header").groupBy(*sheet, "row", c("dwg.col").alias("dc"), c("type.col").alias("tc"), c("title.col").alias("nc"))
+    body = body.agg(F.map_from_entries(F.collect_list(F.struct("col", F.trim("value").alias("v")))).alias("cells"), F.any_value("heads").alias("heads"))
     at = lambda x: F.coalesce(F.try_element_at("cells", x), F.lit(""))
     rev_cols = F.array_sort(F.map_keys(F.map_filter("heads", lambda k, v: F.contains(v, F.lit("REV")))))
     head_of = lambda x: F.coalesce(F.try_element_at("heads", x), F.lit(""))
