@@ -176,7 +176,20 @@ def _shard(texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     return words, rank, names, begin
 
 
-def _search(texts, probe: Probe, marked: tuple[np.ndarray, np.ndarray, np.ndarray]):
+def _search(texts, probe: Probe, marked: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    """Of one shard: ``_hits`` with marked stretches; without, n_words by document and every occurrence of a window: document, place, size and item, one for each item."""
+    if marked is not None:
+        return _hits(texts, probe, marked)
+    words, rank, names, begin = _shard(texts)
+    order, low, high, *_ = _find(probe, rank, names)
+    hit = np.flatnonzero(high > low)
+    n = high[hit] - low[hit]
+    place, suffix = order[np.repeat(low[hit], n) + _within(n)], np.repeat(hit, n)
+    doc = np.searchsorted(begin, place, "right") - 1
+    return words.counts(), doc, place - begin[doc], probe.need[suffix], probe.item[suffix]
+
+
+def _hits(texts, probe: Probe, marked: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """Of one shard: n_words by document, (document, begin, end) of hit stretches, and (document, items) of documents with hits.
 
     Suffixes with equal windows have one range in the suffix array, so each window's places
@@ -274,7 +287,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, window: int = 10, text_c
                     old = part.column("hit_spans")
                     flat = old.flatten().to_numpy(zero_copy_only=False)
                     sizes = np.diff(old.offsets.to_numpy()) // 2
-                    counts, (doc, start, end_), found = _search(part.column(text_col), probe, (np.repeat(np.arange(len(sizes)), sizes), flat[0::2], flat[1::2]))
+                    counts, (doc, start, end_), found = _hits(part.column(text_col), probe, (np.repeat(np.arange(len(sizes)), sizes), flat[0::2], flat[1::2]))
                     offsets = 2 * np.searchsorted(doc, np.arange(len(counts) + 1))
                     spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.column_stack([start, end_]).ravel(), pa.int64()))
                     names = part.column("items").to_pylist()
