@@ -30,6 +30,8 @@ from .textbytes import NOT_SPACE, Words, as_array, mix, slices
 
 SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
+#: Lists are merged when they hold about as many keys more than the first.
+JOINED = 1_000_000
 END = np.uint64(1)
 HALF = math.log(0.5)
 LISTS = "kind int, shard bigint, bucket bigint, keys binary, counts binary"
@@ -133,6 +135,12 @@ def _merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _joined(held: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lists with another one, made one list when they are more than twice the first and some."""
+    held = [*held, (keys, counts)]
+    return [_merge(held)] if sum(len(k) for k, _ in held) > JOINED + 2 * len(held[0][0]) else held
+
+
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
     """Byte strings go by the two bytes before the last one, words by their digest."""
     name = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == 0 else keys
@@ -143,9 +151,9 @@ def bucket_lists(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarr
     """Of one bucket, the distinct byte strings and words with their training counts; END counts texts."""
     strings, words = [], []
     for train, keys, at, digest, word_at, _, _ in _parts(table, depth):
-        strings.append(_count(keys, np.repeat(train, np.diff(at))))
-        words.append(_count(digest, np.repeat(train, np.diff(word_at))))
-        words.append((np.array([END]), np.array([int(train.sum())])))
+        strings = _joined(strings, *_count(keys, np.repeat(train, np.diff(at))))
+        words = _joined(words, *_count(digest, np.repeat(train, np.diff(word_at))))
+        words = _joined(words, np.array([END]), np.array([int(train.sum())]))
     return [_merge(strings), _merge(words)]
 
 
@@ -230,13 +238,8 @@ def top_tables(rows) -> tuple[np.ndarray, np.ndarray]:
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys and summed counts of a shard's lists, a few lists at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
     for k, c in zip(as_array(table.column("keys")), as_array(table.column("counts")), strict=True):
-        held.append((unpack(k.as_buffer(), True), unpack(c.as_buffer()).astype(np.int64)))
-        size += len(held[-1][0])
-        if size > 2_000_000 + 2 * len(held[0][0]):
-            held = [_merge(held)]
-            size = len(held[0][0])
+        held = _joined(held, unpack(k.as_buffer(), True), unpack(c.as_buffer()).astype(np.int64))
     return _merge(held)
 
 
