@@ -205,6 +205,24 @@ def test_all_checks_have_unique_ids(make, rules):
     assert len(ids) == len(set(ids)) and {r.check_no for r in got} == {1, 2, 9, 12}
 
 
+def test_all_checks_with_names_that_make_one_id(make, rules):
+    """Of two keys with one id the greater stays, once; cables of pairs and values of parameters alike."""
+    rows = [comp(i, d, "50", [value(p, d)]) for i, p in (("a|b", "c"), ("a", "b|c"), ("a", "d")) for d in "AB"]
+    ends = [conn(d, a, b, spec=f"{d}C") for a, b in (("x", "y-z"), ("x-y", "z"), ("x", "y")) for d in "AB"]
+    got = checks.all_checks(make([draw("A"), draw("B")], DRAWINGS), make(rows, COMPONENTS), make(ends, CONNECTIONS), rules).filter("check_no in (1, 4)").collect()
+    assert sorted((r.check_no, r.component_id, r.parameter) for r in got) == [(1, "a", "d"), (1, "a|b", "c"), (4, "x <-> y", "cable_specification"), (4, "x-y <-> z", "cable_specification")]
+
+
+def test_gathered_rows_of_all_checks_are_not_exchanged(make, rules):
+    """What a check says of a component comes from the written rows alone, with edges in buckets as without."""
+    rows = [comp("50-L1", d, t, [value("voltage_rating", d)]) for d, t in (("A", "50"), ("B", "51"))] + [comp("86M", "A", "86"), comp("52-L1", "A"), comp("CT-1", "A", "CT")]
+    tables = make([draw("A"), draw("B")], DRAWINGS), make(rows, COMPONENTS), make([conn("A", "50-L1", "CT-1"), conn("A", "86M", "x")], CONNECTIONS), rules
+    plain, dealt = checks.all_checks(*tables), checks.all_checks(*tables, buckets=3)
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and {r.check_no for r in dealt.collect()} == {1, 2, 6, 9, 10, 12}
+    part = dealt.filter("check_no in (1, 2, 6, 7, 10, 11, 12)")
+    assert "max_by" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_registry_lists(spark, make):
     names = spark.createDataFrame([("50_A%x PWR 1",), ("50XA%x PWR",), ("50_a%X",)], "n string")
     assert [r.n for r in names.filter(registry.name_like(F.col("n"), "50_A%x", "pwr")).collect()] == ["50_A%x PWR 1"]
