@@ -129,3 +129,28 @@ def test_change_stream_and_emptied_drawings(spark, tmp_path):
     keeper = upkeep.Upkeep(spark, root, authority.default_rules(spark), buckets=4)
     assert {(r.drawing_id, len(r.components)) for r in keeper.scans.read().collect()} == {("A", 0), ("B", 1)}
     assert keeper.mismatches.read().filter("not resolved").count() == 0 and keeper.mismatches.read().count() == 4
+
+
+def test_a_large_batch_has_all_checked_without_the_index(spark, tmp_path, monkeypatch):
+    """The index isn't asked; of an id that a scan has twice the last one counts; affected drawings are counted, not paired."""
+    monkeypatch.setattr(upkeep, "LARGE", 1)
+    monkeypatch.setattr(upkeep.Upkeep, "affected", None)
+    rng = random.Random(3)
+    rules, now = authority.default_rules(spark), {}
+    keeper = upkeep.Upkeep(spark, f"file://{tmp_path}/reg", rules, buckets=2)
+    for number in range(2):
+        rows = [random_scan(rng, f"NRE-EC-{k}", number) for k in range(number, 5 - number)]
+        if number:
+            fuse = lambda v: ("FU-1", "FU", [("ratio", v)], "", [])
+            rows += [scan("NRE-EC-4", at=1), scan("NRE-EC-5", [fuse("1"), fuse("2")], at=1), scan("NRE-EC-6", [fuse("3")], at=1)]
+        now |= {r[0]: r for r in rows}
+        keeper.apply(spark.createDataFrame(rows, upkeep.SCAN), number)
+    every = spark.createDataFrame(list(now.values()), upkeep.SCAN)
+    parts = upkeep.scan_components(every)
+    stored = keeper.mismatches.read()
+    assert open_rows(stored.filter("not resolved")) == open_rows(checks.all_checks(every, parts, upkeep.scan_connections(every), rules))
+    assert {r.values_found["NRE-EC-5"] for r in stored.filter("component_id = 'FU-1' and parameter = 'ratio'").collect()} == {"2"}
+    assert stored.count() == stored.select("mismatch_id").distinct().count() and stored.filter("resolved and resolved_at is null").count() == 0
+    counts = {r.drawing_id: r.n_affected for r in spark.read.parquet(f"{tmp_path}/reg/events").filter("batch = 1").collect()}
+    pairs = upkeep.propagation.impact(parts).groupBy("source_drawing_id").count().collect()
+    assert {d: n for d, n in counts.items() if n} == {r[0]: r[1] for r in pairs if r[0] in counts}
