@@ -78,19 +78,47 @@ def _hit(prio: int, p: P.Pattern):
 
 
 def found_components(text: Column, source: str = "p") -> Column:
-    """Array of (prio, at, component_id, component_type) of every catalogue hit in a text unit.
+    """Array of (prio, at, component_id, component_type) of every catalogue hit in a text unit, in no order.
 
-    One test with all patterns at once spares most texts the catalogue, and in the others
-    each pattern is tried only behind a plain test for a part that all its hits have.
+    One search gives the beginnings of words that a hit of some pattern begins with, and only
+    the patterns of these are tried; the few that don't begin so are tried behind a plain
+    test for a part that all their hits have.
     """
     own = [(prio, p) for prio, p in enumerate(P.CATALOGUE, 1) if source in p.sources]
     none = F.array().cast("array<struct<prio:int,at:int,component_id:string,component_type:string>>")
-    hits = []
+    heads, rest = {}, []
     for prio, p in own:
-        hit = F.transform(all_of(text, p.regex), _hit(prio, p))
-        part = literal_part(p.regex)
-        hits.append(F.when(F.contains(text, F.lit(part)), hit).otherwise(none) if part else hit)
-    return F.when(text.rlike(_any(p.regex for _, p in own)), F.flatten(F.array(*hits))).otherwise(none)
+        hit, part = F.transform(all_of(text, p.regex), _hit(prio, p)), literal_part(p.regex)
+        behind = lambda x, hit=hit: F.when(F.contains(text, F.lit(x)), hit).otherwise(none) if x else hit
+        if headed(p.regex):
+            heads.setdefault(part[:2], []).append(behind(part) if len(part) > 2 else hit)
+        else:
+            rest.append(behind(part if len(part) > 1 else inner_part(p.regex)))
+    first = sorted({h[0] for h in heads})
+    some = all_of(text, rf"(?=[{''.join(first)}])\b((?:{'|'.join(f + '[' + ''.join(sorted(h[1] for h in heads if h[0] == f)) + ']' for f in first)}))")
+
+    def tried(head: Column) -> Column:
+        cases = [(head == h, F.flatten(F.array(*hits)) if len(hits) > 1 else hits[0]) for h, hits in sorted(heads.items())]
+        return reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0])).otherwise(none)
+
+    return F.coalesce(F.flatten(F.concat(F.transform(F.array_distinct(some), tried), F.array(*rest))), none)
+
+
+def headed(regex: str) -> bool:
+    """Whether every hit of a pattern begins at the beginning of a word with the same two letters or digits."""
+    return regex.startswith(r"\b") and re.match("[A-Z0-9]{2}", literal_part(regex)) is not None
+
+
+def inner_part(regex: str) -> str:
+    """The longest run of characters that every hit of a pattern has, if one can be read off its text; else empty."""
+    body, before = regex, ""
+    while body != before:  # groups that aren't captured, from within
+        before, body = body, re.sub(r"\(\?:[^()]*\)(?:[?*+]|\{[^}]*\})?", " ", body)
+    if re.search(r"\)[?*{]|\(\?", body):
+        return ""
+    body = re.sub(r"\[[^\]]*\]|\\.", " ", body)
+    body = re.sub(r".(?:[?*]|\{[^}]*\})", " ", body)
+    return "" if "|" in body else max(re.findall("[A-Z0-9-]+", body), key=len, default="")
 
 
 def literal_part(regex: str) -> str:

@@ -45,3 +45,20 @@ def test_rows_of_one_sheet_are_dealt_out(spark):
     assert f"sequence(0, {classify.SHEET_PARTS - 1}" in df._jdf.queryExecution().analyzed().toString()
     assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 76 and df.filter("current_revision = 'r1'").count() == 76
+
+
+def test_only_patterns_of_a_text_s_words_are_tried(spark):
+    """Hits are those of each pattern searched by itself; one search for all says which are tried."""
+    from gridweave.functions import patterns as P
+
+    words = ["52-L1.A", "X52-L2", "52A", "86MP", "86ABCD1", "SEL-451", "SEL-C662", "SEL-C200", "BECKWITH-M2001", "BECKWITH M-12", "GE L90", "XBREAKER 12", "DC PANEL 3B", "PANEL AB12", "SM68", "LA-3", "TB3", "TB3-4", "TB4-", "C200", "UPS", "UPS-1", "CT-A.1", "FU-AB", "FU12A", "IRIG-B", "é52-L9", "52-é", "5", "2", "", "-86LOR", "LOR", "DC\nPANEL", "AC  PANEL AC1"]
+    rows = [(w,) for w in words] + [(f"{a} {b}/{a}{b}",) for k, a in enumerate(words) for b in words[k % 3 :: 3]] + [(None,)]
+    df = spark.createDataFrame(rows, "text string")
+    for source in "pds":
+        own = [(k, p) for k, p in enumerate(P.CATALOGUE, 1) if source in p.sources]
+        each = F.flatten(F.array(*[F.transform(X.all_of(F.col("text"), p.regex), X._hit(k, p)) for k, p in own]))
+        both = df.select("text", F.array_sort(X.found_components(F.col("text"), source)).alias("got"), F.array_sort(each).alias("want")).collect()
+        assert [(r.text, r.got) for r in both] == [(r.text, r.want if r.text is not None else []) for r in both]
+    assert "RLIKE" not in plan_of(df.select(X.found_components(F.col("text"))))
+    assert sum(not X.headed(p.regex) for p in P.CATALOGUE) == 5 and all(X.inner_part(p.regex) for p in P.CATALOGUE if not X.headed(p.regex))
+    assert [X.inner_part(r) for r in (r"\b([PS]M68)\b", r"\b((?:AB)?CD?E+F{0,2}-\d)\b", r"\b(A|B)\b", r"(AB)?C", r"\b(C[12]00)\b")] == ["M68", "C", "", "", "00"]
