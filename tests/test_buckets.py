@@ -5,6 +5,7 @@ from __future__ import annotations
 from gridweave.operators import propagation
 from gridweave.operators.authority import default_rules
 from gridweave.plans.corpus import Registry
+from gridweave.plans.queries import y6_log
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,19 @@ def test_plan_joins_no_drawings_where_types_are_known(spark):
     assert r.drawings.count() > 0
     text = plan_of(propagation.plan(r.typed, r.drawings, default_rules(spark)))
     assert "cross_references" not in text and "Exchange hashpartitioning(drawing_id" not in text
+
+
+def test_change_log_stores_no_drawings_and_sorts_values_once_a_parameter(spark, monkeypatch):
+    r, made = Registry(spark, SF), []
+    monkeypatch.setattr(Registry, "_drawings", lambda self: made.append("drawings"))
+    monkeypatch.setattr("gridweave.plans.corpus.stored", lambda make, *_, **__: make())
+    y6_log(r)
+    assert not made
+    text = plan_of(propagation.plan(Registry(spark, SF).typed, r.raw("drawing"), default_rules(spark)))
+    assert text.count("ShuffledHashJoin") >= 2 and "SortMergeJoin [component_id" not in text
+
+
+def test_first_values_of_one_value_and_of_several(spark):
+    rows = [("c", "a", [("p", "1")]), ("c", "b", [("p", "1"), ("q", "2"), ("p", "3")]), ("c", "d", []), ("c", "e", [(None, "4")]), ("c", "f", None)]
+    df = spark.createDataFrame(rows, "component_id string, drawing_id string, values array<struct<parameter:string,value:string>>")
+    assert {tuple(x)[1:] for x in propagation.first_values(df).collect()} == {("a", "p", "1"), ("b", "p", "1"), ("b", "q", "2")}
