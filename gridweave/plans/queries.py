@@ -945,7 +945,7 @@ def _rescanned(r: Registry) -> tuple[DataFrame, DataFrame, Table]:
     scanned = r.raw("drawing").filter("k % 10 = 0").select("drawing_id", "k")
     new = old.filter("component_type <> '52'").join(scanned.filter("k % 20 = 0"), "drawing_id").drop("k")
     new = new.withColumns({"component_type": F.lit("LOR"), "values": F.slice("values", 1, 0)})
-    table = Table(r.spark, f"{new_path(r.spark, 'registry')}/components", "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>", buckets=16)
+    table = Table(r.spark, f"{new_path(r.spark, 'registry')}/components", "drawing_id string, component_id string, component_type string, values array<struct<parameter:string,value:string,unit:string,numeric_value:double>>", buckets=max(16, r.buckets))
     table.write(old)
     changed = written(changes.detect_changes(table.of(scanned), new, scanned), "changed")
     table.replace(new, scanned)

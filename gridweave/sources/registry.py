@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import cables
-from ..operators.changes import latest, replaced, snapshot, stored_mismatches
+from ..operators.changes import latest, snapshot, stored_mismatches
 
 c = F.col
 
@@ -62,11 +63,18 @@ class Table:
 
     def write(self, df: DataFrame, hit: list[int] | None = None) -> None:
         """The rows of ``df`` become those of the partitions ``hit``, or of all that they fall into."""
+        self._write_dealt(self._dealt(df, hit))
+
+    def _dealt(self, df: DataFrame, hit: list[int] | None = None) -> DataFrame:
+        """The rows dealt out by their partitions; of partitions ``hit`` there is a row without key."""
         rows = df.withColumn("bucket", self._bucket())
         if hit is not None:
             empty = self.spark.range(1).select(F.explode(F.lit(hit)).alias("bucket")).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), c("bucket").cast("int"))
             rows = rows.unionByName(empty)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return rows.repartition("bucket")
+
+    def _write_dealt(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def touched(self, keys: DataFrame) -> DataFrame:
         """The stored rows in the partitions that ``keys`` fall into."""
@@ -90,7 +98,16 @@ class Table:
         keys = new.select(self.key) if keys is None else keys.select(self.key).union(new.select(self.key))
         hit = self.hit(keys)
         old = self.within(hit) if self.exists() else new.limit(0)
-        self.write(replaced(old, new, self.key, keys), hit)
+        self._write_dealt(self.merged(old, new, keys, hit))
+
+    def merged(self, old: DataFrame, new: DataFrame, keys: DataFrame, hit: list[int]) -> DataFrame:
+        """``replaced`` in the partitions ``hit``, dealt out by them. Keys come as rows that mark theirs, so stored rows move once, not for a join too."""
+        marks = keys.select(self.key).distinct().select(self.key, *(F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema if f.name != self.key), F.lit("mark").alias("_from"))
+        rows = old.withColumn("_from", F.lit("old")).unionByName(new.withColumn("_from", F.lit("new"))).unionByName(marks)
+        marked = F.max(c("_from") == "mark").over(W.partitionBy("bucket", self.key))
+        # rows without key, of which new ones stay too, are those of no drawing
+        stay = c("_from").isNull() | (c("_from") == "new") | ((c("_from") == "old") & (c(self.key).isNull() | ~c("_marked")))
+        return self._dealt(rows, hit).withColumn("_marked", marked).filter(stay).drop("_from", "_marked")
 
 
 def append(df: DataFrame, path: str) -> None:

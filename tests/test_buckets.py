@@ -5,7 +5,8 @@ from __future__ import annotations
 from gridweave.operators import propagation
 from gridweave.operators.authority import default_rules
 from gridweave.plans.corpus import Registry
-from gridweave.plans.queries import y6_log
+from gridweave.plans.queries import _rescanned, y6_log
+from gridweave.sources.registry import Table
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,26 @@ def test_first_values_of_one_value_and_of_several(spark):
     rows = [("c", "a", [("p", "1")]), ("c", "b", [("p", "1"), ("q", "2"), ("p", "3")]), ("c", "d", []), ("c", "e", [(None, "4")]), ("c", "f", None)]
     df = spark.createDataFrame(rows, "component_id string, drawing_id string, values array<struct<parameter:string,value:string>>")
     assert {tuple(x)[1:] for x in propagation.first_values(df).collect()} == {("a", "p", "1"), ("b", "p", "1"), ("b", "q", "2")}
+
+
+def test_partitions_of_a_scanned_registry_grow_with_it(spark, monkeypatch):
+    r = Registry(spark, SF)
+    count = r.raw("drawing").count()
+    monkeypatch.setattr(Registry, "buckets", 8)
+    assert _rescanned(r)[2].buckets == 16
+    r = Registry(spark, SF)
+    _ = r.components  # stored in eight buckets
+    monkeypatch.setattr(Registry, "buckets", 40)
+    table = _rescanned(r)[2]
+    assert table.buckets == 40 and table.read().select("drawing_id").distinct().count() < count
+
+
+def test_replacing_moves_stored_rows_once(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/t", "drawing_id string, component_id string", buckets=3)
+    table.write(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("c", "4")], "drawing_id string, component_id string"))
+    new = spark.createDataFrame([("a", "5"), ("d", "6")], "drawing_id string, component_id string")
+    keys = spark.createDataFrame([("a",), ("b",), ("d",)], "drawing_id string")
+    text = plan_of(table.merged(table.read(), new, keys, [0, 1, 2]))
+    assert "Join" not in text and text.count("Exchange hashpartitioning(bucket") == 1
+    table.replace(new, keys)
+    assert {tuple(x) for x in table.read().collect()} == {("a", "5"), ("c", "4"), ("d", "6")}
