@@ -169,19 +169,20 @@ def drop_noise(components: DataFrame) -> DataFrame:
     return components.filter((F.length(F.trim("component_id")) >= 2) & ~F.col("component_id").rlike(r"^\d+$"))
 
 
-def electrical_values(text: Column) -> Column:
+def electrical_values(text: Column, *only: str) -> Column:
     """Array of (at, parameter, value, unit, numeric_value): voltages, currents, impedances, powers, ratios, in that order.
 
-    Voltages are in kV; powers and ratios have no number.
+    Voltages are in kV; powers and ratios have no number.  ``only``: the parameters that are looked for; all without.
     """
     none = F.lit(None).cast("double")
-    return F.concat(
-        voltages(text),
-        _valued(2, "current_rating", P.CURRENT, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: a.cast("double")),
-        _valued(2, "impedance", P.IMPEDANCE, text, lambda w, a, u: w, lambda a, u: u, lambda a, u: a.cast("double"), parts=("%", "hm", "hM", "Hm", "HM", "Ω")),
-        _valued(2, "power_rating", P.POWER, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: none, parts=("VA",)),
-        _valued(1, "ratio", P.RATIO, text, lambda w, a: a, lambda a: F.lit(""), lambda a: none, parts=(":",)),
-    )
+    kinds = {
+        "voltage_rating": lambda: voltages(text),
+        "current_rating": lambda: _valued(2, "current_rating", P.CURRENT, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: a.cast("double")),
+        "impedance": lambda: _valued(2, "impedance", P.IMPEDANCE, text, lambda w, a, u: w, lambda a, u: u, lambda a, u: a.cast("double"), parts=("%", "hm", "hM", "Hm", "HM", "Ω")),
+        "power_rating": lambda: _valued(2, "power_rating", P.POWER, text, lambda w, a, u: F.concat(a, u), lambda a, u: u, lambda a, u: none, parts=("VA",)),
+        "ratio": lambda: _valued(1, "ratio", P.RATIO, text, lambda w, a: a, lambda a: F.lit(""), lambda a: none, parts=(":",)),
+    }
+    return F.concat(*(make() for name, make in kinds.items() if not only or name in only))
 
 
 def voltages(text: Column) -> Column:

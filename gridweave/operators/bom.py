@@ -23,7 +23,8 @@ def bom_cells(cells: DataFrame) -> DataFrame:
 
 def rows_of(cells: DataFrame) -> DataFrame:
     """One row for each sheet row, its cells as a map of column to text."""
-    return cells.groupBy(*SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    # a number first in the key, by which cells are sorted faster than by names that begin alike
+    return cells.groupBy(F.xxhash64(*SHEET, "row").alias("_h"), *SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells")).drop("_h")
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def header_rows(cells: DataFrame) -> DataFrame:
     early = rows_of(cells.filter("row <= 5"))
     upper = F.upper(F.array_join(F.map_values("cells"), " "))
     score = sum((F.contains(upper, F.lit(w)).cast("int") for w in P.HEADER_WORDS), F.lit(0))
-    return early.withColumn("score", score).groupBy(*SHEET).agg(F.max_by(F.struct("row", "cells"), F.struct(F.when(c("score") >= 2, c("score")).otherwise(0), -c("row"))).alias("h")).select(*SHEET, c("h.row").alias("header_row"), c("h.cells").alias("header"))
+    return early.withColumn("score", score).groupBy(F.xxhash64(*SHEET).alias("_h"), *SHEET).agg(F.max_by(F.struct("row", "cells"), F.struct(F.when(c("score") >= 2, c("score")).otherwise(0), -c("row"))).alias("h")).select(*SHEET, c("h.row").alias("header_row"), c("h.cells").alias("header"))
 
 
 def sheet_kind(header: Column, sheet: Column) -> Column:
@@ -64,7 +65,8 @@ def column_of(header: Column, name: str) -> Column:
 
 
 def cell(name: str) -> Column:
-    return F.coalesce(F.try_element_at("cells", column_of(c("header"), name)), F.lit(""))
+    """Of a row of ``_body`` the text in the column of a normalised name; empty without one."""
+    return F.coalesce(F.try_element_at("cells", c(f"col {name}")), F.lit(""))
 
 
 def material_type(description: Column, qty: Column, catalog: Column) -> Column:
@@ -103,10 +105,13 @@ def designation_type(name: Column, description: Column) -> Column:
     )
 
 
-def _body(cells: DataFrame) -> DataFrame:
+def _body(cells: DataFrame, *names: str) -> DataFrame:
+    """Rows below their sheet's header, with its kind and the columns of the named cells, which are looked for once a sheet."""
     own = bom_cells(cells)
     heads = header_rows(own).withColumn("kind", sheet_kind(c("header"), c("sheet"))).filter("kind <> ''")
-    return rows_of(own).join(heads, SHEET).filter("row > header_row")
+    heads = heads.select(*SHEET, "header_row", "kind", *(column_of(c("header"), n).alias(f"col {n}") for n in names))
+    # a bucket's sheets are few and narrow; its rows needn't be sorted to meet them
+    return rows_of(own).join(heads.hint("shuffle_hash"), SHEET).filter("row > header_row")
 
 
 def line_items(cells: DataFrame) -> DataFrame:
@@ -115,20 +120,20 @@ def line_items(cells: DataFrame) -> DataFrame:
     The id is the device, else the catalogue number, else BOM-ITEM-<item>; the second line
     of a drawing with an id gets -<item> (devices) or :<item> (catalogue numbers).
     """
-    rows = _body(cells).filter("kind <> 'nameplate'").select(*SHEET, "row", cell("item").alias("item"), cell("qty").alias("qty"), cell("catalog").alias("catalog"), cell("material").alias("description"), cell("device").alias("device_name"))
+    rows = _body(cells, "item", "qty", "catalog", "material", "device").filter("kind <> 'nameplate'").select(*SHEET, "row", cell("item").alias("item"), cell("qty").alias("qty"), cell("catalog").alias("catalog"), cell("material").alias("description"), cell("device").alias("device_name"))
     rows = rows.filter("item <> '' or description <> '' or catalog <> ''")
     base = F.when(c("device_name") != "", c("device_name")).when(c("catalog") != "", c("catalog")).otherwise(F.concat(F.lit("BOM-ITEM-"), c("item")))
     rows = rows.withColumn("base", base)
-    n = F.row_number().over(W.partitionBy("drawing_id", "base").orderBy("sheet_pos", "row"))
+    n = F.row_number().over(W.partitionBy(F.xxhash64("drawing_id", "base"), "drawing_id", "base").orderBy("sheet_pos", "row"))
     sign = F.when(c("device_name") != "", F.when(c("n") == 2, "-").otherwise(":")).otherwise(":")
     named = rows.withColumn("n", n).withColumn("component_id", F.when((c("n") == 1) | c("base").startswith("BOM-ITEM-"), c("base")).otherwise(F.concat("base", sign, "item")))
-    values = F.filter(electrical_values(c("description")), lambda v: v["parameter"].isin("voltage_rating", "current_rating", "impedance"))
+    values = electrical_values(c("description"), "voltage_rating", "current_rating", "impedance")
     return named.select(*SHEET, "row", "component_id", material_type(c("description"), c("qty"), c("catalog")).alias("component_type"), "item", "qty", "catalog", "description", values.alias("values"))
 
 
 def nameplates(cells: DataFrame) -> DataFrame:
     """Nameplate lines as components; short names get the sheet's prefix. The last row of an id wins."""
-    rows = _body(cells).filter("kind = 'nameplate'").select(*SHEET, "row", cell("1st_line").alias("line1"), cell("2nd_line").alias("line2"), cell("item").alias("item"), cell("size").alias("size"), cell("letter_size").alias("letter_size"), cell("qty").alias("qty")).filter("line1 <> ''")
+    rows = _body(cells, "1st_line", "2nd_line", "item", "size", "letter_size", "qty").filter("kind = 'nameplate'").select(*SHEET, "row", cell("1st_line").alias("line1"), cell("2nd_line").alias("line2"), cell("item").alias("item"), cell("size").alias("size"), cell("letter_size").alias("letter_size"), cell("qty").alias("qty")).filter("line1 <> ''")
     prefix = F.trim(F.replace(F.upper("sheet"), F.lit("NAMEPLATE"), F.lit("")))
     rows = rows.withColumn("prefix", F.when(prefix.isin("", "SCHEDULE"), "").otherwise(prefix))
     placed = F.lit(False)

@@ -113,6 +113,8 @@ TABLES = {
 GIVEN = ("orders", "lineitem", "events")
 #: Written at their first use.
 STORED = ("line", "component", "connection")
+#: Sheets, whose cells of line items and of drawings lie together by drawing.
+SHEETS = ("cell", "book")
 
 
 def _needs(name: str, seen: list[str], known: tuple[str, ...] = ()) -> list[str]:
@@ -143,10 +145,14 @@ class Registry:
         self._made: dict[str, DataFrame] = {}
 
     def _derived(self, name: str) -> DataFrame:
-        known = tuple(n for n in STORED if n != name)
+        known = tuple(n for n in STORED if n != name) + (("drawing",) if name in SHEETS else ())
         used = _needs(name, [], known)
         read = {t: self.spark.read.parquet(path) for t, path in zip(GIVEN, self.sources, strict=True)}
-        read |= {n: self.raw(n) for n in known if any(re.search(rf"\b(?:FROM|JOIN) {n}\b", TABLES[t]) for t in used)}
+        read |= {n: self.numbers if n == "drawing" else self.raw(n) for n in known if any(re.search(rf"\b(?:FROM|JOIN) {n}\b", TABLES[t]) for t in used)}
+        if name in SHEETS:
+            # marked columns are named by each part of a union, which Spark then knows to lie by them
+            mark = F.col("drawing_id").alias("drawing_id", metadata={"buckets": self.buckets})
+            read |= {n: df.withColumn("drawing_id", mark) for n, df in read.items() if n in known}
         # the tables are arguments of the statement, so no view of the caller's is replaced
         text = re.sub(r"\b(FROM|JOIN) (" + "|".join(read) + r")\b", r"\1 {\2}", f"{with_tables(name, known=known)}\nSELECT * FROM {name}")
         return self.spark.sql(text, **{n: df for n, df in read.items() if f"{{{n}}}" in text})
@@ -157,10 +163,15 @@ class Registry:
             self._made[name] = self._derived(name) if make is None else self._by_drawing(make, name)
         return self._made[name]
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """Drawings with their numbers in the buckets of the line items, so that their cells need no exchange to meet."""
+        return self._by_drawing(lambda: self.raw("drawing").select("k", "drawing_id").repartition(self.buckets, "drawing_id"), "numbers of drawings")
+
     @cached_property
     def buckets(self) -> int:
         """Of tables by drawing: few enough rows in each for a task to sort them in memory."""
-        return buckets_for(sum(state_of(self.spark, path)[1] for path in self.sources), each=16 << 20)
+        return buckets_for(sum(state_of(self.spark, path)[1] for path in self.sources), each=8 << 20)
 
     def _by_drawing(self, make, name: str) -> DataFrame:
         """A stored table in buckets by drawing, of rows that are dealt out so already."""

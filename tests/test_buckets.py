@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gridweave.operators import propagation
 from gridweave.operators.authority import default_rules
-from gridweave.plans.corpus import Registry
+from gridweave.plans.corpus import Registry, with_tables
 from gridweave.plans.queries import _rescanned, y6_log
 from gridweave.sources.registry import Table
 
@@ -73,3 +73,17 @@ def test_replacing_moves_stored_rows_once(spark, tmp_path):
     assert "Join" not in text and text.count("Exchange hashpartitioning(bucket") == 1
     table.replace(new, keys)
     assert {tuple(x) for x in table.read().collect()} == {("a", "5"), ("c", "4"), ("d", "6")}
+
+
+def test_sheets_of_drawings_need_no_exchange(spark):
+    """Cells of line items and of drawings lie together, so rows, headers and ids are found without an exchange; columns are looked for once a sheet."""
+    from gridweave.operators import bom
+    from gridweave.plans.queries import _book, _cells
+
+    r = Registry(spark, SF)
+    for cells in (_cells(r), _book(r)):
+        text = plan_of(bom.line_items(cells))
+        assert "Exchange hashpartitioning" not in text and "Exchange(" not in text and text.count("SortMergeJoin") == 0
+    for name in ("cell", "book"):
+        made = r.spark.sql(f"{with_tables(name)} SELECT count(*) AS n FROM {name} s".replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=spark.read.parquet(f"{SF}/orders.parquet"), lineitem=spark.read.parquet(f"{SF}/lineitem.parquet"))
+        assert made.first().n == r.raw(name).count() > 0
