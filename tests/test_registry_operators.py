@@ -307,3 +307,17 @@ def test_tables_are_made_anew_when_their_source_changes(spark, tmp_path):
     assert first.count() == 3 and stored(make_, spark, [path], "x").inputFiles() == first.inputFiles()
     spark.range(5).write.mode("overwrite").parquet(path)
     assert stored(make_, spark, [path], "x").count() == 5
+
+
+def test_rows_are_exchanged_once_to_be_told_apart(spark):
+    """Cables are exchanged once by their pair; ids of names without a bar are compared with nothing; names with one still are."""
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ends = spark.createDataFrame([("A", "x", "y-z", "s1", 0), ("B", "x", "y-z", "s2", 0), ("A", "x-y", "z", "s1", 1), ("B", "z", "x-y", "s3", 1), ("A", "p", "q", "s", 2)], "drawing_id string, from_component string, to_component string, cable_spec string, seq int")
+    found = checks.cable_mismatch(ends, once=True)
+    assert "Join" not in text(found) and {r.component_id for r in found.collect()} == {"x-y <-> z"}
+    assert {r.component_id for r in checks.cable_mismatch(ends).collect()} == {"x <-> y-z", "x-y <-> z"}
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c"), (None, "c"), ("", "c")], "component_id string, other string")
+    rows = rows.withColumns({"mismatch_id": checks.stable_id(F.col("component_id"), F.col("other"), "trip_path"), "parameter": F.lit("trip_path")})
+    once = checks._once(rows, F.col("component_id"), F.col("other"))
+    assert sorted((r.component_id, r.other) for r in once.collect()) == [("", "c"), ("a", "c"), ("a|b", "c")]
+    assert once.select("mismatch_id").distinct().count() == 3
