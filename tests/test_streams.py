@@ -154,3 +154,23 @@ def test_a_large_batch_has_all_checked_without_the_index(spark, tmp_path, monkey
     counts = {r.drawing_id: r.n_affected for r in spark.read.parquet(f"{tmp_path}/reg/events").filter("batch = 1").collect()}
     pairs = upkeep.propagation.impact(parts).groupBy("source_drawing_id").count().collect()
     assert {d: n for d, n in counts.items() if n} == {r[0]: r[1] for r in pairs if r[0] in counts}
+
+
+def test_an_index_that_large_batches_put_off_is_made_by_the_next_that_asks(spark, tmp_path, monkeypatch):
+    """Two large batches write no index; small ones after them, one run twice, find what all checks find."""
+    rng = random.Random(5)
+    rules, now = authority.default_rules(spark), {}
+    keeper = upkeep.Upkeep(spark, f"file://{tmp_path}/reg", rules, buckets=2)
+    for number, large in enumerate((True, True, False, False)):
+        monkeypatch.setattr(upkeep, "LARGE", 1 if large else 1000)
+        drawings = [f"NRE-EC-{k}" for k in (range(6) if number == 0 else rng.sample(range(7), 3))]
+        rows = [random_scan(rng, d, number) for d in drawings]
+        now |= {r[0]: r for r in rows}
+        for _ in range(1 + (number == 2)):
+            keeper.apply(spark.createDataFrame([*rows, scan(drawings[0], at=-1)], upkeep.SCAN), number)
+        assert keeper.entries.exists() != large
+    every = spark.createDataFrame(list(now.values()), upkeep.SCAN)
+    want = checks.all_checks(every, upkeep.scan_components(every), upkeep.scan_connections(every), rules)
+    assert open_rows(keeper.mismatches.read().filter("not resolved")) == open_rows(want)
+    index = lambda df: sorted(map(repr, df.select("key", "kind", "drawing_id").distinct().collect()))
+    assert index(keeper.entries.read()) == index(upkeep.entries(keeper.scans.read()))
